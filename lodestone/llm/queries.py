@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
+from .language import op6_language
 from .minhash import op4_minhash
+from .mixing import OP5_SQL, op5_mixing
+from .sharding import op10_sharding
 
-QUERIES = {"op4_minhash": op4_minhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
+    "op4_minhash": op4_minhash,
+    "op5_mixing": op5_mixing,
+    "op6_language": op6_language,
+    "op10_sharding": op10_sharding,
+}
+ORACLE_SQL = {"op5_mixing": OP5_SQL}
