@@ -7,8 +7,10 @@ from .language import op6_language
 from .minhash import op4_minhash
 from .mixing import OP5_SQL, op5_mixing
 from .sharding import op10_sharding
+from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_minhash": op4_minhash,
     "op5_mixing": op5_mixing,
