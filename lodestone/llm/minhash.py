@@ -6,8 +6,8 @@ alternating large-star and small-star.
 
 Documents with equal shingle sets are one class from the start. Within a band's bucket each class is
 compared with the smallest class only; where the links so found leave a bucket with several
-components, all pairs across those components are compared as well. So no link that could join two
-components is lost, and no bucket emits all its pairs.
+components, those components are compared as well, in blocks. So no link that could join two components
+is lost, and no bucket emits its pairs as rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ PERMS, BANDS = 128, 32
 #: A pair is confirmed on full sets unless its signatures agree this much less often than the
 #: threshold: 0.2 is 5.6 standard deviations at 0.8 (chance under 2e-8).
 SLACK = 0.2
+#: Classes of a block that is compared as a whole.
+BLOCK = 128
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -123,6 +125,80 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     return links
 
 
+def block_links(percent: int):
+    """Rows of two blocks of classes -> links (u, v) between different components, one for each
+    class of the first block and component of the second."""
+
+    def read(cell: pa.Scalar) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        values = cell.values
+        sets = values.field("set")
+        ends = sets.offsets.to_numpy()
+        flat = sets.values.to_numpy(zero_copy_only=False)
+        return values.field("ck").to_pylist(), np.array(values.field("root").to_pylist(), object), ends[:-1], np.diff(ends), flat
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out: list[tuple[bytes, bytes]] = []
+            for a, b in zip(part.column("xs"), part.column("ys"), strict=True):
+                ua, ra, sa, na, fa = read(a)
+                ub, rb, sb, nb, fb = read(b)
+                # shingles of the first block that the second has too, as columns of 0-1 matrices
+                flat_a = np.concatenate([fa[k : k + n] for k, n in zip(sa, na, strict=True)])
+                flat_b = np.concatenate([fb[k : k + n] for k, n in zip(sb, nb, strict=True)])
+                shared = np.intersect1d(flat_a, flat_b)
+                both = np.zeros((len(ua), len(ub)), np.int64)
+                row_a, row_b = np.repeat(np.arange(len(ua)), na), np.repeat(np.arange(len(ub)), nb)
+                col_a, col_b = np.searchsorted(shared, flat_a), np.searchsorted(shared, flat_b)
+                in_a = np.append(shared, 0)[col_a] == flat_a if len(shared) else np.zeros(len(flat_a), bool)
+                in_b = np.append(shared, 0)[col_b] == flat_b if len(shared) else np.zeros(len(flat_b), bool)
+                in_a, in_b = in_a & (col_a < len(shared)), in_b & (col_b < len(shared))
+                for k in range(0, len(shared), 4096):
+                    ma, mb = np.zeros((len(ua), 4096), np.float32), np.zeros((len(ub), 4096), np.float32)
+                    pick = in_a & (col_a >= k) & (col_a < k + 4096)
+                    ma[row_a[pick], col_a[pick] - k] = 1
+                    pick = in_b & (col_b >= k) & (col_b < k + 4096)
+                    mb[row_b[pick], col_b[pick] - k] = 1
+                    both += (ma @ mb.T).astype(np.int64)
+                ok = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ra[:, None] != rb[None, :])
+                seen = set()
+                for x, y in zip(*np.nonzero(ok), strict=True):
+                    if (x, rb[y]) not in seen:
+                        seen.add((x, rb[y]))
+                        out.append((ua[x], ub[y]))
+            u, v = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    return run
+
+
+def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket, exactly.
+
+    In each such bucket one component is the main one, by members. Classes outside it are compared
+    with it and with each other; those of all buckets with one main component meet at once, in blocks
+    of at most about BLOCK classes, so that no pair is ever a row and no block pair exceeds a task.
+    """
+    placed = members.select("key", "ck").join(roots.select(F.col("node").alias("ck"), "root"), "ck", "left").select("key", "ck", F.coalesce("root", "ck").alias("root"))
+    each = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "root")).alias("main")).where("kinds > 1").select("key", F.col("main.root").alias("main"))
+    met = placed.join(mixed, "key").select("main", "ck", "root").distinct().withColumn("inside", F.col("root") == F.col("main"))
+    met = store(met, "met")
+    counts = met.groupBy("main", "inside").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(counts, ["main", "inside"]).withColumn("block", F.pmod(F.xxhash64("ck"), "blocks").cast("int"))
+    dealt = dealt.select("main", "inside", "block", "ck", "root")
+    wanted = classes.join(met.select("ck").distinct(), "ck", "left_semi").select("id", "ck")
+    sets = full_sets(docs, id_col, text_col, words, wanted)
+    blocks = dealt.join(sets, "ck").groupBy("main", "inside", "block").agg(F.collect_list(F.struct("ck", "root", "set")).alias("rows"))
+    blocks = store(blocks, "blocks")
+    ends = blocks.select("main", "inside", "block")
+    pairs = ends.where("not inside").select("main", F.col("block").alias("x")).join(ends.select("main", F.col("inside").alias("i"), F.col("block").alias("y")), "main").where("i or x <= y")
+    xs = blocks.where("not inside").select("main", F.col("block").alias("x"), F.col("rows").alias("xs"))
+    ys = blocks.select("main", F.col("inside").alias("i"), F.col("block").alias("y"), F.col("rows").alias("ys"))
+    found = store(pairs.join(xs, ["main", "x"]).join(ys, ["main", "i", "y"]).select("xs", "ys").mapInArrow(block_links(percent), "u binary, v binary"), "across")
+    drop(met, blocks)
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, perms: int = PERMS, bands: int = BANDS) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept.
 
@@ -149,12 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirmed(pairs, classes, docs, id_col, text_col, words, percent, perms)
     roots = components(links)
 
-    placed = members.select("key", "ck").join(roots.select(F.col("node").alias("ck"), "root"), "ck", "left").select("key", "ck", F.coalesce("root", "ck").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = store(placed.join(mixed, "key"), "mixed")
-    across = left.select("key", F.col("ck").alias("u"), F.col("root").alias("ru")).join(left.select("key", F.col("ck").alias("v"), F.col("root").alias("rv")), "key")
-    across = across.where("ru < rv").select("u", "v").distinct()
-    more = _confirmed(across.join(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")).unionByName(pairs), ["u", "v"], "left_anti"), classes, docs, id_col, text_col, words, percent, perms)
+    more = _across(members, roots, classes, docs, id_col, text_col, words, percent)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
