@@ -56,8 +56,10 @@ class Prefixes:
         n = len(data)
         if len(Prefixes.powers) < n + 1:
             size = 1 << max(n, 1 << 16).bit_length()
-            Prefixes.powers = np.cumprod(np.concatenate([[1], np.full(size, BASE, np.uint64)]).astype(np.uint64))
-            Prefixes.inverses = np.cumprod(np.concatenate([[1], np.full(size, INVERSE, np.uint64)]).astype(np.uint64))
+            for name, factor in (("powers", BASE), ("inverses", INVERSE)):
+                steps = np.full(size + 1, factor, np.uint64)
+                steps[0] = 1
+                setattr(Prefixes, name, np.cumprod(steps))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(LETTERS[data] * Prefixes.powers[:n], out=self.sums[1:])
 
