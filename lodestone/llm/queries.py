@@ -8,6 +8,7 @@ from .embedding_dedup import OP9_SQL, op9_embedding_dedup
 from .language import op6_language
 from .minhash import op4_minhash
 from .mixing import OP5_SQL, op5_mixing
+from .pii import op7_pii
 from .sharding import op10_sharding
 from .suffix_dedup import op1_suffix_dedup
 from .warc import OP2_SQL, op2_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_mixing": op5_mixing,
     "op6_language": op6_language,
+    "op7_pii": op7_pii,
     "op8_chat": op8_chat,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
