@@ -344,7 +344,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small = fetched.where(F.col("kinds") <= GROUP)
     parts = small.select("anchor", "hull", "data", "offset", "windows", "n")
     by_sort = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_groups, "hull binary, spans array<int>")
-    prints = fetched.where(F.col("kinds") > GROUP).select("hull", "data", "windows", "n").mapInArrow(fingerprints, "hull binary, step int, print binary, n bigint")
+    large = fetched.where(F.col("kinds") > GROUP).select("hull", "data", "windows", "n")
+    # as many tasks as the rows need: a task makes the windows of about GROUP hulls
+    large = large.repartition(large.count() // GROUP + 1, "hull")
+    prints = large.mapInArrow(fingerprints, "hull binary, step int, print binary, n bigint")
     prints = store(prints, "prints")
     twice = prints.groupBy("print").agg(F.sum("n").alias("times")).where("times > 1").select("print")
     steps = prints.where("n = 1").join(twice, "print", "left_semi").groupBy("hull").agg(F.collect_list("step").alias("steps"))
