@@ -282,7 +282,7 @@ def str_watch(spark, sf_dir):
     t = S.Table(spark, scratch(spark, "watch"))
     stream = change_feed(spark, sf_dir, "feed")
     finish(C.watch(stream, t), spark, "watch-state")
-    return t.read()
+    return C.present(t)
 
 
 @sql("str_watch_legacy", "select 'src/user_' || user_id as file_path, count(*)::bigint as n from events group by 1")
@@ -315,7 +315,8 @@ def str_queue(spark, sf_dir):
 
     def queue(batch, _):
         first = S.first_wins(batch.select("path", "seq"), ["path"], "seq")
-        t.write(first if t.current() is None else C.enqueue(t.read(), first, ["path"]))
+        known = first if t.current() is None else t.read().unionByName(first)
+        t.write(S.first_wins(known, ["path"], "seq"))
 
     e = table(spark, sf_dir, "events").where("event_type in ('view', 'click')").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"))
     where = scratch(spark, "queue-feed")
@@ -334,7 +335,7 @@ def str_witness(spark, sf_dir):
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where)
 
     def keep(batch, _):
-        out.write(batch if out.current() is None else S.upsert(out.read(), batch, ["user_id", "event_type"]))
+        out.write(batch if out.current() is None else S.upsert(out.read(), batch, ["user_id", "event_type"]))  # the state's newest rows
 
     finish(C.witness(stream, WEIGHTS).writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True), spark, "witness-state")
     return out.read()

@@ -25,21 +25,26 @@ def renames(batch: DataFrame) -> DataFrame:
 
 
 def watch(stream: DataFrame, table: Table, interval: str | None = None):
-    """Keep a table of (path, seq) in step with a stream of changes. The trigger's interval is the
-    debounce; each micro-batch is coalesced, then applied at once."""
+    """Keep a table of (path, op, seq) in step with a stream of changes. The trigger's interval is the
+    debounce; each micro-batch is coalesced, then applied at once.
+
+    The table keeps the last change of each path, deletes included, by sequence number and not by
+    arrival: batches that come late, twice or in another order lead to the same table. ``present``
+    reads the paths that exist."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = coalesce_changes(renames(batch))
-        if table.current() is None:
-            table.write(last.where("op = 'upsert'").select("path", "seq"))
-            return
-        kept = table.read().join(last.select("path"), "path", "left_anti")
-        table.write(kept.unionByName(last.where("op = 'upsert'").select("path", "seq")))
+        changes = renames(batch)
+        known = changes if table.current() is None else table.read().unionByName(changes)
+        table.write(coalesce_changes(known))
 
     writer = stream.writeStream.foreachBatch(apply)
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
+def present(table: Table) -> DataFrame:
+    return table.read().where("op = 'upsert'").select("path", "seq")
+
+
 def incremental(before: DataFrame, now: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, state) of what a batch changes: changed, deleted, or invalidated through importers."""
     changed = now.join(before.withColumnRenamed("hash", "old"), "path", "left").where(~F.col("hash").eqNullSafe(F.col("old"))).select("path")

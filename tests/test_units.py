@@ -172,3 +172,15 @@ def test_extraction(spark):
     symbols, edges = extract.parse("python", "class A(B):\n  def m(self):\n    def inner(): pass\n    return self.k()\n")
     assert [s[0] for s in symbols] == ["A", "A.m"] and ("A", "B", "EXTENDS") in edges and ("A.m", "k", "CALLS") in edges
     assert [s[:3] for s in extract.parse("typescript", 'export class K extends L implements M, N {\n  s = "}";\n}\n')[0]] == [("K", "class", True)]
+
+
+def test_watch_in_any_order(spark, tmp_path):
+    """Batches that arrive late or twice give the table that the sequence numbers tell."""
+    rows = [("a", None, "upsert", 1), ("b", "a", "rename", 2), ("a", None, "upsert", 5), ("c", None, "upsert", 3), ("c", None, "delete", 4)]
+    schema = "path string, old_path string, op string, seq long"
+    for k, part in enumerate((rows[3:], rows[:3], rows[1:4])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))
+        table = S.Table(spark, str(tmp_path / "table"))
+        changes.watch(stream, table).option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    assert sorted(map(tuple, changes.present(table).collect())) == [("a", 5), ("b", 2)]
