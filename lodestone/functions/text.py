@@ -57,7 +57,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def usage_type(context: Column, symbol: str) -> Column:
-    """How a symbol is used in a piece of code."""
+    """How a symbol is used in a piece of code. The patterns and their order."""
     s = re.escape(symbol)
     return (
         F.when(context.rlike(r"""\bfrom\s+['"][^'"]*['"]""") & context.contains(symbol), "import")

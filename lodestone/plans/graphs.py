@@ -364,6 +364,7 @@ def aud_hotspots(spark, sf_dir):
     return metrics(spark, sf_dir).select("file_path", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "file_path").limit(20)
 
 
+# Points of each smell (coupling thresholds lowered to the density of these tables).
 POINTS = (("loc > 500", 2), ("loc > 1000", 2), ("fan_in + fan_out > 2", 3), ("fan_in + fan_out > 4", 1), ("changes > 5", 2), ("changes > 10", 1), ("hazards > 3", 2), ("hazards > 6", 1))
 
 
@@ -378,7 +379,7 @@ def aud_smells_detailed(spark, sf_dir):
 @sql("aud_hotspots_detailed", f"""with {METRICS}, x as (select *, max(fan_in) over () as mi, max(fan_out) over () as mo, max(changes) over () as mc from m)
 select file_path, round(0.28 * least(hazards / 5.0, 1) + 0.2 * fan_in / greatest(mi, 1) + 0.12 * fan_out / greatest(mo, 1) + 0.18 * changes / greatest(mc, 1) + 0.1 * least(breaking / 3.0, 1) + 0.07 * least(loc / 800.0, 1), 6) as risk from x""")
 def aud_hotspots_detailed(spark, sf_dir):
-    """Weighted metrics, each from 0 to 1."""
+    """Weighted metrics, each from 0 to 1. The weights and the caps."""
     m = metrics(spark, sf_dir)
     top = m.agg(F.max("fan_in").alias("mi"), F.max("fan_out").alias("mo"), F.max("changes").alias("mc"))
     share = lambda c, most: F.col(c) / F.greatest(F.col(most), F.lit(1))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import changes, extraction, graphs, relational, retrieval  # noqa: F401
+from . import changes, extraction, graphs, relational, retrieval, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES, entry
 
 __all__ = ["ORACLES", "QUERIES", "entry"]
