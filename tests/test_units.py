@@ -184,3 +184,12 @@ def test_watch_in_any_order(spark, tmp_path):
         table = S.Table(spark, str(tmp_path / "table"))
         changes.watch(stream, table).option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
     assert sorted(map(tuple, changes.present(table).collect())) == [("a", 5), ("b", 2)]
+
+
+def test_completeness_goldens(spark):
+    rows = [(24, ["blurb", "tags"], "tiny", 1.0, 0.2), (900, ["blurb", "purpose", "tags"], "large", 0.5, 0.3), (None, ["blurb"], "small", 1 / 3, 0.1)]
+    df = spark.createDataFrame([(a, b) for a, b, *_ in rows], "loc long, filled array<string>")
+    tier = M.tier(F.col("loc"))
+    need = M.required(tier)
+    got = df.select(tier.alias("tier"), (F.size(F.array_intersect(need, "filled")) / F.size(need)).alias("r"), (F.size("filled") / len(M.FIELDS)).alias("o")).collect()
+    assert [(g.tier, pytest.approx(g.r), pytest.approx(g.o)) for g in got] == [(t, r, o) for _, _, t, r, o in rows]
