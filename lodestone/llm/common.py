@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -35,8 +37,22 @@ def batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_made: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    """Delete what is left in the shared folder when the driver ends: lazy results may read stored
+    tables until then."""
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            delete(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +76,7 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made.pop(path, None)
 
 
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     more = _across(members, roots, classes, docs, id_col, text_col, words, percent)
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        # the first components' stars stand for the links that made them
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     smallest = roots.join(classes.select(F.col("ck").alias("node"), "id"), "node")
     smallest = smallest.join(smallest.groupBy("root").agg(F.min("id").alias("least")), "root").select(F.col("node").alias("ck"), "least", F.lit(True).alias("linked"))
