@@ -30,8 +30,10 @@ def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFr
     terms = list(dict.fromkeys(terms))
     if not terms:
         return docs.select(F.col(id_col).alias("doc"), F.lit(0.0).alias("score")).where(F.lit(False))
-    rows = docs.select(F.col(id_col).alias("doc"), tokens(text).alias("t"))
-    rows = rows.select("doc", F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf{k}") for k, w in enumerate(terms)])
+    # generators hold the optimiser back from computing the tokens anew for each count and predicate
+    rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(text))).alias("t"))
+    rows = rows.select("doc", F.size("t").alias("dl"), F.explode(F.array(F.filter("t", lambda x: x.isin(terms)))).alias("h"))
+    rows = rows.select("doc", "dl", *[F.size(F.filter("h", _is(w))).alias(f"tf{k}") for k, w in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     hits = rows.where(" or ".join(f"tf{k} > 0" for k in range(len(terms)))).join(F.broadcast(stats))
     score = F.lit(0.0)
