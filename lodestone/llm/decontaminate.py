@@ -3,6 +3,10 @@
 A test item with an error budget of e edits is split into e + 1 pieces; whatever lies within the budget
 holds one piece unchanged. All pieces are searched at once with an Aho-Corasick automaton; around each
 hit Myers' bit-parallel algorithm computes the least edit distance of the item to a passage.
+
+Most hits are chance. They are told by a tree over the pieces: a run of n pieces is allowed n - 1 edits,
+and if a run keeps to that, one of its halves does too. So a passage within the budget has a piece from
+which every run up to the whole item keeps to its allowance; a hit without that is not verified further.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-#: Edits allowed for a character of an item.
-ERROR_RATE = 0.07
-#: Items of fewer characters say too little to be found inside other text; only a document that
-#: consists of the item matches.
+#: Edits allowed for a character of an item. A passage is lost only if its normalised text differs by more.
+ERROR_RATE = 0.10
+#: Items of fewer characters are searched together with the spaces around them, so that they match whole
+#: words; by default only a document that consists of the item matches.
 LEAST = 24
 #: Characters of items that are broadcast at once; more items are taken in blocks of this size.
 BLOCK_CHARS = 4_000_000
@@ -68,29 +72,80 @@ def myers(masks: dict[str, int], m: int, text: str, budget: int) -> tuple[int, i
     return best, end
 
 
+def masks_of(pattern: str) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for at, ch in enumerate(pattern):
+        masks[ch] = masks.get(ch, 0) | 1 << at
+    return masks
+
+
+def within(masks: dict[str, int], m: int, text: str, budget: int) -> bool:
+    """Whether a substring of ``text`` is within ``budget`` edits of the pattern."""
+    full = (1 << m) - 1
+    top = 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    get = masks.get
+    for ch in text:
+        eq = get(ch, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score <= budget:
+                return True
+        ph <<= 1
+        mh <<= 1
+        pv = (mh | ~(xv | ph)) & full
+        mv = ph & xv & full
+    return False
+
+
+def runs_above(n: int) -> list[list[tuple[int, int]]]:
+    """For each of n pieces the runs (first, end) that hold it, smallest first, the whole left out."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    todo = [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+            if b - a < n:
+                for k in range(a, b):
+                    out[k].insert(0, (a, b))
+    return out
+
+
 class Items:
-    """Searchable benchmark items: (id, text) pairs; ids may repeat."""
+    """Searchable benchmark items: (id, text) pairs; ids may repeat. ``inside``: short items are
+    searched inside documents too."""
 
-    def __init__(self, items: tuple[tuple[object, str], ...], rate: float):
+    def __init__(self, items: tuple[tuple[object, str], ...], rate: float, inside: bool = False):
         self.rows: list[tuple[object, str, int, dict[str, int]]] = []
         self.exact: dict[str, list[int]] = {}
-        pieces: dict[str, list[tuple[int, int, int]]] = {}
+        pieces: dict[str, list[tuple[int, int, list]]] = {}
         for item, text in items:
             plain = normalise(text or "")
             if not plain:
                 continue
             k, m = len(self.rows), len(plain)
-            masks: dict[str, int] = {}
-            for at, ch in enumerate(plain):
-                masks[ch] = masks.get(ch, 0) | 1 << at
             budget = math.floor(rate * m)
-            self.rows.append((item, plain, budget, masks))
-            if m < LEAST:
+            if m < LEAST and inside:
+                plain = f" {plain} "
+                m += 2
+            self.rows.append((item, plain, budget, masks_of(plain)))
+            if m < LEAST and not inside:
                 self.exact.setdefault(plain, []).append(k)
                 continue
             bounds = [m * i // (budget + 1) for i in range(budget + 2)]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                pieces.setdefault(plain[a:b], []).append((k, a, b))
+            made: dict[tuple[int, int], tuple[int, int, int, dict[str, int]]] = {}
+            for a, b, above in zip(bounds, bounds[1:], runs_above(budget + 1), strict=False):
+                for x, y in above:
+                    if (x, y) not in made:  # begin, length, edits allowed, masks
+                        made[x, y] = bounds[x], bounds[y] - bounds[x], y - x - 1, masks_of(plain[bounds[x] : bounds[y]])
+                pieces.setdefault(plain[a:b], []).append((k, a, [made[run] for run in above]))
         self.automaton = ahocorasick.Automaton()
         for piece, where in pieces.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -104,12 +159,18 @@ class Items:
         out = [(self.rows[k][0], 0, len(plain)) for k in self.exact.get(plain, ())]
         if not self.any or not plain:
             return out
+        whole, plain = len(plain), f" {plain} "
         spans: dict[int, list[tuple[int, int]]] = {}
         for last, (size, where) in self.automaton.iter(plain):
             begin = last + 1 - size
-            for k, a, b in where:
-                _, item, budget, _ = self.rows[k]
-                spans.setdefault(k, []).append((begin - a - budget, begin - a + len(item) + budget))
+            for k, a, above in where:
+                for at, length, edits, masks in above:
+                    lo = begin - a + at - edits
+                    if not within(masks, length, plain[max(lo, 0) : lo + length + 2 * edits], edits):
+                        break
+                else:
+                    _, item, budget, _ = self.rows[k]
+                    spans.setdefault(k, []).append((begin - a - budget, begin - a + len(item) + budget))
         for k, windows in spans.items():
             item, pattern, budget, masks = self.rows[k]
             windows.sort()
@@ -127,13 +188,14 @@ class Items:
                     break
                 lo, hi = a, b
             if end >= 0:
-                out.append((item, best, end))
+                end -= 1 + (pattern[0] == " " and plain[end - 1] == " ")  # the space before the text, and after a short item
+                out.append((item, best, min(max(end, 0), whole)))
         return out
 
 
 @lru_cache(4)
-def _items(items: tuple[tuple[object, str], ...], rate: float) -> Items:
-    return Items(items, rate)
+def _items(items: tuple[tuple[object, str], ...], rate: float, inside: bool) -> Items:
+    return Items(items, rate, inside)
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[tuple[tuple[object, str], ...]]:
@@ -147,14 +209,15 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[tuple[tupl
     return [tuple(sorted(((r.id, r.text) for r in dealt.where(F.col("b") == k).collect()), key=lambda x: (str(x[0]), x[1]))) for k in range(n)]
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, inside: bool = False) -> DataFrame:
     """(id_col, item_col, distance, end): the items found in each document, best passage each.
 
     ``distance`` counts edits between normalised texts, at most floor(rate * item's length); ``end`` is
     where the passage ends in the normalised document. Whole texts are searched.
     Null and empty texts, and items without a letter or digit, match nothing. Repeated documents and
     repeated items match each for itself. Null ids are carried through. Items under LEAST characters
-    match only a document that has nothing else. Empty tables give an empty result.
+    match only a document that has nothing else; with ``inside`` they match wherever they stand as whole
+    words, within the same budget, in which the spaces around them count as characters. Empty tables give an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     kinds = rows.schema["id"].dataType, items.schema[item_col].dataType
@@ -165,7 +228,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = _items(shared.value, rate)
+            search = _items(shared.value, rate, inside)
             target = None
             for part in parts:
                 hits = [(row, *hit) for row, text in enumerate(part.column("text").to_pylist()) for hit in search.find(text)]
@@ -180,14 +243,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The documents in which no item is found, with all their columns. Null texts stay."""
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, inside: bool = False) -> DataFrame:
+    """The documents in which no item is found (as in ``matches``), with all their columns. Null texts stay."""
     batches(docs.sparkSession)
     for block in item_blocks(items, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = _items(shared.value, rate)
+            search = _items(shared.value, rate, inside)
             for part in parts:
                 keep = [text is None or not search.find(text) for text in part.column(text_col).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))
@@ -198,4 +261,4 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document."""
-    return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), inside=True)

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import uncontaminated
 from lodestone.llm import chat, decontaminate, language, mixing, sharding, warc
 from lodestone.llm.common import new_path
 
@@ -78,6 +79,43 @@ def test_decontamination_in_blocks_and_edges(spark, monkeypatch):
     assert decontaminate.clean(docs.where("false"), items).count() == 0
 
 
+def test_short_items_inside_documents(spark, tmp_path):
+    """op3 and the pipeline find short items as whole words, edited ones within the budget too."""
+    items = [(1, "short one"), (2, "art"), (3, "the capital of peru"), (4, "?"), (5, "Lima")]
+    texts = ["a short one here", "party, arts; start", "State of the ART", "so the capitol of Peru is", "Lima", "limas", "is it Lima? yes", ""]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in items:
+            p, t = decontaminate.normalise(item), decontaminate.normalise(text)
+            if p and (n := distance(f" {p} ", f" {t} ")) <= int(decontaminate.ERROR_RATE * len(p)):
+                want.add((d, i, n))
+    assert {(d, i) for d, i, _ in want} == {(0, 1), (2, 2), (3, 3), (4, 5), (6, 5)}
+    found = decontaminate.op3_decontaminate(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == want
+    assert {(r.doc_id, r.end) for r in found} == {(0, 11), (2, 16), (3, 22), (4, 4), (6, 10)}
+    assert {r.doc_id for r in uncontaminated(spark, docs, str(tmp_path)).collect()} == {1, 5, 7}
+
+
+def test_recall_of_edited_passages():
+    """Passages with up to a tenth of their characters edited are found, and as brute force measures them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeo") for _ in range(rng.randint(2, 8)))
+    items = tuple((k, " ".join(word() for _ in range(rng.randint(1, 40)))) for k in range(60))
+    search = decontaminate.Items(items, decontaminate.ERROR_RATE, True)
+    for k, item in items:
+        body = list(item)
+        for at in rng.sample(range(len(body)), len(body) // 10):
+            body[at] = rng.choice(["", "x", body[at] + "y"])
+        text = f"{word()} {word()} {''.join(body)} {word()}"
+        found = {i: n for i, n, _ in search.find(text)}
+        assert k in found
+        p, t = decontaminate.normalise(item), decontaminate.normalise(text)
+        assert found[k] == (distance(f" {p} ", f" {t} ") if len(p) < decontaminate.LEAST else distance(p, t))
+
+
 # --- mixing and sharding
 
 
