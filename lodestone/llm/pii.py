@@ -357,34 +357,39 @@ def plausible(kind: str, body: str) -> bool:
 
 
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Spans that the tagger finds in each text.
-
-    A window without a digit and without an @ can't give a plausible span and isn't read; all other
-    windows of a text are, whatever its length."""
-    rows, where = [], []
+    """Spans that the tagger finds in each text, as if it read all windows.
+
+    Every plausible span holds a digit or an @, so reading begins with the windows around those. Where
+    the tags known end inside a span, further windows are read, each time twice as many, until the ends
+    of all spans are seen."""
+    codes: dict[int, np.ndarray] = {}
+    known: dict[int, dict[int, np.ndarray]] = {}  # of each text the tags in the middle of each window
+    todo: list[tuple[int, int]] = []
+    ends = [max(0, -(-len(text) // STEP) - 2) for text in texts]  # the windows that reach the texts' ends
+    ahead = 1
     for k, text in enumerate(texts):
-        hot = {i for m in TRIGGER.finditer(text) for i in (m.start() // STEP - 1, m.start() // STEP)}
-        codes = None
-        for i in sorted(hot):
-            if i < 0 and len(text) > STEP:
-                continue
-            start = max(i, 0) * STEP
-            if codes is None:
-                codes = encode(text)
-            row = np.zeros(WINDOW, np.uint8)
-            part = codes[start : start + WINDOW]
+        hot = {min(max(i, 0), ends[k]) for m in TRIGGER.finditer(text) for i in (m.start() // STEP - 1, m.start() // STEP)}
+        todo += [(k, i) for i in sorted(hot)]
+    quarter = (WINDOW - STEP) // 2
+    while todo:
+        rows = np.zeros((len(todo), WINDOW), np.uint8)
+        for row, (k, i) in zip(rows, todo, strict=True):
+            if k not in codes:
+                codes[k] = encode(texts[k])
+            part = codes[k][i * STEP : i * STEP + WINDOW]
             row[: len(part)] = part
-            rows.append(row)
-            where.append((k, start, len(part), start + WINDOW >= len(text)))
+        for row, (k, i) in zip(tagger.tag(rows), todo, strict=True):
+            size = min(len(texts[k]) - i * STEP, WINDOW)
+            known.setdefault(k, {})[i] = row[0 if i == 0 else quarter : size if i == ends[k] else WINDOW - quarter]
+        more: set[tuple[int, int]] = set()
+        for k, i in todo:
+            if known[k][i][0]:
+                more.update((k, j) for j in range(max(0, i - ahead), i) if j not in known[k])
+            if known[k][i][-1]:
+                more.update((k, j) for j in range(i + 1, min(ends[k], i + ahead) + 1) if j not in known[k])
+        todo, ahead = sorted(more), 2 * ahead
     out: list[list[Span]] = [[] for _ in texts]
-    if not rows:
-        return out
-    tags = tagger.tag(np.array(rows))
-    quarter = (WINDOW - STEP) // 2
-    at: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for row, (k, start, size, last) in zip(tags, where, strict=True):
-        a, b = (0 if start == 0 else quarter), (size if last else min(size, WINDOW - quarter))
-        at.setdefault(k, []).append((start + a, row[a:b]))
+    at = {k: [(i * STEP + (quarter if i else 0), part) for i, part in of.items()] for k, of in known.items()}
     for k, parts in at.items():
         found: list[Span] = []
         begun: tuple[int, int] | None = None  # kind, start

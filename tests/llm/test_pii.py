@@ -79,6 +79,20 @@ def test_windows_meet():
         assert ("phone", at, at + 14) in pii.tagged_spans(tagger, [text])[0], pad
 
 
+def test_long_spans_as_all_windows(monkeypatch):
+    """Spans whose ends are far from a digit or @, at every offset, as if all windows were read."""
+    import re
+
+    tagger = pii.restored(pii.trained())
+    bodies = ["christopher.montgomery(@)host.org", "ana.lopez @ verylonghostnamewithoutdigits.org", "maximilian.oberhauser-schmidt[@]mail.internationalshipping.co.uk", "x" * 90 + "@" + "y" * 90 + ".com"]
+    texts = ["word " * 30 + "x" * pad + " write " + body + " now " + "word " * 30 for body in bodies for pad in range(2 * pii.STEP)]
+    texts += [body[:cut] for body in bodies for cut in (10, 31, 32, 33, 63, 64, 65)]
+    got = pii.tagged_spans(tagger, texts)
+    monkeypatch.setattr(pii, "TRIGGER", re.compile("(?s)."))
+    assert got == pii.tagged_spans(tagger, texts)
+    assert sum(map(len, got)) > 64
+
+
 def test_query_and_edges(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
