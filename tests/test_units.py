@@ -193,3 +193,19 @@ def test_completeness_goldens(spark):
     need = M.required(tier)
     got = df.select(tier.alias("tier"), (F.size(F.array_intersect(need, "filled")) / F.size(need)).alias("r"), (F.size("filled") / len(M.FIELDS)).alias("o")).collect()
     assert [(g.tier, pytest.approx(g.r), pytest.approx(g.o)) for g in got] == [(t, r, o) for _, _, t, r, o in rows]
+
+
+def test_incomplete_files_of_all_tiers(spark, tmp_path):
+    """Large and huge files are reported, with what their tiers require."""
+    from lodestone.plans.queries import QUERIES
+
+    sizes = {1: 50, 2: 200, 4: 600, 5: 601, 6: 1500, 8: 1501}
+    docs = spark.createDataFrame([(k, "\n".join(["x"] * n), "en", "src0", n) for k, n in sizes.items()], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.file_path.split("_")[-1].split(".")[0]: (r.tier, r.missing) for r in QUERIES["aud_incomplete_tiers"](spark, str(tmp_path)).collect()}
+    # blurbs are empty where 5 divides the id, tags where 6 does; no file has highlights or key types
+    assert found == {
+        "1": ("tiny", ""), "2": ("small", ""), "4": ("medium", "hazards"), "5": ("large", "blurb,hazards,source_highlights"),
+        "6": ("large", "tags,hazards,source_highlights"), "8": ("huge", "hazards,source_highlights,key_types"),
+    }
