@@ -37,13 +37,38 @@ def compare(spark, texts):
         assert (r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) == (gone, runs, digest), k
 
 
-@pytest.mark.parametrize("group", [128, 3])
-def test_as_brute_force(spark, monkeypatch, group):
-    """Both ways: sorted groups, and groups too large to sort that are dealt by fingerprint."""
+@pytest.mark.parametrize(("group", "split"), [(128, 16), (3, 16), (1, 7), (2, 1)])
+def test_as_brute_force(spark, monkeypatch, group, split):
+    """All ways: sorted groups, groups too large to sort that are dealt by more content, single windows."""
     monkeypatch.setattr(S, "GROUP", group)
+    monkeypatch.setattr(S, "SPLIT", split)
     compare(spark, collection(group))
 
 
+def test_whole_table_as_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    compare(spark, [r.text or "" for r in rows])
+
+
+def test_very_long_and_repetitive_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 9000)
+    rng = random.Random(8)
+    long = text_of(rng, 30_000)
+    compare(spark, ["line of text\n" * 3000, "x" * 20_000, long, text_of(rng, 500) + long[7000:25_000], "q" * 400])
+
+
+def test_claims_that_do_not_hold():
+    data = np.frombuffer(b"a" * 1000, np.uint8)
+    assert S.agreeing(data, 100, b"a" * 500).tolist() == [100, 101]
+    assert S.agreeing(data, 100, b"a" * 450 + b"b" + b"a" * 449).tolist() == [100, 51, 551, 50]
+    assert S.agreeing(data, 100, b"a" * 300 + b"b" + b"a" * 300).tolist() == []
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "w" * 500, 1, b"x", 3) for k in range(2)], "doc_id long, text string, n_bytes int, doc binary, met int")
+    assert [(r.n_bytes, len(r.kept)) for r in S.remove_repeats(docs).collect()] == [(500, 0), (500, 0)]
+
+
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(S, "PIECE", 700)
     rng = random.Random(5)
