@@ -1,23 +1,16 @@
 """Graph operators over edge frames (source, target).
 
-Loops cut their lineage with ``checkpoint()`` in the folder that ``spark.checkpoint.dir`` names.
+Loops write their state to the shared folder each round (``cut``) and delete what no later round reads.
 """
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and without lineage, kept where all executors can read it."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-    return df.checkpoint(eager=True)
+from ..shared import cut
 
 
 def reversed_(edges: DataFrame) -> DataFrame:
@@ -33,40 +26,38 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, paths: bool = False) ->
 
     A level is one join of the frontier with the edges and one anti-join with what was seen. With
     ``paths``, a node's path goes through the parent that was discovered first, as a traversal with
-    sorted neighbours has it: parents are ordered by their own order of discovery.
+    sorted neighbours has it. Nodes of one level are discovered in the order of their paths, so the
+    first parent is the one with the least path: a partial minimum, no numbering.
     """
     edges = cut(edges.where("source <> target").select("source", "target").distinct())
-    order = F.row_number().over(Window.orderBy("node")) if paths else F.lit(0)
-    seen = roots.select("node").distinct().withColumns({"depth": F.lit(0), "ord": order})
-    seen = cut(seen.withColumn("path", F.array("node")) if paths else seen)
-    frontier = seen
+    start = roots.select("node").distinct().withColumn("depth", F.lit(0))
+    seen = frontier = cut(start.withColumn("path", F.array("node")) if paths else start)
     for level in range(1, depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("source"))
         if paths:
-            found = step.select(F.col("target").alias("node"), F.struct("ord", F.col("path")).alias("via")).groupBy("node").agg(F.min("via").alias("via"))
-            found = found.join(seen.select("node"), "node", "left_anti")
-            found = found.withColumn("ord", F.row_number().over(Window.orderBy("via.ord", "node")))
-            found = found.select("node", F.lit(level).alias("depth"), "ord", F.concat("via.path", F.array("node")).alias("path"))
+            found = step.select(F.col("target").alias("node"), "path").groupBy("node").agg(F.min("path").alias("path"))
+            found = found.select("node", F.lit(level).alias("depth"), F.concat("path", F.array("node")).alias("path"))
         else:
-            found = step.select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"), F.lit(0).alias("ord"))
-        frontier = cut(found)
-        if frontier.isEmpty():
+            found = step.select(F.col("target").alias("node")).distinct().withColumn("depth", F.lit(level))
+        after = cut(found.join(seen.select("node"), "node", "left_anti"))
+        if after.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen.select("node", "depth", "path") if paths else seen.select("node", "depth")
+        old = [seen] if frontier is seen else [seen, frontier]
+        seen, frontier = cut(seen.unionByName(after), *old), after
+    return seen
 
 
 def bfs_many(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth) from each of many roots (root) at once."""
     edges = cut(edges.where("source <> target").select("source", "target").distinct())
-    seen = cut(roots.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    seen = frontier = cut(roots.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+        after = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        if after.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        old = [seen] if frontier is seen else [seen, frontier]
+        seen, frontier = cut(seen.unionByName(after), *old), after
     return seen
 
 
@@ -76,17 +67,26 @@ def reachable(edges: DataFrame, roots: DataFrame, limit: int = 10_000) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node connected with each, by minima that also jump ahead."""
-    links = cut(both_ways(edges))
-    now = cut(links.select(F.col("source").alias("node")).distinct().select("node", F.col("node").alias("component")))
+    """(node, component): the smallest node connected with each; nodes with self-edges only name themselves.
+
+    Stars alternate: each node hands its larger neighbours, then its smaller ones, to the least node that
+    it knows, until all hang on their component's least node. Rounds grow with the logarithm of a
+    component's size; every step is a partial minimum and an equi-join."""
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    now = cut(edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct())
+    mark = None
     while True:
-        near = links.join(now, F.col("target") == F.col("node")).groupBy(F.col("source").alias("node")).agg(F.min("component").alias("m"))
-        step = now.join(near, "node").select("node", F.least("component", "m").alias("c"))
-        jump = step.join(now.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c").select("node", F.least("c", "cc").alias("component"))
-        jump = cut(jump)
-        if jump.join(now.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return jump
-        now = jump
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large, now)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), large)
+        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if seen == mark or not seen[0]:
+            return nodes.join(now.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+        mark = seen
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -94,49 +94,53 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
     Nodes that no cycle can hold are trimmed until none is left to trim. Then every node takes the
     smallest node that reaches it as its colour; within a colour, what reaches the colour's node is
-    its component, which leaves the graph.
+    its component, which leaves the graph. A node that is alone in its component has no row; whether it
+    points to itself is for the caller to see from the edges.
     """
     edges = cut(edges.where("source <> target").select("source", "target").distinct())
     out = None
     while True:
-        while True:
+        size = edges.count()
+        while size:
             kept = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-            kept = cut(kept.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-            same = kept.count() == edges.count()
-            edges = kept
-            if same:
+            edges = cut(kept.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), edges)
+            before, size = size, edges.count()
+            if size == before:
                 break
-        if edges.isEmpty():
+        if not size:
             break
         colour = cut(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("c", F.col("node")))
-        while True:
+        changed = True
+        while changed:
             passed = edges.join(colour, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("c").alias("m"))
-            after = cut(colour.join(passed, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")))
-            if after.join(colour.withColumnRenamed("c", "old"), "node").where("c <> old").isEmpty():
-                break
+            after = colour.join(passed, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved"))
+            after = cut(after, colour)
+            changed = not after.where("moved").isEmpty()
             colour = after
+        colour = cut(colour.select("node", "c"), colour)
         inside = edges.join(colour.select(F.col("node").alias("source"), F.col("c").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("c").alias("b")), "target").where("a = b")
         back = bfs_many_within(inside.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("a").alias("c")), colour)
         sizes = back.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
         found = back.join(sizes, "c", "left_semi").select("node", F.col("c").alias("scc"))
-        out = found if out is None else out.unionByName(found)
+        out = cut(found) if out is None else cut(out.unionByName(found), out)
         done = back.select("node")
-        edges = cut(edges.join(done.withColumnRenamed("node", "source"), "source", "left_anti").join(done.withColumnRenamed("node", "target"), "target", "left_anti"))
+        edges = cut(edges.join(done.withColumnRenamed("node", "source"), "source", "left_anti").join(done.withColumnRenamed("node", "target"), "target", "left_anti"), edges)
     if out is None:
         return edges.select(F.col("source").alias("node"), F.col("source").alias("scc")).where("false")
-    return cut(out)
+    return out
 
 
 def bfs_many_within(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """(node, c): what each colour's own node reaches by edges (source, target, c) of that colour."""
     edges = cut(edges)
-    seen = cut(colour.where("node = c").select("node", "c"))
-    frontier = seen
-    while not frontier.isEmpty():
+    seen = frontier = cut(colour.where("node = c").select("node", "c"))
+    while True:
         step = frontier.select(F.col("node").alias("source"), "c").join(edges, ["source", "c"]).select(F.col("target").alias("node"), "c").distinct()
-        frontier = cut(step.join(seen, ["node", "c"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        after = cut(step.join(seen, ["node", "c"], "left_anti"))
+        if after.isEmpty():
+            return seen
+        old = [seen] if frontier is seen else [seen, frontier]
+        seen, frontier = cut(seen.unionByName(after), *old), after
 
 
 # The cost of a step by edge type; any other type costs OTHER_COST.
