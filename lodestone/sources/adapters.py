@@ -33,8 +33,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 17 != 0, F.col("source")).alias("cluster"),
         F.col("lang").alias("language"),
         F.size(F.split("text", "\n")).cast("long").alias("loc"),
-        F.when(i % 5 != 0, F.substring("text", 1, 60)).alias("blurb"),
-        F.when(i % 7 == 0, F.lit("")).when(i % 7 != 3, F.substring("text", 1, 400)).alias("purpose"),
+        F.when(i % 5 != 0, F.element_at(F.split("text", "\n"), 1)).alias("blurb"),
+        F.when(i % 7 == 0, F.lit("")).when(i % 7 != 3, F.col("text")).alias("purpose"),
         F.array_distinct(F.array(F.concat(F.lit("p"), (i % 7).cast("string")), F.concat(F.lit("p"), (i % 4).cast("string")))).alias("patterns"),
         F.when(i % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("t"), (i % 5).cast("string")), F.col("lang"))).alias("tags"),
         F.when(F.col("toxic") == 1, F.array(F.lit("toxic"), F.concat(F.lit("h"), (i % 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("hazards"),
@@ -44,21 +44,22 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part -> part: the first two lines of an order, where the first is of 46 pieces or more."""
-    return _line_edges(spark, sf_dir, 1, 46).select("source", "target").distinct()
+    """part -> part: each line of an order with an odd number, and the lines of the next number."""
+    return _line_edges(spark, sf_dir, 1).select("source", "target").distinct()
 
 
-def _line_edges(spark: SparkSession, sf_dir: str, line: int, least: int) -> DataFrame:
+def _line_edges(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    a = rows.where((F.col("l_linenumber") == line) & (F.col("l_quantity") >= least)).select("l_orderkey", F.col("l_partkey").alias("s"), "l_returnflag", "l_discount")
-    b = rows.where(F.col("l_linenumber") == line + 1).select("l_orderkey", F.col("l_partkey").alias("t"))
+    n = F.col("l_linenumber")
+    a = rows.where(n % 2 == odd).select("l_orderkey", (n + 1).alias("n"), F.col("l_partkey").alias("s"), "l_returnflag", "l_discount")
+    b = rows.select("l_orderkey", n.alias("n"), F.col("l_partkey").alias("t"))
     name = lambda c: F.concat(F.lit("part_"), F.lpad(F.col(c).cast("string"), 6, "0"))
-    return a.join(b, "l_orderkey").where("s <> t").select(name("s").alias("source"), name("t").alias("target"), "l_returnflag", "l_discount")
+    return a.join(b, ["l_orderkey", "n"]).where("s <> t").select(name("s").alias("source"), name("t").alias("target"), "l_returnflag", "l_discount")
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed, weighted edges part -> part from the second and third lines of an order."""
-    rows = _line_edges(spark, sf_dir, 2, 45)
+    """Typed, weighted edges part -> part: lines with an even number, and those of the next number."""
+    rows = _line_edges(spark, sf_dir, 0)
     kind = F.when(F.col("l_returnflag") == "A", "runtime_call").when(F.col("l_returnflag") == "N", "type_ref").otherwise("CALLS")
     return rows.groupBy("source", "target", kind.alias("edge_type")).agg(F.count("*").alias("usage_count"), F.round(F.avg(1 - F.col("l_discount")), 6).alias("confidence"))
 
@@ -115,25 +116,25 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
-def _line_sql(line: int, least: int) -> str:
+def _line_sql(odd: int) -> str:
     return f"""select 'part_' || lpad(a.l_partkey::varchar, 6, '0') as source, 'part_' || lpad(b.l_partkey::varchar, 6, '0') as target, a.l_returnflag, a.l_discount
-  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = {line} and b.l_linenumber = {line + 1}
-  where a.l_quantity >= {least} and a.l_partkey <> b.l_partkey"""
+  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
+  where a.l_linenumber % 2 = {odd} and a.l_partkey <> b.l_partkey"""
 
 
 SQL = {
     "files": """select d.doc_id as file_id, 'ws' || (d.doc_id % 3) as workspace,
   'src/' || d.source || '/' || case when d.doc_id % 11 = 0 then '__tests__' else d.lang end || '/doc_' || d.doc_id || case when d.doc_id % 13 = 0 then '.spec.md' else '.md' end as file_path,
   sha1(d.text) as file_hash, case when d.doc_id % 17 <> 0 then d.source end as cluster, d.lang as language, len(string_split(d.text, chr(10)))::bigint as loc,
-  case when d.doc_id % 5 <> 0 then substr(d.text, 1, 60) end as blurb, case when d.doc_id % 7 = 0 then '' when d.doc_id % 7 <> 3 then substr(d.text, 1, 400) end as purpose,
+  case when d.doc_id % 5 <> 0 then string_split(d.text, chr(10))[1] end as blurb, case when d.doc_id % 7 = 0 then '' when d.doc_id % 7 <> 3 then d.text end as purpose,
   case when d.doc_id % 7 = d.doc_id % 4 then ['p' || (d.doc_id % 7)] else ['p' || (d.doc_id % 7), 'p' || (d.doc_id % 4)] end as patterns,
   case when d.doc_id % 6 = 0 then []::varchar[] else ['t' || (d.doc_id % 5), d.lang] end as tags,
   case when l.toxic = 1 then ['toxic', 'h' || (d.doc_id % 3)] else []::varchar[] end as hazards,
   case when d.doc_id % 9 <> 0 then 'm' || (d.doc_id % 2) end as extraction_model, d.text
   from documents d left join labels l on d.doc_id = l.doc_id""",
-    "import_edges": f"select distinct source, target from ({_line_sql(1, 46)})",
+    "import_edges": f"select distinct source, target from ({_line_sql(1)})",
     "refs": f"""select source, target, case l_returnflag when 'A' then 'runtime_call' when 'N' then 'type_ref' else 'CALLS' end as edge_type, count(*)::bigint as usage_count, round(avg(1 - l_discount), 6) as confidence
-  from ({_line_sql(2, 45)}) group by all""",
+  from ({_line_sql(0)}) group by all""",
     "symbols": """select p_partkey as symbol_id, 'part_' || lpad(p_partkey::varchar, 6, '0') as file_path, p_name as name, string_split(p_type, ' ')[1] as raw_kind, p_size % 2 = 0 as exported, p_size::bigint as line_start from part""",
     "changelog": """select event_id as id, 'ws' || (user_id % 3) as workspace, 'src/user_' || user_id as file_path, case when event_id % 19 <> 0 then event_type end as cluster,
   case when user_id % 4 <> 0 then 'author_' || (user_id % 17) end as author_name, 'inst_' || (user_id % 23) as author_instance_id,
