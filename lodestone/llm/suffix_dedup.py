@@ -407,9 +407,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.withColumn("doc", document_key(F.col("id"), F.col("text")))
     found = store(scan(rows), "runs")
-    met = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # what joins meet is stored first: adaptive execution can split a hot key only between plain shuffles
+    met = store(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     near = store(found.join(met, "anchor"), "near")
-    drop(found)
+    drop(found, met)
     hulls = near.groupBy("anchor", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "windows", "offset")).alias("one"), F.max(F.struct("doc", "at")).alias("other"))
     hulls = store(hulls, "hulls")
 
@@ -423,13 +424,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = hulls.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     partial = hulls.join(kinds, "anchor").select("one.doc", "one.at", (F.col("one.windows") + LENGTH - 1).cast("bigint").alias("size"), F.col("one.doc").alias("source"), F.col("one.at").alias("place"), "anchor", "n", "kinds", "one.offset")
     wanted = partial.withColumn("whole", F.lit(0)).unionByName(claims(near, hulls).withColumn("whole", F.lit(1)), allowMissingColumns=True)
-    sources = ours.dropDuplicates(["doc"]).select(F.col("doc").alias("source"), "text")
+    sources = store(ours.dropDuplicates(["doc"]).select(F.col("doc").alias("source"), "text"), "sources")
     piece = F.expr("substring(text, cast(place as int) + 1, cast(size as int))").alias("data")
     to = new_path(spark, "fetched")
     fetched = wanted.join(sources, "source").select("whole", "doc", "at", "anchor", "n", "kinds", "offset", piece)
     fetched.write.option("compression", "zstd").partitionBy("whole").parquet(to)
     fetched = spark.read.schema(fetched.drop("whole").schema.add("whole", "integer")).parquet(to)
-    drop(near, hulls)
+    drop(near, hulls, sources)
 
     hulls = fetched.where("whole = 0").drop("whole")
     small = hulls.where(F.col("kinds") <= GROUP).withColumnRenamed("anchor", "group").drop("kinds")
