@@ -4,33 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import shared_dir
+
 #: Rows and bytes of one Arrow batch: a Python worker holds a few batches at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) a temporary folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = where.get() if where.isDefined() else None
-    if not where:
-        where = tempfile.mkdtemp(prefix="lodestone-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def batches(spark: SparkSession) -> None:
     """Bound Arrow batches in rows and bytes, so that long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -18,18 +18,18 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, drop, store
 
 #: Edits allowed for a character of an item. A passage is lost only if its normalised text differs by more.
 ERROR_RATE = 0.10
-#: Items of fewer characters are searched together with the spaces around them, so that they match whole
-#: words; by default only a document that consists of the item matches.
-LEAST = 24
-#: Characters of items that are broadcast at once; more items are taken in blocks of this size.
+#: Characters of items that are on the driver and broadcast at once; more items are taken in blocks of
+#: about this size, one after the other.
 BLOCK_CHARS = 4_000_000
+
+
 @lru_cache(1)
 def _plain() -> np.ndarray:
     """For each code point its lower case (one code point), or a space if no letter or digit."""
@@ -119,27 +119,20 @@ def runs_above(n: int) -> list[list[tuple[int, int]]]:
 
 
 class Items:
-    """Searchable benchmark items: (id, text) pairs; ids may repeat. ``inside``: short items are
-    searched inside documents too."""
+    """Searchable benchmark items: (key, text) pairs. Every item is searched together with the spaces
+    around it, so that one without an edit to spare matches whole words only."""
 
-    def __init__(self, items: tuple[tuple[object, str], ...], rate: float, inside: bool = False):
-        self.rows: list[tuple[object, str, int, dict[str, int]]] = []
-        self.exact: dict[str, list[int]] = {}
+    def __init__(self, items: tuple[tuple[str, str], ...], rate: float):
+        self.rows: list[tuple[str, str, int, dict[str, int]]] = []
         pieces: dict[str, list[tuple[int, int, list]]] = {}
         for item, text in items:
             plain = normalise(text or "")
             if not plain:
                 continue
-            k, m = len(self.rows), len(plain)
-            budget = math.floor(rate * m)
-            if m < LEAST and inside:
-                plain = f" {plain} "
-                m += 2
+            k, budget = len(self.rows), math.floor(rate * len(plain))
+            plain = f" {plain} "
             self.rows.append((item, plain, budget, masks_of(plain)))
-            if m < LEAST and not inside:
-                self.exact.setdefault(plain, []).append(k)
-                continue
-            bounds = [m * i // (budget + 1) for i in range(budget + 2)]
+            bounds = [len(plain) * i // (budget + 1) for i in range(budget + 2)]
             made: dict[tuple[int, int], tuple[int, int, int, dict[str, int]]] = {}
             for a, b, above in zip(bounds, bounds[1:], runs_above(budget + 1), strict=False):
                 for x, y in above:
@@ -153,10 +146,10 @@ class Items:
             self.automaton.make_automaton()
         self.any = bool(pieces)
 
-    def find(self, text: str) -> list[tuple[object, int, int]]:
-        """(item id, distance, end in the normalised text), the best passage of each item found."""
+    def find(self, text: str) -> list[tuple[str, int, int]]:
+        """(item's key, distance, end in the normalised text), the best passage of each item found."""
         plain = normalise(text)
-        out = [(self.rows[k][0], 0, len(plain)) for k in self.exact.get(plain, ())]
+        out = []
         if not self.any or not plain:
             return out
         whole, plain = len(plain), f" {plain} "
@@ -188,77 +181,89 @@ class Items:
                     break
                 lo, hi = a, b
             if end >= 0:
-                end -= 1 + (pattern[0] == " " and plain[end - 1] == " ")  # the space before the text, and after a short item
+                end -= 1 + (plain[end - 1] == " ")  # the space before the text, and after the item
                 out.append((item, best, min(max(end, 0), whole)))
         return out
 
 
 @lru_cache(4)
-def _items(items: tuple[tuple[object, str], ...], rate: float, inside: bool) -> Items:
-    return Items(items, rate, inside)
+def _items(items: tuple[tuple[str, str], ...], rate: float) -> Items:
+    return Items(items, rate)
+
 
+def item_key(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[tuple[tuple[object, str], ...]]:
-    """The items on the driver, in blocks of about BLOCK_CHARS characters."""
-    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+def item_blocks(items: DataFrame, text_col: str) -> Iterator[tuple[tuple[tuple[str, str], ...], bool]]:
+    """(key, text) of the different texts of items, about BLOCK_CHARS characters at a time, and whether
+    a block is the only one. One block is on the driver at a time."""
+    rows = items.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct().withColumn("key", item_key(F.col("text")))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(total // BLOCK_CHARS) + 1
-    if n == 1:
-        return [tuple(sorted(((r.id, r.text) for r in rows.collect()), key=lambda x: (str(x[0]), x[1])))]
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("text"), F.lit(n)))
-    return [tuple(sorted(((r.id, r.text) for r in dealt.where(F.col("b") == k).collect()), key=lambda x: (str(x[0]), x[1]))) for k in range(n)]
+    for k in range(n):
+        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k)
+        yield tuple(sorted((r.key, r.text) for r in block.collect())), n == 1
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, inside: bool = False) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """(id_col, item_col, distance, end): the items found in each document, best passage each.
 
     ``distance`` counts edits between normalised texts, at most floor(rate * item's length); ``end`` is
-    where the passage ends in the normalised document. Whole texts are searched.
+    where the passage ends in the normalised document. Whole texts are searched. The spaces around an
+    item count as characters of it, so an item without an edit to spare matches whole words.
     Null and empty texts, and items without a letter or digit, match nothing. Repeated documents and
-    repeated items match each for itself. Null ids are carried through. Items under LEAST characters
-    match only a document that has nothing else; with ``inside`` they match wherever they stand as whole
-    words, within the same budget, in which the spaces around them count as characters. Empty tables give an empty result.
+    repeated items match each for itself; an item's text is searched once. Null ids are carried through;
+    other columns are not read. Empty tables give an empty result. Items of more than BLOCK_CHARS
+    characters are searched block by block, each block's matches being written.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    kinds = rows.schema["id"].dataType, items.schema[item_col].dataType
-    schema = f"{id_col} {kinds[0].simpleString()}, {item_col} {kinds[1].simpleString()}, distance int, `end` bigint"
-    batches(docs.sparkSession)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, key string, distance int, `end` bigint"
+    batches(spark)
     out = None
-    for block in item_blocks(items, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for block, alone in item_blocks(items, item_text):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = _items(shared.value, rate, inside)
-            target = None
+            search = _items(shared.value, rate)
             for part in parts:
                 hits = [(row, *hit) for row, text in enumerate(part.column("text").to_pylist()) for hit in search.find(text)]
-                if not hits:
-                    continue
-                row, item, distance, end = zip(*hits, strict=True)
-                target = target or [part.schema.field("id").type, pa.from_numpy_dtype(np.int64) if isinstance(item[0], int) else pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(item, target[1]), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], [id_col, item_col, "distance", "end"])
+                if hits:
+                    row, key, distance, end = zip(*hits, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(key, pa.string()), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], ["id", "key", "distance", "end"])
 
         found = rows.mapInArrow(run, schema)
+        if not alone:
+            found = store(found, "matches")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
-    return out
+    named = items.where(F.col(item_text).isNotNull()).select(item_key(F.col(item_text)).alias("key"), F.col(item_col).alias("item"))
+    return out.join(named, "key").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance", "end")
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, inside: bool = False) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """The documents in which no item is found (as in ``matches``), with all their columns. Null texts stay."""
-    batches(docs.sparkSession)
-    for block in item_blocks(items, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    spark = docs.sparkSession
+    batches(spark)
+    for block, alone in item_blocks(items, item_text):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = _items(shared.value, rate, inside)
+            search = _items(shared.value, rate)
             for part in parts:
                 keep = [text is None or not search.find(text) for text in part.column(text_col).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        before, docs = docs, docs.mapInArrow(run, docs.schema)
+        if not alone:
+            docs = store(docs, "clean")
+            shared.destroy()
+            if hasattr(before, "_stored_at"):
+                drop(before)
     return docs
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document."""
-    return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), inside=True)
+    return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
