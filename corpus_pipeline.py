@@ -28,14 +28,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The document with the smallest id stays. Of rows that repeat an id, all stay or all go; rows with
     a null id stay unless they are near-duplicates of a row that has one.
     """
-    found = minhash.near_duplicates(docs).select(F.col("doc_id").alias("__id"), "kept").dropDuplicates()
-    gone = found.groupBy("__id").agg(F.max("kept").alias("kept")).where("not kept")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    found = minhash.near_duplicates(docs)
+    gone = found.groupBy(found["doc_id"].alias("gone")).agg(F.max("kept").alias("kept")).where("not kept").select("gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), inside=True)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
