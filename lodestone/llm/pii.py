@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
+#: Kinds that have an exact pattern, and those that the tagger knows.
 KINDS = ("email", "ip", "card", "phone")
+TAG_KINDS = (*KINDS, "secret")
 
 # --- exact patterns; each scan is linear in the text -------------------------------------------------
 
@@ -105,7 +107,7 @@ def base_spans(text: str) -> list[Span]:
 
 #: Window and its step in code points, hidden units of each direction, training examples and passes.
 WINDOW, STEP, HIDDEN, EXAMPLES, PASSES = 64, 32, 16, 1600, 9
-TAGS = 1 + 2 * len(KINDS)  # nothing; begin and inside of each kind
+TAGS = 1 + 2 * len(TAG_KINDS)  # nothing; begin and inside of each kind
 SYMBOLS = 100  # printable ASCII, then: other letters, white space, the rest
 
 
@@ -128,7 +130,7 @@ def _symbols() -> np.ndarray:
 def allowed() -> np.ndarray:
     """What may follow what: an inside tag only its own kind's begin or inside tag."""
     ok = np.zeros((TAGS, TAGS), np.float32)
-    for k in range(len(KINDS)):
+    for k in range(len(TAG_KINDS)):
         ok[:, 2 + 2 * k] = -1e4
         ok[1 + 2 * k, 2 + 2 * k] = ok[2 + 2 * k, 2 + 2 * k] = 0
     return ok
@@ -286,10 +288,15 @@ def labelled_examples(n: int = EXAMPLES, seed: int = 9) -> list[tuple[str, list[
     def ip():
         return pick([".", ".", ".", ". ", " . "]).join(str(int(k)) for k in rng.integers(0, 256, 4))
 
-    makers = dict(zip(KINDS, (email, ip, card, phone), strict=True))
+    def secret():
+        of = pick(["0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"])
+        return "".join(pick(of) for _ in range(int(rng.integers(20, 49))))
+
+    makers = dict(zip(TAG_KINDS, (email, ip, card, phone, secret), strict=True))
+    before_secret = ['token = "', 'api_key: ', "secret='", 'TOKEN = "', "password ", 'key="', "bearer ", "token "]
     others = [
         lambda: digits(int(rng.integers(1, 13))), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"version {digits(1)}.{digits(1)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}",
-        lambda: 'token = "' + "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(12, 40)))) + '"', lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}",
+        lambda: 'token = "' + word() + '"', lambda: digits(16), lambda: digits(int(rng.integers(24, 48))), lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}",
         lambda: f"{digits(3)} {digits(3)}", lambda: "CC BY-NC 4.0", lambda: f"{digits(2)}% | {digits(3)} |", lambda: digits(20), lambda: f"{word()}{digits(3)}", lambda: f"({digits(4)})",
     ]
     out = []
@@ -298,8 +305,10 @@ def labelled_examples(n: int = EXAMPLES, seed: int = 9) -> list[tuple[str, list[
         for _ in range(int(rng.integers(1, 3))):
             text += pick([" ", " ", ", ", ": ", "\n", " ("])
             if rng.random() < 0.6:
-                kind = pick(KINDS)
+                kind = pick(TAG_KINDS)
                 body = makers[kind]()
+                if kind == "secret":
+                    text += pick(before_secret)
                 spans.append((kind, len(text), len(text) + len(body)))
             else:
                 body = pick(others)()
@@ -315,7 +324,7 @@ def windows_of(examples: list[tuple[str, list[Span]]], seed: int = 8) -> tuple[n
     for row, (text, spans) in enumerate(examples):
         tags = np.zeros(len(text), np.int64)
         for kind, a, b in spans:
-            tags[a:b] = 2 + 2 * KINDS.index(kind)
+            tags[a:b] = 2 + 2 * TAG_KINDS.index(kind)
             tags[a] -= 1
         cut = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
         part = tags[cut : cut + WINDOW].copy()
@@ -343,6 +352,9 @@ def restored(data: bytes) -> Tagger:
     return tagger
 
 
+SECRET = re.compile(r"[A-Za-z0-9_+/=.-]+")
+
+
 def plausible(kind: str, body: str) -> bool:
     """What a tagged span must hold to be reported; every kind holds a digit or an @."""
     digits = only_digits(body)
@@ -351,6 +363,8 @@ def plausible(kind: str, body: str) -> bool:
     if kind == "ip":
         parts = PART.findall(body)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == "secret":
+        return len(body) >= 16 and SECRET.fullmatch(body) is not None and len(digits) >= 3 and len(digits) < len(body) - 2
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     return 10 <= len(digits) <= 15 and len(digits) < len(body)
@@ -400,17 +414,17 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
                     continue
                 kind = (tag - 1) // 2 if tag else -1
                 if begun and (i != end or kind != begun[0] or tag % 2 == 1):
-                    found.append((KINDS[begun[0]], begun[1], end))
+                    found.append((TAG_KINDS[begun[0]], begun[1], end))
                     begun = None
                 if tag and begun is None:
                     begun = (kind, i)
                 end = i + 1
         if begun:
-            found.append((KINDS[begun[0]], begun[1], end))
+            found.append((TAG_KINDS[begun[0]], begun[1], end))
         for kind, a, b in found:
-            while a < b and texts[k][a] in " \t\r\n,;:":
+            while a < b and texts[k][a] in " \t\r\n,;:\"'":
                 a += 1
-            while a < b and texts[k][b - 1] in " \t\r\n,;:.":
+            while a < b and texts[k][b - 1] in " \t\r\n,;:.\"'":
                 b -= 1
             if plausible(kind, texts[k][a:b]):
                 out[k].append((kind, a, b))
@@ -427,13 +441,14 @@ def merged(base: list[Span], more: list[Span]) -> list[Span]:
         k = bisect_left(starts, b)
         if not k or reach[k - 1] <= a:
             out.append((kind, a, b))
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(out, key=lambda s: (s[1], TAG_KINDS.index(s[0]), s[2]))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, base, spans): two arrays of (kind, start, end), code points, end exclusive.
 
-    ``base`` are the matches of the exact patterns, ``spans`` those and what the tagger adds. Null and
+    ``base`` are the matches of the exact patterns, ``spans`` those and what the tagger adds: unusual
+    spellings of the four kinds, and of kind ``secret`` keys and tokens, which no pattern tells. Null and
     empty texts have none. Rows are independent: repeated rows get equal answers, null ids are carried
     through, other columns are not read, an empty table gives an empty result.
     """

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,3 +108,41 @@ def test_query_and_edges(spark):
     out = sorted((r.doc_id or 0, len(r.base), len(r.spans)) for r in pii.find_pii(docs).collect())
     assert out == [(0, 1, 1), (1, 0, 0), (1, 0, 0)]
     assert pii.find_pii(docs.where("false")).count() == 0
+
+
+def test_viterbi_as_enumeration():
+    """Tags of short windows against the best of all tag sequences."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    tagger = pii.Tagger(seed=1)
+    tagger.p["a"] = rng.standard_normal(tagger.p["a"].shape).astype(np.float32)
+    tagger.p["w"] *= 8
+    x = rng.integers(0, pii.SYMBOLS, (6, 4)).astype(np.uint8)
+    e, _ = tagger.emissions(x)
+    trans = tagger.p["a"] + tagger.mask
+    for row, tags in enumerate(tagger.tag(x)):
+        score = lambda y: e[0, row, y[0]] + tagger.mask[0, y[0]] + sum(trans[a, b] + e[t, row, b] for t, (a, b) in enumerate(zip(y, y[1:]), 1))  # noqa: E731, B023
+        best = max(score(y) for y in itertools.product(range(pii.TAGS), repeat=4))
+        assert abs(score(tags.tolist()) - best) < 1e-3
+
+
+def test_tagger_adds_to_the_patterns(spark):
+    """Secrets of the documents, which no pattern tells, and no false alarm; unusual spellings unseen in training."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()
+    texts = [r.text for r in docs]
+    want = found = false = 0
+    for text, more in zip(texts, pii.tagged_spans(pii.restored(pii.trained()), texts), strict=True):
+        base = pii.base_spans(text)
+        told = {(m.start(1), m.end(1)) for m in re.finditer('(?i)token = "([0-9a-f]+)"', text)}
+        added = {(a, b) for kind, a, b in pii.merged(base, more) if (kind, a, b) not in base}
+        want, found, false = want + len(told), found + len(told & added), false + len(added - told)
+    assert want > 10 and found >= 0.7 * want and false <= 2
+    unseen = pii.labelled_examples(400, seed=77)
+    total = by_base = by_all = 0
+    for (text, spans), more in zip(unseen, pii.tagged_spans(pii.restored(pii.trained()), [t for t, _ in unseen]), strict=True):
+        base = pii.base_spans(text)
+        total, by_base, by_all = total + len(spans), by_base + len(set(spans) & set(base)), by_all + len(set(spans) & set(pii.merged(base, more)))
+    assert by_base < 0.5 * total and by_all > 0.8 * total
