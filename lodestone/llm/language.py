@@ -3,6 +3,8 @@
 From a bounded sample of labelled text a suffix automaton is made per language. A text is parsed with
 each automaton into longest matches with that language's sample; the language that needs the fewest
 phrases, normalised by what its own held-out text needs, wins.
+
+Automata read UTF-8 bytes, so scripts of any size and any mixture of them are told apart.
 """
 
 from __future__ import annotations
@@ -18,74 +20,119 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-#: The fit's bounds, whatever the input's size: documents and code points per language, code points in
-#: all, languages, and characters that automata tell apart. A suffix automaton has at most two states
-#: for a code point; the dense table of one language takes 2 * code points * characters * 4 bytes.
-SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS, MAX_LANGUAGES, CHARACTERS = 64, 24_000, 240_000, 200, 64
-#: Texts are parsed in blocks of so many code points, all blocks of a batch at once; each block begins
-#: a new phrase for every language alike.
+#: The fit's bounds, whatever the input's size: documents and bytes per language, bytes in all, and
+#: languages (those with the most labelled documents are learned, ties by name). A suffix automaton has
+#: at most two states for a byte; its table has a column for each different byte of the sample.
+SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES, MAX_LANGUAGES = 64, 24_000, 240_000, 200
+#: Bytes that are parsed one after the other; all blocks of a batch are parsed at once.
 BLOCK = 256
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-
-
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width, flat) of the suffix automaton of ``codes``; -1 where none."""
-    step, link, length, last = [{}], [-1], [0], 0
-    for c in codes:
-        new = len(step)
-        step.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = step[p][c]
-            if length[p] + 1 == length[q]:
-                link[new] = q
-            else:
-                twin = len(step)
-                step.append(dict(step[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and step[p].get(c) == q:
-                    step[p][c] = twin
-                    p = link[p]
-                link[q] = link[new] = twin
-        last = new
-    table = np.full((len(step), width), -1, np.int32)
-    for state, edges in enumerate(step):
-        for c, to in edges.items():
-            table[state, c] = to
-    return table.ravel()
-
-
-def phrases(blocks: np.ndarray, sizes: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
-    """Phrases of each row of ``blocks`` (characters, padded), of which ``sizes`` are real.
-
-    ``sizes`` must not rise from row to row. A character that the sample lacks is a phrase by itself.
-    """
-    state = np.zeros(len(blocks), np.int32)
-    count = np.zeros(len(blocks), np.int32)
-    open_ = np.zeros(len(blocks), bool)
-    ends = np.searchsorted(-sizes, -np.arange(blocks.shape[1]), side="left")
-    for k in range(blocks.shape[1]):
-        n = ends[k]
-        if not n:
-            break
-        c = blocks[:n, k]
-        to = table.take(state[:n] * width + c)
-        miss = to < 0
-        count[:n] += miss & open_[:n]
-        begin = table.take(c)
-        to = np.where(miss, begin, to)
-        lost = to < 0
-        count[:n] += lost
-        open_[:n] = ~lost
-        state[:n] = np.where(lost, 0, to)
-    return count + open_
+GAP = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> bytes:
+    """Lower-cased letters in UTF-8; each run of anything else is one space."""
+    return GAP.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
+
+
+class Automaton:
+    """A suffix automaton of ``data``: ``table`` has a row of transitions for each state, -1 where none;
+    ``column`` the column of each byte, 0 for bytes that ``data`` lacks."""
+
+    def __init__(self, data: bytes):
+        used = sorted(set(data))
+        self.width = len(used) + 1
+        self.column = np.zeros(256, np.int32)
+        self.column[used] = np.arange(1, self.width)
+        step, link, length, last = [{}], [-1], [0], 0
+        for c in data:
+            new = len(step)
+            step.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in step[p]:
+                step[p][c] = new
+                p = link[p]
+            if p >= 0:
+                q = step[p][c]
+                if length[p] + 1 == length[q]:
+                    link[new] = q
+                else:
+                    twin = len(step)
+                    step.append(dict(step[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and step[p].get(c) == q:
+                        step[p][c] = twin
+                        p = link[p]
+                    link[q] = link[new] = twin
+            last = new
+        table = np.full((len(step), self.width), -1, np.int32)
+        for state, edges in enumerate(step):
+            for c, to in edges.items():
+                table[state, self.column[c]] = to
+        self.table = table.ravel()
+
+    def advance(self, blocks: np.ndarray, sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each row of ``blocks`` (columns of bytes, padded), of which ``sizes`` are
+        real and do not rise from row to row, and the states after them. A state other than 0 is an open
+        phrase. A byte that the sample lacks is a phrase by itself."""
+        state = state.copy()
+        count = np.zeros(len(blocks), np.int32)
+        ends = np.searchsorted(-sizes, -np.arange(blocks.shape[1]), side="left")
+        for k in range(blocks.shape[1]):
+            n = ends[k]
+            if not n:
+                break
+            c = blocks[:n, k]
+            now = state[:n]
+            to = self.table.take(now * self.width + c)
+            miss = to < 0
+            count[:n] += miss & (now > 0)
+            to = np.where(miss, self.table.take(c), to)
+            lost = to < 0
+            count[:n] += lost
+            state[:n] = np.where(lost, 0, to)
+        return count, state
+
+    def phrases(self, blocks: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Phrases of the longest-match parse of each text. ``owner``: the text of each block, in order.
+
+        All blocks are parsed at once from an empty phrase. A block whose predecessor ended inside one is
+        parsed again from there, and so on until nothing changes: the parse of the whole text. Two parses
+        of the same bytes soon agree on a state, so a second round is mostly the last.
+        """
+        order = np.argsort(-sizes, kind="stable")
+        columns = self.column[blocks[order]]
+        begin = np.zeros(len(blocks), np.int32)
+        count, end = np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int32)
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]]) if len(owner) else np.zeros(0, bool)
+        todo = np.ones(len(blocks), bool)
+        while todo.any():
+            rows = order[todo[order]]
+            count[rows], end[rows] = self.advance(columns[todo[order]], sizes[rows], begin[rows])
+            carried = np.where(follows, np.concatenate([[0], end[:-1]]), 0)
+            todo = carried != begin
+            begin = carried.astype(np.int32)
+        total = np.bincount(owner, count, int(owner[-1]) + 1 if len(owner) else 0)
+        last = np.concatenate([owner[1:] != owner[:-1], [True]]) if len(owner) else np.zeros(0, bool)
+        np.add.at(total, owner[last], end[last] > 0)
+        return total.astype(np.int64)
+
+
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of the texts, padded, their sizes, and the text of each; an empty text has an empty block."""
+    counts = np.array([max(1, -(-len(x) // BLOCK)) for x in texts], np.int64)
+    blocks = np.zeros((int(counts.sum()), BLOCK), np.uint8)
+    sizes = np.full(len(blocks), BLOCK, np.int64)
+    at = 0
+    for x, n in zip(texts, counts.tolist(), strict=True):
+        blocks[at : at + n].reshape(-1)[: len(x)] = np.frombuffer(x, np.uint8)
+        at += n
+        sizes[at - 1] = len(x) - (n - 1) * BLOCK
+    return blocks, sizes, np.repeat(np.arange(len(texts)), counts)
 
 
 class Model:
@@ -93,66 +140,38 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        seen: dict[str, int] = {}
-        for text in samples.values():
-            for ch in text.lower():
-                if ch.isalpha():
-                    seen[ch] = seen.get(ch, 0) + 1
-        alphabet = sorted(seen, key=lambda ch: (-seen[ch], ch))[: CHARACTERS - 2]
-        self.width = len(alphabet) + 2
-        # 0: a letter that no sample has; 1: whatever is no letter
-        self.code = np.fromiter((not chr(k).isalpha() for k in range(0x110000)), np.uint8, 0x110000)
-        for k, ch in enumerate(alphabet, 2):
-            self.code[ord(ch)] = k
-        self.tables, self.norms = [], []
+        self.known, self.automata, self.norms = [], [], []
         for name in self.languages:
-            codes = self.codes(samples[name])
+            data = plain(samples[name])
             # every fifth stretch is held out to learn how many phrases the language itself needs
-            stretch = np.arange(len(codes)) // BLOCK % 5 == 4
-            known = codes[~stretch] if (~stretch).any() and stretch.any() else codes
-            self.tables.append(automaton(known.tolist(), self.width))
-            held = codes[stretch] if stretch.any() else codes
-            self.norms.append(max(self._count([held], self.tables[-1])[0], 1) / max(len(held), 1))
-
-    def codes(self, text: str) -> np.ndarray:
-        """Lower-cased letters; each run of anything else is one separator."""
-        got = self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        again = got[1:] == 1
-        again &= got[:-1] == 1
-        return got[np.concatenate([[True], ~again])] if len(got) else got
-
-    def _cut(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        counts = [-(-len(x) // BLOCK) for x in texts]
-        blocks = np.zeros((sum(counts), BLOCK), np.uint8)
-        sizes = np.zeros(len(blocks), np.int64)
-        at = 0
-        for x, n in zip(texts, counts, strict=True):
-            blocks[at : at + n].reshape(-1)[: len(x)] = x
-            sizes[at : at + n] = BLOCK
-            if n:
-                sizes[at + n - 1] = len(x) - (n - 1) * BLOCK
-            at += n
-        return blocks, sizes, np.repeat(np.arange(len(texts)), counts)
-
-    def _count(self, texts: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-        return self.counts(texts, [table])[:, 0]
-
-    def counts(self, texts: list[np.ndarray], tables: list[np.ndarray] | None = None) -> np.ndarray:
+            size = max(1, min(BLOCK, len(data) // 5))
+            stretches = [data[k : k + size] for k in range(0, len(data), size)]
+            known = b"".join(x for k, x in enumerate(stretches) if k % 5 != 4)
+            held = stretches[4::5] or [data]
+            self.known.append(known)
+            self.automata.append(Automaton(known))
+            needs = np.maximum(self.automata[-1].phrases(*cut(held)), 1) / np.maximum([len(x) for x in held], 1)
+            self.norms.append(float(np.median(needs)))  # a few stretches may repeat known ones
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text in each language."""
-        tables = self.tables if tables is None else tables
-        blocks, sizes, owner = self._cut(texts)
-        order = np.argsort(-sizes, kind="stable")
-        blocks, sizes, owner = np.ascontiguousarray(blocks[order]).astype(np.int32), sizes[order], owner[order]
-        out = np.zeros((len(texts), len(tables)), np.int64)
-        for k, table in enumerate(tables):
-            out[:, k] = np.bincount(owner, phrases(blocks, sizes, table, self.width), len(texts)) if len(blocks) else 0
-        return out
+        blocks, sizes, owner = cut(texts)
+        return np.stack([a.phrases(blocks, sizes, owner) for a in self.automata], axis=1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score. Score: how much fewer normalised phrases the winner needs than the
-        next, from 0 (as many) towards 1; 1 where one language is known; 0 for ``und``."""
+        next, from 0 (as many; then the first name wins) towards 1; 1 where one language is known; 0
+        for ``und``."""
         lettered = [bool(t) and LETTER.search(t) is not None for t in texts]
-        rates = self.counts([self.codes(t or "") for t in texts]) / np.array(self.norms)
+        rates = np.ones((len(texts), len(self.languages)))
+        group, size = [], 0
+        for k, ok in enumerate([*lettered, None]):  # about four million bytes of text at once
+            if ok:
+                group.append(k)
+                size += len(texts[k])
+            if group and (ok is None or size > 4_000_000):
+                rates[group] = self.counts([plain(texts[g]) for g in group]) / np.array(self.norms)
+                group, size = [], 0
         best = rates.argmin(axis=1)
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
         if len(self.languages) == 1:
@@ -179,33 +198,33 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     can = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     hashed = can.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    picked = hashed.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min(F.struct("h", "id")).alias("least"))
-    langs = picked.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if langs > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; the fit is bounded")
-    if not langs:
+    picked = hashed.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min(F.struct("h", "id")).alias("least"), F.count("*").alias("n"))
+    most = picked.groupBy("lang").agg(F.sum("n").alias("n"), F.collect_list("least.id").alias("ids")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    chosen = {r.lang: r.ids for r in most.collect()}  # SAMPLE_DOCS * MAX_LANGUAGES ids at most
+    if not chosen:
         return ()
-    ids = [r[0] for r in picked.select("least.id").collect()]  # SAMPLE_DOCS * MAX_LANGUAGES at most
-    each = min(SAMPLE_CHARS, TOTAL_CHARS // langs)
+    each = min(SAMPLE_BYTES, TOTAL_BYTES // len(chosen))
     share = max(2 * each // SAMPLE_DOCS, 512)
-    rows = can.where(F.col(id_col).isin(ids)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, 64 * share).alias("text"))
+    wanted = F.col(lang_col).isin(list(chosen)) & F.col(id_col).isin([x for ids in chosen.values() for x in ids])
+    rows = can.where(wanted).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, 64 * share).alias("text"))
     texts: dict[str, list[str]] = {}
     taken: dict[str, int] = {}
     found = sorted(rows.collect(), key=lambda r: (r.lang, str(r.id), r.text))
     for limit in (share, 64 * share):  # longer parts only where short documents leave room
         for r in found:
             part = r.text[:limit] if limit == share else r.text[share:limit]
-            part = part[: each - taken.get(r.lang, 0)]
+            room = each - taken.get(r.lang, 0)
+            part = part.encode("utf-8", "surrogatepass")[: max(room, 0)].decode("utf-8", "ignore")
             if part:
                 texts.setdefault(r.lang, []).append(part)
-                taken[r.lang] = taken.get(r.lang, 0) + len(part)
+                taken[r.lang] = taken.get(r.lang, 0) + len(part.encode())
     return tuple((k, "\n".join(v)) for k, v in sorted(texts.items()))
 
 
 def identify(docs: DataFrame, learned: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; columns of those names are replaced.
 
-    Whole texts are parsed, in blocks. Null texts and texts without a letter are ``und`` with score 0,
+    Whole texts are parsed; of languages that fit equally well the first by name is told. Null texts and texts without a letter are ``und`` with score 0,
     and so is everything where nothing was learned. Repeated rows get equal answers; an empty table
     gives an empty result.
     """
