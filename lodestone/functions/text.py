@@ -38,6 +38,12 @@ def query_terms(raw: str) -> list[str]:
     return [t for t in text.lower().split() if len(t) > 1 and t not in STOPWORDS]
 
 
+def prepared(raw: Column) -> Column:
+    """``query_terms`` of a column of raw queries."""
+    bare = F.regexp_replace(normalize(raw), "[" + re.escape(PUNCTUATION) + "]", " ")
+    return F.filter(F.split(F.lower(bare), r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(*sorted(STOPWORDS)))
+
+
 def tokens(text: Column) -> Column:
     """Index tokens: lower case, marks removed, split on anything but letters and digits."""
     folded = F.translate(F.lower(text), MARKED, PLAIN)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, tokens
+from ..shared import cut, shared_table
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -16,33 +21,36 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(text)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def _is(value: str):
-    return lambda x: x == value
+class Index:
+    """A stored inverted index: postings (term, doc, tf, dl), dealt and sorted by term, so that a search
+    reads the row groups of its terms only, and the statistics of the whole store."""
 
+    def __init__(self, postings: DataFrame, stats: DataFrame):
+        self.postings, self.stats = postings, stats
 
-def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str]) -> DataFrame:
-    """(doc, score) of the documents that hold any of ``terms``; more negative is better.
+    @classmethod
+    def build(cls, spark: SparkSession, docs: DataFrame, id_col: str, text: Column) -> Index:
+        # a generator holds the optimiser back from computing the tokens anew for each use
+        rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(text))).alias("t")).select("doc", F.size("t").alias("dl"), "t")
+        tf = rows.select("doc", "dl", F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+        kept = shared_table(tf.repartitionByRange("term", "doc").sortWithinPartitions("term"), "postings")
+        lengths = docs.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        return cls(kept, cut(lengths))
+
+    def search(self, terms: list[str]) -> DataFrame:
+        """(doc, score) of the documents that hold any of ``terms``; more negative is better. Document
+        counts and the average length are of the whole store."""
+        hits = self.postings.where(F.col("term").isin(list(dict.fromkeys(terms))))
+        weights = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))  # a row for each term of the query
+        return _bm25(hits.join(F.broadcast(weights), "term"))
 
-    Document counts and the average length are of the whole store. One scan: a document is reduced to
-    its length and the counts of the query's terms before anything is shuffled, and the statistics of
-    all documents are one row.
-    """
-    terms = list(dict.fromkeys(terms))
-    if not terms:
-        return docs.select(F.col(id_col).alias("doc"), F.lit(0.0).alias("score")).where(F.lit(False))
-    # generators hold the optimiser back from computing the tokens anew for each count and predicate
-    rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(text))).alias("t"))
-    rows = rows.select("doc", F.size("t").alias("dl"), F.explode(F.array(F.filter("t", lambda x: x.isin(terms)))).alias("h"))
-    rows = rows.select("doc", "dl", *[F.size(F.filter("h", _is(w))).alias(f"tf{k}") for k, w in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    hits = rows.where(" or ".join(f"tf{k} > 0" for k in range(len(terms)))).join(F.broadcast(stats))
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(1e-6)
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.select("doc", score.alias("score"))
+
+def _bm25(rows: DataFrame) -> DataFrame:
+    """(doc, score) from (doc, term, tf, dl, df, n, avgdl)."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf > 0, idf).otherwise(1e-6)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("doc").agg((-F.sum(part)).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -61,6 +69,50 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, query: DataFrame, k:
     return near.orderBy("distance", "id").limit(k)
 
 
+def nearest_all(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "distance", key: str | None = None, block: int = 2048) -> DataFrame:
+    """(query, id, value): for each query vector its k best rows, itself left out; by Euclidean distance
+    or, with ``metric="cosine"``, by cosine; ties to the smaller id. With ``key``, among rows of equal key.
+
+    All rows meet all queries, block by block: a block of rows and a block of queries are two matrices,
+    and only the k best of each query leave a task.
+    """
+    spark = rows.sparkSession
+    named = lambda df: df.select((F.col(key) if key else F.lit(0)).alias("g"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and g is not null")
+    count = lambda df: df.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    deal = lambda df: df.withColumn("b", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    q, r = named(queries), named(rows)
+    asked = count(q)
+    q = deal(q.join(asked, "g")).groupBy("g", "b").agg(F.collect_list(F.struct("id", "v")).alias("qs"))
+    r = deal(r.join(count(r), "g")).groupBy("g", F.col("b").alias("rb")).agg(F.collect_list(F.struct("id", "v")).alias("rs"))
+    met = r.join(asked, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(q, ["g", "b"])
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for qs, rs in zip(part.column("qs"), part.column("rs"), strict=True):
+                qi, ri = qs.values.field("id"), rs.values.field("id")
+                a = np.array(qs.values.field("v").to_pylist(), np.float64)
+                b = np.array(rs.values.field("v").to_pylist(), np.float64)
+                order = np.argsort(np.array(ri.to_pylist()), kind="stable")
+                b, ri = b[order], ri.take(pa.array(order))
+                if metric == "cosine":
+                    value = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
+                    rank = -value
+                else:
+                    rank = value = np.stack([np.sqrt(((b - row) ** 2).sum(axis=1)) for row in a])
+                rank = np.where(np.array(qi.to_pylist())[:, None] == np.array(ri.to_pylist())[None, :], np.inf, rank)
+                top = np.argsort(rank, axis=1, kind="stable")[:, : min(k, len(b))]
+                row = np.repeat(np.arange(len(a)), top.shape[1])
+                top = top.ravel()
+                good = np.isfinite(rank[row, top])
+                row, top = row[good], top[good]
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(row)), ri.take(pa.array(top)), pa.array(value[row, top])], ["query", "id", "value"])
+
+    found = met.select("qs", "rs").mapInArrow(best, f"query {kind}, id {kind}, value double")
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("value") if metric == "cosine" else F.asc("value"), "id"))
+    return found.withColumn("rank", order).where(F.col("rank") <= k)
+
+
 def rrf(ranked: list[DataFrame], normalise: bool = False) -> DataFrame:
     """Reciprocal-rank fusion of frames (id, rank): sum of 1 / (60 + rank)."""
     rows = ranked[0].select("id", "rank")
@@ -68,10 +120,25 @@ def rrf(ranked: list[DataFrame], normalise: bool = False) -> DataFrame:
         rows = rows.unionByName(other.select("id", "rank"))
     out = rows.groupBy("id").agg(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))).alias("score"))
     if normalise:
-        out = out.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy(F.lit(0))))
+        top = out.agg(F.max("score").alias("top"))  # one row
+        out = out.crossJoin(F.broadcast(top)).select("id", (F.col("score") / F.col("top")).alias("score"))
     return out
 
 
+def ranks(rows: DataFrame, part: str, score: Column, *ties: str) -> DataFrame:
+    """``rows`` with their rank by (score, ties) among those of equal ``part``.
+
+    Scores are dealt to bands; a row's rank is the number of rows in the bands before its own and its
+    place within. Only the bands' counts are ordered in one place, so a part of any size is spread.
+    """
+    rows = rows.withColumn("__band", F.floor(score * 64))
+    counts = rows.groupBy(part, "__band").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(part).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(counts.select(part, "__band", before.alias("__before")), [part, "__band"])
+    place = F.row_number().over(Window.partitionBy(part, "__band").orderBy(score, *ties))
+    return placed.withColumn("rank", (F.col("__before") + place).cast("int")).drop("__band", "__before")
+
+
 def with_rank(rows: DataFrame, *order: Column | str) -> DataFrame:
     """A 1-based rank in a total order; for bounded results."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, query_terms, token_set, tokens
+from ..functions.text import STOPWORDS, normalize, prepared, query_terms, token_set, tokens
 from ..operators import retrieval as R
 from ..sources.adapters import changelog, files, table, vectors, with_views
 from .registry import query
@@ -31,25 +31,63 @@ def bm25_sql(source: str, key: str, text: str, terms: list[str], name: str = "sc
   from {name}_tf t join {name}_df using (term) join {name}_len using (doc) cross join {name}_n group by t.doc)"""
 
 
+def document():
+    """The searchable text of a file: eight columns, lists as JSON, all normalised."""
+    listed = lambda c: F.to_json(F.array_sort(c))
+    return normalize(F.concat_ws(" ", "file_path", "cluster", "purpose", "blurb", listed("patterns"), listed("tags"), listed("hazards"), F.to_json("exports")))
+
+
+NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_-]+', ' ', 'g'), '\s+', ' ', 'g'))"
+LISTED = "'[' || array_to_string(list_transform(list_sort({0}), lambda x: '\"' || x || '\"'), ',') || ']'"
+EXPORTS = """case when len(exports) = 0 then '[]' else '[{"name":"' || exports[1].name || '","type":"' || exports[1].type || '"}]' end"""
+DOCUMENT = NORMAL.format(f"concat_ws(' ', file_path, cluster, purpose, blurb, {LISTED.format('patterns')}, {LISTED.format('tags')}, {LISTED.format('hazards')}, {EXPORTS})")
+DOCUMENTS = f"docs as (select file_id, {DOCUMENT} as document from files)"
+
+_indexes: dict[tuple[str, str], R.Index] = {}
+
+
+def file_index(spark, sf_dir) -> R.Index:
+    """The stored index over the files' documents; built at the first search of a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = R.Index.build(spark, files(spark, sf_dir).withColumn("document", document()), "file_id", F.col("document"))
+    return _indexes[key]
+
+
+def change_index(spark, sf_dir) -> R.Index:
+    key = spark.sparkContext.applicationId, f"{sf_dir}#changes"
+    if key not in _indexes:
+        _indexes[key] = R.Index.build(spark, changelog(spark, sf_dir), "id", F.col("summary"))
+    return _indexes[key]
+
+
 def file_scores(spark, sf_dir):
-    f = files(spark, sf_dir)
-    return f, R.bm25(f, "file_id", F.col("text"), TERMS)
+    return files(spark, sf_dir), file_index(spark, sf_dir).search(TERMS)
+
+
+def change_scores(spark, sf_dir):
+    return change_index(spark, sf_dir).search(CHANGE_TERMS)
 
 
-FILE_SCORES = bm25_sql("files", "file_id", "text", TERMS)
+FILE_SCORES = DOCUMENTS + ",\n" + bm25_sql("docs", "file_id", "document", TERMS)
+#: Characters of a page of results as JSON.
+BUDGET = 2500
 
 
 @query("act_search", with_views(f"""with {FILE_SCORES},
 hits as (select f.file_id, f.workspace, f.file_path, f.cluster, s.score from scored s join files f on f.file_id = s.doc where f.workspace = 'ws1' and not {TEST_SQL} and starts_with(f.file_path, 'src/')),
-ranked as (select *, row_number() over (order by round(score, 9), file_path) as rank from hits)
-select file_id, file_path, cluster, round(score, 6) as score, rank::int as rank from ranked where rank <= 50"""))
+ranked as (select *, row_number() over (order by round(score, 9), file_path) as rank from hits qualify rank <= 50),
+sized as (select *, sum(length('{{"file_path":"' || file_path || '"' || coalesce(',"cluster":"' || cluster || '"', '') || '}}') + 1) over (order by rank) + 1 as used from ranked)
+select file_id, file_path, cluster, round(score, 6) as score, rank::int as rank from sized where used <= {BUDGET}"""))
 def act_search(spark, sf_dir):
-    """Ranked search in one workspace: filters before the cut, so that recall is whole."""
+    """Ranked search in one workspace over the stored index: filters before the cut, so that recall is
+    whole; one row a path; then the page, and of it what the character budget holds."""
     f, scores = file_scores(spark, sf_dir)
     hits = f.where((F.col("workspace") == "ws1") & ~F.col("file_path").rlike(TEST_PATH) & F.col("file_path").startswith("src/"))
-    hits = hits.select("file_id", "file_path", "cluster").join(scores, F.col("file_id") == F.col("doc"))
-    top = hits.orderBy(F.round("score", 9), "file_path").limit(50)
-    return R.with_rank(top, F.round("score", 9), "file_path").select("file_id", "file_path", "cluster", F.round("score", 6).alias("score"), "rank")
+    hits = hits.select("file_id", "file_path", "cluster").join(scores, F.col("file_id") == F.col("doc")).dropDuplicates(["file_path"])
+    top = R.with_rank(hits.orderBy(F.round("score", 9), "file_path").limit(50), F.round("score", 9), "file_path")
+    used = F.sum(F.char_length(F.to_json(F.struct("file_path", "cluster"))) + 1).over(Window.orderBy("rank")) + 1  # over one page
+    return top.withColumn("used", used).where(F.col("used") <= BUDGET).select("file_id", "file_path", "cluster", F.round("score", 6).alias("score"), "rank")
 
 
 @query("act_search_parity", with_views(f"""with {FILE_SCORES},
@@ -69,16 +107,16 @@ def fts_search(spark, sf_dir):
     return file_scores(spark, sf_dir)[1].select(F.col("doc").alias("file_id"), F.round("score", 6).alias("score"))
 
 
-@query("fts_build", with_views(f"select file_id as doc, term, count(*)::bigint as tf from (select file_id, unnest({FOLD.format('text')}) as term from files) group by all"))
+@query("fts_build", with_views(f"with {DOCUMENTS}, t as (select file_id as doc, {FOLD.format('document')} as t from docs) select doc, len(t)::int as dl, term, count(*)::bigint as tf from (select doc, t, unnest(t) as term from t) group by all"))
 def fts_build(spark, sf_dir):
-    """The inverted index."""
-    return R.postings(files(spark, sf_dir), "file_id", F.col("text"))
+    """The inverted index as it is stored."""
+    return R.Index.build(spark, files(spark, sf_dir).withColumn("document", document()), "file_id", F.col("document")).postings.select("doc", "dl", "term", "tf")
 
 
-@query("fts_rebuild", with_views(f"""select term, count(distinct file_id)::bigint as df, count(*)::bigint as total from (select file_id, unnest({FOLD.format('text')}) as term from files) group by term"""))
+@query("fts_rebuild", with_views(f"""with {DOCUMENTS} select term, count(distinct file_id)::bigint as df, count(*)::bigint as total from (select file_id, unnest({FOLD.format('document')}) as term from docs) group by term"""))
 def fts_rebuild(spark, sf_dir):
     """Document and collection frequencies, as a rebuild derives them from the postings."""
-    return R.postings(files(spark, sf_dir), "file_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return file_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 @query("fts_normalize", r"""select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_name || 'HTTPServer' || p_brand || '_x-y', '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_-]+', ' ', 'g'), '\s+', ' ', 'g')) as text from part""")
@@ -87,73 +125,80 @@ def fts_normalize(spark, sf_dir):
     return p.select("p_partkey", normalize(F.concat("p_name", F.lit("HTTPServer"), "p_brand", F.lit("_x-y"))).alias("text"))
 
 
-@query("fts_prepare", "select * from (values " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(TERMS)) + ") as t(pos, term)")
+RAW_WORDS = "list_filter(string_split_regex(lower(regexp_replace(" + NORMAL.format("{0}") + r", '[?!@#$%^&*(){{}}\[\]<>:;\x22\x27`,.|\\~/+=]', ' ', 'g')), '\s+'), lambda t: len(t) > 1 and t not in ({1}))"
+
+
+@query("fts_prepare", "with q as (select p_partkey, p_name || ' OF the ' || p_brand || ', getHTTP_x? ' || p_type as raw from part) select p_partkey, array_to_string(" + RAW_WORDS.format("raw", ", ".join(f"'{w}'" for w in sorted(STOPWORDS))) + ", ' OR ') as searched from q")
 def fts_prepare(spark, sf_dir):
-    """The terms that a raw query is searched by."""
-    return spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in TERMS])).alias("pos", "term"))
+    """The terms that raw queries are searched by, as a column."""
+    raw = F.concat("p_name", F.lit(" OF the "), "p_brand", F.lit(", getHTTP_x? "), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(prepared(raw), " OR ").alias("searched"))
 
 
-@query("fts_document", with_views("""select file_id, trim(regexp_replace(concat_ws(' ', file_path, coalesce(cluster, ''), coalesce(blurb, ''), array_to_string(list_sort(patterns), ' '), array_to_string(list_sort(tags), ' '), array_to_string(list_sort(hazards), ' ')), '\\s+', ' ', 'g')) as document from files"""))
+@query("fts_document", with_views(f"with {DOCUMENTS} select file_id, sha256(document) as document from docs"))
 def fts_document(spark, sf_dir):
-    """The searchable text of a file, one per row."""
-    flat = lambda c: F.array_join(F.sort_array(c), " ")
-    e = F.lit("")
-    text = F.concat_ws(" ", "file_path", F.coalesce("cluster", e), F.coalesce("blurb", e), flat("patterns"), flat("tags"), flat("hazards"))
-    return files(spark, sf_dir).select("file_id", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("document"))
+    """The searchable text of a file, one per row (as a digest: the texts are long)."""
+    return files(spark, sf_dir).select("file_id", F.sha2(document(), 256).alias("document"))
 
 
 @query("fts_search_changelog", with_views(f"""with {bm25_sql('changelog', 'id', 'summary', CHANGE_TERMS)}
 select id, round(score, 6) as score from scored join changelog on id = doc where workspace = 'ws1' order by round(score, 9), created_at desc, id desc limit 100"""))
 def fts_search_changelog(spark, sf_dir):
     c = changelog(spark, sf_dir)
-    scores = R.bm25(c, "id", F.col("summary"), CHANGE_TERMS)
+    scores = change_scores(spark, sf_dir)
     hits = c.where("workspace = 'ws1'").select("id", "created_at").join(scores, F.col("id") == F.col("doc"))
     return hits.orderBy(F.round("score", 9), F.desc("created_at"), F.desc("id")).limit(100).select("id", F.round("score", 6).alias("score"))
 
 
-NEAR = "select b.vec_id as id, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) as distance from vectors a join vectors b on a.vec_id = 7 {0} order by distance, id limit 20"
+NEAR = "select b.vec_id as id, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) as distance from vectors a join vectors b on a.vec_id = 20 order by distance, id limit 20"
+#: The stated query set of the vector searches: every vector whose id is divisible by 20, against all.
+NEAR_ALL = """near as (select a.vec_id as query, b.vec_id as id, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) as distance
+  from vectors a join vectors b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id {0} qualify row_number() over (partition by a.vec_id order by distance, b.vec_id) <= 20)"""
+
+
+def asked(v):
+    return v.where("vec_id % 20 = 0")
 
 
-@query("vec_search", with_views(f"select id, round(distance, 6) as distance from ({NEAR.format('')})"))
+@query("vec_search", with_views(f"with {NEAR_ALL.format('')} select query, id, round(distance, 6) as distance from near"))
 def vec_search(spark, sf_dir):
+    """The 20 nearest of each query vector."""
     v = vectors(spark, sf_dir)
-    return R.nearest(v, "vec_id", "v", v.where("vec_id = 7").select(F.col("v").alias("q")), 20).select("id", F.round("distance", 6).alias("distance"))
+    return R.nearest_all(v, asked(v), "vec_id", "v", 20).select("query", "id", F.round("value", 6).alias("distance"))
 
 
-@query("vec_search_filtered", with_views(f"select id, round(distance, 6) as distance from ({NEAR.format('and b.label = 3')})"))
+@query("vec_search_filtered", with_views(f"with {NEAR_ALL.format('and a.label = b.label')} select query, id, round(distance, 6) as distance from near"))
 def vec_search_filtered(spark, sf_dir):
-    """Nearest of one kind."""
+    """Nearest of the query's own kind."""
     v = vectors(spark, sf_dir)
-    return R.nearest(v.where("label = 3"), "vec_id", "v", v.where("vec_id = 7").select(F.col("v").alias("q")), 20).select("id", F.round("distance", 6).alias("distance"))
+    return R.nearest_all(v, asked(v), "vec_id", "v", 20, key="label").select("query", "id", F.round("value", 6).alias("distance"))
 
 
-@query("jn_vec", with_views(f"select n.id, f.file_path, round(n.distance, 6) as distance from ({NEAR.format('')}) n join files f on f.file_id = n.id"))
+@query("jn_vec", with_views(f"with {NEAR_ALL.format('')} select n.query, f.file_path, round(n.distance, 6) as distance from near n join files f on f.file_id = n.id"))
 def jn_vec(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    near = R.nearest(v, "vec_id", "v", v.where("vec_id = 7").select(F.col("v").alias("q")), 20)
-    return near.join(files(spark, sf_dir), F.col("file_id") == F.col("id")).select("id", "file_path", F.round("distance", 6).alias("distance"))
+    near = R.nearest_all(v, asked(v), "vec_id", "v", 20)
+    return near.join(files(spark, sf_dir), F.col("file_id") == F.col("id")).select("query", "file_path", F.round("value", 6).alias("distance"))
 
 
-@query("vec_cosine_best", "with v as (select vec_id, embedding::double[] as e, label from embeddings), p as (select a.vec_id, b.vec_id as other, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.label = b.label and a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) select vec_id, round(max(c), 6) as best from p group by vec_id")
+@query("vec_cosine_best", "with v as (select vec_id, embedding::double[] as e, label from embeddings), p as (select a.vec_id, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.label = b.label and a.vec_id % 20 = 0 and a.vec_id <> b.vec_id) select vec_id, round(max(c), 6) as best from p group by vec_id")
 def vec_cosine_best(spark, sf_dir):
-    """The best cosine within the label for a set of query vectors."""
+    """The best cosine within the label for the query vectors."""
     v = vectors(spark, sf_dir)
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"), "label")
-    pairs = v.join(q, "label").where("vec_id <> q_id")
-    return pairs.groupBy(F.col("q_id").alias("vec_id")).agg(F.round(F.max(R.cosine(F.col("qv"), F.col("v"))), 6).alias("best"))
+    return R.nearest_all(v, asked(v), "vec_id", "v", 1, "cosine", "label").select(F.col("query").alias("vec_id"), F.round("value", 6).alias("best"))
 
 
 def two_lists(spark, sf_dir, depth=30):
     f, scores = file_scores(spark, sf_dir)
     lexical = R.with_rank(scores.orderBy(F.round("score", 9), "doc").limit(depth), F.round("score", 9), "doc").select(F.col("doc").alias("id"), "rank")
     v = vectors(spark, sf_dir)
-    near = R.nearest(v, "vec_id", "v", v.where("vec_id = 7").select(F.col("v").alias("q")), depth)
+    near = R.nearest(v, "vec_id", "v", v.where("vec_id = 20").select(F.col("v").alias("q")), depth)
     return lexical, R.with_rank(near, "distance", "id").select("id", "rank")
 
 
 TWO = f"""{FILE_SCORES},
 lexical as (select doc as id, row_number() over (order by round(score, 9), doc) as rank from scored qualify rank <= 30),
-dense as (select id, row_number() over (order by distance, id) as rank from ({NEAR.format('').replace('limit 20', 'limit 30')}))"""
+dense as (select id, row_number() over (order by distance, id) as rank from ({NEAR.replace('limit 20', 'limit 30')}))"""
 
 
 @query("rrf_fuse", with_views(f"with {TWO}, s as (select id, sum(1 / (60.0::double + rank)) as score from (select * from lexical union all select * from dense) group by id) select id, round(score / max(score) over (), 6) as score from s"))
@@ -175,7 +220,7 @@ select id, round(sum(1 / (60.0::double + rank)), 6) as score from (select * from
 def rrf_fuse_changelog(spark, sf_dir):
     """Relevance fused with recency."""
     c = changelog(spark, sf_dir)
-    scores = R.bm25(c, "id", F.col("summary"), CHANGE_TERMS).orderBy(F.round("score", 9), "doc").limit(40)
+    scores = change_scores(spark, sf_dir).orderBy(F.round("score", 9), "doc").limit(40)
     a = R.with_rank(scores, F.round("score", 9), "doc").select(F.col("doc").alias("id"), "rank")
     newest = c.select("id", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(40)
     b = R.with_rank(newest, F.desc("created_at"), F.desc("id")).select("id", "rank")
@@ -221,25 +266,20 @@ def act_similar(spark, sf_dir):
 
 
 @query("act_similar_detailed", with_views(f"""with seed as (select unnest(list_distinct({FOLD.format('blurb')})) as term from files where file_id = 12),
-tok as (select file_id as doc, unnest({FOLD.format('text')}) as term from files), len as (select file_id as doc, len({FOLD.format('text')}) as dl from files),
+{DOCUMENTS}, tok as (select file_id as doc, unnest({FOLD.format('document')}) as term from docs), len as (select file_id as doc, len({FOLD.format('document')}) as dl from docs),
 n as (select count(*) as n, avg(dl) as avgdl from len), tf as (select doc, term, count(*) as tf from tok where term in (select term from seed where len(term) > 1) group by all),
 df as (select term, count(*) as df from tf group by term),
 sc as (select t.doc, sum((case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from tf t join df using (term) join len using (doc) cross join n where t.doc <> 12 group by t.doc)
 select doc as id, round(score / max(score) over (), 6) as score from sc"""))
 def act_similar_detailed(spark, sf_dir):
-    """More like this: the seed's words as a query, scores from 0 to 1. The seed stays a frame, so the
-    words are joined and not collected."""
+    """More like this: the seed's words as a query of the stored index, scores from 0 to 1. The words of
+    one blurb are one line of a file, so they are read on the driver as any query is."""
     f = files(spark, sf_dir)
-    terms = f.where("file_id = 12").select(F.explode(F.array_distinct(tokens(F.col("blurb")))).alias("term")).where("length(term) > 1")
-    rows = f.select(F.col("file_id").alias("doc"), tokens(F.col("text")).alias("t"))
-    tf = rows.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(terms), "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    part = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("dl") / F.col("avgdl")))
-    out = part.where("doc <> 12").groupBy(F.col("doc").alias("id")).agg(F.sum(weight).alias("score"))
-    return out.select("id", F.round(F.col("score") / F.max("score").over(Window.partitionBy(F.lit(0))), 6).alias("score"))
+    words = f.where("file_id = 12").select(F.array_distinct(tokens(F.col("blurb"))).alias("t")).first()
+    scores = file_index(spark, sf_dir).search([w for w in (words.t if words else None) or [] if len(w) > 1])
+    out = scores.where("doc <> 12").select(F.col("doc").alias("id"), (-F.col("score")).alias("score"))
+    top = out.agg(F.max("score").alias("top"))
+    return out.crossJoin(F.broadcast(top)).select("id", F.round(F.col("score") / F.col("top"), 6).alias("score"))
 
 
 @query("act_ask", with_views(f"""with {FILE_SCORES} select f.file_path, round(score, 6) as score from scored join files f on f.file_id = doc where f.workspace = 'ws2' and not {TEST_SQL} order by round(score, 9), f.file_path limit 20"""))
@@ -258,7 +298,7 @@ def act_ask_detailed(spark, sf_dir):
     """Files and changes as evidence in one list."""
     _, scores = file_scores(spark, sf_dir)
     a = R.with_rank(scores.orderBy(F.round("score", 9), "doc").limit(10), F.round("score", 9), "doc").select(F.lit("file").alias("kind"), F.col("doc").alias("id"), "rank")
-    c = R.bm25(changelog(spark, sf_dir), "id", F.col("summary"), CHANGE_TERMS).orderBy(F.round("score", 9), "doc").limit(20)
+    c = change_scores(spark, sf_dir).orderBy(F.round("score", 9), "doc").limit(20)
     b = R.with_rank(c, F.round("score", 9), "doc").select(F.lit("change").alias("kind"), F.col("doc").alias("id"), "rank")
     return a.unionByName(b).select("kind", "id", F.round(1 / (F.lit(60.0) + F.col("rank")), 6).alias("score"))
 
@@ -274,4 +314,4 @@ def win_rank(spark, sf_dir):
     """Rank of each hit in its workspace."""
     f, scores = file_scores(spark, sf_dir)
     hits = f.select("file_id", "workspace", "file_path").join(scores, F.col("file_id") == F.col("doc"))
-    return hits.select("file_id", "workspace", F.row_number().over(Window.partitionBy("workspace").orderBy(F.round("score", 9), "file_path")).alias("rank"))
+    return R.ranks(hits.withColumn("score", F.round("score", 9)), "workspace", F.col("score"), "file_path").select("file_id", "workspace", "rank")

@@ -41,18 +41,24 @@ def delete(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder until the driver ends, and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
 def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """``df`` computed once, written and read back; then the cut tables ``done`` are deleted.
 
     Neither lineage nor the optimiser's size estimate goes on: ``checkpoint()`` keeps the estimate, which
     doubles in bits with every self-join of a loop until it overflows. What is left when the driver ends
     is deleted then."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    _made[path] = spark
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_at = path
+    out = shared_table(df, "cut")
     for old in done:
-        delete(spark, old._cut_at)
+        delete(old.sparkSession, old._cut_at)
     return out

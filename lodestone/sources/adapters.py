@@ -39,6 +39,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("t"), (i % 5).cast("string")), F.col("lang"))).alias("tags"),
         F.when(F.col("toxic") == 1, F.array(F.lit("toxic"), F.concat(F.lit("h"), (i % 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("hazards"),
         F.when(i % 9 != 0, F.concat(F.lit("m"), (i % 2).cast("string"))).alias("extraction_model"),
+        F.when(i % 8 != 0, F.array(F.struct(F.concat(F.lit("readDoc"), (i % 50).cast("string")).alias("name"), F.col("lang").alias("type")))).otherwise(F.array().cast("array<struct<name:string,type:string>>")).alias("exports"),
         F.col("text"),
     )
 
@@ -130,7 +131,8 @@ SQL = {
   case when d.doc_id % 7 = d.doc_id % 4 then ['p' || (d.doc_id % 7)] else ['p' || (d.doc_id % 7), 'p' || (d.doc_id % 4)] end as patterns,
   case when d.doc_id % 6 = 0 then []::varchar[] else ['t' || (d.doc_id % 5), d.lang] end as tags,
   case when l.toxic = 1 then ['toxic', 'h' || (d.doc_id % 3)] else []::varchar[] end as hazards,
-  case when d.doc_id % 9 <> 0 then 'm' || (d.doc_id % 2) end as extraction_model, d.text
+  case when d.doc_id % 9 <> 0 then 'm' || (d.doc_id % 2) end as extraction_model,
+  case when d.doc_id % 8 <> 0 then [{'name': 'readDoc' || (d.doc_id % 50), 'type': d.lang}] else []::struct(name varchar, type varchar)[] end as exports, d.text
   from documents d left join labels l on d.doc_id = l.doc_id""",
     "import_edges": f"select distinct source, target from ({_line_sql(1)})",
     "refs": f"""select source, target, case l_returnflag when 'A' then 'runtime_call' when 'N' then 'type_ref' else 'CALLS' end as edge_type, count(*)::bigint as usage_count, round(avg(1 - l_discount), 6) as confidence
