@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,39 +76,112 @@ def replay(commands: DataFrame, done: DataFrame) -> DataFrame:
 
 
 class Table:
-    """A Parquet table with versions: a write makes a folder ``v=<id>`` and then moves a pointer file,
-    so that readers see the old version or the new one, and a failed write changes nothing."""
+    """A Parquet table with numbered versions, dealt to buckets by its keys.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A write puts new files aside and then a manifest with the next number; the table is what the manifest
+    with the highest number lists. Nothing that a manifest lists is changed or deleted, so readers see one
+    version or the next, and a write that dies at any point changes nothing. Two writers of one number:
+    the second fails. An upsert rewrites the buckets that its keys fall into, not the table.
+
+    A write may carry a batch (stream's name, number): the manifest remembers the last one of each stream,
+    and a batch that was applied before is skipped. That makes a repeated micro-batch harmless.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = 16):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), keys or [], buckets if keys else 1
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
-        pointer = self._path(f"{self.path}/_current")
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+    def _numbers(self) -> list[int]:
+        folder = self._path(f"{self.path}/_manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def manifest(self) -> dict | None:
+        """What the newest manifest says; None for a table that was never written."""
+        for number in self._numbers():
+            stream = self._fs.open(self._path(f"{self.path}/_manifests/{number:012d}"))
+            try:
+                return json.loads(bytes(stream.readAllBytes()).decode()) | {"number": number}
+            finally:
+                stream.close()
+        return None
+
+    def current(self) -> int | None:
+        known = self.manifest()
+        return known and known["number"]
+
+    def applied(self, batch: tuple[str, int] | None) -> bool:
+        known = self.manifest()
+        return bool(batch and known and known["batches"].get(batch[0], -1) >= batch[1])
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.current()}")
+        known = self.manifest()
+        if known is None:
+            raise FileNotFoundError(f"no table at {self.path}")
+        return self._rows(known, known["parts"])
+
+    def _rows(self, known: dict, buckets) -> DataFrame:
+        schema = StructType.fromJson(known["schema"])
+        paths = [f"{self.path}/{p}" for b in buckets for p in known["parts"].get(str(b), [])]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def write(self, df: DataFrame) -> str:
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int") if self.keys else F.lit(0)
+
+    def _put(self, df: DataFrame) -> dict[str, list[str]]:
+        """Files of ``df``, by bucket."""
         version = f"v={uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        temporary = self._path(f"{self.path}/_current.{version[2:]}")
-        stream = self._fs.create(temporary, True)
-        stream.write(bytearray(version.encode()))
+        dealt = df.withColumn("__bucket", self._bucket())
+        if self.keys:
+            dealt = dealt.repartition(self.buckets, "__bucket")
+        dealt.write.partitionBy("__bucket").parquet(f"{self.path}/{version}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{version}"))]
+        return {n.partition("=")[2]: [f"{version}/{n}"] for n in names if n.startswith("__bucket=")}
+
+    def _commit(self, number: int, schema: StructType, parts: dict[str, list[str]], known: dict | None, batch: tuple[str, int] | None) -> int:
+        batches = dict(known["batches"]) if known else {}
+        if batch:
+            batches[batch[0]] = batch[1]
+        said = json.dumps({"schema": json.loads(schema.json()), "parts": parts, "batches": batches}).encode()
+        aside, place = (self._path(f"{self.path}/_manifests/{n}") for n in (f"_{uuid.uuid4().hex}", f"{number:012d}"))
+        stream = self._fs.create(aside, False)
+        stream.write(bytearray(said))
         stream.close()
-        pointer = self._path(f"{self.path}/_current")
-        self._fs.delete(pointer, False)
-        self._fs.rename(temporary, pointer)
-        return version
-
-    def upsert(self, incoming: DataFrame, keys: list[str]) -> str:
-        return self.write(incoming if self.current() is None else upsert(self.read(), incoming, keys))
+        if self._fs.exists(place) or not self._fs.rename(aside, place):
+            self._fs.delete(aside, False)
+            raise RuntimeError(f"version {number} of {self.path} was written by another")
+        return number
+
+    def write(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """``df`` as the whole table."""
+        known = self.manifest()
+        if self.applied(batch):
+            return known["number"]
+        return self._commit((known["number"] if known else 0) + 1, df.schema, self._put(df), known, batch)
+
+    def append(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """More rows."""
+        known = self.manifest()
+        if self.applied(batch):
+            return known["number"]
+        parts, new = dict(known["parts"]) if known else {}, self._put(df)
+        return self._commit((known["number"] if known else 0) + 1, df.schema, {b: [*parts.get(b, []), *new.get(b, [])] for b in {*parts, *new}}, known, batch)
+
+    def upsert(self, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Rows of ``incoming`` in place of those with their keys; or ``combine(stored, incoming)``, which
+        must keep every row in its bucket."""
+        known = self.manifest()
+        if self.applied(batch):
+            return known["number"]
+        combine = combine or (lambda old, new: upsert(old, new, self.keys))
+        if known is None:
+            empty = self.spark.createDataFrame([], incoming.schema)
+            return self._commit(1, incoming.schema, self._put(combine(empty, incoming)), None, batch)
+        touched = [r[0] for r in incoming.select(self._bucket()).distinct().collect()]  # at most ``buckets``
+        new = self._put(combine(self._rows(known, touched), incoming)) if touched else {}
+        parts = {b: p for b, p in known["parts"].items() if int(b) not in touched}
+        return self._commit(known["number"] + 1, StructType.fromJson(known["schema"]), parts | new, known, batch)

@@ -11,6 +11,7 @@ from ..operators import diff as D
 from ..operators import graph as G
 from ..operators import store as S
 from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, with_views
+from ..shared import shared_dir
 from ..streaming import changes as C
 from .registry import query
 
@@ -21,11 +22,7 @@ def sql(key, statement):
 
 def scratch(spark, name):
     """A folder of its own in the shared directory."""
-    spark.range(1)
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        G.cut(spark.range(1))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def records(spark, sf_dir):
@@ -39,9 +36,9 @@ REC = "r as (select file_path, file_hash, loc, blurb, extraction_model, file_id
 def sink_files_upsert(spark, sf_dir):
     """Through a versioned table: written, upserted, read back."""
     r = records(spark, sf_dir)
-    t = S.Table(spark, scratch(spark, "files"))
+    t = S.Table(spark, scratch(spark, "files"), ["file_path"])
     t.write(r.where("file_id % 3 <> 0").select("file_path", "blurb"))
-    t.upsert(r.where("file_id % 5 = 0").select("file_path", F.lit("new").alias("blurb")), ["file_path"])
+    t.upsert(r.where("file_id % 5 = 0").select("file_path", F.lit("new").alias("blurb")))
     return t.read()
 
 
@@ -279,7 +276,7 @@ def finish(writer, spark, name):
 @sql("str_watch", "with l as (select 'u' || user_id as path, event_id as seq, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1) select path, seq from l where event_type <> 'error'")
 def str_watch(spark, sf_dir):
     """A table kept by a stream of upserts, deletes and renames; the last change of a path wins."""
-    t = S.Table(spark, scratch(spark, "watch"))
+    t = S.Table(spark, scratch(spark, "watch"), ["path"])
     stream = change_feed(spark, sf_dir, "feed")
     finish(C.watch(stream, t), spark, "watch-state")
     return C.present(t)
@@ -288,12 +285,11 @@ def str_watch(spark, sf_dir):
 @sql("str_watch_legacy", "select 'src/user_' || user_id as file_path, count(*)::bigint as n from events group by 1")
 def str_watch_legacy(spark, sf_dir):
     """What a stream marks stale, summed over its batches."""
-    out = S.Table(spark, scratch(spark, "marks"))
+    out = S.Table(spark, scratch(spark, "marks"), ["file_path"])
 
-    def mark(batch, _):
+    def mark(batch, number):
         part = batch.groupBy(F.concat(F.lit("src/user_"), F.substring("path", 2, 20)).alias("file_path")).agg(F.count("*").alias("n"))
-        both = part if out.current() is None else out.read().unionByName(part)
-        out.write(both.groupBy("file_path").agg(F.sum("n").alias("n")))
+        out.upsert(part, lambda old, new: old.unionByName(new).groupBy("file_path").agg(F.sum("n").alias("n")), ("marks", number))
 
     finish(change_feed(spark, sf_dir, "feed").writeStream.foreachBatch(mark).trigger(availableNow=True), spark, "mark-state")
     return out.read()
@@ -311,12 +307,10 @@ def str_incremental(spark, sf_dir):
 @sql("str_queue", "select path, min(seq) as seq from (select 'u' || user_id as path, event_id as seq from events where event_type in ('view', 'click')) group by path")
 def str_queue(spark, sf_dir):
     """A queue with one pending entry for each path, kept by streaming deduplication."""
-    t = S.Table(spark, scratch(spark, "queue"))
+    t = S.Table(spark, scratch(spark, "queue"), ["path"])
 
     def queue(batch, _):
-        first = S.first_wins(batch.select("path", "seq"), ["path"], "seq")
-        known = first if t.current() is None else t.read().unionByName(first)
-        t.write(S.first_wins(known, ["path"], "seq"))
+        t.upsert(batch.select("path", "seq"), lambda old, new: S.first_wins(old.unionByName(new), ["path"], "seq"))
 
     e = table(spark, sf_dir, "events").where("event_type in ('view', 'click')").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"))
     where = scratch(spark, "queue-feed")
@@ -330,33 +324,41 @@ def str_queue(spark, sf_dir):
 def str_witness(spark, sf_dir):
     """The same fold as a streaming aggregation with Spark's own state."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
-    where, out = scratch(spark, "witness-feed"), S.Table(spark, scratch(spark, "witness"))
+    where, out = scratch(spark, "witness-feed"), S.Table(spark, scratch(spark, "witness"), ["user_id", "event_type"])
     e.repartitionByRange(3, "event_id").write.parquet(where)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where)
 
     def keep(batch, _):
-        out.write(batch if out.current() is None else S.upsert(out.read(), batch, ["user_id", "event_type"]))  # the state's newest rows
+        out.upsert(batch)  # the state's newest rows
 
     finish(C.witness(stream, WEIGHTS).writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True), spark, "witness-state")
     return out.read()
 
 
-@sql("str_idempotent", "select user_id % 50 as key, count(distinct user_id % 50)::bigint as applied from events group by 1")
+@sql("str_idempotent", "select user_id as key, min(event_id) as event_id, count(distinct user_id)::bigint as applied from events group by 1")
 def str_idempotent(spark, sf_dir):
-    """Commands that come many times are applied once each."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("key"), F.sha2((F.col("user_id") % 50).cast("string"), 256).alias("payload_hash"), "event_id")
-    where, done, log = scratch(spark, "command-feed"), S.Table(spark, scratch(spark, "done")), scratch(spark, "applied")
-    e.repartitionByRange(3, "event_id").write.parquet(where)
+    """Commands that come many times are applied once each, the first of each batch counting; the effects
+    are what a log holds in the end."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.sha2(F.col("event_id").cast("string"), 256).alias("payload_hash"), "event_id")
+    where = scratch(spark, "command-feed")
+    done, log = S.Table(spark, scratch(spark, "done"), ["key"]), S.Table(spark, scratch(spark, "applied"), ["key"])
+    e.coalesce(1).sortWithinPartitions("event_id").write.option("maxRecordsPerFile", 4000).parquet(where)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where)
-    finish(C.exactly_once(stream, done, lambda fresh: fresh.select("key").write.mode("append").parquet(log)), spark, "command-state")
-    return spark.read.parquet(log).groupBy("key").agg(F.count("*").alias("applied"))
+    finish(C.exactly_once(stream, done, log, lambda fresh: fresh.select("key", "event_id"), "commands", "event_id"), spark, "command-state")
+    return log.read().groupBy("key").agg(F.min("event_id").alias("event_id"), F.count("*").alias("applied"))
 
 
 @sql("win_tumbling", "select time_bucket(interval 1 day, ts) as day, event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by all")
 def win_tumbling(spark, sf_dir):
-    """Day windows with a watermark, over a stream that is read to its end in batch form."""
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
-
-
+    """Day windows with a watermark over a stream, each emitted when it closes; a last event far ahead
+    closes all, and is itself left open."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    where, out = scratch(spark, "tumbling-feed"), scratch(spark, "tumbling")
+    e.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(where)
+    end = e.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select("ts", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    end.coalesce(1).write.mode("append").parquet(where)
+    stream = spark.readStream.schema(e.schema).parquet(where).withWatermark("ts", "7 days")
+    days = stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    days = days.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+    finish(days.writeStream.outputMode("append").format("parquet").option("path", out).trigger(availableNow=True), spark, "tumbling-state")
+    return spark.read.schema(days.schema).parquet(out)

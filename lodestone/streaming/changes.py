@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..operators.store import Table, replay, upsert
+from ..operators.store import Table, first_wins, replay
 
 
 def coalesce_changes(batch: DataFrame, path: str = "path", seq: str = "seq") -> DataFrame:
@@ -28,14 +28,12 @@ def watch(stream: DataFrame, table: Table, interval: str | None = None):
     """Keep a table of (path, op, seq) in step with a stream of changes. The trigger's interval is the
     debounce; each micro-batch is coalesced, then applied at once.
 
-    The table keeps the last change of each path, deletes included, by sequence number and not by
-    arrival: batches that come late, twice or in another order lead to the same table. ``present``
-    reads the paths that exist."""
+    The table (keyed by path) keeps the last change of each path, deletes included, by sequence number and
+    not by arrival: batches that come late, twice or in another order lead to the same table. A batch
+    rewrites the buckets of its paths only. ``present`` reads the paths that exist."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        changes = renames(batch)
-        known = changes if table.current() is None else table.read().unionByName(changes)
-        table.write(coalesce_changes(known))
+        table.upsert(renames(batch), lambda old, new: coalesce_changes(old.unionByName(new)))
 
     writer = stream.writeStream.foreachBatch(apply)
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
@@ -67,14 +65,19 @@ def witness(events: DataFrame, weights: dict[str, int]) -> DataFrame:
     return events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.least(F.lit(100), F.sum(weight)).alias("confidence"), F.max("ts").alias("last_seen"))
 
 
-def exactly_once(stream: DataFrame, done: Table, act: Callable[[DataFrame], None]):
-    """Apply commands (key, payload_hash, ...) once each, across batches and restarts."""
+def exactly_once(stream: DataFrame, done: Table, log: Table, act: Callable[[DataFrame], DataFrame], name: str, *order: str):
+    """Apply commands (key, payload_hash, ...) once each, across batches, restarts and crashes.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(["key"])
-        fresh = batch if done.current() is None else replay(batch, done.read()).where("status = 'fresh'").drop("status")
-        act(fresh)
-        keys = fresh.select("key", "payload_hash")
-        done.write(keys if done.current() is None else upsert(done.read(), keys, ["key"]))
+    ``act`` turns fresh commands into the rows of their effects, which go to ``log``; of several commands
+    of one key the first by ``order`` counts. Effects and the list of what is done are two tables, each
+    of which takes a numbered batch at most once: a batch that died between the two is repeated, finds its
+    effects in place, and only notes them as done.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        first = first_wins(batch, ["key"], *order)
+        fresh = first if done.current() is None else replay(first, done.read()).where("status = 'fresh'").drop("status")
+        log.append(act(fresh), batch=(name, number))
+        done.upsert(fresh.select("key", "payload_hash"), batch=(name, number))
 
     return stream.writeStream.foreachBatch(apply).trigger(availableNow=True)

@@ -113,12 +113,73 @@ def test_pages(spark):
 
 
 def test_tables(spark, tmp_path):
-    t = S.Table(spark, str(tmp_path / "t"))
+    t = S.Table(spark, str(tmp_path / "t"), ["k"])
     assert t.current() is None
     rows = lambda x: spark.createDataFrame(x, "k long, v string")
-    t.upsert(rows([(1, "a"), (2, "b")]), ["k"])
-    t.upsert(rows([(2, "c"), (3, "d")]), ["k"])
+    t.upsert(rows([(1, "a"), (2, "b")]))
+    before = t.manifest()["parts"]
+    t.upsert(rows([(2, "c"), (3, "d")]))
     assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert any(p in t.manifest()["parts"].values() for p in before.values())  # the bucket of key 1 is as it was
+    t.append(rows([(9, "z")]), batch=("s", 4))
+    t.append(rows([(9, "z")]), batch=("s", 4))
+    t.upsert(rows([(1, "q")]), batch=("s", 3))
+    assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "c"), (3, "d"), (9, "z")]
+    t.write(rows([]))
+    assert t.read().count() == 0
+
+
+@pytest.mark.parametrize("where", ["_put", "_commit", "rename"])
+def test_a_write_that_dies_changes_nothing(spark, tmp_path, monkeypatch, where):
+    rows = lambda x: spark.createDataFrame(x, "k long, v string")
+    t = S.Table(spark, str(tmp_path / "t"), ["k"])
+    t.upsert(rows([(1, "a"), (2, "b")]))
+
+    class Dead(Exception):
+        pass
+
+    def die(*_, **__):
+        raise Dead
+
+    with monkeypatch.context() as m:
+        if where == "rename":  # the manifest is written aside, not put in place
+
+            class Broken:
+                def __getattr__(self, name):
+                    return die if name == "rename" else getattr(S.Table(spark, t.path)._fs, name)
+
+            m.setattr(t, "_fs", Broken())
+        else:
+            m.setattr(t, where, die)
+        with pytest.raises(Dead):
+            t.upsert(rows([(2, "c"), (3, "d")]))
+    assert sorted(map(tuple, S.Table(spark, t.path, ["k"]).read().collect())) == [(1, "a"), (2, "b")]
+    t.upsert(rows([(2, "c"), (3, "d")]))
+    assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_commands_apply_once_across_a_crash(spark, tmp_path):
+    """A run dies after the effects of a batch are written and before they are noted as done."""
+    schema = "key long, payload_hash string, seq long"
+    feed = [[(1, "a", 1), (2, "b", 2), (1, "x", 3)], [(2, "b", 4), (3, "c", 5)], [(3, "z", 6), (4, "d", 7)]]
+    done, log = S.Table(spark, str(tmp_path / "done"), ["key"]), S.Table(spark, str(tmp_path / "log"), ["key"])
+    for k, part in enumerate(feed):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        for crash in (True, False):
+            table = S.Table(spark, done.path, ["key"])
+            if crash:
+
+                def die(*_, **__):
+                    raise RuntimeError("dead")
+
+                table.upsert = die
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))
+            q = changes.exactly_once(stream, table, log, lambda fresh: fresh.select("key", "seq"), "c", "seq").option("checkpointLocation", str(tmp_path / "state")).start()
+            try:
+                q.awaitTermination()
+            except Exception:
+                assert crash, k
+    assert sorted(map(tuple, log.read().collect())) == [(1, 1), (2, 2), (3, 5), (4, 7)]
 
 
 def test_commits(spark):
@@ -181,7 +242,7 @@ def test_watch_in_any_order(spark, tmp_path):
     for k, part in enumerate((rows[3:], rows[:3], rows[1:4])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))
-        table = S.Table(spark, str(tmp_path / "table"))
+        table = S.Table(spark, str(tmp_path / "table"), ["path"])
         changes.watch(stream, table).option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
     assert sorted(map(tuple, changes.present(table).collect())) == [("a", 5), ("b", 2)]
 
