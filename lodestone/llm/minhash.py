@@ -29,8 +29,8 @@ PERMS, BANDS = 128, 32
 #: A pair is confirmed on full sets unless its signatures agree this much less often than the
 #: threshold: 0.2 is 5.6 standard deviations at 0.8 (chance under 2e-8).
 SLACK = 0.2
-#: Classes of a block that is compared as a whole.
-BLOCK = 128
+#: Classes, and shingles in all, of a block that is compared as a whole.
+BLOCK, BLOCK_SHINGLES = 128, 400_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -176,15 +176,21 @@ def _across(members: DataFrame, roots: DataFrame, classes: DataFrame, docs: Data
 
     In each such bucket one component is the main one, by members. Classes outside it are compared
     with it and with each other; those of all buckets with one main component meet at once, in blocks
-    of at most about BLOCK classes, so that no pair is ever a row and no block pair exceeds a task.
+    of at most about BLOCK classes and BLOCK_SHINGLES shingles (or one class), so that no pair is ever a
+    row and no block pair exceeds a task. Classes are dealt to blocks by size: a class of so many
+    shingles that few fit a block meets others in blocks of its own kind.
     """
     placed = members.select("key", "ck").join(roots.select(F.col("node").alias("ck"), "root"), "ck", "left").select("key", "ck", F.coalesce("root", "ck").alias("root"))
     each = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = each.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "root")).alias("main")).where("kinds > 1").select("key", F.col("main.root").alias("main"))
     met = placed.join(mixed, "key").select("main", "ck", "root").distinct().withColumn("inside", F.col("root") == F.col("main"))
     met = store(met, "met")
-    counts = met.groupBy("main", "inside").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = met.join(counts, ["main", "inside"]).withColumn("block", F.pmod(F.xxhash64("ck"), "blocks").cast("int"))
+    # classes of one size, to a factor of two, share blocks; so many to a block as fit
+    met_sizes = met.join(classes.select("ck", "n"), "ck").withColumn("scale", F.ceil(F.log2("n")).cast("int"))
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2), "scale")))
+    counts = met_sizes.groupBy("main", "inside", "scale").agg(F.ceil(F.count("*") / F.first(room)).cast("int").alias("blocks"))
+    deal = F.pmod(F.xxhash64("ck"), "blocks").cast("int").cast("string")
+    dealt = met_sizes.join(counts, ["main", "inside", "scale"]).withColumn("block", F.concat_ws(".", F.lpad(F.col("scale").cast("string"), 2, "0"), deal))
     dealt = dealt.select("main", "inside", "block", "ck", "root")
     wanted = classes.join(met.select("ck").distinct(), "ck", "left_semi").select("id", "ck")
     sets = full_sets(docs, id_col, text_col, words, wanted)
