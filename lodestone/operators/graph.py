@@ -5,8 +5,10 @@ Loops write their state to the shared folder each round (``cut``) and delete wha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,19 +91,70 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+#: Edges that one task takes when a loop over all executors has no more to gain from them.
+LOCAL_EDGES = 500_000
+
+
+def _tarjan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, scc) of components of two nodes or more, by a depth-first search without recursion."""
+    out: dict[str, list[str]] = {}
+    for part in parts:
+        for a, b in zip(part.column("source").to_pylist(), part.column("target").to_pylist(), strict=True):
+            out.setdefault(a, []).append(b)
+            out.setdefault(b, [])
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    held: set[str] = set()
+    rows: list[tuple[str, str]] = []
+    for root in out:
+        if root in number:
+            continue
+        work = [(root, iter(out[root]))]
+        number[root] = low[root] = len(number)
+        open_.append(root)
+        held.add(root)
+        while work:
+            node, rest = work[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    open_.append(to)
+                    held.add(to)
+                    work.append((to, iter(out[to])))
+                    break
+                if to in held:
+                    low[node] = min(low[node], number[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(open_.pop())
+                    held.difference_update(members)
+                    if len(members) > 1:
+                        least = min(members)
+                        rows += [(m, least) for m in members]
+    node, scc = zip(*rows, strict=True) if rows else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(node, pa.string()), pa.array(scc, pa.string())], ["node", "scc"])
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, scc) of nodes in strong components of two nodes or more; scc is the smallest member.
 
     Nodes that no cycle can hold are trimmed until none is left to trim. Then every node takes the
     smallest node that reaches it as its colour; within a colour, what reaches the colour's node is
-    its component, which leaves the graph. A node that is alone in its component has no row; whether it
+    its component, which leaves the graph. Once no more than LOCAL_EDGES edges are left, one task reads
+    their components off, since rounds over long ways cost more than that. A node that is alone in its component has no row; whether it
     points to itself is for the caller to see from the edges.
     """
     edges = cut(edges.where("source <> target").select("source", "target").distinct())
     out = None
     while True:
         size = edges.count()
-        while size:
+        while size > LOCAL_EDGES:
             kept = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
             edges = cut(kept.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), edges)
             before, size = size, edges.count()
@@ -109,6 +162,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 break
         if not size:
             break
+        if size <= LOCAL_EDGES:
+            found = edges.coalesce(1).mapInArrow(_tarjan, "node string, scc string")
+            out = cut(found) if out is None else cut(out.unionByName(found), out)
+            break
         colour = cut(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("c", F.col("node")))
         changed = True
         while changed:
@@ -130,6 +187,43 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def cycles(edges: DataFrame, least: int = 2, holding: DataFrame | None = None) -> DataFrame:
+    """(node, scc, size) of the members of components with at least ``least`` members; scc is the smallest
+    one. A node that points to itself is a component of one, if it is in no larger one. With ``holding``
+    (one row: node) only the component that holds that node."""
+    edges = cut(edges.select("source", "target"))
+    strong = strong_components(edges)
+    if least < 2:
+        loops = edges.where("source = target").select(F.col("source").alias("node")).distinct()
+        strong = strong.unionByName(loops.join(strong, "node", "left_anti").select("node", F.col("node").alias("scc")))
+    if holding is not None:
+        strong = strong.join(strong.join(holding.select("node"), "node", "left_semi").select("scc"), "scc", "left_semi")
+    sizes = strong.groupBy("scc").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return strong.join(sizes, "scc").select("node", "scc", "size")
+
+
+def unique_symbols(symbols: DataFrame) -> DataFrame:
+    """(name, node): names that exactly one symbol (name, file_path) bears, and its file."""
+    return symbols.groupBy("name").agg(F.min("file_path").alias("node"), F.count("*").alias("n")).where("n = 1").select("name", "node")
+
+
+def trace(edges: DataFrame, start: str, goal: str, hops: int) -> DataFrame:
+    """One row (hops, path): the shortest path that a traversal with sorted neighbours finds from
+    ``start`` to ``goal`` within ``hops`` steps; no row if there is none."""
+    edges = cut(edges.where("source <> target").select("source", "target").distinct())
+    frontier = cut(edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("path")))
+    seen = cut(frontier.select("node"))
+    for level in range(hops + 1):
+        found = frontier.where(F.col("node") == goal)
+        if level == hops or not found.isEmpty():
+            return found.select(F.lit(level).alias("hops"), "path")
+        step = frontier.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), "path")
+        least = step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
+        frontier = cut(least.select("node", F.concat("path", F.array("node")).alias("path")), frontier)
+        seen = cut(seen.unionByName(frontier.select("node")), seen)
+    raise AssertionError
+
+
 def bfs_many_within(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """(node, c): what each colour's own node reaches by edges (source, target, c) of that colour."""
     edges = cut(edges)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..operators import graph as G
-from ..sources.adapters import changelog, files, import_edges, references, symbols, with_views
+from ..sources.adapters import changelog, files, import_edges, main_edges, references, symbols, with_views
+from ..operators.retrieval import rrf, with_rank
+from ..shared import cut
 from .registry import query
+from .retrieval import FILE_SCORES, file_scores
 from .relational import FILLED, all_edges, degrees, fans, filled_fields
 
 
@@ -43,7 +46,17 @@ def g_bfs(spark, sf_dir):
     return G.bfs(e, hub(e, "source"), 4)
 
 
-@query("g_bfs_paths")
+def paths_sql(view, start, depth):
+    """Level by level: each new node with the least path of its parents; ends in ``walked`` (node, depth, path)."""
+    levels = [f"d as (select distinct source, target from {view} where source <> target), l0 as (select {start} as node, [{start}] as path)"]
+    for k in range(1, depth + 1):
+        seen = " union all ".join(f"select node from l{j}" for j in range(k))
+        levels.append(f"l{k} as materialized (select target as node, list_append(min(path), target) as path from l{k - 1} join d on source = node where target not in ({seen}) group by target)")
+    whole = " union all ".join(f"select node, {k}::int as depth, path from l{k}" for k in range(depth + 1))
+    return ", ".join(levels) + f", walked as ({whole})"
+
+
+@sql("g_bfs_paths", f"with {paths_sql('all_edges', hub_sql('all_edges', 'source'), 4)} select node, depth, array_to_string(path, '>') as path from walked")
 def g_bfs_paths(spark, sf_dir):
     """With one path for each node, through the parent discovered first."""
     e = all_edges(spark, sf_dir)
@@ -76,7 +89,7 @@ def g_impact_detailed(spark, sf_dir):
     frontier = hub(e, "target").withColumn("depth", F.lit(0))
     steps = []
     for level in (1, 2):
-        frontier = G.cut(frontier.select(F.col("node").alias("target")).join(e, "target").select(F.col("source").alias("node"), F.lit(level).alias("depth"), F.greatest(F.lit(1), "usage_count").alias("usages")))
+        frontier = cut(frontier.select(F.col("node").alias("target")).join(e, "target").select(F.col("source").alias("node"), F.lit(level).alias("depth"), F.greatest(F.lit(1), "usage_count").alias("usages")))
         steps.append(frontier)
     rows = steps[0].unionByName(steps[1])
     return rows.groupBy("node").agg(F.min("depth").alias("depth"), F.sum("usages").alias("usages"), F.round(F.sum(F.col("usages") / F.col("depth").cast("double")), 6).alias("score"))
@@ -99,41 +112,49 @@ def g_neighbors_detailed(spark, sf_dir):
     return e.join(seen.select(F.col("node").alias("source"), (F.col("depth") + 1).alias("depth")), "source").select("source", "target", "edge_type", "usage_count", "depth")
 
 
-@sql("g_trace", f"""with recursive walk(node, depth) as (select {hub_sql('all_edges', 'source')} as node, 0 union select e.target, w.depth + 1 from walk w join all_edges e on e.source = w.node where w.depth < 8)
-select max(depth)::int as hops, count(*)::bigint as nodes from (select node, min(depth) as depth from walk group by node)""")
+UNIQUE = "u as (select name || ' ' || raw_kind || ' ' || line_start as name, min(file_path) as node from symbols group by 1 having count(*) = 1)"
+
+
+@sql("g_trace", f"with {UNIQUE}, {paths_sql('import_edges', '(select min(node) from u)', 8)} select depth as hops, array_to_string(path, '>') as path from walked where node = (select max(node) from u)")
 def g_trace(spark, sf_dir):
-    """How far the farthest node within eight hops is, by shortest paths."""
-    e = all_edges(spark, sf_dir)
-    return G.bfs(e, hub(e, "source"), 8).agg(F.max("depth").alias("hops"), F.count("*").alias("nodes"))
+    """A shortest path of at most eight hops between two symbols. Endpoints are names that exactly one
+    symbol bears: the ones of the first and the last file."""
+    s = symbols(spark, sf_dir).withColumn("name", F.concat_ws(" ", "name", "raw_kind", "line_start"))
+    named = G.unique_symbols(s).agg(F.min("node").alias("a"), F.max("node").alias("b")).first()
+    return G.trace(import_edges(spark, sf_dir), named.a, named.b, 8).select("hops", F.array_join("path", ">").alias("path"))
 
 
-@query("g_trace_path")
+@sql("g_trace_path", f"with {paths_sql('all_edges', hub_sql('all_edges', 'source'), 8)} select node, len(path)::int as n, array_to_string(path, '>') as path from walked where depth = (select max(depth) from walked)")
 def g_trace_path(spark, sf_dir):
-    """One shortest path to each of the farthest nodes."""
+    """One shortest path to each of the farthest nodes within eight hops."""
     e = all_edges(spark, sf_dir)
     walked = G.bfs(e, hub(e, "source"), 8, paths=True)
     far = walked.agg(F.max("depth").alias("depth"))
     return walked.join(F.broadcast(far), "depth").select("node", F.size("path").alias("n"), F.array_join("path", ">").alias("path"))
 
 
+def cheapest_sql(start, hops):
+    """Costs layer by layer over ``w`` (source, target, cost): the least of all walks of up to so many hops."""
+    layers = [f"c0 as (select {start} as node, 0.0::double as cost)"]
+    layers += [f"c{k} as materialized (select target as node, round(min(c.cost + w.cost), 9) as cost from c{k - 1} c join w on w.source = c.node group by target)" for k in range(1, hops + 1)]
+    return ", ".join(layers), " union all ".join(f"select * from c{k}" for k in range(hops + 1))
+
+
 COST = "case edge_type when 'import' then 1.0 when 'runtime_call' then 1.0 when 'reexport' then 0.75 when 'type_ref' then 1.25 when 'config_ref' then 1.5 else 1.1 end::double"
 
 
-@sql("g_trace_weighted", f"""with recursive w as (select source, target, min({COST}) as cost from all_edges group by all),
-walk(node, cost, path) as (select {hub_sql('all_edges', 'source')} as node, 0.0::double as cost, [{hub_sql('all_edges', 'source')}] as path
-  union all select w.target, round(walk.cost + w.cost, 9), list_append(walk.path, w.target) from walk join w on w.source = walk.node where len(walk.path) < 5 and not list_contains(walk.path, w.target))
-select node, round(min(cost), 6) as cost from walk group by node""".replace("with recursive w as", "with recursive w as"))
+_LAYERS, _ALL = cheapest_sql(hub_sql("all_edges", "source"), 8)
+
+
+@sql("g_trace_weighted", f"""with w as (select source, target, min({COST}) as cost from all_edges group by all), {_LAYERS} select node, round(min(cost), 6) as cost from ({_ALL}) group by node""")
 def g_trace_weighted(spark, sf_dir):
-    """Cheapest simple paths of at most four edges."""
+    """Cheapest simple paths of at most eight edges."""
     e = all_edges(spark, sf_dir).select("source", "target", G.edge_cost(F.col("edge_type")).alias("cost"))
     start = hub(e, "source").first()[0]
-    return G.cheapest_paths(e, start, 4).select("node", F.round("cost", 6).alias("cost"))
+    return G.cheapest_paths(e, start, 8).select("node", F.round("cost", 6).alias("cost"))
 
 
-@sql("g_trace_detailed", f"""with recursive x as (select source, target, {COST} as cost from all_edges union all select target, source, case edge_type when 'import' then 1.5 else 1.5 * {COST} end from all_edges), w as (select source, target, min(cost) as cost from x group by all),
-walk(node, cost, path) as (select {hub_sql('all_edges', 'source')} as node, 0.0::double as cost, [{hub_sql('all_edges', 'source')}] as path
-  union all select w.target, round(walk.cost + w.cost, 9), list_append(walk.path, w.target) from walk join w on w.source = walk.node where len(walk.path) < 4 and not list_contains(walk.path, w.target))
-select node, round(min(cost), 6) as cost from walk group by node""")
+@sql("g_trace_detailed", f"""with x as (select source, target, {COST} as cost from all_edges union all select target, source, case edge_type when 'import' then 1.5 else 1.5 * {COST} end from all_edges), w as (select source, target, min(cost) as cost from x group by all), {_LAYERS} select node, round(min(cost), 6) as cost from ({_ALL}) group by node""")
 def g_trace_detailed(spark, sf_dir):
     """The same over edges that may also be walked backwards at a higher cost."""
     e = all_edges(spark, sf_dir)
@@ -141,7 +162,7 @@ def g_trace_detailed(spark, sf_dir):
     back = F.when(F.col("edge_type") == "import", 1.5).otherwise(1.5 * cost)
     start = hub(e, "source").first()[0]
     both = e.select("source", "target", cost.alias("cost")).unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"), back.alias("cost")))
-    return G.cheapest_paths(both, start, 3).select("node", F.round("cost", 6).alias("cost"))
+    return G.cheapest_paths(both, start, 8).select("node", F.round("cost", 6).alias("cost"))
 
 
 @sql("g_reach_path", f"""with recursive walk(node) as (select {hub_sql('import_edges', 'source')} union select e.target from walk w join import_edges e on e.source = w.node) select node from walk""")
@@ -154,10 +175,27 @@ SCC = """with recursive reach(a, b) as (select source, target from all_edges whe
 mutual as (select x.a as node, min(least(x.a, x.b)) as scc from reach x join reach y on x.a = y.b and x.b = y.a where x.a <> x.b group by x.a) """
 
 
-@sql("g_cycles", SCC + "select scc, count(*)::bigint as size, string_agg(node, ',' order by node) as members from mutual group by scc")
+@sql("g_cycles", SCC + "select node, scc, count(*) over (partition by scc)::bigint as size from mutual")
 def g_cycles(spark, sf_dir):
-    s = G.strong_components(all_edges(spark, sf_dir))
-    return s.groupBy("scc").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"))
+    """Members of each cycle of two or more, a row each: a component may hold most of a graph."""
+    return G.cycles(all_edges(spark, sf_dir))
+
+
+MAIN_SCC = SCC.replace("all_edges", "main_edges")
+
+
+@sql("g_cycles_main", MAIN_SCC + "select node, scc, count(*) over (partition by scc)::bigint as size from mutual")
+def g_cycles_main(spark, sf_dir):
+    """Cycles where each file has one main import: several small ones at the ends of long ways."""
+    return G.cycles(main_edges(spark, sf_dir))
+
+
+@sql("g_cycles_file", MAIN_SCC + "select node, scc, count(*) over (partition by scc)::bigint as size from mutual where scc = (select min(m.scc) from mutual m where m.node = (select max(node) from mutual)) union all select source, source, 1 from main_edges where source = target and source = (select max(node) from mutual) and source not in (select node from mutual)")
+def g_cycles_file(spark, sf_dir):
+    """The cycle that holds one file."""
+    e = main_edges(spark, sf_dir)
+    last = G.cycles(e).agg(F.max("node").alias("node"))
+    return G.cycles(e, holding=last)
 
 
 @sql("g_cycles_detailed", SCC + "select m.scc, count(distinct m.node)::bigint as size, count(distinct (e.source, e.target))::bigint as edges from mutual m join all_edges e on e.source = m.node join mutual t on t.node = e.target and t.scc = m.scc group by m.scc")
@@ -298,63 +336,91 @@ def g_community_names(spark, sf_dir):
     return parts.select("node", "part").join(named, "part").select("node", "name")
 
 
-@sql("act_plan_context", f"""with recursive seeds as (select file_path as node from symbols where contains(name, 'a') order by symbol_id limit 20),
-walk(node, depth) as (select node, 0 from seeds union select case when e.source = w.node then e.target else e.source end, w.depth + 1 from walk w join all_edges e on e.source = w.node or e.target = w.node where w.depth < 1)
-select node, min(depth)::int as depth, case when min(depth) = 0 then 'lexical_match' else 'neighbor_expansion' end as reason from walk group by node""")
+HITS = FILE_SCORES + """,
+hits as (select 'part_' || lpad(doc::varchar, 6, '0') as node, row_number() over (order by round(score, 9), doc) as rank from scored qualify rank <= 100)"""
+
+
+def hits(spark, sf_dir, most):
+    """The best lexical hits as nodes: a file's symbol bears the file's number."""
+    best = file_scores(spark, sf_dir)[1].orderBy(F.round("score", 9), "doc").limit(most)
+    return with_rank(best, F.round("score", 9), "doc").select(F.concat(F.lit("part_"), F.lpad(F.col("doc").cast("string"), 6, "0")).alias("node"), "rank")
+
+
+@sql("act_plan_context", f"""with {HITS}, near as (select e.target as node from hits h join all_edges e on e.source = h.node where h.rank <= 20 union select e.source from hits h join all_edges e on e.target = h.node where h.rank <= 20)
+select node, min(depth)::int as depth, string_agg(reason, ',' order by reason) as reasons from (select node, 0 as depth, 'lexical_match' as reason from hits union all select node, 1, 'neighbor_expansion' from near where node not in (select node from hits where rank <= 20)) group by node""")
 def act_plan_context(spark, sf_dir):
-    """Hits and their neighbours, each with the reason it is there."""
-    seeds = symbols(spark, sf_dir).where(F.contains("name", F.lit("a"))).orderBy("symbol_id").limit(20).select(F.col("file_path").alias("node"))
-    near = G.bfs(G.both_ways(all_edges(spark, sf_dir)), seeds, 1)
-    return near.select("node", "depth", F.when(F.col("depth") == 0, "lexical_match").otherwise("neighbor_expansion").alias("reason"))
+    """The 100 best hits and the neighbours of the first 20, each with the reasons it is there."""
+    found = cut(hits(spark, sf_dir, 100))
+    near = G.bfs(G.both_ways(all_edges(spark, sf_dir)), found.where("rank <= 20").select("node"), 1).where("depth > 0")
+    rows = found.select("node", F.lit(0).alias("depth"), F.lit("lexical_match").alias("reason")).unionByName(near.select("node", "depth", F.lit("neighbor_expansion").alias("reason")))
+    return rows.groupBy("node").agg(F.min("depth").alias("depth"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
-@sql("act_plan_context_detailed", """with recursive seeds as (select file_path as node from symbols where contains(name, 'a') order by symbol_id limit 10),
+@sql("act_plan_context_detailed", f"""with recursive {HITS},
+dense as (select 'part_' || lpad(symbol_id::varchar, 6, '0') as node, row_number() over (order by line_start desc, symbol_id) as rank from symbols qualify rank <= 50),
+fused as (select node, sum(1 / (60.0::double + rank)) as score from (select node, rank from hits where rank <= 50 union all select * from dense) group by node),
+seeds as (select node from fused order by round(score, 9) desc, node limit 50),
 walk(root, node, depth) as (select node, node, 0 from seeds union select w.root, case when e.source = w.node then e.target else e.source end, w.depth + 1 from walk w join all_edges e on e.source = w.node or e.target = w.node where w.depth < 2),
-deg as (select node, count(*) as degree from (select source as node from all_edges union all select target from all_edges) group by node)
-select w.root, w.node, min(w.depth)::int as depth, coalesce(max(d.degree), 0)::bigint as blast_radius from walk w left join deg d on d.node = w.node group by w.root, w.node""")
+deg as (select node, count(*) as degree from (select source as node from all_edges union all select target from all_edges) group by node),
+found as (select root, node, min(depth)::int as depth from walk group by all),
+ranked as (select *, row_number() over (partition by root order by depth, node) as place from found)
+select r.root, r.node, r.depth, coalesce(d.degree, 0)::bigint as blast_radius from ranked r left join deg d on d.node = r.node where place <= 51""")
 def act_plan_context_detailed(spark, sf_dir):
+    """Seeds by fused ranks (lexical hits, and symbols by size), up to 50 neighbours of each within two steps."""
     e = all_edges(spark, sf_dir)
-    seeds = symbols(spark, sf_dir).where(F.contains("name", F.lit("a"))).orderBy("symbol_id").limit(10).select(F.col("file_path").alias("root"))
+    lexical = hits(spark, sf_dir, 50).withColumnRenamed("node", "id")
+    large = symbols(spark, sf_dir).select(F.col("file_path").alias("id"), "line_start", "symbol_id").orderBy(F.desc("line_start"), "symbol_id").limit(50)
+    fused = rrf([lexical, with_rank(large, F.desc("line_start"), "symbol_id")])
+    seeds = cut(fused.orderBy(F.desc(F.round("score", 9)), "id").limit(50).select(F.col("id").alias("root")))
     near = G.bfs_many(G.both_ways(e), seeds, 2)
+    place = F.row_number().over(Window.partitionBy("root").orderBy("depth", "node"))
+    near = near.withColumn("place", place).where("place <= 51")
     return near.join(degrees(e), "node", "left").select("root", "node", "depth", F.coalesce("degree", F.lit(0)).cast("long").alias("blast_radius"))
 
 
 # --- audits --------------------------------------------------------------------------------------------
 
 
-@sql("aud_gaps", "select file_path, gap, severity from (select file_path, unnest([{'gap': case when coalesce(purpose, '') = '' then 'purpose' end, 'severity': 'high'}, {'gap': case when coalesce(blurb, '') = '' then 'blurb' end, 'severity': 'high'}, {'gap': case when len(tags) = 0 then 'tags' end, 'severity': 'medium'}, {'gap': case when len(hazards) = 0 then 'hazards' end, 'severity': 'low'}], recursive := true) from files) where gap is not null")
+@sql("aud_gaps", "select file_path, gap, severity from (select file_path, unnest([{'gap': case when coalesce(purpose, '') = '' then 'purpose' end, 'severity': 'high'}, {'gap': case when coalesce(blurb, '') = '' then 'blurb' end, 'severity': 'high'}, {'gap': case when len(tags) = 0 then 'tags' end, 'severity': 'medium'}, {'gap': case when len(source_highlights) = 0 then 'source_highlights' end, 'severity': 'medium'}, {'gap': case when cross_references is null then 'cross_references' end, 'severity': 'medium'}, {'gap': case when len(patterns) = 0 then 'patterns' end, 'severity': 'low'}], recursive := true) from files) where gap is not null")
 def aud_gaps(spark, sf_dir):
+    """Up to six gaps of a file, with their severity."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     gap = lambda cond, name, severity: F.when(cond, F.struct(F.lit(name).alias("gap"), F.lit(severity).alias("severity")))
-    gaps = F.array_compact(F.array(gap(empty("purpose"), "purpose", "high"), gap(empty("blurb"), "blurb", "high"), gap(F.size("tags") == 0, "tags", "medium"), gap(F.size("hazards") == 0, "hazards", "low")))
+    none = lambda c: F.size(c) == 0
+    gaps = F.array_compact(F.array(gap(empty("purpose"), "purpose", "high"), gap(empty("blurb"), "blurb", "high"), gap(none("tags"), "tags", "medium"), gap(none("source_highlights"), "source_highlights", "medium"), gap(F.col("cross_references").isNull(), "cross_references", "medium"), gap(none("patterns"), "patterns", "low")))
     return files(spark, sf_dir).select("file_path", F.inline(gaps))
 
 
-METRICS = """m as (select s.file_path, s.line_start * 30 as loc, coalesce(d.degree, 0) as degree, coalesce(f.fan_in, 0) as fan_in, coalesce(f.fan_out, 0) as fan_out, coalesce(c.changes, 0) as changes, coalesce(c.breaking, 0) as breaking, s.symbol_id % 9 as hazards
+METRICS = """m as (select s.file_path, s.line_start * 30 as loc, coalesce(d.degree, 0) as degree, coalesce(f.fan_in, 0) as fan_in, coalesce(f.fan_out, 0) as fan_out, coalesce(c.changes, 0) as changes, coalesce(c.breaking, 0) as breaking, s.symbol_id % 9 as hazards, coalesce(u.usages, 0) as usages, coalesce(date_diff('day', c.latest, timestamp '2024-02-15'), 999) as stale
  from symbols s left join (select node, count(*) as degree from (select source as node from all_edges union all select target from all_edges) group by node) d on d.node = s.file_path
  left join (select coalesce(a.n, b.n) as node, coalesce(fan_in, 0) as fan_in, coalesce(fan_out, 0) as fan_out from (select target as n, count(*) as fan_in from import_edges group by 1) a full join (select source as n, count(*) as fan_out from import_edges group by 1) b on a.n = b.n) f on f.node = s.file_path
- left join (select 'part_' || lpad((id % 300)::varchar, 6, '0') as p, count(*) as changes, count(*) filter (breaking_changes) as breaking from changelog group by 1) c on c.p = s.file_path)"""
+ left join (select node, sum(usage_count) as usages from (select source as node, usage_count from refs union all select target, usage_count from refs) group by node) u on u.node = s.file_path
+ left join (select 'part_' || lpad((id % 300)::varchar, 6, '0') as p, count(*) as changes, count(*) filter (breaking_changes) as breaking, date_trunc('day', max(created_at)) as latest from changelog group by 1) c on c.p = s.file_path)"""
 
 
 def metrics(spark, sf_dir):
-    e = all_edges(spark, sf_dir)
-    c = changelog(spark, sf_dir).groupBy(F.concat(F.lit("part_"), F.lpad((F.col("id") % 300).cast("string"), 6, "0")).alias("node")).agg(F.count("*").alias("changes"), F.count_if("breaking_changes").alias("breaking"))
+    e, r = all_edges(spark, sf_dir), references(spark, sf_dir)
+    c = changelog(spark, sf_dir).groupBy(F.concat(F.lit("part_"), F.lpad((F.col("id") % 300).cast("string"), 6, "0")).alias("node"))
+    c = c.agg(F.count("*").alias("changes"), F.count_if("breaking_changes").alias("breaking"), F.datediff(F.lit("2024-02-15").cast("date"), F.max("created_at").cast("date")).alias("stale"))
+    used = r.select(F.explode(F.array("source", "target")).alias("node"), "usage_count").groupBy("node").agg(F.sum("usage_count").alias("usages"))
     s = symbols(spark, sf_dir).select(F.col("file_path").alias("node"), (F.col("line_start") * 30).alias("loc"), (F.col("symbol_id") % 9).alias("hazards"))
-    out = s.join(degrees(e), "node", "left").join(fans(import_edges(spark, sf_dir)), "node", "left").join(c, "node", "left")
-    return out.na.fill(0, ["degree", "fan_in", "fan_out", "changes", "breaking"]).withColumnRenamed("node", "file_path")
+    out = s.join(degrees(e), "node", "left").join(fans(import_edges(spark, sf_dir)), "node", "left").join(c, "node", "left").join(used, "node", "left")
+    return out.na.fill(0, ["degree", "fan_in", "fan_out", "changes", "breaking", "usages"]).na.fill(999, ["stale"]).withColumnRenamed("node", "file_path")
 
 
-@sql("aud_smells", f"with {METRICS} select file_path, 'large_file' as smell, 'high' as severity from m where loc >= 1000 union all select file_path, 'high_coupling', 'medium' from m where degree >= 10 union all select file_path, 'hazard_density', 'medium' from m where hazards >= 5")
+@sql("aud_smells", SCC + f", {METRICS} select file_path, 'large_file' as smell, 'high' as severity from m where loc >= 1000 union all select file_path, 'high_coupling', 'medium' from m where degree >= 10 union all select file_path, 'hazard_density', 'medium' from m where hazards >= 5 union all select distinct scc, 'dependency_cycle', 'high' from mutual union all select distinct source, 'dependency_cycle', 'high' from all_edges where source = target and source not in (select node from mutual)")
 def aud_smells(spark, sf_dir):
+    """Large, coupled and hazardous files, and each cycle under the name of its first member."""
     m = metrics(spark, sf_dir)
     smell = lambda cond, name, severity: F.when(cond, F.struct(F.lit(name).alias("smell"), F.lit(severity).alias("severity")))
     found = F.array_compact(F.array(smell(F.col("loc") >= 1000, "large_file", "high"), smell(F.col("degree") >= 10, "high_coupling", "medium"), smell(F.col("hazards") >= 5, "hazard_density", "medium")))
-    return m.select("file_path", F.inline(found))
+    cycles = G.cycles(all_edges(spark, sf_dir), least=1).select(F.col("scc").alias("file_path"), F.lit("dependency_cycle").alias("smell"), F.lit("high").alias("severity")).distinct()
+    return m.select("file_path", F.inline(found)).unionByName(cycles)
 
 
-@sql("aud_smells_cycles", SCC + "select scc as file_path, 'dependency_cycle' as smell, 'high' as severity, count(*)::bigint as size from mutual group by scc")
+@sql("aud_smells_cycles", MAIN_SCC + "select scc as file_path, 'dependency_cycle' as smell, 'high' as severity, count(*)::bigint as size from mutual group by scc")
 def aud_smells_cycles(spark, sf_dir):
-    s = G.strong_components(all_edges(spark, sf_dir))
+    s = G.cycles(main_edges(spark, sf_dir))
     return s.groupBy(F.col("scc").alias("file_path")).agg(F.count("*").alias("size")).select("file_path", F.lit("dependency_cycle").alias("smell"), F.lit("high").alias("severity"), "size")
 
 
@@ -364,28 +430,46 @@ def aud_hotspots(spark, sf_dir):
     return metrics(spark, sf_dir).select("file_path", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "file_path").limit(20)
 
 
-# Points of each smell (coupling thresholds lowered to the density of these tables).
-POINTS = (("loc > 500", 2), ("loc > 1000", 2), ("fan_in + fan_out > 2", 3), ("fan_in + fan_out > 4", 1), ("changes > 5", 2), ("changes > 10", 1), ("hazards > 3", 2), ("hazards > 6", 1))
+# The points of each smell.
+POINTS = (
+    ("loc > 500", 2), ("loc > 1000", 2), ("fan_in + fan_out > 20", 3), ("fan_in + fan_out > 40", 1), ("cycle > 1", 3), ("cycle >= 5", 1),
+    ("changes > 5", 2), ("changes > 10", 1), ("hazards > 3", 2), ("hazards > 6", 1), ("usages > 0 and usages >= 0.75 * most", 1),
+)
 
 
-@sql("aud_smells_detailed", f"with {METRICS}, s as (select file_path, least(10, {' + '.join(f'case when {c} then {n} else 0 end' for c, n in POINTS)})::bigint as severity, fan_in + fan_out as coupling, changes from m) select file_path, severity from s where severity >= 3 order by severity desc, coupling desc, changes desc, file_path limit 100")
+@sql("aud_smells_detailed", MAIN_SCC + f""", {METRICS}, sized as (select node, count(*) over (partition by scc) as cycle from mutual),
+x as (select m.*, coalesce(z.cycle, 0) as cycle, max(usages) over () as most from m left join sized z on z.node = m.file_path),
+s as (select file_path, least(10, {' + '.join(f'case when {c} then {n} else 0 end' for c, n in POINTS)})::bigint as severity, fan_in + fan_out as coupling, changes from x) select file_path, severity from s where severity >= 3 order by severity desc, coupling desc, changes desc, file_path limit 100""")
 def aud_smells_detailed(spark, sf_dir):
     """Points that add up to a severity; the table of rules is data."""
     total = F.least(F.lit(10), sum((F.when(F.expr(cond), n).otherwise(0) for cond, n in POINTS), F.lit(0))).cast("long")
-    m = metrics(spark, sf_dir).withColumns({"severity": total, "coupling": F.expr("fan_in + fan_out")}).where("severity >= 3")
+    m = metrics(spark, sf_dir).join(G.cycles(main_edges(spark, sf_dir)).select(F.col("node").alias("file_path"), F.col("size").alias("cycle")), "file_path", "left").na.fill(0, ["cycle"])
+    m = m.crossJoin(F.broadcast(m.agg(F.max("usages").alias("most"))))  # one row
+    m = m.withColumns({"severity": total, "coupling": F.expr("fan_in + fan_out")}).where("severity >= 3")
     return m.orderBy(F.desc("severity"), F.desc("coupling"), F.desc("changes"), "file_path").limit(100).select("file_path", "severity")
 
 
-@sql("aud_hotspots_detailed", f"""with {METRICS}, x as (select *, max(fan_in) over () as mi, max(fan_out) over () as mo, max(changes) over () as mc from m)
-select file_path, round(0.28 * least(hazards / 5.0, 1) + 0.2 * fan_in / greatest(mi, 1) + 0.12 * fan_out / greatest(mo, 1) + 0.18 * changes / greatest(mc, 1) + 0.1 * least(breaking / 3.0, 1) + 0.07 * least(loc / 800.0, 1), 6) as risk from x""")
+# Weight of each metric, and what makes it full (a number, or the largest of all files).
+RISKS = (("hazards", 0.28, 5.0), ("fan_in", 0.20, None), ("fan_out", 0.12, None), ("changes", 0.18, None), ("breaking", 0.10, 3.0), ("loc", 0.07, 800.0), ("stale", 0.05, 30.0))
+
+
+def _share_sql(name, full):
+    return f"least({name} / {full}::double, 1)" if full else f"{name}::double / greatest(max({name}) over (), 1)"
+
+
+@sql("aud_hotspots_detailed", f"""with {METRICS}, x as (select file_path, [{', '.join(f"{{'value': round({weight} * 1000000 * {_share_sql(name, full)})::bigint, 'name': '{name}'}}" for name, weight, full in RISKS)}] as parts from m),
+r as (select file_path, parts, list_filter(parts, lambda p: p.value > 0) as told from x)
+select file_path, list_sum(list_transform(parts, lambda p: p.value))::double / 1000000 as risk, array_to_string(list_transform(list_sort(list_transform(told, lambda p: {{'v': -p.value, 'n': p.name}}))[1:3], lambda q: q.n), ',') as reasons from r""")
 def aud_hotspots_detailed(spark, sf_dir):
-    """Weighted metrics, each from 0 to 1. The weights and the caps."""
+    """Seven weighted metrics, each from 0 to 1, and the three that weigh most."""
     m = metrics(spark, sf_dir)
-    top = m.agg(F.max("fan_in").alias("mi"), F.max("fan_out").alias("mo"), F.max("changes").alias("mc"))
-    share = lambda c, most: F.col(c) / F.greatest(F.col(most), F.lit(1))
-    capped = lambda c, limit: F.least(F.col(c) / limit, F.lit(1.0))
-    risk = 0.28 * capped("hazards", 5.0) + 0.2 * share("fan_in", "mi") + 0.12 * share("fan_out", "mo") + 0.18 * share("changes", "mc") + 0.1 * capped("breaking", 3.0) + 0.07 * capped("loc", 800.0)
-    return m.join(F.broadcast(top)).select("file_path", F.round(risk, 6).alias("risk"))
+    top = m.agg(*[F.max(name).alias(f"max_{name}") for name, _, full in RISKS if not full])
+    share = lambda name, full: F.least(F.col(name) / full, F.lit(1.0)) if full else F.col(name) / F.greatest(F.col(f"max_{name}"), F.lit(1))
+    parts = F.array(*[F.struct((-F.round(weight * 1_000_000 * share(name, full)).cast("bigint")).alias("v"), F.lit(name).alias("n")) for name, weight, full in RISKS])
+    rows = m.crossJoin(F.broadcast(top)).select("file_path", parts.alias("parts"))  # one row
+    risk = -F.aggregate("parts", F.lit(0).cast("bigint"), lambda s, p: s + p["v"]) / 1_000_000
+    reasons = F.slice(F.array_sort(F.filter("parts", lambda p: p["v"] < 0)), 1, 3)
+    return rows.select("file_path", risk.alias("risk"), F.array_join(F.transform(reasons, lambda p: p["n"]), ",").alias("reasons"))
 
 
 @sql("aud_incomplete_entry", f"select file_path, array_to_string(list_filter(['blurb', 'purpose', 'tags', 'hazards', 'patterns'], lambda f: not list_contains({FILLED}, f)), ',') as missing, extraction_model from files where len({FILLED}) < 5")

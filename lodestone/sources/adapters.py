@@ -40,6 +40,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("toxic") == 1, F.array(F.lit("toxic"), F.concat(F.lit("h"), (i % 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("hazards"),
         F.when(i % 9 != 0, F.concat(F.lit("m"), (i % 2).cast("string"))).alias("extraction_model"),
         F.when(i % 8 != 0, F.array(F.struct(F.concat(F.lit("readDoc"), (i % 50).cast("string")).alias("name"), F.col("lang").alias("type")))).otherwise(F.array().cast("array<struct<name:string,type:string>>")).alias("exports"),
+        F.when(i % 4 != 1, F.array(F.struct(F.lit("head").alias("label"), F.lit(1).alias("startLine"), F.lit(2).alias("endLine")))).otherwise(F.array().cast("array<struct<label:string,startLine:int,endLine:int>>")).alias("source_highlights"),
+        F.when(i % 10 != 3, i % 6).alias("cross_references"),
         F.col("text"),
     )
 
@@ -65,6 +67,14 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source", "target", kind.alias("edge_type")).agg(F.count("*").alias("usage_count"), F.round(F.avg(1 - F.col("l_discount")), 6).alias("confidence"))
 
 
+def main_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's main import: of its imports the one whose digest with it is least. One edge a node, so
+    several cycles and long ways to them."""
+    e = import_edges(spark, sf_dir)
+    pick = F.min(F.struct(F.sha1(F.concat("source", "target")).alias("d"), "target")).alias("b")
+    return e.groupBy("source").agg(pick).select("source", "b.target")
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
@@ -132,11 +142,13 @@ SQL = {
   case when d.doc_id % 6 = 0 then []::varchar[] else ['t' || (d.doc_id % 5), d.lang] end as tags,
   case when l.toxic = 1 then ['toxic', 'h' || (d.doc_id % 3)] else []::varchar[] end as hazards,
   case when d.doc_id % 9 <> 0 then 'm' || (d.doc_id % 2) end as extraction_model,
-  case when d.doc_id % 8 <> 0 then [{'name': 'readDoc' || (d.doc_id % 50), 'type': d.lang}] else []::struct(name varchar, type varchar)[] end as exports, d.text
+  case when d.doc_id % 8 <> 0 then [{'name': 'readDoc' || (d.doc_id % 50), 'type': d.lang}] else []::struct(name varchar, type varchar)[] end as exports,
+  case when d.doc_id % 4 <> 1 then [{'label': 'head', 'startLine': 1, 'endLine': 2}] else [] end as source_highlights, case when d.doc_id % 10 <> 3 then d.doc_id % 6 end as cross_references, d.text
   from documents d left join labels l on d.doc_id = l.doc_id""",
     "import_edges": f"select distinct source, target from ({_line_sql(1)})",
     "refs": f"""select source, target, case l_returnflag when 'A' then 'runtime_call' when 'N' then 'type_ref' else 'CALLS' end as edge_type, count(*)::bigint as usage_count, round(avg(1 - l_discount), 6) as confidence
   from ({_line_sql(0)}) group by all""",
+    "main_edges": "select source, arg_min(target, sha1(source || target)) as target from import_edges group by source",
     "symbols": """select p_partkey as symbol_id, 'part_' || lpad(p_partkey::varchar, 6, '0') as file_path, p_name as name, string_split(p_type, ' ')[1] as raw_kind, p_size % 2 = 0 as exported, p_size::bigint as line_start from part""",
     "changelog": """select event_id as id, 'ws' || (user_id % 3) as workspace, 'src/user_' || user_id as file_path, case when event_id % 19 <> 0 then event_type end as cluster,
   case when user_id % 4 <> 0 then 'author_' || (user_id % 17) end as author_name, 'inst_' || (user_id % 23) as author_instance_id,
@@ -147,7 +159,7 @@ SQL = {
     "vectors": "select vec_id, embedding::double[] as v, label from embeddings",
     "all_edges": "select source, target, 'import' as edge_type, 1::bigint as usage_count, 1.0::double as confidence, 'parser' as provenance from import_edges union all select source, target, edge_type, usage_count, confidence, 'ast' from refs",
 }
-NEEDS = {"all_edges": ("import_edges", "refs")}
+NEEDS = {"all_edges": ("import_edges", "refs"), "main_edges": ("import_edges",)}
 
 
 def with_views(statement: str) -> str:
