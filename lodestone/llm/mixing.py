@@ -7,11 +7,14 @@ that a source of any size is spread over many tasks; each source is cut at its e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Key ranges of a source. A range is one window partition: a source's rows over this number.
-RANGES = 4096
+#: A source is dealt to ranges of keys by their leading hexadecimal digits: three, and as many more as keep
+#: a range, which is one window partition, under so many rows. The result doesn't depend on them.
+RANGE_ROWS = 50_000
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -43,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int],
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, ranges: int = RANGES) -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(row, size, source_size, target, taken): the columns of ``docs`` as one struct, and the plan.
 
     ``taken`` counts the words that the mix takes from the document: whole epochs of the source, and
@@ -56,8 +59,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     key = F.md5(F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumns({"source": F.col(f"row.`{source_col}`"), "size": word_count(F.col(f"row.`{text_col}`")), "key": key})
-    rows = rows.withColumn("part", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % ranges).cast("int"))
-    # the range number leads the order: ranges are disjoint, and any fixed order of keys is as random
+    digits = max(3, math.ceil(math.log(max(docs.count(), 1) / range_rows, 16)))
+    rows = rows.withColumn("part", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -94,11 +97,10 @@ OP5_SQL = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
          md5(coalesce(doc_id::varchar, '')) as key from documents),
-ranged as (select *, ('0x' || substr(key, 1, 8))::bigint % 4096 as part from sized),
 sources as (
   select source, sum(size)::bigint as source_size,
          [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as weight
-  from ranged group by source),
+  from sized group by source),
 levels as (
   select *, (3 * sum(source_size) over () - 2 * coalesce(sum(2 * source_size) over (order by 2 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
          / (2 * sum(weight) over (order by 2 * source_size / weight, source nulls last rows between current row and unbounded following))::double as level
@@ -107,8 +109,8 @@ goals as (
   select source, source_size, least((2 * source_size)::double, max(level) over () * weight) as target from levels),
 placed as (
   select r.doc_id, r.size, g.source_size, g.target,
-         coalesce(sum(r.size) over (partition by r.source order by r.part, r.key, r.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from ranged r join goals g on r.source is not distinct from g.source),
+         coalesce(sum(r.size) over (partition by r.source order by r.key, r.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from sized r join goals g on r.source is not distinct from g.source),
 budgets as (
   select *, case when source_size > 0 then floor(target)::bigint // source_size else 0 end as epochs from placed)
 select doc_id, size, source_size, target,
