@@ -75,6 +75,30 @@ def replay(commands: DataFrame, done: DataFrame) -> DataFrame:
     return commands.join(seen, "key", "left").withColumn("status", status).drop("__done")
 
 
+def select_records(candidates: DataFrame, order: str, stale: bool = False, historical: bool = False) -> DataFrame:
+    """Candidates (identity, path_state, indexed_hash, current_hash, completeness, indexed_at, ``order``) with
+    quality and reason; the one of each identity whose reason is null is selected.
+
+    Records without an identity, without a current source or with another hash than the source's are left
+    out (the last two unless asked for). Of the rest the best quality wins, then the surer path, the more
+    complete, the newer, the earlier candidate.
+    """
+    known = (F.trim(F.coalesce("indexed_hash", F.lit(""))) != "") & (F.trim(F.coalesce("current_hash", F.lit(""))) != "")
+    quality = F.when(F.col("path_state") == "missing", "historical").when(known & (F.col("indexed_hash") != F.col("current_hash")), "stale_advisory").when(known & (F.col("path_state") == "current"), "current").otherwise("unverified")
+    rows = candidates.withColumn("identity", F.trim(F.coalesce("identity", F.lit("")))).withColumn("quality", quality)
+    why = F.when(F.col("identity") == "", "invalid_identity")
+    if not historical:
+        why = why.when(F.col("path_state") == "missing", "missing_current_source")
+    if not stale:
+        why = why.when(F.col("quality") == "stale_advisory", "stale_hash")
+    rows = rows.withColumn("reason", why)
+    place = lambda c, *names: F.coalesce(*[F.when(F.col(c) == n, k) for k, n in enumerate(names)])
+    best = Window.partitionBy("identity", F.col("reason").isNull()).orderBy(
+        place("quality", "current", "unverified", "stale_advisory", "historical"), place("path_state", "current", "unknown", "missing"), F.desc(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "completeness"))), F.desc_nulls_last("indexed_at"), order
+    )
+    return rows.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(best) > 1, "duplicate_lower_quality")))
+
+
 class Table:
     """A Parquet table with numbered versions, dealt to buckets by its keys.
 

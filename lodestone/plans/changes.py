@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import diff as D
 from ..operators import graph as G
 from ..operators import store as S
-from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, with_views
+from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, vectors, with_views
 from ..shared import shared_dir
 from ..streaming import changes as C
 from .registry import query
@@ -66,19 +67,42 @@ def sink_symbols_replace(spark, sf_dir):
     return S.first_wins(s, ["name", "raw_kind"], "symbol_id")
 
 
-@sql("sink_refs_replace", "select source, target, edge_type, usage_count, round(confidence, 4) as confidence from refs where edge_type = 'CALLS' union all select source, target, 'import', 1, 0.6 from import_edges")
+@sql("sink_refs_replace", """with u as (select i.source, i.target, s.symbol_id as target_symbol_id, case when s.symbol_id % 3 = 0 then 'heuristic' else 'model-x' end as model, 1 + s.symbol_id % 4 as uses, i.source in (select target from refs where edge_type = 'CALLS') as scoped from import_edges i join symbols s on s.file_path = i.target)
+select source, target, edge_type, usage_count, round(confidence, 4) as confidence, 'ast' as provenance from refs where edge_type = 'CALLS' or target not in (select file_path from symbols where symbol_id % 2 = 0)
+union all select target, source, 'runtime_call', uses, case model when 'heuristic' then 0.6 else 0.8 end, case model when 'heuristic' then 'inferred' else 'llm' end from u where target_symbol_id % 2 = 0""")
 def sink_refs_replace(spark, sf_dir):
-    """Derived references are replaced, parsed ones stay."""
-    r = references(spark, sf_dir).withColumn("confidence", F.round("confidence", 4))
-    derived = import_edges(spark, sf_dir).select("source", "target", F.lit("import").alias("edge_type"), F.lit(1).cast("long").alias("usage_count"), F.lit(0.6).alias("confidence"))
-    return r.where("edge_type = 'CALLS'").unionByName(derived)
-
-
-@sql("sink_delete_file", "select source, target from import_edges where source not in (select file_path from symbols where symbol_id % 10 = 0) and target not in (select file_path from symbols where symbol_id % 10 = 0)")
+    """The derived references of the files in scope are replaced, parsed ones stay. A derived reference goes
+    from the file that defines a symbol to the one that uses it; a model other than the heuristic is
+    provenance ``llm`` with confidence 0.8, the heuristic ``inferred`` with 0.6."""
+    s = symbols(spark, sf_dir).select("symbol_id", F.col("file_path").alias("defined"))
+    r = references(spark, sf_dir).select("source", "target", "edge_type", "usage_count", F.round("confidence", 4).alias("confidence"), F.lit("ast").alias("provenance"))
+    scope = s.where("symbol_id % 2 = 0").select(F.col("defined").alias("target"))
+    stays = r.where("edge_type = 'CALLS'").unionByName(r.where("edge_type <> 'CALLS'").join(scope, "target", "left_anti").select(*r.columns))
+    uses = import_edges(spark, sf_dir).join(s, F.col("target") == F.col("defined")).where("symbol_id % 2 = 0")
+    heuristic = F.col("symbol_id") % 3 == 0
+    derived = uses.select(F.col("defined").alias("source"), F.col("source").alias("target"), F.lit("runtime_call").alias("edge_type"), (1 + F.col("symbol_id") % 4).alias("usage_count"), F.when(heuristic, 0.6).otherwise(0.8).alias("confidence"), F.when(heuristic, "inferred").otherwise("llm").alias("provenance"))
+    return stays.unionByName(derived)
+
+
+@sql("sink_delete_file", """with gone as (select file_path as p, symbol_id as n from symbols where symbol_id % 10 = 0), docs as (select doc_id from documents where doc_id not in (select n from gone))
+select 'import_edges' as kept, count(*)::bigint as n from import_edges where source not in (select p from gone) and target not in (select p from gone)
+union all select 'refs', count(*)::bigint from refs where source not in (select p from gone) and target not in (select p from gone)
+union all select 'symbols', count(*)::bigint from symbols where file_path not in (select p from gone)
+union all select 'vectors', count(*)::bigint from vectors where vec_id not in (select n from gone)
+union all select 'chunks', sum(len(string_split(text, chr(10))))::bigint from documents where doc_id in (select * from docs)
+union all select 'files', count(*)::bigint from docs""")
 def sink_delete_file(spark, sf_dir):
-    """A deleted file takes the edges at either end with it."""
-    gone = symbols(spark, sf_dir).where("symbol_id % 10 = 0").select(F.col("file_path").alias("key"))
-    return S.delete_keys(import_edges(spark, sf_dir), gone, "source", "target").select("source", "target")
+    """Deleted files take with them their edges at either end, symbols, vectors, chunks and rows: what is left of each table."""
+    s = symbols(spark, sf_dir)
+    gone = s.where("symbol_id % 10 = 0").select(F.col("file_path").alias("key"))
+    numbers = s.where("symbol_id % 10 = 0").select(F.col("symbol_id").alias("key"))
+    chunks = files(spark, sf_dir).select("file_id", F.explode(F.split("text", "\n")).alias("chunk"))
+    tables = {
+        "import_edges": (import_edges(spark, sf_dir), gone, ("source", "target")), "refs": (references(spark, sf_dir), gone, ("source", "target")), "symbols": (s, gone, ("file_path",)),
+        "vectors": (vectors(spark, sf_dir), numbers, ("vec_id",)), "chunks": (chunks, numbers, ("file_id",)), "files": (files(spark, sf_dir).select("file_id"), numbers, ("file_id",)),
+    }
+    left = [S.delete_keys(t, g, *columns).agg(F.count("*").alias("n")).select(F.lit(name).alias("kept"), "n") for name, (t, g, columns) in tables.items()]
+    return reduce(DataFrame.unionByName, left)
 
 
 @sql("sink_chunks", "select file_id, pos::int as pos, sha1(chunk) as text_hash from (select file_id, unnest(range(0, len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as chunk from files)")

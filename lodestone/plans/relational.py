@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import metadata as M
 from ..functions.text import clamp_text
 from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, with_views
+from ..operators import store as S
+from ..requests import split_limit
 from .registry import query
 from .retrieval import TEST_PATH, TEST_SQL
 
@@ -122,11 +124,21 @@ def flt_test_files(spark, sf_dir):
     return files(spark, sf_dir).where(~F.col("file_path").rlike(TEST_PATH)).select("file_id")
 
 
-@sql("flt_test_files_legacy", "select file_id, regexp_matches(file_path, '(?i)__tests__') as in_folder, regexp_matches(file_path, '(?i)\\.(test|spec)\\.') as by_name from files")
+# What each older tool takes for a test or, for reachability, a configuration file.
+LEGACY_TESTS = {
+    "smells": r"(?i)/(__tests__|__mocks__|tests?|spec|fixtures)/|\.(test|spec)\.[cm]?[jt]sx?$",
+    "cycles": r"(?i)/(__tests__|tests?|spec)/|\.(test|spec)\.[cm]?[jt]sx?$",
+    "hotspots": r"(?i)(^|/)(__tests__|test)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$",
+    "reachability": r"(?i)/(__tests__|__mocks__|tests?|specs?|fixtures)/|\.(test|spec)\.[cm]?[jt]sx?$|(^|/)[^/]*\.config\.[cm]?[jt]s$",
+}
+LEGACY_PATH = "replace(replace(file_path, '.spec.md', '.spec.ts'), 'doc_7.md', 'vite.config.ts')"
+
+
+@sql("flt_test_files_legacy", f"select file_id, {', '.join(f"regexp_matches({LEGACY_PATH}, '{p}') as {n}" for n, p in LEGACY_TESTS.items())} from files")
 def flt_test_files_legacy(spark, sf_dir):
-    """Parts of the test filter, each a parameter."""
-    path = F.col("file_path")
-    return files(spark, sf_dir).select("file_id", path.rlike("(?i)__tests__").alias("in_folder"), path.rlike(r"(?i)\.(test|spec)\.").alias("by_name"))
+    """The four older variants of the test filter, side by side."""
+    path = F.expr(LEGACY_PATH)
+    return files(spark, sf_dir).select("file_id", *[path.rlike(p).alias(n) for n, p in LEGACY_TESTS.items()])
 
 
 @sql("flt_files", f"select file_id, file_path from files where not {TEST_SQL} and starts_with(file_path, 'src/src1') and cluster = 'src1'")
@@ -220,12 +232,6 @@ def flt_worktree_ignore(spark, sf_dir):
 # --- joins ---------------------------------------------------------------------------------------------
 
 
-@sql("jn_fts_changelog", "select c.id, f.file_id from changelog c join files f on f.file_id = c.id and f.workspace = c.workspace")
-def jn_fts_changelog(spark, sf_dir):
-    f = files(spark, sf_dir).select(F.col("file_id").alias("id"), "file_id", "workspace")
-    return changelog(spark, sf_dir).select("id", "workspace").join(f, ["id", "workspace"]).select("id", "file_id")
-
-
 @sql("jn_usage_left", "select s.symbol_id, coalesce(sum(r.usage_count), 0)::bigint as usages, count(distinct r.source)::bigint as consumers from symbols s left join refs r on r.target = s.file_path and r.edge_type in ('runtime_call', 'CALLS') and r.source <> s.file_path group by s.symbol_id")
 def jn_usage_left(spark, sf_dir):
     """Left join with a residual condition, which stays in the join."""
@@ -234,13 +240,14 @@ def jn_usage_left(spark, sf_dir):
     return s.join(r, on, "left").groupBy("symbol_id").agg(F.coalesce(F.sum("usage_count"), F.lit(0)).alias("usages"), F.count_distinct("source").alias("consumers"))
 
 
-@sql("jn_event_pairs", "select a.id as emitted, b.id as heard from changelog a join changelog b on a.file_path = b.file_path and a.cluster = 'purchase' and b.cluster = 'error' and a.id % 10 = 0 and b.id % 10 = 1")
+@sql("jn_event_pairs", "select a.file_path as emitter, b.file_path as listener, count(*)::bigint as pairs from changelog a join changelog b on a.created_at::date = b.created_at::date and a.cluster = 'purchase' and b.cluster = 'error' group by all")
 def jn_event_pairs(spark, sf_dir):
-    """Emitters and listeners of one name; duplicates stay."""
-    c = changelog(spark, sf_dir)
-    a = c.where("cluster = 'purchase' and id % 10 = 0").select(F.col("id").alias("emitted"), "file_path")
-    b = c.where("cluster = 'error' and id % 10 = 1").select(F.col("id").alias("heard"), "file_path")
-    return a.join(b, "file_path").select("emitted", "heard")
+    """Emitters and listeners of one event name (here a day). Duplicates count, but are added up before
+    they meet, so that a frequent name costs its emitters times its listeners and not its events squared."""
+    c = changelog(spark, sf_dir).withColumn("name", F.to_date("created_at"))
+    a = c.where("cluster = 'purchase'").groupBy("name", F.col("file_path").alias("emitter")).agg(F.count("*").alias("na"))
+    b = c.where("cluster = 'error'").groupBy("name", F.col("file_path").alias("listener")).agg(F.count("*").alias("nb"))
+    return a.join(b, "name").groupBy("emitter", "listener").agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"))
 
 
 RESOLVE = """with calls as (select r.source, r.target, s.name from refs r join symbols s on s.file_path = r.target),
@@ -276,12 +283,12 @@ def jn_symbol_resolve_flow(spark, sf_dir):
     return candidates(spark, sf_dir).groupBy("source", "target", "name").agg(F.min(F.struct("priority", "symbol_id")).alias("best")).select("source", "target", "name", "best.symbol_id")
 
 
-@sql("jn_asof_snapshot", "with t as (select 'conv_' || conv_id as file_path, (1000 * turn + 500)::bigint as at from conversations where turn % 2 = 0) select t.file_path, t.at, s.id from t asof join (select * from snapshots where id % 3 <> 0) s on t.file_path = s.file_path and s.created_at <= t.at")
+@sql("jn_asof_snapshot", "with t as (select 'conv_' || conv_id as file_path, (1500 * turn + 500)::bigint as at from conversations) select t.file_path, t.at, s.id from t asof join snapshots s on t.file_path = s.file_path and s.created_at <= t.at")
 def jn_asof_snapshot(spark, sf_dir):
     """The newest version at or before each instant, by union and a running maximum: one shuffle, one
     sort, no pairs."""
-    t = table(spark, sf_dir, "conversations").where("turn % 2 = 0").select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("file_path"), (1000 * F.col("turn") + 500).cast("long").alias("at"))
-    s = snapshots(spark, sf_dir).where("id % 3 <> 0").select("file_path", F.col("created_at").alias("at"), "id")
+    t = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("file_path"), (1500 * F.col("turn") + 500).cast("long").alias("at"))
+    s = snapshots(spark, sf_dir).select("file_path", F.col("created_at").alias("at"), "id")
     both = s.withColumn("probe", F.lit(1)).unionByName(t.withColumn("id", F.lit(None).cast("long")).withColumn("probe", F.lit(2)))
     w = Window.partitionBy("file_path").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("id", F.last("id", ignorenulls=True).over(w)).where("probe = 2 and id is not null").select("file_path", "at", "id")
@@ -294,7 +301,7 @@ def jn_asof_timestamp(spark, sf_dir):
     return c.groupBy("file_path").agg(F.max(F.struct("created_at", "id")).alias("last")).select("file_path", "last.id")
 
 
-@sql("jn_interval_highlight", "with h as (select p_partkey as hid, p_brand as file, p_size::bigint as a, (p_size + 5)::bigint as b from part), c as (select distinct p_brand as file, (p_partkey % 60)::bigint as line from part where p_partkey % 7 = 0) select distinct h.hid from h join c on h.file = c.file and c.line between h.a and h.b")
+@sql("jn_interval_highlight", "with h as (select p_partkey as hid, p_brand as file, p_size::bigint as a, (p_size + 5)::bigint as b from part), c as (select distinct p_brand as file, (p_partkey * 13 % 400)::bigint as line from part) select distinct h.hid from h join c on h.file = c.file and c.line between h.a and h.b")
 def jn_interval_highlight(spark, sf_dir):
     """Ranges that hold a changed line. Lines are dealt to cells as wide as ranges may be, so that the
     join has an equality on the cell."""
@@ -302,7 +309,7 @@ def jn_interval_highlight(spark, sf_dir):
     width = 8
     h = p.select(F.col("p_partkey").alias("hid"), F.col("p_brand").alias("file"), F.col("p_size").cast("long").alias("a"), (F.col("p_size") + 5).cast("long").alias("b"))
     h = h.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))))
-    c = p.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("file"), (F.col("p_partkey") % 60).cast("long").alias("line")).distinct().withColumn("cell", F.floor(F.col("line") / width))
+    c = p.select(F.col("p_brand").alias("file"), (F.col("p_partkey") * 13 % 400).cast("long").alias("line")).distinct().withColumn("cell", F.floor(F.col("line") / width))
     return h.join(c, ["file", "cell"]).where("line between a and b").select("hid").distinct()
 
 
@@ -379,7 +386,7 @@ def agg_history_count(spark, sf_dir):
     return changelog(spark, sf_dir).where("workspace = 'ws1'").agg(F.count("*").alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
 
 
-for _column in ("file_path", "cluster", "author_name", "author_instance_id", "verification_status", "breaking_changes"):
+for _column in ("file_path", "cluster", "author_name", "author_instance_id", "author_engine", "author_model", "author_engine_type", "verification_status"):
 
     def _group(spark, sf_dir, column=_column):
         key = F.coalesce(F.col(column).cast("string"), F.lit("(none)")).alias("key")
@@ -515,9 +522,15 @@ def agg_completeness(spark, sf_dir):
     return t.select("file_id", "tier", F.round(rate, 6).alias("required_rate"), (F.size("filled") / 10.0).alias("overall_rate"))
 
 
-@sql("agg_coverage", f"select workspace, round(avg(len({FILLED})::double / 5), 6) as coverage from files group by workspace")
+@sql("agg_coverage", """with c as (select workspace, list_filter(['purpose', 'blurb', 'patterns', 'hazards', 'conventions', 'key_types', 'data_flows', 'public_api', 'source_highlights'], lambda f: case f when 'purpose' then trim(coalesce(purpose, '')) = '' when 'blurb' then trim(coalesce(blurb, '')) = '' when 'patterns' then len(patterns) = 0 when 'hazards' then len(hazards) = 0
+  when 'conventions' then len(conventions) = 0 when 'key_types' then len(key_types) = 0 when 'data_flows' then len(data_flows) = 0 when 'public_api' then len(exports) = 0 else len(source_highlights) = 0 end) as empty from files)
+select workspace, round(avg((9 - len(empty)) / 9.0::double), 6) as coverage, sum(len(empty))::bigint as empty from c group by workspace""")
 def agg_coverage(spark, sf_dir):
-    return files(spark, sf_dir).groupBy("workspace").agg(F.round(F.avg(F.size(filled_fields()) / 5.0), 6).alias("coverage"))
+    """How many of nine fields are filled."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    gaps = [blank("purpose"), blank("blurb"), *[F.size(c) == 0 for c in ("patterns", "hazards", "conventions", "key_types", "data_flows", "exports", "source_highlights")]]
+    empty = sum((g.cast("int") for g in gaps), F.lit(0))
+    return files(spark, sf_dir).groupBy("workspace").agg(F.round(F.avg((9 - empty) / 9.0), 6).alias("coverage"), F.sum(empty).cast("long").alias("empty"))
 
 
 @sql("agg_enrichment_rollup", f"select field, count(*)::bigint as files, min(file_path) as example from (select file_path, unnest(list_filter(['blurb', 'purpose', 'tags', 'hazards', 'patterns'], lambda f: not list_contains({FILLED}, f))) as field from files) group by field")
@@ -533,12 +546,17 @@ def agg_verification_breakdown(spark, sf_dir):
     return page.groupBy("verification_status").agg(F.count("*").alias("n"))
 
 
-@sql("agg_index_summary", "select sha256(string_agg(file_path || chr(0) || file_hash, chr(10) order by file_path)) as fingerprint, count(*)::bigint as files, count(*) filter (file_id % 7 = 0)::bigint as changed, count(*) filter (extraction_model is null)::bigint as stale from files where workspace = 'ws1'")
+@sql("agg_index_summary", """with l as (select file_path || chr(0) || file_hash as line, file_path, file_id, extraction_model, substr(sha256(file_path), 1, 3) as cell from files where workspace = 'ws1'),
+c as (select cell, sha256(string_agg(line, chr(10) order by file_path)) as digest, count(*) as files, count(*) filter (file_id % 7 = 0) as changed, count(*) filter (extraction_model is null) as stale from l group by cell)
+select sha256(string_agg(digest, chr(10) order by cell)) as fingerprint, sum(files)::bigint as files, sum(changed)::bigint as changed, sum(stale)::bigint as stale from c""")
 def agg_index_summary(spark, sf_dir):
-    """One workspace's fingerprint: lines in order of their paths."""
-    f = files(spark, sf_dir).where("workspace = 'ws1'")
-    lines = F.array_sort(F.collect_list(F.concat("file_path", F.lit("\x00"), "file_hash")))
-    return f.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"), F.count("*").alias("files"), F.count_if(F.col("file_id") % 7 == 0).alias("changed"), F.count_if(F.col("extraction_model").isNull()).alias("stale"))
+    """One workspace's fingerprint in two levels: 4,096 cells by the digest of the path, each the digest of
+    its lines in order, then the digest of the cells."""
+    f = files(spark, sf_dir).where("workspace = 'ws1'").withColumn("cell", F.substring(F.sha2("file_path", 256), 1, 3))
+    line = F.struct("file_path", F.concat("file_path", F.lit("\x00"), "file_hash").alias("line"))
+    cells = f.groupBy("cell").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n"), 256).alias("digest"), F.count("*").alias("files"), F.count_if(F.col("file_id") % 7 == 0).alias("changed"), F.count_if(F.col("extraction_model").isNull()).alias("stale"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("cell", "digest"))), lambda x: x["digest"])
+    return cells.agg(F.sha2(F.array_join(digests, "\n"), 256).alias("fingerprint"), F.sum("files").alias("files"), F.sum("changed").alias("changed"), F.sum("stale").alias("stale"))
 
 
 # --- windows, sets, paging -----------------------------------------------------------------------------
@@ -558,12 +576,20 @@ def win_prev_change(spark, sf_dir):
     return c.select("id", F.max("created_at").over(w).alias("previous"))
 
 
-@sql("win_record_select", "select file_path, id from changelog qualify row_number() over (partition by file_path order by case verification_status when 'verified' then 0 when 'pending' then 1 else 2 end, (commit_sha is null), created_at desc, id) = 1")
+@sql("win_record_select", """with c as (select id, case when id % 97 = 0 then '  ' else file_path end as identity, case when id % 5 = 0 then 'missing' when id % 5 = 1 then 'unknown' else 'current' end as state,
+  commit_sha as indexed, case when id % 7 = 0 then 'other' else commit_sha end as now, (id % 11) / 10.0::double as completeness, created_at from changelog),
+q as (select *, case when state = 'missing' then 'historical' when indexed is not null and now is not null and indexed <> now then 'stale_advisory' when state = 'current' and indexed is not null and now is not null then 'current' else 'unverified' end as quality from c),
+r as (select *, case when trim(identity) = '' then 'invalid_identity' when state = 'missing' then 'missing_current_source' when quality = 'stale_advisory' then 'stale_hash' end as why from q),
+k as (select *, row_number() over (partition by identity, why is null order by case quality when 'current' then 0 else 1 end, case state when 'current' then 0 else 1 end, least(1, completeness) desc, created_at desc, id) as place from r)
+select id, trim(identity) as identity, quality, coalesce(why, case when place > 1 then 'duplicate_lower_quality' end) as reason from k""")
 def win_record_select(spark, sf_dir):
-    """One winner for each identity by quality, state, recency and order."""
-    quality = F.when(F.col("verification_status") == "verified", 0).when(F.col("verification_status") == "pending", 1).otherwise(2)
-    w = Window.partitionBy("file_path").orderBy(quality, F.col("commit_sha").isNull(), F.desc("created_at"), "id")
-    return changelog(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("file_path", "id")
+    """One record for each identity; what is left out keeps the reason why."""
+    i = F.col("id")
+    c = changelog(spark, sf_dir).select(
+        "id", F.when(i % 97 == 0, "  ").otherwise(F.col("file_path")).alias("identity"), F.when(i % 5 == 0, "missing").when(i % 5 == 1, "unknown").otherwise("current").alias("path_state"),
+        F.col("commit_sha").alias("indexed_hash"), F.when(i % 7 == 0, "other").otherwise(F.col("commit_sha")).alias("current_hash"), ((i % 11) / 10.0).alias("completeness"), F.col("created_at").alias("indexed_at"),
+    )
+    return S.select_records(c, "id").select("id", "identity", "quality", "reason")
 
 
 @sql("win_verify_lastN", "select id, case when row_number() over (partition by file_path order by id desc) <= 3 then 'verified' else verification_status end as status from changelog")
@@ -605,9 +631,11 @@ def win_char_budget(spark, sf_dir):
     return items.withColumn("upto", upto).where("upto <= 5000").select("file_path")
 
 
-@sql("win_split_limit", "select k::int as source, (100 // 7 + case when k < 100 % 7 then 1 else 0 end)::bigint as share from range(7) t(k)")
+@sql("win_split_limit", "select n::int as sources, k::int as source, (100 // n + case when k < 100 % n then 1 else 0 end)::bigint as share from range(1, 20) t(n), range(20) u(k) where k < n")
 def win_split_limit(spark, sf_dir):
-    return spark.range(7).select(F.col("id").cast("int").alias("source"), (F.lit(100 // 7) + F.when(F.col("id") < 100 % 7, 1).otherwise(0)).cast("long").alias("share"))
+    """A limit of 100 split over one to nineteen sources."""
+    rows = [(n, k, share) for n in range(1, 20) for k, share in enumerate(split_limit(100, n))]
+    return spark.createDataFrame(rows, "sources int, source int, share bigint")
 
 
 @sql("win_edge_cap", "select target, string_agg(source, ',' order by source) as kept from (select * from import_edges qualify row_number() over (partition by target order by source) <= 2) group by target")
@@ -679,9 +707,19 @@ def set_witness_merge(spark, sf_dir):
     return listed.select("user_id", F.array_join(F.transform("x", lambda r: r["event_type"]), ",").alias("evidence"))
 
 
-@sql("act_history", "select id, file_path, summary from changelog where workspace = 'ws1' and cluster = 'error' order by created_at desc, id desc limit 20")
+@sql("act_history", """with h as (select * from changelog where workspace = 'ws1' and cluster = 'error'),
+entries as (select 'entries' as mode, id::varchar as key, 1::bigint as n from h order by created_at desc, id desc limit 20),
+timeline as (select 'timeline' as mode, strftime(created_at, '%Y-%m-%d') as key, count(*)::bigint as n from h group by 2),
+grouped as (select 'group' as mode, coalesce(author_name, '(none)') as key, count(*)::bigint as n from h group by 2 order by n desc, key limit 20)
+select * from entries union all select 'count', 'all', count(*)::bigint from h union all select * from timeline union all select * from grouped""")
 def act_history(spark, sf_dir):
-    return changelog(spark, sf_dir).where("workspace = 'ws1' and cluster = 'error'").orderBy(F.desc("created_at"), F.desc("id")).limit(20).select("id", "file_path", "summary")
+    """The four modes of a history request under one filter: entries, count, timeline, group."""
+    h = changelog(spark, sf_dir).where("workspace = 'ws1' and cluster = 'error'")
+    entries = h.orderBy(F.desc("created_at"), F.desc("id")).limit(20).select(F.lit("entries").alias("mode"), F.col("id").cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
+    count = h.agg(F.count("*").alias("n")).select(F.lit("count").alias("mode"), F.lit("all").alias("key"), "n")
+    timeline = h.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("key")).agg(F.count("*").alias("n")).select(F.lit("timeline").alias("mode"), "key", "n")
+    grouped = h.groupBy(F.coalesce("author_name", F.lit("(none)")).alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(20).select(F.lit("group").alias("mode"), "key", "n")
+    return entries.unionByName(count).unionByName(timeline).unionByName(grouped)
 
 
 @sql("symbol_kinds", "select symbol_id, case when lower(raw_kind) in ('function','class','type','interface','const','enum','namespace','re-export','value','default') then lower(raw_kind) else 'unknown' end as kind, sha1(file_path || ':' || name || ':' || raw_kind) as signature_hash from symbols")

@@ -309,6 +309,13 @@ def jn_fts_files(spark, sf_dir):
     return f.where("workspace = 'ws0'").select("file_id", "workspace", "file_path").join(scores, F.col("file_id") == F.col("doc")).select("file_id", "workspace", "file_path", F.round("score", 6).alias("score"))
 
 
+@query("jn_fts_changelog", with_views(f"""with {bm25_sql('changelog', 'id', 'summary', CHANGE_TERMS)} select c.id, c.workspace, c.file_path, round(s.score, 6) as score from scored s join changelog c on c.id = s.doc where c.workspace = 'ws1'"""))
+def jn_fts_changelog(spark, sf_dir):
+    """Full-text hits of the change log with their entries; the workspace is filtered after the match."""
+    c = changelog(spark, sf_dir).where("workspace = 'ws1'").select("id", "workspace", "file_path")
+    return c.join(change_scores(spark, sf_dir), F.col("id") == F.col("doc")).select("id", "workspace", "file_path", F.round("score", 6).alias("score"))
+
+
 @query("win_rank", with_views(f"with {FILE_SCORES} select f.file_id, f.workspace, row_number() over (partition by f.workspace order by round(s.score, 9), f.file_path)::int as rank from scored s join files f on f.file_id = s.doc"))
 def win_rank(spark, sf_dir):
     """Rank of each hit in its workspace."""

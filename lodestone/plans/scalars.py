@@ -50,9 +50,9 @@ def fn_datetime(spark, sf_dir):
     return c.select("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("created_at")).alias("age"), F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("hour"))
 
 
-@sql("fn_math", "select l_orderkey, l_linenumber, round(log2(l_quantity), 6) as a, round(ln(1 + l_discount), 6) as b, floor(l_extendedprice)::bigint as c, greatest(0, least(1, l_tax * 20)) as d from lineitem where l_orderkey % 10 = 0")
+@sql("fn_math", "select l_orderkey, l_linenumber, round(log2(l_quantity), 6) as a, round(ln(1 + l_discount), 6) as b, floor(l_extendedprice)::bigint as c, greatest(0, least(1, l_tax * 20)) as d from lineitem")
 def fn_math(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", F.round(F.log2("l_quantity"), 6).alias("a"), F.round(F.log1p("l_discount"), 6).alias("b"), F.floor("l_extendedprice").alias("c"), F.greatest(F.lit(0), F.least(F.lit(1), F.col("l_tax") * 20)).alias("d"))
 
 

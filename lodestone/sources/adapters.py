@@ -24,6 +24,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.join(labels, "doc_id", "left")
     i = F.col("doc_id")
     folder = F.when(i % 11 == 0, F.lit("__tests__")).otherwise(F.col("lang"))
+    listed = lambda cond, value: F.when(cond, F.array(value)).otherwise(F.array().cast("array<string>"))
     path = F.concat(F.lit("src/"), F.col("source"), F.lit("/"), folder, F.lit("/doc_"), i.cast("string"), F.when(i % 13 == 0, ".spec.md").otherwise(".md"))
     return rows.select(
         i.alias("file_id"),
@@ -42,6 +43,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 8 != 0, F.array(F.struct(F.concat(F.lit("readDoc"), (i % 50).cast("string")).alias("name"), F.col("lang").alias("type")))).otherwise(F.array().cast("array<struct<name:string,type:string>>")).alias("exports"),
         F.when(i % 4 != 1, F.array(F.struct(F.lit("head").alias("label"), F.lit(1).alias("startLine"), F.lit(2).alias("endLine")))).otherwise(F.array().cast("array<struct<label:string,startLine:int,endLine:int>>")).alias("source_highlights"),
         F.when(i % 10 != 3, i % 6).alias("cross_references"),
+        listed(i % 3 == 0, F.lit("named exports")).alias("conventions"),
+        listed(i % 4 == 0, F.concat(F.lit("Doc"), (i % 50).cast("string"))).alias("key_types"),
+        listed(i % 5 == 2, F.concat(F.lit("load rows"), (i % 20).cast("string"), F.lit(" and derive `total"), (i % 20).cast("string"), F.lit("`"))).alias("data_flows"),
         F.col("text"),
     )
 
@@ -99,6 +103,9 @@ def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 19 != 0, F.col("event_type")).alias("cluster"),
         F.when(u % 4 != 0, F.concat(F.lit("author_"), (u % 17).cast("string"))).alias("author_name"),
         F.concat(F.lit("inst_"), (u % 23).cast("string")).alias("author_instance_id"),
+        F.concat(F.lit("engine_"), (u % 3).cast("string")).alias("author_engine"),
+        F.when(u % 5 != 0, F.concat(F.lit("model_"), (u % 6).cast("string"))).alias("author_model"),
+        F.when(u % 2 == 0, "cli").alias("author_engine_type"),
         F.concat(F.col("event_type"), F.lit(" by user "), u.cast("string"), F.lit(" step "), (i % 40).cast("string")).alias("summary"),
         (F.col("event_type") == "error").alias("breaking_changes"),
         F.when(F.col("value") > 50, "verified").when(F.col("value") > 20, "pending").otherwise("disputed").alias("verification_status"),
@@ -143,7 +150,9 @@ SQL = {
   case when l.toxic = 1 then ['toxic', 'h' || (d.doc_id % 3)] else []::varchar[] end as hazards,
   case when d.doc_id % 9 <> 0 then 'm' || (d.doc_id % 2) end as extraction_model,
   case when d.doc_id % 8 <> 0 then [{'name': 'readDoc' || (d.doc_id % 50), 'type': d.lang}] else []::struct(name varchar, type varchar)[] end as exports,
-  case when d.doc_id % 4 <> 1 then [{'label': 'head', 'startLine': 1, 'endLine': 2}] else [] end as source_highlights, case when d.doc_id % 10 <> 3 then d.doc_id % 6 end as cross_references, d.text
+  case when d.doc_id % 4 <> 1 then [{'label': 'head', 'startLine': 1, 'endLine': 2}] else [] end as source_highlights, case when d.doc_id % 10 <> 3 then d.doc_id % 6 end as cross_references,
+  case when d.doc_id % 3 = 0 then ['named exports'] else []::varchar[] end as conventions, case when d.doc_id % 4 = 0 then ['Doc' || (d.doc_id % 50)] else []::varchar[] end as key_types,
+  case when d.doc_id % 5 = 2 then ['load rows' || (d.doc_id % 20) || ' and derive `total' || (d.doc_id % 20) || '`'] else []::varchar[] end as data_flows, d.text
   from documents d left join labels l on d.doc_id = l.doc_id""",
     "import_edges": f"select distinct source, target from ({_line_sql(1)})",
     "refs": f"""select source, target, case l_returnflag when 'A' then 'runtime_call' when 'N' then 'type_ref' else 'CALLS' end as edge_type, count(*)::bigint as usage_count, round(avg(1 - l_discount), 6) as confidence
@@ -151,7 +160,8 @@ SQL = {
     "main_edges": "select source, arg_min(target, sha1(source || target)) as target from import_edges group by source",
     "symbols": """select p_partkey as symbol_id, 'part_' || lpad(p_partkey::varchar, 6, '0') as file_path, p_name as name, string_split(p_type, ' ')[1] as raw_kind, p_size % 2 = 0 as exported, p_size::bigint as line_start from part""",
     "changelog": """select event_id as id, 'ws' || (user_id % 3) as workspace, 'src/user_' || user_id as file_path, case when event_id % 19 <> 0 then event_type end as cluster,
-  case when user_id % 4 <> 0 then 'author_' || (user_id % 17) end as author_name, 'inst_' || (user_id % 23) as author_instance_id,
+  case when user_id % 4 <> 0 then 'author_' || (user_id % 17) end as author_name, 'inst_' || (user_id % 23) as author_instance_id, 'engine_' || (user_id % 3) as author_engine,
+  case when user_id % 5 <> 0 then 'model_' || (user_id % 6) end as author_model, case when user_id % 2 = 0 then 'cli' end as author_engine_type,
   event_type || ' by user ' || user_id || ' step ' || (event_id % 40) as summary, event_type = 'error' as breaking_changes,
   case when value > 50 then 'verified' when value > 20 then 'pending' else 'disputed' end as verification_status,
   case when event_id % 3 <> 0 then sha1(event_id::varchar) end as commit_sha, ts as created_at from events""",
