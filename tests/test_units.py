@@ -46,8 +46,10 @@ def test_bfs_paths(spark, seed):
     assert got == walk(edges, ["n0", "n5"], 3)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_strong_components_and_components(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(3, 0), (4, 0), (5, 1000)])
+def test_strong_components_and_components(spark, monkeypatch, seed, local):
+    """By rounds over all executors, and by the last task of one."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
     rng = random.Random(seed)
     edges = [(f"n{rng.randrange(15):02d}", f"n{rng.randrange(15):02d}") for _ in range(24)]
     reach = {a: set(walk(edges, [a], 99)) for a in {x for e in edges for x in e}}
@@ -58,6 +60,45 @@ def test_strong_components_and_components(spark, seed):
     assert graph.strong_components(edges_frame(spark, [])).count() == 0
 
 
+def test_many_rounds(spark, monkeypatch):
+    """A way of 40 steps takes 40 rounds, each no larger a plan than the one before; a chain's components few."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    chain = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(40)]
+    e = edges_frame(spark, chain)
+    far = graph.bfs(e, spark.createDataFrame([("n000",)], "node string"), 50)
+    assert {r.node: r.depth for r in far.collect()} == {f"n{k:03d}": k for k in range(41)}
+    assert {r.component for r in graph.components(e).collect()} == {"n000"}
+    ring = edges_frame(spark, [*chain[:12], ("n012", "n000"), ("z", "n003")])
+    assert {r.node for r in graph.strong_components(ring).collect()} == {f"n{k:03d}" for k in range(13)}
+    assert graph.trace(e, "n002", "n007", 8).first().path == [f"n{k:03d}" for k in range(2, 8)]
+    assert graph.trace(e, "n007", "n002", 8).count() == 0 and graph.trace(e, "n000", "n009", 8).count() == 0
+
+
+def test_cycles_with_loops_and_one_file(spark):
+    e = edges_frame(spark, [("a", "b"), ("b", "a"), ("c", "c"), ("d", "e"), ("e", "f"), ("f", "d"), ("b", "b")])
+    assert sorted(map(tuple, graph.cycles(e).collect())) == [("a", "a", 2), ("b", "a", 2), ("d", "d", 3), ("e", "d", 3), ("f", "d", 3)]
+    assert sorted(map(tuple, graph.cycles(e, least=1).where("size = 1").collect())) == [("c", "c", 1)]
+    assert {r.node for r in graph.cycles(e, holding=spark.createDataFrame([("e",)], "node string")).collect()} == {"d", "e", "f"}
+
+
+def test_cheapest_paths_as_enumeration(spark):
+    """Eight hops at most, against all simple paths of a small graph."""
+    rng = random.Random(9)
+    edges = [(f"n{rng.randrange(8)}", f"n{rng.randrange(8)}", rng.choice([0.75, 1.0, 1.25, 1.5])) for _ in range(20)]
+    least = {}
+
+    def go(node, cost, path):
+        least[node] = min(least.get(node, 99), round(cost, 6))
+        if len(path) <= 8:
+            for a, b, w in edges:
+                if a == node and b not in path:
+                    go(b, cost + w, [*path, b])
+
+    go("n0", 0, ["n0"])
+    got = graph.cheapest_paths(spark.createDataFrame(edges, "source string, target string, cost double"), "n0", 8).collect()
+    assert {r.node: round(r.cost, 6) for r in got} == least
+
+
 def test_cheapest_paths(spark):
     rows = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 2.5), ("c", "a", 1.0), ("c", "d", 1.0), ("a", "d", 3.0)]
     got = {r.node: (r.cost, r.path) for r in graph.cheapest_paths(spark.createDataFrame(rows, "source string, target string, cost double"), "a", 3).collect()}
@@ -270,3 +311,43 @@ def test_incomplete_files_of_all_tiers(spark, tmp_path):
         "1": ("tiny", ""), "2": ("small", ""), "4": ("medium", "hazards"), "5": ("large", "blurb,hazards,source_highlights"),
         "6": ("large", "tags,hazards,source_highlights"), "8": ("huge", "hazards,source_highlights,key_types"),
     }
+
+
+def test_scripts():
+    """Methods, generics, nested functions, strings and comments that look like code, and broken files."""
+    from lodestone.sources.script import Script
+
+    code = """import { x } from './y';
+export class Svc extends ns.Base<T> implements One, Two<U> {
+  private count = 0;
+  constructor(private readonly a: string) { super(a); }
+  async run<T>(a: string, { b }: Opts): Promise<T> {
+    const v = await load(a);
+    list.forEach((q) => { hidden(q); });
+    if (v) { return this.done(v); }
+    save(b)
+    return v
+  }
+  private done(b) { return b; }
+}
+export type K = { a: string } | "}";
+export const k1 = 5;
+function* gen(n) {
+  function inner() { nope(); }
+  // comment call()
+  const s = "str call() }";
+  setTimeout(tick, 5);
+  return (make(n));
+}
+"""
+    s = Script(code)
+    assert [x[:3] for x in s.symbols] == [("Svc", "class", True), ("Svc.constructor", "method", True), ("Svc.run", "method", True), ("Svc.done", "method", False), ("K", "type", True), ("k1", "const", True), ("gen", "function", False)]
+    assert [x[3:] for x in s.symbols][:3] == [(2, 13), (4, 4), (5, 11)]
+    assert {e for e in s.edges if e[2] == "CALLS"} == {("Svc.run", "load", "CALLS"), ("Svc.run", "list.forEach", "CALLS"), ("Svc.run", "done", "CALLS"), ("Svc.run", "save", "CALLS"), ("gen", "make", "CALLS")}
+    assert ("Svc", "ns.Base", "EXTENDS") in s.edges and ("Svc", "Two", "IMPLEMENTS") in s.edges and ("Svc", "U", "IMPLEMENTS") not in s.edges
+    assert set(s.flow) == {
+        ("Svc.run", "load", "CONSUMES"), ("Svc.run", "Svc.run", "PRODUCES"), ("done", "Svc.run", "DATA_FLOWS_TO"), ("load", "done", "DATA_FLOWS_TO"), ("Svc.run", "save", "CONSUMES"), ("load", "Svc.run", "DATA_FLOWS_TO"),
+        ("Svc.done", "Svc.done", "PRODUCES"), ("gen", "tick", "TRIGGERS"), ("gen", "gen", "PRODUCES"), ("make", "gen", "DATA_FLOWS_TO"), ("gen", "make", "CONSUMES"),
+    }
+    for k in range(len(code)):
+        Script(code[:k])  # a file cut anywhere is read without an error
