@@ -110,11 +110,44 @@ def ext_export_sites(spark, sf_dir):
     return c.select("file_path", F.posexplode("sites").alias("pos", "line"), "sites").select("file_path", "line", F.get("sites", F.col("pos") + 1).alias("next"))
 
 
-@sql("ext_flow", "select file_path, 'helper' || (id % 7) as producer, 'fn' || id as consumer from code")
+# Classes with methods, calls across files, callbacks and events; every other file differs in a method.
+RICH_LINES = (
+    "export class Svc{k} extends Base{m} implements One, Two {", "  async run(a: string, n: number): Promise<string> {", "    const v = await load{m}(a);", "    bus.emit('ready{e}', n);", "    items.map(handle{m});",
+    "    return this.done(v);", "  }", "  {d}", "}", "export const arrow{k} = (p) => wrap{m}(p);", "function listen{k}() { bus.on('ready{e}', onReady{k}); }",
+)
+
+
+def rich(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.lit("\n".join(RICH_LINES))
+    for mark, value in (("{d}", F.when(k % 2 == 1, "done(b) { return save(b); }").otherwise("private done(b) { return b; }")), ("{k}", k), ("{m}", k % 5), ("{e}", F.floor(k / 4))):
+        text = F.replace(text, F.lit(mark), value.cast("string"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("svc/"), k.cast("string"), F.lit(".ts")).alias("file_path"), F.lit("typescript").alias("language"), text.alias("text"))
+
+
+RICH = "x as (select 'svc/' || p_partkey || '.ts' as file_path, p_partkey as k, p_partkey % 5 as m, p_partkey // 4 as e, p_partkey % 2 = 1 as odd, 'Svc' || p_partkey as c from part)"
+
+
+def _rows(columns, *rows):
+    return " union all ".join(f"select file_path, {', '.join(f'{value} as {name}' for name, value in zip(columns, row))} from x{' where ' + where if where else ''}" for *row, where in rows)
+
+
+@query("ext_symbols_methods", f"with {RICH} " + _rows(("name", "kind", "exported", "line_start", "line_end"), ("c", "'class'", "true", 1, 9, ""), ("c || '.run'", "'method'", "true", 2, 7, ""), ("c || '.done'", "'method'", "odd", 8, 8, ""), ("'arrow' || k", "'function'", "true", 10, 10, ""), ("'listen' || k", "'function'", "false", 11, 11, "")))
+def ext_symbols_methods(spark, sf_dir):
+    """Classes with their methods, functions in constants."""
+    return X.parsed(rich(spark, sf_dir))
+
+
+@query("ext_symbol_edges_methods", f"with {RICH} " + _rows(("source", "target", "edge_type"), ("c", "'Base' || m", "'EXTENDS'", ""), ("c", "'One'", "'IMPLEMENTS'", ""), ("c", "'Two'", "'IMPLEMENTS'", ""), ("c", "c || '.run'", "'HAS_METHOD'", ""), ("c", "c || '.done'", "'HAS_METHOD'", ""), ("c || '.run'", "'load' || m", "'CALLS'", ""), ("c || '.run'", "'bus.emit'", "'CALLS'", ""), ("c || '.run'", "'items.map'", "'CALLS'", ""), ("c || '.run'", "'done'", "'CALLS'", ""), ("c || '.done'", "'save'", "'CALLS'", "odd"), ("'arrow' || k", "'wrap' || m", "'CALLS'", ""), ("'listen' || k", "'bus.on'", "'CALLS'", "")))
+def ext_symbol_edges_methods(spark, sf_dir):
+    """Heritage, methods, and calls of names that other files define."""
+    return X.parsed(rich(spark, sf_dir), edges=True)
+
+
+@query("ext_flow", f"with {RICH} " + _rows(("source", "target", "edge_type"), ("c || '.run'", "'load' || m", "'CONSUMES'", ""), ("c || '.run'", "'bus.emit'", "'CONSUMES'", ""), ("c || '.run'", "'handle' || m", "'TRIGGERS'", ""), ("c || '.run'", "c || '.run'", "'PRODUCES'", ""), ("'done'", "c || '.run'", "'DATA_FLOWS_TO'", ""), ("'load' || m", "'done'", "'DATA_FLOWS_TO'", ""), ("c || '.done'", "c || '.done'", "'PRODUCES'", ""), ("c || '.done'", "'save'", "'CONSUMES'", "odd"), ("'save'", "c || '.done'", "'DATA_FLOWS_TO'", "odd"), ("'arrow' || k", "'wrap' || m", "'CONSUMES'", "")) + " union all select a.file_path, a.c || '.run', 'onReady' || b.k, 'TRIGGERS' from x a join x b on a.e = b.e")
 def ext_flow(spark, sf_dir):
-    """A function that returns what another one makes: data flows from the callee to the caller."""
-    e = X.parsed(code(spark, sf_dir), edges=True).where("edge_type = 'CALLS'")
-    return e.select("file_path", F.col("target").alias("producer"), F.col("source").alias("consumer"))
+    """Where data goes: what functions produce, take over from their parameters, hand on, and set off."""
+    return X.flows(rich(spark, sf_dir))
 
 
 @sql("ext_usage_type", "select id, 'call' as usage from code")

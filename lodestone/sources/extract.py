@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .script import Script
+
 # Declarations that an export may have, in the order in which they are reported.
 EXPORT_KINDS = (("function", r"(?:async\s+)?function"), ("class", "class"), ("interface", "interface"), ("type", "type"), ("const", "const"), ("enum", "enum"))
 
@@ -144,9 +146,10 @@ def _dotted(node: ast.AST) -> str | None:
     return None
 
 
+#: Languages that ``script`` reads.
+SCRIPTS = ("typescript", "tsx", "javascript", "jsx")
 # Declarations of brace languages, line by line: (kind, pattern with the name in group 1).
 BRACE = {
-    "typescript": (("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*[=<]"), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("const", r"^\s*(?:export\s+)?const\s+(\w+)\s*[=:]")),
     "go": (("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)")),
     "rust": (("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)")),
     "java": (("class", r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected)\s+)*interface\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected)\s+)*enum\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\(")),
@@ -180,7 +183,10 @@ def parse(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
         visitor = _Python()
         visitor.visit(tree)
         return visitor.symbols, visitor.edges
-    rules = BRACE.get({"tsx": "typescript", "javascript": "typescript", "jsx": "typescript"}.get(language, language), ())
+    if language in SCRIPTS:
+        script = Script(text)
+        return script.symbols, list(dict.fromkeys(script.edges))
+    rules = BRACE.get(language, ())
     lines = text.split("\n")
     symbols, edges = [], []
     for k, line in enumerate(lines):
@@ -209,6 +215,26 @@ def parse(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, edges
 
 
+FLOW = "file_path string, source string, target string, edge_type string"
+
+
+def flows(files: DataFrame) -> DataFrame:
+    """Data flow of scripts (file_path, language, text): PRODUCES, CONSUMES, DATA_FLOWS_TO and TRIGGERS, the last
+    also from who emits an event to who listens for it, in whatever files; an edge once for each file."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = [(path, *edge) for path, language, text in zip(*(part.column(c).to_pylist() for c in ("file_path", "language", "text")), strict=True) if language in SCRIPTS for edge in dict.fromkeys(Script(text or "").flow)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file_path", "source", "target", "edge_type"])
+
+    raw = files.select("file_path", "language", "text").mapInArrow(run, FLOW)
+    emitted = raw.where("edge_type = 'EMITS'").select("file_path", "source", F.col("target").alias("event"))
+    heard = raw.where("edge_type = 'LISTENS'").select(F.col("source").alias("event"), "target").distinct()
+    met = emitted.join(heard, "event").select("file_path", "source", "target", F.lit("TRIGGERS").alias("edge_type"))
+    return raw.where("edge_type not in ('EMITS', 'LISTENS')").unionByName(met).distinct()
+
+
 def parsed(files: DataFrame, edges: bool = False) -> DataFrame:
     """Symbols (or edges) of all files (file_path, language, text), by an Arrow kernel."""
 
