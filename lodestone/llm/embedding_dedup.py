@@ -7,7 +7,9 @@ bucket it shares, so that no pair is counted twice and no pair is ever a row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,30 +20,42 @@ from .common import batches, drop, lists, mix, store
 from .components import components
 
 #: Two unit vectors at cosine 0.93 are 0.374 apart. With cells of width 2 one projection puts them in
-#: one cell with probability 0.85; 9 projections with 0.235; 40 tables miss them with (1 - 0.235)**40 <
-#: 3e-5. Unrelated vectors (1.41 apart) share a table's bucket with 0.486**9 = 0.0015.
-WIDTH, PROJECTIONS, TABLES = 2.0, 9, 40
+#: one cell with probability NEAR, and unrelated ones (1.41 apart) with FAR. The more vectors a label
+#: has, the more projections a table takes, so that about CHANCE unrelated vectors share a bucket at any
+#: size; and so many tables that a pair at the threshold is missed with probability under MISS.
+WIDTH, NEAR, FAR, CHANCE, MISS = 2.0, 0.8507, 0.4861, 2.0, 3e-5
 #: Vectors of a block that is compared as a whole.
 BLOCK = 256
 
 
-def hash_family(dim: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def family_size(vectors: int) -> tuple[int, int]:
+    """(projections, tables) for a label of so many vectors: both grow with the logarithm or a small
+    power (0.22) of it."""
+    projections = max(6, math.ceil(math.log(max(vectors, 1) / CHANCE) / -math.log(FAR)))
+    return projections, math.ceil(math.log(MISS) / math.log(1 - NEAR**projections))
+
+
+@lru_cache(4)
+def hash_family(dim: int, projections: int, tables: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.standard_normal((dim, TABLES * PROJECTIONS)), rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
+    return rng.standard_normal((dim, tables * projections)), rng.uniform(0, WIDTH, tables * projections)
 
 
-def buckets(units: np.ndarray) -> np.ndarray:
+def buckets(units: np.ndarray, projections: int, tables: int) -> np.ndarray:
     """A 64-bit bucket for each vector and table."""
-    a, b = hash_family(units.shape[1])
-    cells = np.floor((units @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(units), TABLES, PROJECTIONS)
-    key = np.broadcast_to(np.arange(1, TABLES + 1, dtype=np.uint64), (len(units), TABLES)).copy()
-    for k in range(PROJECTIONS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, k])
-    return key.view(np.int64)
+    a, b = hash_family(units.shape[1], projections, tables)
+    out = np.empty((len(units), tables), np.int64)
+    for row in range(0, len(units), 512):
+        cells = np.floor((units[row : row + 512] @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(-1, tables, projections)
+        key = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), cells.shape[:2]).copy()
+        for k in range(projections):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, k])
+        out[row : row + 512] = key.view(np.int64)
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -51,10 +65,32 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def _pairs(classes: DataFrame, kinds: tuple[str, str], threshold: float) -> tuple[DataFrame, DataFrame]:
+def close_pairs(units: np.ndarray, cell: np.ndarray, threshold: float, pairs: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of one cell whose cosine reaches the threshold; ``cell`` must not fall. Cells of one
+    size are compared together, about so many pairs at once; a large one by a product of matrices."""
+    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    sizes = np.diff(np.concatenate([begin, [len(cell)]]))
+    for size in np.unique(sizes[sizes > 1]):
+        starts = begin[sizes == size]
+        if size > 32:
+            for at in starts:
+                own = units[at : at + size]
+                a, b = np.nonzero(np.triu(own @ own.T >= threshold, 1))
+                yield a + at, b + at
+            continue
+        one, other = np.triu_indices(size, 1)
+        for k in range(0, len(starts), max(1, pairs // len(one))):
+            some = starts[k : k + max(1, pairs // len(one)), None]
+            a, b = (some + one).ravel(), (some + other).ravel()
+            near = np.einsum("ij,ij->i", units[a], units[b]) >= threshold
+            yield a[near], b[near]
+
+
+def _pairs(classes: DataFrame, label: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(cid, links: linked vectors in other classes) and forest edges (u, v) of classes
     (cid, label, n, vector), by bucket and block."""
-    _, label = kinds
+    largest = classes.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    family = family_size(largest)
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -63,10 +99,10 @@ def _pairs(classes: DataFrame, kinds: tuple[str, str], threshold: float) -> tupl
                 by_size.setdefault(size, []).append(row)
             for rows in by_size.values():
                 some = part.take(pa.array(rows))
-                keys = buckets(_units(_matrix(some.column("vector"))))
+                keys = buckets(_units(_matrix(some.column("vector"))), *family)
                 yield pa.RecordBatch.from_arrays([some.column("cid"), some.column("label"), lists(list(keys), pa.int64())], ["cid", "label", "keys"])
 
-    keyed = classes.select("cid", "label", "vector").mapInArrow(hashed, f"cid bigint, label {label}, keys array<bigint>")
+    keyed = classes.select("cid", "label", "vector").mapInArrow(hashed, f"cid binary, label {label}, keys array<bigint>")
     where = store(keyed.select("cid", "label", F.posexplode("keys").alias("table", "key")), "buckets")
     counts = where.groupBy("label", "table", "key").agg(F.count("*").alias("c")).where("c > 1")
     dealt = where.join(counts, ["label", "table", "key"]).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
@@ -79,45 +115,48 @@ def _pairs(classes: DataFrame, kinds: tuple[str, str], threshold: float) -> tupl
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            links: dict[int, int] = {}
-            edges: list[tuple[int, int]] = []
-            for table, x, y, cell in zip(part.column("table").to_pylist(), part.column("x").to_pylist(), part.column("y").to_pylist(), part.column("rows"), strict=True):
-                values = cell.values
-                cid = values.field("cid").to_numpy(zero_copy_only=False)
-                block = values.field("block").to_numpy(zero_copy_only=False)
-                n = values.field("n").to_numpy(zero_copy_only=False)
-                sizes = values.field("vector").value_lengths().to_numpy(zero_copy_only=False)
-                for size in np.unique(sizes):
-                    mine = np.flatnonzero(sizes == size)
-                    units = _units(_matrix(values.field("vector").take(pa.array(mine))))
-                    close = units @ units.T >= threshold
-                    np.fill_diagonal(close, False)
-                    if x != y:  # pairs within a block are counted where it meets itself
-                        close &= block[mine][:, None] != block[mine][None, :]
-                    a, b = np.nonzero(np.triu(close))
-                    if table and len(a):
-                        keys = buckets(units)
-                        first = (keys[a, :table] == keys[b, :table]).any(axis=1)
-                        a, b = a[~first], b[~first]
-                    group = np.arange(len(mine))
-                    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                        ci, cj = int(cid[mine[i]]), int(cid[mine[j]])
-                        links[ci] = links.get(ci, 0) + int(n[mine[j]])
-                        links[cj] = links.get(cj, 0) + int(n[mine[i]])
-                        while group[i] != i:
-                            i = group[i]
-                        while group[j] != j:
-                            j = group[j]
-                        if i != j:
-                            group[max(i, j)] = min(i, j)
-                            edges.append((ci, cj))
-            total = len(links) + len(edges)
-            if total:
-                u = [*links, *(e[0] for e in edges)]
-                v = [None] * len(links) + [e[1] for e in edges]
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([*links.values(), *[0] * len(edges)], pa.int64())], ["u", "v", "links"])
-
-    found = store(cells.select("table", "x", "y", "rows").mapInArrow(compare, "u bigint, v bigint, links bigint"), "found")
+            cells = part.column("rows")
+            values, sizes = cells.values, np.diff(cells.offsets.to_numpy())
+            cell = np.repeat(np.arange(len(sizes)), sizes)
+            table = part.column("table").to_numpy(zero_copy_only=False)
+            apart = (part.column("x").to_numpy(zero_copy_only=False) != part.column("y").to_numpy(zero_copy_only=False))[cell]
+            block, n = (values.field(c).to_numpy(zero_copy_only=False) for c in ("block", "n"))
+            lengths = values.field("vector").value_lengths().to_numpy(zero_copy_only=False)
+            links, group = np.zeros(len(cell), np.int64), np.arange(len(cell))
+            for length in np.unique(lengths):  # vectors of one length
+                mine = np.flatnonzero(lengths == length)
+                units = _units(_matrix(values.field("vector").take(pa.array(mine))))
+                for a, b in close_pairs(units, cell[mine], threshold):
+                    i, j = mine[a], mine[b]
+                    # pairs within a block are counted where it meets itself
+                    good = ~apart[i] | (block[i] != block[j])
+                    a, b, i, j = a[good], b[good], i[good], j[good]
+                    for k in range(0, len(a), 8192):
+                        at = slice(k, k + 8192)
+                        met, back = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+                        keys = buckets(units[met], *family)
+                        half = len(back) // 2
+                        before = np.arange(keys.shape[1]) < table[cell[i[at]]][:, None]
+                        first = ~((keys[back[:half]] == keys[back[half:]]) & before).any(axis=1)
+                        x, y = i[at][first], j[at][first]
+                        np.add.at(links, x, n[y])
+                        np.add.at(links, y, n[x])
+                        while len(x):  # the least member of each component, by spreading minima
+                            low = np.minimum(group[x], group[y])
+                            if (group[x] == low).all() and (group[y] == low).all():
+                                break
+                            for end in (x, y, group[x], group[y]):
+                                np.minimum.at(group, end, low)
+            while (group[group] != group).any():
+                group = group[group]
+            rows = np.flatnonzero(links)
+            star = np.flatnonzero(group != np.arange(len(group)))
+            ids = values.field("cid")
+            u = pa.concat_arrays([ids.take(pa.array(rows)), ids.take(pa.array(star))])
+            v = pa.concat_arrays([pa.nulls(len(rows), pa.binary()), ids.take(pa.array(group[star]))])
+            yield pa.RecordBatch.from_arrays([u, v, pa.array(np.concatenate([links[rows], np.zeros(len(star), np.int64)]))], ["u", "v", "links"])
+
+    found = store(cells.select("table", "x", "y", "rows").mapInArrow(compare, "u binary, v binary, links bigint"), "found")
     drop(where)
     return found.where("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links")), found.where("v is not null").select("u", "v")
 
@@ -135,22 +174,22 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     columns are not read. An empty table gives an empty result.
     """
     batches(rows.sparkSession)
-    base = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
+    base = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     # adding 0.0 makes negative zeros equal to positive ones
-    plain = F.transform("vector", lambda x: x + F.lit(0.0))
+    plain = F.transform("vector", lambda x: x + F.lit(0.0).cast("float" if single else "double"))
     base = base.withColumn("good", good).withColumn("vector", plain)
-    key = F.sha2(F.to_json(F.struct("label", "vector")), 256)
+    key = F.substring(F.unhex(F.sha2(F.to_json(F.struct("label", "vector")), 256)), 1, 16)
     keyed = base.select("id", F.when(F.col("good"), key).alias("ck"), "label", "vector")
     classes = keyed.where("ck is not null").groupBy("ck").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    classes = store(classes.withColumn("cid", F.conv(F.substring("ck", 1, 15), 16, 10).cast("bigint")), "classes")
-    kinds = rows.schema[id_col].dataType.simpleString(), rows.schema[label_col].dataType.simpleString()
-    links, edges = _pairs(classes, kinds, threshold)
+    classes = store(classes.withColumnRenamed("ck", "cid"), "classes")
+    links, edges = _pairs(classes, rows.schema[label_col].dataType.simpleString(), threshold)
     roots = components(edges)
-    named = classes.select("ck", "cid", "id", "n").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = classes.select("cid", "id", "n").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "root").join(links, "cid", "left").select("ck", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    named = named.join(least, "root").join(links, "cid", "left").select(F.col("cid").alias("ck"), "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = keyed.select("id", "ck").join(named, "ck", "left")
     component = F.when(F.col("ck").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(

@@ -61,3 +61,19 @@ def test_edges(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(df).collect()), key=str)
     assert got == brute(rows)
     assert E.near_vectors(df.where("false")).count() == 0
+
+
+def test_family_grows_slowly():
+    """Ten times the vectors: unrelated ones still share few buckets, near ones are still found."""
+    for n in (10, 1000, 50_000, 10**7, 10**10):
+        projections, tables = E.family_size(n)
+        assert n * E.FAR**projections <= E.CHANCE or projections == 6
+        assert (1 - E.NEAR**projections) ** tables <= E.MISS
+        assert tables <= 60 * (n / 1000) ** 0.25 + 30
+
+
+def test_clashing_columns(spark):
+    rows = [(k, [1.0, float(k == 3)], "a", b"c", 7) for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label string, cid binary, n int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_vectors(df).collect())
+    assert got == [("0", 2, "0", True), ("1", 2, "0", False), ("2", 2, "0", False), ("3", 0, "3", True)]
