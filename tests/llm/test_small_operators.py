@@ -60,7 +60,7 @@ def test_decontamination_as_brute_force(spark):
     for d, text in docs:
         for i, item in items:
             p, t = decontaminate.normalise(item), decontaminate.normalise(text)
-            if len(p) >= decontaminate.LEAST and (n := distance(p, t)) <= int(decontaminate.ERROR_RATE * len(p)):
+            if (n := distance(f" {p} ", f" {t} ")) <= int(decontaminate.ERROR_RATE * len(p)):
                 want.add((d, i, n))
     assert len(want) > 15
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
@@ -73,8 +73,8 @@ def test_decontamination_in_blocks_and_edges(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 40)
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (1, "eins zwei drei vier fünf sechs sieben"), (2, None), (3, " ?! "), (4, "short one")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x Alpha-beta, gamma delta EPSILON zeta y", 0), (None, "eins zwei drei vier fünf sechs sieben", 0), (2, None, 0), (3, "", 0), (4, "Short one!", 0), (5, "a short one here", 0)], "doc_id long, text string, end int")
-    assert rows(decontaminate.matches(docs, items), "doc_id", "item_id", "distance") == sorted([(1, 1, 0), (None, 1, 0), (4, 4, 0)], key=str)
-    assert rows(decontaminate.clean(docs, items), "doc_id") == [(2,), (3,), (5,)]
+    assert rows(decontaminate.matches(docs, items), "doc_id", "item_id", "distance") == sorted([(1, 1, 0), (None, 1, 0), (4, 4, 0), (5, 4, 0)], key=str)
+    assert rows(decontaminate.clean(docs, items), "doc_id") == [(2,), (3,)]
     assert decontaminate.matches(docs, items.where("false")).count() == 0
     assert decontaminate.clean(docs.where("false"), items).count() == 0
 
@@ -104,16 +104,24 @@ def test_recall_of_edited_passages():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeo") for _ in range(rng.randint(2, 8)))
     items = tuple((k, " ".join(word() for _ in range(rng.randint(1, 40)))) for k in range(60))
-    search = decontaminate.Items(items, decontaminate.ERROR_RATE, True)
+    search = decontaminate.Items(tuple((str(k), t) for k, t in items), decontaminate.ERROR_RATE)
     for k, item in items:
         body = list(item)
         for at in rng.sample(range(len(body)), len(body) // 10):
             body[at] = rng.choice(["", "x", body[at] + "y"])
         text = f"{word()} {word()} {''.join(body)} {word()}"
-        found = {i: n for i, n, _ in search.find(text)}
+        found = {int(i): n for i, n, _ in search.find(text)}
         assert k in found
         p, t = decontaminate.normalise(item), decontaminate.normalise(text)
-        assert found[k] == (distance(f" {p} ", f" {t} ") if len(p) < decontaminate.LEAST else distance(p, t))
+        assert found[k] == distance(f" {p} ", f" {t} ")
+
+
+def test_item_ids_of_any_type_and_long_documents(spark):
+    filler = "lorem ipsum " * 100_000
+    docs = spark.createDataFrame([("d", filler + "the capital of northern peru " + filler, 1, 2)], "doc_id string, text string, key int, distance int")
+    items = spark.createDataFrame([("x", "The capital of northern Peru"), ("y", "The capital of northern Peru"), (None, "ipsum lorem")], "item_id string, text string")
+    assert rows(decontaminate.matches(docs, items), "doc_id", "item_id", "distance") == sorted([("d", "x", 0), ("d", "y", 0), ("d", None, 0)], key=str)
+    assert decontaminate.clean(docs, items).count() == 0
 
 
 # --- mixing and sharding
@@ -205,24 +213,63 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_suffix_automaton_and_phrases():
-    import numpy as np
+def parsed(text, sample):
+    """Phrases of the longest-match parse, by plain search."""
+    at = count = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, count = at + size, count + 1
+    return count
+
 
+def test_suffix_automaton_and_phrases(monkeypatch):
+    """Whole texts are parsed whatever the blocks: texts of the sample itself, foreign ones, empty ones."""
+    monkeypatch.setattr(language, "BLOCK", 16)
     rng = random.Random(3)
-    known = [rng.randrange(1, 4) for _ in range(300)]
-    table = language.automaton(known, 5)
-    sample = "".join(map(str, known))
-    for _ in range(30):
-        text = [rng.randrange(0, 5) for _ in range(rng.randint(1, 80))]
-        at = count = 0
-        while at < len(text):
-            size = 0
-            while at + size < len(text) and "".join(map(str, text[at : at + size + 1])) in sample:
-                size += 1
-            at, count = at + max(size, 1), count + 1
-        block = np.zeros((1, 90), np.int32)
-        block[0, : len(text)] = text
-        assert language.phrases(block, np.array([len(text)]), table, 5)[0] == count
+    known = bytes(rng.choice(b"abcd") for _ in range(600))
+    auto = language.Automaton(known)
+    texts = [bytes(rng.choice(b"abcdx") for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    texts += [known, known[100:400] * 2, b"", known[5:21], b"x" * 50, b"a" * 300]
+    assert auto.phrases(*language.cut(texts)).tolist() == [parsed(x, known) for x in texts]
+
+
+def test_language_as_brute_force(spark):
+    """op6 on whole texts against plain search in the same samples."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.Model(dict(language.samples(docs)))
+    samples = dict(zip(model.languages, model.known, strict=True))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.op6_language(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.orderBy("n_chars").limit(40).collect():
+        data = language.plain(r.text or "")
+        rates = {name: parsed(data, samples[name]) / norm for name, norm in zip(model.languages, model.norms, strict=True)}
+        first, second = sorted(rates.values())[:2]
+        if data.strip():
+            assert got[r.doc_id] == (min(rates, key=lambda k: (rates[k], k)), pytest.approx(1 - first / max(second, 1e-9)))
+
+
+def test_language_scripts_and_long_texts(spark):
+    """Scripts side by side, thousands of different letters, very long texts, and columns of other names."""
+    rng = random.Random(6)
+    made = {
+        "zh": lambda: "".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 3000) for _ in range(200)),
+        "ru": lambda: " ".join("".join(rng.choice("оеаинтсрвлк") for _ in range(6)) for _ in range(40)),
+        "el": lambda: " ".join("".join(rng.choice("αοιετσνηυρ") for _ in range(6)) for _ in range(40)),
+        "en": lambda: " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(40)),
+        "ja": lambda: "".join(chr(0x3041 + rng.randrange(80)) for _ in range(200)),
+    }
+    rows_in = [(k, made[name](), name) for k, name in enumerate(list(made) * 20)]
+    rows_in.append((5000, " ".join(made["ru"]() for _ in range(1000)), "ru"))
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in rows_in], "doc_id long, text string, lang string, score double, lang_pred string")
+    out = language.identify(docs.withColumn("held_out", language.held_out("doc_id")), language.samples(docs)).collect()
+    assert [(r.doc_id, r.lang, r.lang_pred) for r in out if (r.held_out or r.doc_id == 5000) and r.lang_pred != r.lang] == []
+
+
+def test_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, "some text", "abc"[k % 3] if k < 30 else "b") for k in range(40)], "doc_id long, text string, lang string")
+    assert len(language.samples(docs)) == 2 and "b" in dict(language.samples(docs))
 
 
 def test_language_edges(spark):
