@@ -91,3 +91,20 @@ def diff(pairs: DataFrame, key: str, old: str, new: str, context: int = 3) -> Da
 
     rows = pairs.select(F.col(key).alias("k"), F.col(old).alias("a"), F.col(new).alias("b"))
     return rows.mapInArrow(run, f"{key} {kind}, insertions bigint, deletions bigint, patch string")
+
+
+def endpoint(snapshots: DataFrame, kind: str, value: object = None) -> DataFrame:
+    """(file_path, id, content) of each file at an endpoint of its versions (id, file_path, created_at,
+    content): ``id``, ``timestamp`` (the newest at or before it), ``latest``, ``prev`` (the newest that is
+    strictly older than the latest; none if all are of one instant)."""
+    newest = lambda rows: rows.groupBy("file_path").agg(F.max_by(F.struct("id", "content"), F.struct("created_at", "id")).alias("x")).select("file_path", "x.id", "x.content")
+    if kind == "id":
+        return snapshots.where(F.col("id") == value).select("file_path", "id", "content")
+    if kind == "timestamp":
+        return newest(snapshots.where(F.col("created_at") <= value))
+    if kind == "latest":
+        return newest(snapshots)
+    if kind == "prev":
+        last = snapshots.groupBy("file_path").agg(F.max("created_at").alias("last"))
+        return newest(snapshots.join(last, "file_path").where("created_at < last"))
+    raise ValueError(f"unknown endpoint {kind}")

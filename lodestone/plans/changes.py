@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..embedding import Space, back_fill, embed
 from ..operators import diff as D
 from ..operators import graph as G
 from ..operators import store as S
 from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, vectors, with_views
+from ..payloads import normalise_commit
+from ..planning import work_plan
 from ..shared import shared_dir
 from ..streaming import changes as C
 from .registry import query
@@ -143,6 +150,60 @@ def cmd_commit_batch_idem(spark, sf_dir):
     return S.replay(commands, done).select("key", "status")
 
 
+@sql("plan_budget", """with a(action, node, edge, fan) as (values ('cycles', 3, 1, 2), ('audit:gaps', 4, 1, 2), ('audit:smells', 5, 2, 3), ('audit:hotspots', 4, 2, 3), ('search', 3, 1, 2)), u(asked) as (values (0), (100), (12345), (20000), (999999)),
+p as (select *, least(100000, greatest(1, asked)) as units from a, u)
+select action, asked::bigint as asked, (units // (node + edge * fan))::bigint as node_limit, (units // (node + edge * fan) * fan)::bigint as edge_limit, (units // (node + edge * fan) * (node + edge * fan))::bigint as planned from p""")
+def plan_budget(spark, sf_dir):
+    """Node and edge limits of requests under budgets of work units."""
+    plans = [(a, u, work_plan(a, u)) for a in ("cycles", "audit:gaps", "audit:smells", "audit:hotspots", "search") for u in (0, 100, 12345, 20000, 999999)]
+    return spark.createDataFrame([(a, u, p.node_limit, p.edge_limit, p.planned_work_units) for a, u, p in plans], "action string, asked bigint, node_limit bigint, edge_limit bigint, planned bigint")
+
+
+@sql("cmd_commit_legacy", """select p_partkey as id, 'src/' || p_partkey || '.ts' as file_path, 'why ' || p_name as changelog_entry, 'why ' || p_name as summary,
+  case when p_partkey % 2 = 0 then p_brand || '|' || p_type else 'one|two|three' end as tags, p_partkey % 3 = 0 as breaking_changes, case when p_partkey % 4 = 0 then 'run:function' else 'go:value|stop:value' end as public_api from part""")
+def cmd_commit_legacy(spark, sf_dir):
+    """Loose payloads in their proper form: aliases, JSON in strings, comma and bullet lists, words for truth."""
+    k = F.col("p_partkey")
+    payload = F.to_json(F.struct(
+        k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit(" src/"), k.cast("string"), F.lit(".ts "))).alias("filePath"), F.when(k % 2 == 1, F.concat(F.lit("src/"), k.cast("string"), F.lit(".ts"))).alias("path"),
+        F.concat(F.lit("why "), "p_name", F.lit(" ")).alias("rationale"), F.when(k % 2 == 0, F.to_json(F.array("p_brand", "p_type"))).otherwise("- one\n* two, three,").alias("tags"),
+        F.when(k % 3 == 0, "Yes").otherwise("no").alias("breakingChanges"), F.when(k % 4 == 0, '[{"symbol": "run", "kind": "function"}, {"kind": "nameless"}]').otherwise("go, stop").alias("publicApi"), F.lit("x").alias("unknown"),
+    ))
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for text in part.column("payload").to_pylist():
+                raw = json.loads(text)
+                c = normalise_commit(raw)
+                rows.append((raw["id"], c["file_path"], c["changelog_entry"], c["summary"], "|".join(c["tags"]), c["breaking_changes"], "|".join(f"{e['name']}:{e['type']}" for e in c["public_api"])))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["id", "file_path", "changelog_entry", "summary", "tags", "breaking_changes", "public_api"])
+
+    out = "id bigint, file_path string, changelog_entry string, summary string, tags string, breaking_changes boolean, public_api string"
+    return table(spark, sf_dir, "part").select(payload.alias("payload")).mapInArrow(run, out)
+
+
+def hashed_vectors():
+    """A provider without a model: vectors of length 1 from digests, for tests."""
+
+    def vectors(texts):
+        rows = [np.frombuffer(hashlib.sha256(t.encode()).digest(), np.uint8).astype(float) - 127.5 for t in texts]
+        return [(r / np.linalg.norm(r)).tolist() for r in rows]
+
+    return vectors
+
+
+@sql("emb_backfill", "select file_id as id, sha256(case when file_id % 5 = 0 then blurb || '!' else blurb end) as text_hash, case when file_id % 5 <> 0 and file_id % 7 <> 0 then 'kept' else 'embedded' end as state from files where blurb is not null")
+def emb_backfill(spark, sf_dir):
+    """Blurbs that changed or never had a vector are embedded, the others keep theirs."""
+    space = Space("tests", "digest", 32)
+    f = files(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("blurb").alias("text"))
+    stored = embed(f.where("id % 7 <> 0"), hashed_vectors, space).withColumn("vector", F.transform("vector", lambda x: x * 0))
+    now = f.withColumn("text", F.when(F.col("id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    out = back_fill(now, stored, hashed_vectors, space)
+    return out.select("id", "text_hash", F.when(F.forall("vector", lambda x: x == 0), "kept").otherwise("embedded").alias("state"))
+
+
 @sql("cmd_memory", "select verification_status as category, count(*)::bigint as n from (select * from changelog where id % 2 = 0 union all select * from changelog where id % 5 = 0) group by 1")
 def cmd_memory(spark, sf_dir):
     """Append-only."""
@@ -220,12 +281,32 @@ def ctx_resource(spark, sf_dir):
 # --- versions and diffs --------------------------------------------------------------------------------
 
 
-@sql("act_snapshot", "select file_path, id, array_to_string(string_split(content, chr(10))[1:3], chr(10)) as lines from snapshots where created_at <= 2500 qualify row_number() over (partition by file_path order by created_at desc, id desc) = 1")
+ENDPOINTS = """ends as (
+  select 'id' as endpoint, file_path, id, content from snapshots where id = (select max(id) from snapshots)
+  union all select 'timestamp', file_path, id, content from snapshots where created_at <= 2500 qualify row_number() over (partition by file_path order by created_at desc, id desc) = 1
+  union all select 'latest', file_path, id, content from snapshots qualify row_number() over (partition by file_path order by created_at desc, id desc) = 1
+  union all select 'prev', file_path, id, content from (select *, max(created_at) over (partition by file_path) as newest from snapshots) where created_at < newest qualify row_number() over (partition by file_path order by created_at desc, id desc) = 1)"""
+
+
+def endpoints(spark, sf_dir):
+    s = snapshots(spark, sf_dir)
+    last = s.agg(F.max("id")).first()[0]
+    ends = [("id", last), ("timestamp", 2500), ("latest", None), ("prev", None)]
+    return reduce(DataFrame.unionByName, [D.endpoint(s, kind, value).withColumn("endpoint", F.lit(kind)) for kind, value in ends])
+
+
+@sql("act_snapshot", f"with {ENDPOINTS} select endpoint, file_path, id, array_to_string(string_split(content, chr(10))[1:3], chr(10)) as lines from ends")
 def act_snapshot(spark, sf_dir):
-    """Each file as it was at an instant, cut to its first lines."""
-    s = snapshots(spark, sf_dir).where("created_at <= 2500")
-    last = s.groupBy("file_path").agg(F.max_by(F.struct("id", "content"), F.struct("created_at", "id")).alias("x"))
-    return last.select("file_path", "x.id", F.array_join(F.slice(F.split("x.content", "\n"), 1, 3), "\n").alias("lines"))
+    """Files as they were at each kind of endpoint, cut to their first lines."""
+    return endpoints(spark, sf_dir).select("endpoint", "file_path", "id", F.array_join(F.slice(F.split("content", "\n"), 1, 3), "\n").alias("lines"))
+
+
+@sql("act_diff_endpoints", f"with {ENDPOINTS} select a.file_path, a.id as before, b.id as after, sha256(a.content) = sha256(b.content) as same from ends a join ends b on a.file_path = b.file_path and a.endpoint = 'prev' and b.endpoint = 'latest'")
+def act_diff_endpoints(spark, sf_dir):
+    """The last change of each file: two endpoints, whose digests tell whether there is anything to compare."""
+    s = snapshots(spark, sf_dir)
+    a, b = (D.endpoint(s, kind).select("file_path", F.col("id").alias(name), F.col("content").alias(f"{name}_content")) for kind, name in (("prev", "before"), ("latest", "after")))
+    return a.join(b, "file_path").select("file_path", "before", "after", (F.sha2("before_content", 256) == F.sha2("after_content", 256)).alias("same"))
 
 
 def neighbours(spark, sf_dir) -> DataFrame:

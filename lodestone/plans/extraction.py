@@ -52,6 +52,29 @@ def ext_parse_imports(spark, sf_dir):
     return code(spark, sf_dir).select("id", F.inline(X.import_clauses(F.col("text"))))
 
 
+# A file's last line calls what the named and the namespace import bind, in every third file.
+CALLED = "|| case when id % 3 = 0 then chr(10) || 'a' || (id % 5) || '(ns, c);' else '' end"
+
+
+@sql("aud_imported_not_used", f"""select file_path, form, specifier, case when form = 'side-effect' then 'side effect only' else 'not used' end as note from (select file_path, id, 'named' as form, '../' || ((id + 1) % 40) || '/part_' || (id + 1) || '.js' as specifier from code union all select file_path, id, 'namespace', '@scope/pkg' || (id % 4) || '/deep' from code union all select file_path, id, 'side-effect', './side' || (id % 3) from code) where form = 'side-effect' or id % 3 <> 0""")
+def aud_imported_not_used(spark, sf_dir):
+    """Imports none of whose bound names occurs in the body that is left without imports."""
+    text = F.expr(f"concat(text, {CALLED.removeprefix('|| ').replace('chr(10) || ', 'chr(10) || ')})")
+    return X.unused_imports(code(spark, sf_dir).withColumn("text", text))
+
+
+MANIFEST = '{"name": "x", "dependencies": {"@scope/pkg0": "1", "@scope/pkg1": "^2", "@scope/pkg9": "1", "left": "0.1"}, "devDependencies": {"@scope/pkg3": "1", "checker": "9"}}'
+
+
+@sql("aud_installed_not_imported", "select package from (values ('@scope/pkg0'), ('@scope/pkg1'), ('@scope/pkg9'), ('left')) t(package) where package not in (select '@scope/pkg' || (id % 4) from code)")
+def aud_installed_not_imported(spark, sf_dir):
+    """Dependencies of the manifest that no import of any file names."""
+    manifest = spark.range(1).select(F.from_json(F.lit(MANIFEST), "dependencies map<string,string>").alias("m"))
+    declared = manifest.select(F.explode(F.map_keys("m.dependencies")).alias("package"))
+    used = code(spark, sf_dir).select(F.explode(X.specifiers(F.col("text"))).alias("s")).select(X.package(F.col("s")).alias("package")).where("package is not null").distinct()
+    return declared.join(used, "package", "left_anti")
+
+
 @sql("ext_packages", "select '@scope/pkg' || (id % 4) as package, count(*)::bigint as files from code group by 1")
 def ext_packages(spark, sf_dir):
     s = code(spark, sf_dir).select("id", F.explode(X.specifiers(F.col("text"))).alias("s")).select("id", X.package(F.col("s")).alias("package")).where("package is not null")
@@ -103,11 +126,12 @@ def ext_symbol_range(spark, sf_dir):
     return X.parsed(code(spark, sf_dir)).where("name like 'fn%'").select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("id"), "line_start", "line_end")
 
 
-@sql("ext_export_sites", "select file_path, line, lead(line) over (partition by file_path order by line) as next from (select file_path, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as line, unnest(string_split(text, chr(10))) as body from code) where starts_with(body, 'export ')")
+@sql("ext_export_sites", """, l as (select file_path, len(string_split(text, chr(10))) as total, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as line, unnest(string_split(text, chr(10))) as body from code),
+n as (select *, lead(line) over (partition by file_path order by line) as next, row_number() over (partition by file_path order by line) as place from l where starts_with(body, 'export '))
+select file_path, line as start_line, least(coalesce(next - 1, total), line + 59, total)::int as end_line from n where place <= 6""")
 def ext_export_sites(spark, sf_dir):
-    """Lines that export, each with the next such line, which bounds its highlight."""
-    c = code(spark, sf_dir).select("file_path", F.filter(F.transform(F.split("text", "\n"), lambda x, k: F.when(x.startswith("export "), k + 1)), lambda k: k.isNotNull()).alias("sites"))
-    return c.select("file_path", F.posexplode("sites").alias("pos", "line"), "sites").select("file_path", "line", F.get("sites", F.col("pos") + 1).alias("next"))
+    """Highlights around the first six exporting lines: each up to the next such line, and 60 lines at most."""
+    return X.export_ranges(code(spark, sf_dir))
 
 
 # Classes with methods, calls across files, callbacks and events; every other file differs in a method.

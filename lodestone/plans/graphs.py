@@ -515,18 +515,3 @@ def aud_loaded_not_used(spark, sf_dir):
     e = import_edges(spark, sf_dir)
     used = G.reachable(G.reversed_(e), hub(e, "target")).withColumnRenamed("node", "file_path")
     return symbols(spark, sf_dir).where(F.lower("name").rlike("(^| )(b|c)[a-z]+")).join(used, "file_path", "left_anti").select("symbol_id")
-
-
-@sql("aud_imported_not_used", "select i.source, i.target from import_edges i left join refs r on r.source = i.source and r.target = i.target where r.source is null")
-def aud_imported_not_used(spark, sf_dir):
-    """Imports that no reference between the two files follows."""
-    return import_edges(spark, sf_dir).join(references(spark, sf_dir).select("source", "target"), ["source", "target"], "left_anti")
-
-
-@sql("aud_installed_not_imported", "with p as (select p_brand || '/' || (p_size % 20) as package, 'part_' || lpad(p_partkey::varchar, 6, '0') as target from part) select distinct package from p where package not in (select p.package from import_edges e join p on e.target = p.target)")
-def aud_installed_not_imported(spark, sf_dir):
-    """Declared packages that no import names."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    p = p.select(F.concat_ws("/", "p_brand", (F.col("p_size") % 20).cast("string")).alias("package"), F.concat(F.lit("part_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("target"))
-    used = import_edges(spark, sf_dir).join(p, "target").select("package")
-    return p.select("package").distinct().join(used, "package", "left_anti")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import metadata as M
 from ..functions import quality
 from ..functions.text import jaccard, token_set
-from ..sources.adapters import changelog, files, table, with_views
-from .graphs import aud_exported_not_referenced, aud_imported_not_used, aud_loaded_not_used, metrics
+from ..sources.adapters import changelog, files, import_edges, references, table, with_views
+from .graphs import aud_exported_not_referenced, aud_loaded_not_used, metrics
 from .registry import ORACLES, query
 
 
@@ -18,7 +18,12 @@ def sql(key, statement):
 
 query("jn_loaded_not_used", ORACLES["aud_loaded_not_used"])(aud_loaded_not_used)
 query("jn_exports_unused", ORACLES["aud_exported_not_referenced"])(aud_exported_not_referenced)
-query("jn_imported_unused", ORACLES["aud_imported_not_used"])(aud_imported_not_used)
+
+
+@sql("jn_imported_unused", "select i.source, i.target from import_edges i left join refs r on r.source = i.source and r.target = i.target where r.source is null")
+def jn_imported_unused(spark, sf_dir):
+    """Imports that no reference between the two files follows."""
+    return import_edges(spark, sf_dir).join(references(spark, sf_dir).select("source", "target"), ["source", "target"], "left_anti")
 
 
 @query("topk_hotspots", ORACLES["aud_hotspots"].replace("limit 20", "limit 5"))

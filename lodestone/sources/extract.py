@@ -215,6 +215,28 @@ def parse(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, edges
 
 
+def unused_imports(files: DataFrame) -> DataFrame:
+    """(file_path, form, specifier, note) of the imports of files (file_path, text) none of whose bound names
+    occurs outside import lines; an import that binds none is told as a side effect."""
+    body = F.split(F.regexp_replace("text", r"(?m)^\s*import\b.*$", ""), r"[^\w$]+")
+    bound = F.filter(F.transform(F.split("names", r"\s*,\s*"), lambda n: F.trim(F.regexp_replace(n, r"^.*\bas\s+", ""))), lambda n: n != "")
+    rows = files.select("file_path", body.alias("body"), F.inline(import_clauses(F.col("text"))))
+    effect = F.col("form") == "side-effect"
+    unused = rows.where(effect | ~F.arrays_overlap(bound, "body"))
+    return unused.select("file_path", "form", "specifier", F.when(effect, "side effect only").otherwise("not used").alias("note"))
+
+
+def export_ranges(files: DataFrame, most: int = 6, window: int = 60) -> DataFrame:
+    """(file_path, start_line, end_line) around the first ``most`` lines that export, each bounded by the next
+    such line, the window and the file's end."""
+    lines = F.split("text", "\n")
+    sites = F.filter(F.transform(lines, lambda x, k: F.when(x.startswith("export "), k + 1)), lambda k: k.isNotNull())
+    rows = files.select("file_path", F.size(lines).alias("total"), sites.alias("sites"))
+    each = rows.select("file_path", "total", "sites", F.posexplode(F.slice("sites", 1, most)).alias("pos", "start_line"))
+    end = F.least(F.coalesce(F.get("sites", F.col("pos") + 1) - 1, F.col("total")), F.col("start_line") + window - 1, F.col("total"))
+    return each.select("file_path", "start_line", end.cast("int").alias("end_line"))
+
+
 FLOW = "file_path string, source string, target string, edge_type string"
 
 

@@ -351,3 +351,40 @@ function* gen(n) {
     }
     for k in range(len(code)):
         Script(code[:k])  # a file cut anywhere is read without an error
+
+
+def test_work_plans():
+    from lodestone.planning import work_plan
+
+    p = work_plan("cycles")
+    assert (p.max_work_units, p.deadline_ms, p.node_limit, p.edge_limit, p.planned_work_units) == (20000, 5000, 4000, 8000, 20000)
+    p = work_plan("audit:smells", 100, 999)
+    assert (p.deadline_ms, p.node_limit, p.edge_limit, p.planned_work_units) == (999, 9, 27, 99)
+    p = work_plan("search", 0, 999_999)
+    assert (p.max_work_units, p.deadline_ms, p.node_limit, p.planned_work_units) == (1, 30_000, 0, 0)
+    assert work_plan("search", float("nan")).max_work_units == 20000
+
+
+def test_commit_payloads():
+    from lodestone.payloads import normalise_commit
+
+    got = normalise_commit({"path": " a.ts ", "description": " why ", "tags": '["x", " ", 3]', "hazards": "- one\n* two, three", "breakingChanges": "YES", "publicApi": [{"symbol": "f", "kind": "function", "summary": "s"}, "g", {"kind": "x"}, 7],
+                            "sourceHighlights": {"text": "code", "start": "2", "end_line": 4.9, "title": "T"}, "nonsense": 1})
+    assert got == {
+        "file_path": "a.ts", "changelog_entry": "why", "summary": "why", "hazards": ["one", "two", "three"], "tags": ["x", "3"], "breaking_changes": True,
+        "public_api": [{"name": "f", "type": "function", "description": "s"}, {"name": "g", "type": "value"}], "source_highlights": [{"id": 1, "content": "code", "startLine": 2, "endLine": 4, "label": "T"}],
+    }
+    assert normalise_commit({"tags": ",", "summary": "s", "breaking_changes": "maybe", "public_api": "{broken"})["breaking_changes"] == "maybe"
+
+
+def test_embedding_checks():
+    from lodestone import embedding as M
+
+    space, limits = M.Space("p", "m", 2), M.Limits(items=2, batch_bytes=6, item_bytes=5)
+    assert list(M.batches(["ab", "cd", "ef", "ghijk", "l"], limits)) == [["ab", "cd"], ["ef"], ["ghijk", "l"]]
+    with pytest.raises(M.EmbeddingError):
+        list(M.batches(["abcdef"], limits))
+    assert M.checked([[0.6, 0.8]], 1, space) == [[0.6, 0.8]]
+    for bad in ([], [[1.0]], [[float("nan"), 1.0]], [[1.0, 1.0]]):
+        with pytest.raises(M.EmbeddingError):
+            M.checked(bad, 1, space)
