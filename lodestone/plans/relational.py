@@ -257,30 +257,36 @@ guarded as (select *, count(*) filter (priority = 3) over (partition by source,
 """
 
 
-def candidates(spark, sf_dir):
+def resolved(spark, sf_dir, guarded):
+    """(source, target, name, symbol_id, priority): the caller's own file, then a file it imports, then an
+    export of that name, which ``guarded`` must be the only one. Each priority is an equi-join with symbols
+    that were reduced to one row a key first, so a frequent name costs its callers and not its bearers too."""
     r, s, i = references(spark, sf_dir), symbols(spark, sf_dir), import_edges(spark, sf_dir)
-    calls = r.join(s.select(F.col("file_path").alias("target"), "name"), "target").select("source", "target", "name")
-    named = s.select("name", "symbol_id", "exported", F.col("file_path").alias("defined"))
-    seen = i.select(F.col("source").alias("isource"), F.col("target").alias("itarget"))
-    c = calls.join(named, "name").join(seen, (F.col("isource") == F.col("source")) & (F.col("itarget") == F.col("defined")), "left")
-    priority = F.when(F.col("defined") == F.col("source"), 1).when(F.col("isource").isNotNull(), 2).when(F.col("exported"), 3)
-    return c.select("source", "target", "name", "symbol_id", "exported", priority.alias("priority")).distinct().where("priority is not null")
+    calls = r.join(s.select(F.col("file_path").alias("target"), "name"), "target").select("source", "target", "name").distinct()
+    own = s.groupBy("file_path", "name").agg(F.min("symbol_id").alias("found"))
+    first = own.select(F.col("file_path").alias("source"), "name", F.col("found").alias("one"))
+    met = calls.join(i.select("source", F.col("target").alias("file_path")), "source").join(own, ["file_path", "name"])
+    second = met.groupBy("source", "target", "name").agg(F.min("found").alias("two"))
+    third = s.where("exported").groupBy("name").agg(F.min("symbol_id").alias("three"), F.count("*").alias("bearers"))
+    third = third.where("bearers = 1") if guarded else third
+    out = calls.join(first, ["source", "name"], "left").join(second, ["source", "target", "name"], "left").join(third.drop("bearers"), "name", "left")
+    found = F.coalesce("one", "two", "three")
+    priority = F.when(F.col("one").isNotNull(), 1).when(F.col("two").isNotNull(), 2).otherwise(3)
+    return out.where(found.isNotNull()).select("source", "target", "name", found.alias("symbol_id"), priority.alias("priority"))
 
 
 @sql("jn_symbol_resolve_struct", RESOLVE + """select source, target, name, symbol_id, case priority when 1 then 1.0 when 2 then 0.9 else 0.7 end::double as confidence from guarded where priority < 3 or n3 = 1
 qualify row_number() over (partition by source, target, name order by priority, symbol_id) = 1""")
 def jn_symbol_resolve_struct(spark, sf_dir):
     """Own file, then an imported one, then an export that is the only one of its name."""
-    w = Window.partitionBy("source", "target", "name")
-    c = candidates(spark, sf_dir).withColumn("n3", F.count_if(F.col("priority") == 3).over(w)).where("priority < 3 or n3 = 1")
-    first = c.withColumn("rn", F.row_number().over(w.orderBy("priority", "symbol_id"))).where("rn = 1")
-    return first.select("source", "target", "name", "symbol_id", F.when(F.col("priority") == 1, 1.0).when(F.col("priority") == 2, 0.9).otherwise(0.7).alias("confidence"))
+    confidence = F.when(F.col("priority") == 1, 1.0).when(F.col("priority") == 2, 0.9).otherwise(0.7)
+    return resolved(spark, sf_dir, True).select("source", "target", "name", "symbol_id", confidence.alias("confidence"))
 
 
 @sql("jn_symbol_resolve_flow", RESOLVE + "select source, target, name, min(symbol_id) as symbol_id from (select *, min(priority) over (partition by source, target, name) as best from guarded) where priority = best group by all")
 def jn_symbol_resolve_flow(spark, sf_dir):
     """The same priorities, without the guard: the first of the best."""
-    return candidates(spark, sf_dir).groupBy("source", "target", "name").agg(F.min(F.struct("priority", "symbol_id")).alias("best")).select("source", "target", "name", "best.symbol_id")
+    return resolved(spark, sf_dir, False).select("source", "target", "name", "symbol_id")
 
 
 @sql("jn_asof_snapshot", "with t as (select 'conv_' || conv_id as file_path, (1500 * turn + 500)::bigint as at from conversations) select t.file_path, t.at, s.id from t asof join snapshots s on t.file_path = s.file_path and s.created_at <= t.at")
