@@ -14,6 +14,8 @@ from ..shared import cut, shared_table
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Places that the postings of one term go to.
+SPREAD = 16
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -33,9 +35,12 @@ class Index:
         # a generator holds the optimiser back from computing the tokens anew for each use
         rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(text))).alias("t")).select("doc", F.size("t").alias("dl"), "t")
         tf = rows.select("doc", "dl", F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-        kept = shared_table(tf.repartitionByRange("term", "doc").sortWithinPartitions("term"), "postings")
-        lengths = docs.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        return cls(kept, cut(lengths))
+        # a term's postings go to SPREAD places, so that a frequent one is no single task's
+        dealt = tf.repartition(F.col("term"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
+        kept = shared_table(dealt.sortWithinPartitions("term"), "postings")
+        n = docs.agg(F.count("*").alias("n"))  # documents without a token count too
+        stats = n.crossJoin(F.broadcast(kept.agg(F.sum("tf").alias("all")))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))  # one row
+        return cls(kept, cut(stats))
 
     def search(self, terms: list[str]) -> DataFrame:
         """(doc, score) of the documents that hold any of ``terms``; more negative is better. Document
