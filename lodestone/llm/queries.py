@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat
+from .conversation_repair import OP13_SQL, op13_conversation_repair
 from .decontaminate import op3_decontaminate
 from .embedding_dedup import OP9_SQL, op9_embedding_dedup
 from .language import op6_language
@@ -24,5 +25,12 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+ORACLE_SQL = {
+    "op2_warc": OP2_SQL,
+    "op5_mixing": OP5_SQL,
+    "op8_chat": OP8_SQL,
+    "op9_embedding_dedup": OP9_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op5_mixing": OP5_SQL, "op8_chat": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
