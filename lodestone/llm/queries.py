@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat
+from .clustering import OP12_SQL, op12_clustering
 from .conversation_repair import OP13_SQL, op13_conversation_repair
 from .decontaminate import op3_decontaminate
 from .embedding_dedup import OP9_SQL, op9_embedding_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
+    "op12_clustering": op12_clustering,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL = {
@@ -32,5 +34,6 @@ ORACLE_SQL = {
     "op5_mixing": OP5_SQL,
     "op8_chat": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
+    "op12_clustering": OP12_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
