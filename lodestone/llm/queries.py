@@ -13,6 +13,7 @@ from .mixing import OP5_SQL, op5_mixing
 from .pii import op7_pii
 from .sharding import op10_sharding
 from .suffix_dedup import op1_suffix_dedup
+from .url_filter import OP11_SQL, op11_url_filter
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
+    "op11_url_filter": op11_url_filter,
     "op12_clustering": op12_clustering,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -34,6 +36,7 @@ ORACLE_SQL = {
     "op5_mixing": OP5_SQL,
     "op8_chat": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
+    "op11_url_filter": OP11_SQL,
     "op12_clustering": OP12_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
