@@ -277,37 +277,3 @@ def modularity(edges: DataFrame, parts: DataFrame, gamma: float = 1.0) -> DataFr
     whole = edges.agg((2.0 * F.sum("weight")).alias("m2"))
     rows = ends.join(within, "part", "left").join(F.broadcast(whole))
     return rows.agg(F.sum(F.coalesce("inside", F.lit(0)) / F.col("m2") - gamma * F.pow(F.col("total") / F.col("m2"), 2)).alias("modularity"))
-
-
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, part): communities by synchronous local moving on undirected weighted edges.
-
-    Each node weighs the communities of its neighbours by the gain in modularity, and moves to the
-    best (ties to the smaller name). Only nodes whose hash is even or odd move in a round, in turn, so
-    that pairs don't swap for ever; the partition with the highest modularity is returned.
-    """
-    links = cut(edges.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "weight").groupBy("source", "target").agg(F.sum("weight").alias("weight")))
-    around = cut(links.unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")))
-    strength = cut(around.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("k")))
-    parts = cut(strength.select("node", F.col("node").alias("part")))
-    best, best_q = parts, modularity(links, parts).first()[0]
-    if best_q is None:
-        return parts
-    whole = links.agg((2.0 * F.sum("weight")).alias("m2"))
-    for turn in range(rounds):
-        totals = parts.join(strength, "node").groupBy("part").agg(F.sum("k").alias("total"))
-        toward = around.join(parts.select(F.col("node").alias("target"), "part"), "target").groupBy(F.col("source").alias("node"), "part").agg(F.sum("weight").alias("w"))
-        own = parts.select("node", F.col("part").alias("own"))
-        toward = toward.unionByName(parts.select("node", "part", F.lit(0).cast("long").alias("w"))).groupBy("node", "part").agg(F.sum("w").alias("w"))
-        rated = toward.join(totals, "part").join(strength, "node").join(own, "node").join(F.broadcast(whole))
-        others = F.col("total") - F.when(F.col("part") == F.col("own"), F.col("k")).otherwise(0)
-        gain = F.round(F.col("w") - F.col("k") * others / F.col("m2"), 9)
-        chosen = rated.groupBy("node", "own").agg(F.min(F.struct((-gain).alias("g"), (F.col("part") != F.col("own")).alias("s"), "part")).alias("b"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        parts = cut(chosen.select("node", F.when(moves, F.col("b.part")).otherwise(F.col("own")).alias("part")))
-        q = modularity(links, parts).first()[0]
-        if q > best_q + 1e-12:
-            best, best_q = parts, q
-        elif turn % 2:
-            break
-    return best

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
+from ..operators import community as C
 from ..operators import graph as G
-from ..sources.adapters import changelog, files, import_edges, main_edges, references, symbols, with_views
+from ..sources.adapters import changelog, files, import_edges, main_edges, references, symbols, table, with_views
 from ..operators.retrieval import rrf, with_rank
 from ..shared import cut
 from .registry import query
@@ -323,17 +324,16 @@ def g_modularity(spark, sf_dir):
 
 @query("g_communities")
 def g_communities(spark, sf_dir):
-    return G.communities(weighted(spark, sf_dir))
+    return C.communities(weighted(spark, sf_dir))
 
 
 @query("g_community_names")
 def g_community_names(spark, sf_dir):
-    """A community's name is its most frequent folder; further ones of that name get a number."""
-    parts = G.communities(weighted(spark, sf_dir)).withColumn("slug", F.substring("node", 1, 8))
-    top = parts.groupBy("part", "slug").agg(F.count("*").alias("n")).groupBy("part").agg(F.min(F.struct((-F.col("n")).alias("n"), "slug")).alias("b")).select("part", "b.slug")
-    number = F.row_number().over(Window.partitionBy("slug").orderBy("part"))
-    named = top.select("part", F.when(number == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", number.cast("string"))).alias("name"))
-    return parts.select("node", "part").join(named, "part").select("node", "name")
+    """Names of all parts' communities by the folders of their files: a brand's, and in it a type's."""
+    w = weighted(spark, sf_dir)
+    path = F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("/"), F.lower("p_type"), F.lit("/"), "node", F.lit(".ts"))
+    paths = table(spark, sf_dir, "part").withColumn("node", F.concat(F.lit("part_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))).select("node", path.alias("path"))
+    return C.community_names(w.select("source", "target"), C.communities(w), paths)
 
 
 HITS = FILE_SCORES + """,

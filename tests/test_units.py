@@ -106,16 +106,6 @@ def test_cheapest_paths(spark):
     assert graph.cheapest_paths(spark.createDataFrame(rows, "source string, target string, cost double"), "a", 1).where("node = 'c'").first().cost == 2.5
 
 
-def test_communities_improve(spark):
-    rows = [(f"{c}{i}", f"{c}{j}", 5) for c in "xy" for i in range(4) for j in range(i)] + [("x0", "y0", 1)]
-    e = spark.createDataFrame(rows, "source string, target string, weight long")
-    parts = graph.communities(e)
-    single = parts.withColumn("part", F.col("node"))
-    assert graph.modularity(e, parts).first()[0] > graph.modularity(e, single).first()[0]
-    found = {r.node: r.part for r in parts.collect()}
-    assert len({found[f"x{k}"] for k in range(4)}) == 1 and found["x1"] != found["y1"]
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30), st.integers(0, 3))
 def test_patches_apply(a, b, context):
