@@ -1,4 +1,4 @@
-"""Ranked retrieval: inverted index, BM25, vectors, rank fusion, set similarity."""
+"""Ranked retrieval: BM25, vectors, rank fusion, set similarity."""
 
 from __future__ import annotations
 
@@ -6,51 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, tokens
-from ..shared import cut, shared_table
+from ..functions.text import jaccard
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Places that the postings of one term go to.
-SPREAD = 16
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(doc, term, tf): the inverted index. Write it bucketed by term where many queries follow."""
-    return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(text)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-
-
-class Index:
-    """A stored inverted index: postings (term, doc, tf, dl), dealt and sorted by term, so that a search
-    reads the row groups of its terms only, and the statistics of the whole store."""
-
-    def __init__(self, postings: DataFrame, stats: DataFrame):
-        self.postings, self.stats = postings, stats
-
-    @classmethod
-    def build(cls, spark: SparkSession, docs: DataFrame, id_col: str, text: Column) -> Index:
-        # a generator holds the optimiser back from computing the tokens anew for each use
-        rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(text))).alias("t")).select("doc", F.size("t").alias("dl"), "t")
-        tf = rows.select("doc", "dl", F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-        # a term's postings go to SPREAD places, so that a frequent one is no single task's
-        dealt = tf.repartition(F.col("term"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
-        kept = shared_table(dealt.sortWithinPartitions("term"), "postings")
-        n = docs.agg(F.count("*").alias("n"))  # documents without a token count too
-        stats = n.crossJoin(F.broadcast(kept.agg(F.sum("tf").alias("all")))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))  # one row
-        return cls(kept, cut(stats))
-
-    def search(self, terms: list[str]) -> DataFrame:
-        """(doc, score) of the documents that hold any of ``terms``; more negative is better. Document
-        counts and the average length are of the whole store."""
-        hits = self.postings.where(F.col("term").isin(list(dict.fromkeys(terms))))
-        weights = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))  # a row for each term of the query
-        return _bm25(hits.join(F.broadcast(weights), "term"))
-
-
-def _bm25(rows: DataFrame) -> DataFrame:
+def bm25(rows: DataFrame) -> DataFrame:
     """(doc, score) from (doc, term, tf, dl, df, n, avgdl)."""
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(1e-6)

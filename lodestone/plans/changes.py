@@ -19,9 +19,11 @@ from ..operators import store as S
 from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, vectors, with_views
 from ..payloads import normalise_commit
 from ..planning import work_plan
-from ..shared import shared_dir
+from ..operators.search_index import SearchIndex
+from ..shared import new_folder, shared_dir
 from ..streaming import changes as C
 from .registry import query
+from .retrieval import DOCUMENTS, FOLD, documents
 
 
 def sql(key, statement):
@@ -91,15 +93,17 @@ def sink_refs_replace(spark, sf_dir):
     return stays.unionByName(derived)
 
 
-@sql("sink_delete_file", """with gone as (select file_path as p, symbol_id as n from symbols where symbol_id % 10 = 0), docs as (select doc_id from documents where doc_id not in (select n from gone))
+@sql("sink_delete_file", f"""with {DOCUMENTS}, gone as (select file_path as p, symbol_id as n from symbols where symbol_id % 10 = 0), kept_docs as (select doc_id from documents where doc_id not in (select n from gone))
 select 'import_edges' as kept, count(*)::bigint as n from import_edges where source not in (select p from gone) and target not in (select p from gone)
 union all select 'refs', count(*)::bigint from refs where source not in (select p from gone) and target not in (select p from gone)
 union all select 'symbols', count(*)::bigint from symbols where file_path not in (select p from gone)
 union all select 'vectors', count(*)::bigint from vectors where vec_id not in (select n from gone)
-union all select 'chunks', sum(len(string_split(text, chr(10))))::bigint from documents where doc_id in (select * from docs)
-union all select 'files', count(*)::bigint from docs""")
+union all select 'chunks', sum(len(string_split(text, chr(10))))::bigint from documents where doc_id in (select * from kept_docs)
+union all select 'postings', sum(len(list_distinct({FOLD.format('document')})))::bigint from docs where file_id in (select * from kept_docs)
+union all select 'files', count(*)::bigint from kept_docs""")
 def sink_delete_file(spark, sf_dir):
-    """Deleted files take with them their edges at either end, symbols, vectors, chunks and rows: what is left of each table."""
+    """Deleted files take with them their edges at either end, symbols, vectors, chunks, postings of the search
+    index and rows: what is left of each table."""
     s = symbols(spark, sf_dir)
     gone = s.where("symbol_id % 10 = 0").select(F.col("file_path").alias("key"))
     numbers = s.where("symbol_id % 10 = 0").select(F.col("symbol_id").alias("key"))
@@ -108,6 +112,10 @@ def sink_delete_file(spark, sf_dir):
         "import_edges": (import_edges(spark, sf_dir), gone, ("source", "target")), "refs": (references(spark, sf_dir), gone, ("source", "target")), "symbols": (s, gone, ("file_path",)),
         "vectors": (vectors(spark, sf_dir), numbers, ("vec_id",)), "chunks": (chunks, numbers, ("file_id",)), "files": (files(spark, sf_dir).select("file_id"), numbers, ("file_id",)),
     }
+    index = SearchIndex(spark, new_folder(spark, "cascade-index"))
+    index.upsert(documents(spark, sf_dir), "file_id", F.col("document"))
+    index.delete(numbers)
+    tables["postings"] = index.postings(), numbers, ()
     left = [S.delete_keys(t, g, *columns).agg(F.count("*").alias("n")).select(F.lit(name).alias("kept"), "n") for name, (t, g, columns) in tables.items()]
     return reduce(DataFrame.unionByName, left)
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, normalize, prepared, query_terms, token_set, tokens
 from ..operators import retrieval as R
+from ..operators.search_index import SearchIndex
+from ..shared import new_folder
 from ..sources.adapters import changelog, files, table, vectors, with_views
 from .registry import query
 
@@ -43,22 +45,41 @@ EXPORTS = """case when len(exports) = 0 then '[]' else '[{"name":"' || exports[1
 DOCUMENT = NORMAL.format(f"concat_ws(' ', file_path, cluster, purpose, blurb, {LISTED.format('patterns')}, {LISTED.format('tags')}, {LISTED.format('hazards')}, {EXPORTS})")
 DOCUMENTS = f"docs as (select file_id, {DOCUMENT} as document from files)"
 
-_indexes: dict[tuple[str, str], R.Index] = {}
+_indexes: dict[tuple[str, str], tuple[str, SearchIndex]] = {}
 
 
-def file_index(spark, sf_dir) -> R.Index:
-    """The stored index over the files' documents; built at the first search of a session."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _indexes:
-        _indexes[key] = R.Index.build(spark, files(spark, sf_dir).withColumn("document", document()), "file_id", F.col("document"))
-    return _indexes[key]
+def _version(spark, sf_dir, *names) -> str:
+    """What tells one state of tables from another: their files' names, sizes and times."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(sf_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [fs.getFileStatus(path(f"{sf_dir}/{n}.parquet")) for n in names]
+    found += [f for at in found if at.isDirectory() for f in fs.listStatus(at.getPath())]
+    return ";".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found))
 
 
-def change_index(spark, sf_dir) -> R.Index:
-    key = spark.sparkContext.applicationId, f"{sf_dir}#changes"
-    if key not in _indexes:
-        _indexes[key] = R.Index.build(spark, changelog(spark, sf_dir), "id", F.col("summary"))
-    return _indexes[key]
+def _index(spark, name, sf_dir, tables, docs, id_col, text) -> SearchIndex:
+    """The stored index over ``docs``; built at the first search of a session, and refreshed, document by
+    document, where the tables have changed since."""
+    key = spark.sparkContext.applicationId, f"{sf_dir}#{name}"
+    version = _version(spark, sf_dir, *tables)
+    known, index = _indexes.get(key, (None, None))
+    if known != version:
+        index = index or SearchIndex(spark, new_folder(spark, f"{name}-index"))
+        index.refresh(docs(), id_col, text())
+        _indexes[key] = version, index
+    return index
+
+
+def documents(spark, sf_dir):
+    return files(spark, sf_dir).withColumn("document", document())
+
+
+def file_index(spark, sf_dir) -> SearchIndex:
+    return _index(spark, "files", sf_dir, ("documents", "labels"), lambda: documents(spark, sf_dir), "file_id", lambda: F.col("document"))
+
+
+def change_index(spark, sf_dir) -> SearchIndex:
+    return _index(spark, "changes", sf_dir, ("events",), lambda: changelog(spark, sf_dir), "id", lambda: F.col("summary"))
 
 
 def file_scores(spark, sf_dir):
@@ -84,7 +105,8 @@ def act_search(spark, sf_dir):
     whole; one row a path; then the page, and of it what the character budget holds."""
     f, scores = file_scores(spark, sf_dir)
     hits = f.where((F.col("workspace") == "ws1") & ~F.col("file_path").rlike(TEST_PATH) & F.col("file_path").startswith("src/"))
-    hits = hits.select("file_id", "file_path", "cluster").join(scores, F.col("file_id") == F.col("doc")).dropDuplicates(["file_path"])
+    hits = hits.select("file_id", "file_path", "cluster").join(scores, F.col("file_id") == F.col("doc"))
+    hits = hits.groupBy("file_path").agg(F.min(F.struct("score", "file_id", "cluster")).alias("b")).select("file_path", "b.*")
     top = R.with_rank(hits.orderBy(F.round("score", 9), "file_path").limit(50), F.round("score", 9), "file_path")
     used = F.sum(F.char_length(F.to_json(F.struct("file_path", "cluster"))) + 1).over(Window.orderBy("rank")) + 1  # over one page
     return top.withColumn("used", used).where(F.col("used") <= BUDGET).select("file_id", "file_path", "cluster", F.round("score", 6).alias("score"), "rank")
@@ -110,13 +132,35 @@ def fts_search(spark, sf_dir):
 @query("fts_build", with_views(f"with {DOCUMENTS}, t as (select file_id as doc, {FOLD.format('document')} as t from docs) select doc, len(t)::int as dl, term, count(*)::bigint as tf from (select doc, t, unnest(t) as term from t) group by all"))
 def fts_build(spark, sf_dir):
     """The inverted index as it is stored."""
-    return R.Index.build(spark, files(spark, sf_dir).withColumn("document", document()), "file_id", F.col("document")).postings.select("doc", "dl", "term", "tf")
+    index = SearchIndex(spark, new_folder(spark, "built-index"))
+    index.upsert(documents(spark, sf_dir), "file_id", F.col("document"))
+    return index.postings().select("doc", "dl", "term", "tf")
+
+
+CHANGED = f"""docs as (select file_id, {DOCUMENT} as document from files),
+changed as (select file_id, case when file_id % 5 = 0 then document || ' the erblest erblest heron' else document end as document from docs where file_id % 7 <> 0
+  union all select file_id + 1000000, document from docs where file_id % 10 = 3)"""
+
+
+@query("fts_maintain", with_views(f"""with {CHANGED},
+{bm25_sql("changed", "file_id", "document", TERMS)} select doc as file_id, round(score, 6) as score from scored"""))
+def fts_maintain(spark, sf_dir):
+    """Scores of an index that was written before, and then lost a seventh of its documents, got new texts for a
+    fifth and new documents besides: those of an index built anew over what is there now."""
+    index = SearchIndex(spark, new_folder(spark, "maintained-index"))
+    docs = documents(spark, sf_dir).select("file_id", "document")
+    index.upsert(docs, "file_id", F.col("document"))
+    index.delete(docs.where("file_id % 7 = 0").select(F.col("file_id").alias("key")))
+    edited = docs.where("file_id % 5 = 0 and file_id % 7 <> 0").withColumn("document", F.concat("document", F.lit(" the erblest erblest heron")))
+    added = docs.where("file_id % 10 = 3").withColumn("file_id", F.col("file_id") + 1000000)
+    index.upsert(edited.unionByName(added), "file_id", F.col("document"))
+    return index.search(TERMS).select(F.col("doc").alias("file_id"), F.round("score", 6).alias("score"))
 
 
 @query("fts_rebuild", with_views(f"""with {DOCUMENTS} select term, count(distinct file_id)::bigint as df, count(*)::bigint as total from (select file_id, unnest({FOLD.format('document')}) as term from docs) group by term"""))
 def fts_rebuild(spark, sf_dir):
     """Document and collection frequencies, as a rebuild derives them from the postings."""
-    return file_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return file_index(spark, sf_dir).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 @query("fts_normalize", r"""select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_name || 'HTTPServer' || p_brand || '_x-y', '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_-]+', ' ', 'g'), '\s+', ' ', 'g')) as text from part""")

@@ -42,11 +42,17 @@ def delete(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, kept until the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder until the driver ends, and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made[path] = spark
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
