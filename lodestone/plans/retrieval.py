@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, normalize, prepared, query_terms, token_set, tokens
 from ..operators import retrieval as R
+from ..operators.positional import WORD, PositionalIndex
 from ..operators.search_index import SearchIndex
 from ..shared import new_folder
 from ..sources.adapters import changelog, files, table, vectors, with_views
@@ -45,7 +46,7 @@ EXPORTS = """case when len(exports) = 0 then '[]' else '[{"name":"' || exports[1
 DOCUMENT = NORMAL.format(f"concat_ws(' ', file_path, cluster, purpose, blurb, {LISTED.format('patterns')}, {LISTED.format('tags')}, {LISTED.format('hazards')}, {EXPORTS})")
 DOCUMENTS = f"docs as (select file_id, {DOCUMENT} as document from files)"
 
-_indexes: dict[tuple[str, str], tuple[str, SearchIndex]] = {}
+_stored: dict[tuple[str, str], tuple[str, object]] = {}
 
 
 def _version(spark, sf_dir, *names) -> str:
@@ -57,17 +58,27 @@ def _version(spark, sf_dir, *names) -> str:
     return ";".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found))
 
 
-def _index(spark, name, sf_dir, tables, docs, id_col, text) -> SearchIndex:
-    """The stored index over ``docs``; built at the first search of a session, and refreshed, document by
-    document, where the tables have changed since."""
+def stored(spark, name, sf_dir, tables, make):
+    """What ``make`` made of ``tables`` in this session; where they have changed since, what it makes of
+    that and of them."""
     key = spark.sparkContext.applicationId, f"{sf_dir}#{name}"
     version = _version(spark, sf_dir, *tables)
-    known, index = _indexes.get(key, (None, None))
+    known, value = _stored.get(key, (None, None))
     if known != version:
+        value = make(value)
+        _stored[key] = version, value
+    return value
+
+
+def _index(spark, name, docs, id_col, text):
+    """Builds an index, or refreshes it document by document."""
+
+    def make(index):
         index = index or SearchIndex(spark, new_folder(spark, f"{name}-index"))
-        index.refresh(docs(), id_col, text())
-        _indexes[key] = version, index
-    return index
+        index.refresh(docs(), id_col, text)
+        return index
+
+    return make
 
 
 def documents(spark, sf_dir):
@@ -75,11 +86,12 @@ def documents(spark, sf_dir):
 
 
 def file_index(spark, sf_dir) -> SearchIndex:
-    return _index(spark, "files", sf_dir, ("documents", "labels"), lambda: documents(spark, sf_dir), "file_id", lambda: F.col("document"))
+    """The stored index over the files' documents."""
+    return stored(spark, "files", sf_dir, ("documents", "labels"), _index(spark, "files", lambda: documents(spark, sf_dir), "file_id", F.col("document")))
 
 
 def change_index(spark, sf_dir) -> SearchIndex:
-    return _index(spark, "changes", sf_dir, ("events",), lambda: changelog(spark, sf_dir), "id", lambda: F.col("summary"))
+    return stored(spark, "changes", sf_dir, ("events",), _index(spark, "changes", lambda: changelog(spark, sf_dir), "id", F.col("summary")))
 
 
 def file_scores(spark, sf_dir):
@@ -366,3 +378,48 @@ def win_rank(spark, sf_dir):
     f, scores = file_scores(spark, sf_dir)
     hits = f.select("file_id", "workspace", "file_path").join(scores, F.col("file_id") == F.col("doc"))
     return R.ranks(hits.withColumn("score", F.round("score", 9)), "workspace", F.col("score"), "file_path").select("file_id", "workspace", "rank")
+
+
+#: A file's export: its longest word, of equally long ones the least. The least of the files that export a
+#: name defines it.
+WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_$]+')"
+NAMED = f"""words as (select file_id as doc, line, unnest({WORDS}) as word from (select file_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from files)),
+named as (select word as symbol, min(doc) as defined from (select doc, arg_min(word, (-length(word), word)) as word from words group by doc) group by word),
+hits as (select distinct symbol, doc, line from named join words on word = symbol and doc <> defined)"""
+AROUND = """lines as (select file_id as doc, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from files),
+shown as (select symbol, doc, string_agg(text, chr(10) order by line) as context from (select distinct h.symbol, l.doc, l.line, l.text from hits h join lines l on l.doc = h.doc and l.line between h.line - 2 and h.line + 2) group by all),
+counts as (select symbol, doc, count(*) as matches, min(line) as first_line from hits group by all)"""
+
+
+def places(spark, sf_dir) -> PositionalIndex:
+    """The stored positional index over the files' texts."""
+    return stored(spark, "places", sf_dir, ("documents",), lambda old: PositionalIndex.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
+
+
+def exported(spark, sf_dir):
+    """(symbol, defined) of all files."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    best = words.groupBy("doc").agg(F.min(F.struct((-F.length("w")).alias("n"), "w")).alias("b"))
+    return best.groupBy(F.col("b.w").alias("symbol")).agg(F.min("doc").alias("defined"))
+
+
+@query("ext_grep_context", with_views(f"with {NAMED}, {AROUND} select symbol, doc, matches::bigint as matches, first_line::int as first_line, sha256(context) as context_sha256 from counts join shown using (symbol, doc)"))
+def ext_grep_context(spark, sf_dir):
+    """Word search of all exported names in all other files, with two lines of context (as a digest)."""
+    found = places(spark, sf_dir).grep(exported(spark, sf_dir))
+    return found.select("symbol", "doc", "matches", "first_line", F.sha2("context", 256).alias("context_sha256"))
+
+
+@query("agg_call_site_contexts", with_views(f"""with {NAMED}, {AROUND}
+select symbol, (row_number() over (partition by symbol order by matches desc, doc))::int as rank, doc, matches::bigint as matches, sha256(context) as context_sha256
+from counts join shown using (symbol, doc) qualify rank <= 5"""))
+def agg_call_site_contexts(spark, sf_dir):
+    """The five files that use an exported name most, with the lines around its uses (as a digest)."""
+    found = places(spark, sf_dir).call_sites(exported(spark, sf_dir), 5)
+    return found.select("symbol", "rank", "doc", "matches", F.sha2("context", 256).alias("context_sha256"))
+
+
+@query("aud_exports_unseen", with_views(f"with {NAMED} select symbol, defined from named where symbol not in (select symbol from hits)"))
+def aud_exports_unseen(spark, sf_dir):
+    """Exported names that no other file holds as a word."""
+    return places(spark, sf_dir).unseen(exported(spark, sf_dir))
