@@ -44,6 +44,26 @@ def prepared(raw: Column) -> Column:
     return F.filter(F.split(F.lower(bare), r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(*sorted(STOPWORDS)))
 
 
+# Words that are no identifiers, and the verbs before one.
+NO_IDENTIFIERS = frozenset(
+    "a an and are as at by for from if in into is it its of on only or out the their then this to used uses using value values when with".split()
+)
+VERBS = "derive|derives|derived|load|loads|loaded|fetch|fetches|fetched"
+
+
+def loaded_identifiers(flow: Column) -> Column:
+    """The (symbol, strong) that a text about data flow names: identifiers after a verb of loading (strong), and
+    those in back-ticks. One in back-ticks has two characters or more; a bare one four or more, a capital
+    somewhere, and is no common word."""
+    found = lambda pattern: F.regexp_extract_all(flow, F.lit(pattern), F.lit(1))
+    quoted = lambda names: F.filter(names, lambda n: F.length(n) >= 2)
+    bare = lambda n: (F.length(n) >= 4) & ~F.lower(n).isin(*sorted(NO_IDENTIFIERS)) & n.rlike(r"^([A-Z][A-Za-z0-9_$]*|[a-z]+[A-Z][A-Za-z0-9_$]*)$")
+    strong = F.concat(quoted(found(rf"(?i)\b(?:{VERBS})\s+`([A-Za-z_$][\w$]*)`")), F.filter(found(rf"(?i)\b(?:{VERBS})\s+([A-Za-z_$][\w$]*)"), bare))
+    named = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("symbol"), F.lit(kind).alias("strong")))
+    weak = F.array_except(quoted(found(r"`([A-Za-z_$][\w$]*)`")), strong)
+    return F.concat(named(F.array_distinct(strong), True), named(F.array_distinct(weak), False))
+
+
 def tokens(text: Column) -> Column:
     """Index tokens: lower case, marks removed, split on anything but letters and digits."""
     folded = F.translate(F.lower(text), MARKED, PLAIN)

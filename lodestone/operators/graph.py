@@ -68,6 +68,25 @@ def reachable(edges: DataFrame, roots: DataFrame, limit: int = 10_000) -> DataFr
     return bfs(edges, roots, limit).select("node")
 
 
+#: Bits of a mask: the sign is left alone.
+BITS = 62
+
+
+def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, block, mask): for each node the bits of all ``seeds`` (node, block, mask) from which edges lead to
+    it, its own included. A level hands on new bits only, or'ed per node and block, so that facts about BITS things
+    travel as one; it ends when a level brings nothing new."""
+    edges = cut(edges.where("source <> target").select("source", "target").distinct())
+    seen = fresh = cut(seeds.groupBy("node", "block").agg(F.bit_or("mask").alias("mask")).where("mask <> 0"))
+    while not fresh.isEmpty():
+        step = fresh.join(edges, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node"), "block").agg(F.bit_or("mask").alias("came"))
+        new = step.join(seen, ["node", "block"], "left").withColumn("mask", F.col("came").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0)))))
+        after = cut(new.where("mask <> 0").select("node", "block", "mask"))
+        old = [seen] if fresh is seen else [seen, fresh]
+        seen, fresh = cut(seen.unionByName(after).groupBy("node", "block").agg(F.bit_or("mask").alias("mask")), *old), after
+    return seen
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node connected with each; nodes with self-edges only name themselves.
 

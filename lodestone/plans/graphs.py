@@ -6,13 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
+from ..functions.text import NO_IDENTIFIERS, VERBS, loaded_identifiers
 from ..operators import community as C
 from ..operators import graph as G
 from ..sources.adapters import changelog, files, import_edges, main_edges, references, symbols, table, with_views
+from ..operators.positional import WORD
 from ..operators.retrieval import rrf, with_rank
 from ..shared import cut
 from .registry import query
-from .retrieval import FILE_SCORES, file_scores
+from .retrieval import AROUND, FILE_SCORES, NAMED, exported, file_scores, places
 from .relational import FILLED, all_edges, degrees, fans, filled_fields
 
 
@@ -242,15 +244,92 @@ def g_reach_dead_exports(spark, sf_dir):
     return s.select("symbol_id").orderBy("symbol_id").limit(20)
 
 
-@sql("g_reach_detailed", """with recursive live(node) as (select distinct source from all_edges where source <> target and source not in (select target from all_edges where source <> target) union select e.target from live l join all_edges e on e.source = l.node)
-select s.file_path as node, case when l.node is not null then 'live' when s.exported then 'dead export' else 'dead file' end as state from symbols s left join live l on l.node = s.file_path""")
+#: Files of an application, one for each part: its number decides the folder. A part's import is its main one; every
+#: fortieth and the next one import each other alone.
+APP = """app as (select 'part_' || lpad(k::string, 6, '0') as node, case
+  when k = 4 then 'index.ts' when k % 50 = 0 then 'app/api/r' || k || '/route.ts' when k % 50 = 1 then 'app/p' || k || '/page.tsx' when k % 50 = 2 then 'app/p' || k || '/layout.tsx'
+  when k % 50 = 3 then 'src/m' || k || '/server.ts' when k % 25 = 6 then 'src/f' || k || '.test.ts' when k % 25 = 7 then 'src/tests/f' || k || '.ts' when k % 75 = 8 then 'src/c' || k || '/vite.config.ts'
+  when k % 20 = 10 then 'lib/f' || k || '.ts' when k % 80 = 11 then 'lib/f' || (k - 1) || '.js' else 'lib/f' || k || '.ts' end as path from (select p_partkey as k from part)),
+linked as (select source, target from main_edges where substr(source, 6)::int % 40 not in (10, 11) and substr(target, 6)::int % 40 not in (10, 11)
+  union all select a.node, b.node from app a join app b on abs(substr(b.node, 6)::int - substr(a.node, 6)::int) = 1 and least(substr(a.node, 6)::int, substr(b.node, 6)::int) % 40 = 10)"""
+TESTS_OR_CONFIG = r"/(__tests__|__mocks__|test|tests|spec|specs|fixtures)/|\.(test|spec)\.[cm]?[jt]sx?$|(^|/)(next|vite|vitest|jest|playwright|cypress|eslint|tailwind|postcss|babel|webpack)\.config\.[cm]?[jt]s$"
+# The kinds of entry points, in the order in which a path is tried.
+ENTRIES = {
+    "route": r"(?:^|/)app/(?:.*/)?api/.+/route\.[jt]sx?$",
+    "page": r"(?:^|/)app/(?:.*/)?page\.[jt]sx?$",
+    "layout": r"(?:^|/)app/(?:.*/)?layout\.[jt]sx?$",
+    "root_index": r"^index\.[cm]?[jt]sx?$",
+    "other": r"(?:^|/)(main|server|index|entry|app)\.[cm]?[jt]sx?$",
+}
+#: Extensions of a source and of what is compiled from it.
+COMPANIONS = {".ts": ".js", ".tsx": ".jsx", ".mts": ".mjs", ".cts": ".cjs"}
+ENTRY_SQL = "case " + " ".join(f"when regexp_matches(path, '{p}') then '{k}'" for k, p in ENTRIES.items()) + " end"
+PAIR_SQL = "case " + " ".join(f"when ends_with(path, '{a}') then left(path, length(path) - {len(a)}) || '{b}'" for x, y in COMPANIONS.items() for a, b in ((x, y), (y, x))) + " end"
+REACH = f"""{APP},
+shown as (select node, path, {ENTRY_SQL} as entry, {PAIR_SQL} as pair from app where not regexp_matches(path, '{TESTS_OR_CONFIG}')),
+edges as (select source, target from linked where source in (select node from shown) and target in (select node from shown)),
+roots as (select node, entry as bucket from shown where entry is not null union all select node, 'no_importers' from shown where node not in (select target from edges)),
+walk(node, bucket) as (select node, bucket from roots union select e.target, w.bucket from walk w join edges e on e.source = w.node),
+live as (select node, string_agg(bucket, ',' order by bucket) as reached_by from walk group by node),
+states as (select s.node, s.path, s.entry, l.reached_by, case when l.node is not null then 'live'
+  when exists (select 1 from shown p where p.path = s.pair and (p.node in (select node from live) or p.node in (select target from edges))) then 'companion' else 'dead' end as state
+  from shown s left join live l using (node))"""
+
+
+def app_files(spark, sf_dir):
+    """(node, path, entry) of the files that are neither tests nor configuration, and the imports among them."""
+    main_edges(spark, sf_dir).createOrReplaceTempView("lodestone_main")
+    table(spark, sf_dir, "part").createOrReplaceTempView("lodestone_app_part")
+    told = APP.replace("from part", "from lodestone_app_part").replace("main_edges", "lodestone_main")
+    entry = F.coalesce(*[F.when(F.col("path").rlike(p), k) for k, p in ENTRIES.items()])
+    shown = cut(spark.sql(f"with {told} select * from app").where(~F.col("path").rlike(TESTS_OR_CONFIG)).withColumn("entry", entry))
+    edges = spark.sql(f"with {told} select * from linked").join(shown.select(F.col("node").alias("source")), "source", "left_semi").join(shown.select(F.col("node").alias("target")), "target", "left_semi")
+    return shown, cut(edges)
+
+
+def reach_states(spark, sf_dir):
+    """(node, path, entry, reached_by, state): which kinds of entry points reach a file, all at once, a bit each. What
+    none reaches is dead, but for the companion (.ts and .js, and so on) of a file that is reached or imported."""
+    shown, edges = app_files(spark, sf_dir)
+    kinds = [*ENTRIES, "no_importers"]
+    roots = shown.select("node", F.col("entry").alias("bucket")).where("bucket is not null").unionByName(entrypoints(shown.select("node"), edges).withColumn("bucket", F.lit("no_importers")))
+    bit = F.coalesce(*[F.when(F.col("bucket") == k, 1 << n) for n, k in enumerate(kinds)]).cast("long")
+    reached = G.spread(edges, roots.select("node", F.lit(0).alias("block"), bit.alias("mask"))).select("node", "mask")
+    imported = edges.select(F.col("target").alias("node")).distinct().withColumn("imported", F.lit(True))
+    known = shown.join(reached, "node", "left").join(imported, "node", "left")
+    pair = F.coalesce(*[F.when(F.endswith("path", F.lit(a)), F.concat(F.expr(f"left(path, length(path) - {len(a)})"), F.lit(b))) for x, y in COMPANIONS.items() for a, b in ((x, y), (y, x))])
+    others = known.where("mask is not null or imported").select(F.col("path").alias("pair"), F.lit(True).alias("saved")).distinct()
+    told = known.withColumn("pair", pair).join(others, "pair", "left")
+    state = F.when(F.col("mask").isNotNull(), "live").when(F.col("saved"), "companion").otherwise("dead")
+    names = F.array_sort(F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << n)) != 0, k) for n, k in enumerate(kinds)])))
+    return told.select("node", "path", "entry", F.when(F.col("mask").isNotNull(), F.array_join(names, ",")).alias("reached_by"), state.alias("state"))
+
+
+@sql("g_reach_detailed", f"with recursive {REACH} select node, path, entry, reached_by, state from states")
 def g_reach_detailed(spark, sf_dir):
-    """What entry points reach, and why the rest is dead."""
-    e = all_edges(spark, sf_dir)
-    roots = entrypoints(e.select(F.col("source").alias("node")).distinct(), e)
-    live = G.reachable(e, roots).withColumn("live", F.lit(True))
-    s = symbols(spark, sf_dir).select(F.col("file_path").alias("node"), "exported")
-    return s.join(live, "node", "left").select("node", F.when(F.col("live"), "live").when(F.col("exported"), "dead export").otherwise("dead file").alias("state"))
+    """Which kinds of entry points reach each file, and what is dead."""
+    return reach_states(spark, sf_dir)
+
+
+@sql("g_reach_share", f"with recursive {REACH} select count(*)::bigint as files, count(*) filter (state = 'live')::bigint as reachable, count(*) filter (state = 'dead')::bigint as dead, round(100.0::double * count(*) filter (state = 'live') / count(*), 1) as share from states")
+def g_reach_share(spark, sf_dir):
+    count = lambda state: F.count_if(F.col("state") == state)
+    return reach_states(spark, sf_dir).agg(F.count("*").alias("files"), count("live").alias("reachable"), count("dead").alias("dead"), F.round(100.0 * count("live") / F.count("*"), 1).alias("share"))
+
+
+@sql("g_reach_export_reasons", f"""with recursive {REACH},
+sites as (select r.target as node, count(*) filter (edge_type <> 'type_ref') as sites, coalesce(sum(usage_count) filter (edge_type <> 'type_ref' and r.source in (select node from live)), 0) as used from refs r group by 1)
+select y.symbol_id, y.file_path as node, case when s.node is null then 'symbol missing from cross-references' when s.sites > 0 then 'consumers exist only in unreachable files' else 'no consumers' end as reason
+from symbols y join live l on l.node = y.file_path left join sites s on s.node = y.file_path where y.exported and coalesce(s.used, 0) = 0""")
+def g_reach_export_reasons(spark, sf_dir):
+    """Exports of reachable files that no reachable file calls, and why; type references are no calls."""
+    live = cut(reach_states(spark, sf_dir).where("state = 'live'").select("node"))
+    calls = F.col("edge_type") != "type_ref"
+    r = references(spark, sf_dir).join(live.select(F.col("node").alias("source"), F.lit(True).alias("reached")), "source", "left")
+    sites = r.groupBy(F.col("target").alias("node")).agg(F.count_if(calls).alias("sites"), F.sum(F.when(calls & F.col("reached"), F.col("usage_count"))).alias("used"))
+    s = symbols(spark, sf_dir).where("exported").select("symbol_id", F.col("file_path").alias("node")).join(live, "node").join(sites, "node", "left")
+    reason = F.when(F.col("sites").isNull(), "symbol missing from cross-references").when(F.col("sites") > 0, "consumers exist only in unreachable files").otherwise("no consumers")
+    return s.where(F.coalesce("used", F.lit(0)) == 0).select("symbol_id", "node", reason.alias("reason"))
 
 
 @sql("g_subgraph", f"""with recursive walk(node, depth) as (select {hub_sql('import_edges', 'source')} as node, 0 union select e.target, w.depth + 1 from walk w join import_edges e on e.source = w.node where w.depth < 2), n as (select distinct node from walk)
@@ -508,10 +587,33 @@ def aud_exported_not_referenced(spark, sf_dir):
     return s.withColumn("w", F.lower(F.element_at(F.split("name", " "), 1))).join(words, "w", "left_anti").select("symbol_id")
 
 
-@sql("aud_loaded_not_used", f"""with recursive walk(node) as (select {hub_sql('import_edges', 'target')} union select e.source from walk w join import_edges e on e.target = w.node)
-select symbol_id from symbols where file_path not in (select node from walk) and regexp_matches(lower(name), '(^| )(b|c)[a-z]+')""")
+IDENTIFIERS = rf"""flows as (select file_id, unnest(data_flows) as flow from files),
+told as (
+  select file_id, unnest(regexp_extract_all(flow, '(?i)\b(?:{VERBS})\s+`([A-Za-z_$][\w$]*)`', 1)) as symbol, true as strong, true as quoted from flows
+  union all select file_id, unnest(regexp_extract_all(flow, '(?i)\b(?:{VERBS})\s+([A-Za-z_$][\w$]*)', 1)), true, false from flows
+  union all select file_id, unnest(regexp_extract_all(flow, '`([A-Za-z_$][\w$]*)`', 1)), false, true from flows),
+loaded as (select file_id, symbol, bool_or(strong) as strong from told
+  where case when quoted then length(symbol) >= 2 else length(symbol) >= 4 and regexp_matches(symbol, '^([A-Z][A-Za-z0-9_$]*|[a-z]+[A-Z][A-Za-z0-9_$]*)$')
+    and lower(symbol) not in ({", ".join(f"'{w}'" for w in sorted(NO_IDENTIFIERS))}) end group by all)"""
+
+
+@sql("aud_loaded_not_used", rf"""with recursive {NAMED}, {AROUND}, {IDENTIFIERS},
+seen(node, word) as (
+  select distinct 'part_' || lpad(defined::varchar, 6, '0'), word from (select defined, unnest(regexp_extract_all(context, '[\p{{L}}\p{{N}}_$]+')) as word from shown join named using (symbol)) where word in (select symbol from loaded)
+  union select e.target, s.word from seen s join import_edges e on e.source = s.node)
+select file_id, symbol, strong from loaded where ('part_' || lpad(file_id::varchar, 6, '0'), symbol) not in (select (node, word) from seen)""")
 def aud_loaded_not_used(spark, sf_dir):
-    """Names that match a pattern in files that no transitive importer reaches."""
-    e = import_edges(spark, sf_dir)
-    used = G.reachable(G.reversed_(e), hub(e, "target")).withColumnRenamed("node", "file_path")
-    return symbols(spark, sf_dir).where(F.lower("name").rlike("(^| )(b|c)[a-z]+")).join(used, "file_path", "left_anti").select("symbol_id")
+    """Identifiers that a file's data flows name and that occur in no context of a use of its export, nor of those
+    of any file that imports it, however far. Words travel along imports as bits."""
+    node = lambda c: F.concat(F.lit("part_"), F.lpad(F.col(c).cast("string"), 6, "0")).alias("node")
+    flows = files(spark, sf_dir).select("file_id", F.explode("data_flows").alias("flow"))
+    told = flows.select("file_id", F.inline(loaded_identifiers(F.col("flow")))).groupBy("file_id", "symbol").agg(F.max("strong").alias("strong"))
+    bits = C.numbered(told.select("symbol").distinct(), "symbol", "n").select("symbol", F.floor(F.col("n") / G.BITS).alias("block"), F.expr(f"shiftleft(1L, cast(n % {G.BITS} as int))").alias("bit"))
+    loaded = cut(told.join(bits, "symbol").select("file_id", node("file_id"), "symbol", "strong", "block", "bit"))
+    names = exported(spark, sf_dir)
+    contexts = places(spark, sf_dir).grep(names).select("symbol", "context").join(names, "symbol")
+    words = contexts.select(node("defined"), F.explode(F.regexp_extract_all("context", F.lit(WORD), F.lit(0))).alias("symbol")).distinct()
+    seeds = words.join(loaded.select("symbol", "block", "bit").distinct(), "symbol").select("node", "block", F.col("bit").alias("mask"))
+    reached = G.spread(import_edges(spark, sf_dir), seeds)
+    known = loaded.join(reached, ["node", "block"], "left")
+    return known.where(F.coalesce(F.col("mask").bitwiseAND(F.col("bit")), F.lit(0)) == 0).select("file_id", "symbol", "strong")

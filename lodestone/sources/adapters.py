@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A text's first three words.
+WORDS = r"^\W*(\w+)\W+(\w+)\W+(\w+)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +49,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 10 != 3, i % 6).alias("cross_references"),
         listed(i % 3 == 0, F.lit("named exports")).alias("conventions"),
         listed(i % 4 == 0, F.concat(F.lit("Doc"), (i % 50).cast("string"))).alias("key_types"),
-        listed(i % 5 == 2, F.concat(F.lit("load rows"), (i % 20).cast("string"), F.lit(" and derive `total"), (i % 20).cast("string"), F.lit("`"))).alias("data_flows"),
+        listed(i % 5 == 2, F.concat(F.lit("load "), F.regexp_extract("text", WORDS, 1), F.lit(" and derive `"), F.regexp_extract("text", WORDS, 2), F.lit("` from `"), F.regexp_extract("text", WORDS, 3), F.lit("`"))).alias("data_flows"),
         F.col("text"),
     )
 
@@ -141,7 +145,7 @@ def _line_sql(odd: int) -> str:
 
 
 SQL = {
-    "files": """select d.doc_id as file_id, 'ws' || (d.doc_id % 3) as workspace,
+    "files": r"""select d.doc_id as file_id, 'ws' || (d.doc_id % 3) as workspace,
   'src/' || d.source || '/' || case when d.doc_id % 11 = 0 then '__tests__' else d.lang end || '/doc_' || d.doc_id || case when d.doc_id % 13 = 0 then '.spec.md' else '.md' end as file_path,
   sha1(d.text) as file_hash, case when d.doc_id % 17 <> 0 then d.source end as cluster, d.lang as language, len(string_split(d.text, chr(10)))::bigint as loc,
   case when d.doc_id % 5 <> 0 then string_split(d.text, chr(10))[1] end as blurb, case when d.doc_id % 7 = 0 then '' when d.doc_id % 7 <> 3 then d.text end as purpose,
@@ -152,7 +156,7 @@ SQL = {
   case when d.doc_id % 8 <> 0 then [{'name': 'readDoc' || (d.doc_id % 50), 'type': d.lang}] else []::struct(name varchar, type varchar)[] end as exports,
   case when d.doc_id % 4 <> 1 then [{'label': 'head', 'startLine': 1, 'endLine': 2}] else [] end as source_highlights, case when d.doc_id % 10 <> 3 then d.doc_id % 6 end as cross_references,
   case when d.doc_id % 3 = 0 then ['named exports'] else []::varchar[] end as conventions, case when d.doc_id % 4 = 0 then ['Doc' || (d.doc_id % 50)] else []::varchar[] end as key_types,
-  case when d.doc_id % 5 = 2 then ['load rows' || (d.doc_id % 20) || ' and derive `total' || (d.doc_id % 20) || '`'] else []::varchar[] end as data_flows, d.text
+  case when d.doc_id % 5 = 2 then ['load ' || regexp_extract(d.text, '^\W*(\w+)\W+(\w+)\W+(\w+)', 1) || ' and derive `' || regexp_extract(d.text, '^\W*(\w+)\W+(\w+)\W+(\w+)', 2) || '` from `' || regexp_extract(d.text, '^\W*(\w+)\W+(\w+)\W+(\w+)', 3) || '`'] else []::varchar[] end as data_flows, d.text
   from documents d left join labels l on d.doc_id = l.doc_id""",
     "import_edges": f"select distinct source, target from ({_line_sql(1)})",
     "refs": f"""select source, target, case l_returnflag when 'A' then 'runtime_call' when 'N' then 'type_ref' else 'CALLS' end as edge_type, count(*)::bigint as usage_count, round(avg(1 - l_discount), 6) as confidence
