@@ -5,7 +5,7 @@ Loops write their state to the shared folder each round (``cut``) and delete wha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -23,8 +23,30 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").unionByName(reversed_(edges)).distinct()
 
 
-def bfs(edges: DataFrame, roots: DataFrame, depth: int, paths: bool = False) -> DataFrame:
-    """(node, depth[, path]) of all nodes within ``depth`` steps of ``roots`` (node).
+#: Levels that are kept as tables of their own before they are made one.
+LAYERS = 8
+
+
+def _walk(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: list[str], depth: int | None) -> DataFrame:
+    """``start`` and, level by level, the rows that ``step`` makes of the last level and whose ``keys`` are new; to
+    ``depth``, or to the end. A level is written once, beside those before it."""
+    layers = [cut(start)]
+    level = 0
+    last = layers[0]
+    while depth is None or level < depth:
+        level += 1
+        seen = reduce(DataFrame.unionByName, [x.select(*keys) for x in layers])
+        last = cut(step(last, level).join(seen, keys, "left_anti"))
+        if last.isEmpty():
+            break
+        layers.append(last)
+        if len(layers) > LAYERS:  # the last one is still to be stepped from
+            layers = [cut(reduce(DataFrame.unionByName, layers[:-1]), *layers[:-1]), last]
+    return reduce(DataFrame.unionByName, layers)
+
+
+def bfs(edges: DataFrame, roots: DataFrame, depth: int | None, paths: bool = False) -> DataFrame:
+    """(node, depth[, path]) of all nodes within ``depth`` steps of ``roots`` (node); null: of all that there are.
 
     A level is one join of the frontier with the edges and one anti-join with what was seen. With
     ``paths``, a node's path goes through the parent that was discovered first, as a traversal with
@@ -33,39 +55,28 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, paths: bool = False) ->
     """
     edges = cut(edges.where("source <> target").select("source", "target").distinct())
     start = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    seen = frontier = cut(start.withColumn("path", F.array("node")) if paths else start)
-    for level in range(1, depth + 1):
-        step = frontier.join(edges, F.col("node") == F.col("source"))
-        if paths:
-            found = step.select(F.col("target").alias("node"), "path").groupBy("node").agg(F.min("path").alias("path"))
-            found = found.select("node", F.lit(level).alias("depth"), F.concat("path", F.array("node")).alias("path"))
-        else:
-            found = step.select(F.col("target").alias("node")).distinct().withColumn("depth", F.lit(level))
-        after = cut(found.join(seen.select("node"), "node", "left_anti"))
-        if after.isEmpty():
-            break
-        old = [seen] if frontier is seen else [seen, frontier]
-        seen, frontier = cut(seen.unionByName(after), *old), after
-    return seen
 
+    def step(frontier: DataFrame, level: int) -> DataFrame:
+        found = frontier.join(edges, F.col("node") == F.col("source"))
+        if not paths:
+            return found.select(F.col("target").alias("node")).distinct().withColumn("depth", F.lit(level))
+        found = found.select(F.col("target").alias("node"), "path").groupBy("node").agg(F.min("path").alias("path"))
+        return found.select("node", F.lit(level).alias("depth"), F.concat("path", F.array("node")).alias("path"))
+
+    return _walk(start.withColumn("path", F.array("node")) if paths else start, step, ["node"], depth)
 
-def bfs_many(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+
+def bfs_many(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
     """(root, node, depth) from each of many roots (root) at once."""
     edges = cut(edges.where("source <> target").select("source", "target").distinct())
-    seen = frontier = cut(roots.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)))
-    for level in range(1, depth + 1):
-        step = frontier.join(edges, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
-        after = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
-        if after.isEmpty():
-            break
-        old = [seen] if frontier is seen else [seen, frontier]
-        seen, frontier = cut(seen.unionByName(after), *old), after
-    return seen
+    start = roots.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0))
+    step = lambda frontier, level: frontier.join(edges, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct().withColumn("depth", F.lit(level))
+    return _walk(start, step, ["root", "node"], depth)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, limit: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node) reachable from roots (node), roots included, to the end."""
-    return bfs(edges, roots, limit).select("node")
+    return bfs(edges, roots, None).select("node")
 
 
 #: Bits of a mask: the sign is left alone.

@@ -10,6 +10,7 @@ from ..functions.text import NO_IDENTIFIERS, VERBS, loaded_identifiers
 from ..operators import community as C
 from ..operators import graph as G
 from ..sources.adapters import changelog, files, import_edges, main_edges, references, symbols, table, with_views
+from ..operators.paths import resolve
 from ..operators.positional import WORD
 from ..operators.retrieval import rrf, with_rank
 from ..shared import cut
@@ -171,7 +172,7 @@ def g_trace_detailed(spark, sf_dir):
 @sql("g_reach_path", f"""with recursive walk(node) as (select {hub_sql('import_edges', 'source')} union select e.target from walk w join import_edges e on e.source = w.node) select node from walk""")
 def g_reach_path(spark, sf_dir):
     e = import_edges(spark, sf_dir)
-    return G.bfs(e, hub(e, "source"), 50).select("node")
+    return G.reachable(e, hub(e, "source"))
 
 
 SCC = """with recursive reach(a, b) as (select source, target from all_edges where source <> target union select r.a, e.target from reach r join all_edges e on e.source = r.b and e.source <> e.target),
@@ -415,6 +416,42 @@ def g_community_names(spark, sf_dir):
     return C.community_names(w.select("source", "target"), C.communities(w), paths)
 
 
+#: Files under three folders that were renamed or are links, and renames of single files: of two thirds of the parts to
+#: that of their main import; every tenth was deleted.
+MOVES = """inputs as (select case k % 10 when 1 then 'link/' when 2 then 'old/' when 3 then 'loop1/' else 'src/' end || name as input from (select symbol_id as k, file_path as name from symbols)),
+aliases as (select * from (values ('link', 'src', 'directory'), ('loop1', 'loop2', 'directory')) v("from", "to", kind)),
+redirects as (select 'src/' || source as "from", case when substr(source, 6)::int % 10 <> 7 then 'src/' || target end as "to", 'file' as kind from main_edges where substr(source, 6)::int % 3 <> 0
+  union all select * from (values ('old', 'link', 'directory'), ('loop2', 'loop1', 'directory')) v(a, b, kind))"""
+
+
+@sql("fn_path_redirects", f"""with recursive {MOVES},
+walk(input, path, seen, aliased, redirected, state) as (
+  select input, input, [input], false, false, null::varchar from inputs
+  union all
+  select input, case when looped then null else coalesce(next, path) end, case when next is null then seen else list_append(seen, next) end, aliased, redirected or hit,
+         case when looped then 'cycle' when hit and next is null then 'deleted' when not changed and not hit then 'current' end
+  from (
+    select x.*, r."to" is not null or r."from" is not null as hit, r."to" || substr(x.path, length(r."from") + 1) as next,
+           (changed and list_contains(before, x.path)) or coalesce(list_contains(x.seen, r."to" || substr(x.path, length(r."from") + 1)), false) as looped
+    from (
+      select w.input, case when a."from" is null then w.path else a."to" || substr(w.path, length(a."from") + 1) end as path, w.seen as before,
+             case when a."from" is null then w.seen else list_append(w.seen, a."to" || substr(w.path, length(a."from") + 1)) end as seen,
+             w.aliased or a."from" is not null as aliased, w.redirected, a."from" is not null as changed
+      from walk w left join aliases a on starts_with(w.path, a."from" || '/') where w.state is null) x
+    left join redirects r on r."from" = x.path or (r.kind = 'directory' and starts_with(x.path, r."from" || '/'))))
+select input, path, state, aliased, redirected from walk where state is not null""")
+def fn_path_redirects(spark, sf_dir):
+    """Where files are now, through links and any number of renames."""
+    s = symbols(spark, sf_dir)
+    k, name = F.col("symbol_id") % 10, F.col("file_path")
+    inputs = s.select(F.concat(F.when(k == 1, "link/").when(k == 2, "old/").when(k == 3, "loop1/").otherwise("src/"), name).alias("input"))
+    mapping = lambda *rows: spark.createDataFrame(rows, "`from` string, to string, kind string")
+    n = F.substring("source", 6, 6).cast("int")
+    renames = main_edges(spark, sf_dir).where(n % 3 != 0).select(F.concat(F.lit("src/"), "source").alias("from"), F.when(n % 10 != 7, F.concat(F.lit("src/"), "target")).alias("to"), F.lit("file").alias("kind"))
+    folders = mapping(("old", "link", "directory"), ("loop2", "loop1", "directory"))
+    return resolve(inputs, mapping(("link", "src", "directory"), ("loop1", "loop2", "directory")), renames.unionByName(folders))
+
+
 HITS = FILE_SCORES + """,
 hits as (select 'part_' || lpad(doc::varchar, 6, '0') as node, row_number() over (order by round(score, 9), doc) as rank from scored qualify rank <= 100)"""
 

@@ -73,12 +73,12 @@ def fn_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(parsed, "$.k", "bigint").alias("k"), parsed.isNotNull().alias("valid"))
 
 
-@sql("fn_set_similarity", "with s as (select p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9_]+'), lambda t: len(t) > 1)) as t from part) select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) as score from s a join s b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey and a.p_partkey % 20 = 0 where len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.5")
+@sql("fn_set_similarity", "with s as (select p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9_]+'), lambda t: len(t) > 1)) as t from part) select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) as score from s a join s b on a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey and a.p_partkey % 20 = 0 where len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.5")
 def fn_set_similarity(spark, sf_dir):
     """A query set against all rows of its brand."""
     s = table(spark, sf_dir, "part").select("p_partkey", "p_brand", token_set(F.col("p_name"), F.col("p_type")).alias("t"))
     a = s.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), "p_brand", F.col("t").alias("ta"))
-    pairs = a.join(s.select(F.col("p_partkey").alias("b"), "p_brand", F.col("t").alias("tb")), "p_brand").where("a < b")
+    pairs = a.join(s.select(F.col("p_partkey").alias("b"), "p_brand", F.col("t").alias("tb")), "p_brand").where("a <> b")
     return pairs.withColumn("score", jaccard(F.col("ta"), F.col("tb"))).where("score >= 0.5").select("a", "b", F.round("score", 6).alias("score"))
 
 
