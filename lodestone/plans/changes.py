@@ -22,6 +22,7 @@ from ..planning import work_plan
 from ..operators.search_index import SearchIndex
 from ..shared import new_folder, shared_dir
 from ..streaming import changes as C
+from ..streaming.debounce import debounced, deliver
 from .registry import query
 from .retrieval import DOCUMENTS, FOLD, documents
 
@@ -395,6 +396,45 @@ def str_watch(spark, sf_dir):
     return C.present(t)
 
 
+def timed_feed(spark, sf_dir, parts=4):
+    """All events as file changes, in files that arrive in order of time, part by part, and a late word that tells each
+    workspace how late it is."""
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("src/user_"), F.col("user_id").cast("string"), F.lit("/f"), (F.col("event_id") % 97).cast("string"))
+    rows = e.select(F.concat(F.lit("ws"), (F.col("user_id") % 3).cast("string")).alias("key"), path.alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    where = scratch(spark, "timed")
+    cuts = rows.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.01)
+    t = F.unix_micros("ts")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        some = rows if low is None else rows.where(t > low)
+        (some if high is None else some.where(t <= high)).write.mode("append").parquet(where)
+    late = rows.select("key").distinct().select("key", F.lit(None).cast("string").alias("path"), (F.lit(rows.agg(F.max("ts")).first()[0]) + F.expr("interval 60 days")).alias("ts"), F.lit(-1).cast("long").alias("seq"))
+    late.write.mode("append").parquet(where)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(where)
+
+
+@sql("str_debounce", """with recursive e as (
+  select 'ws' || (user_id % 3) as key, 'src/user_' || user_id || '/f' || (event_id % 97) as path, epoch_us(ts) as t, row_number() over (partition by user_id % 3 order by ts, event_id) as k from events),
+fold(key, k, pending, last, ended, reason, flushed) as (
+  select distinct key, 0::bigint, []::varchar[], 0::bigint, 0::bigint, null::varchar, []::varchar[] from e
+  union all
+  select key, k, case when len(now) >= 256 then [] else now end, t, case when rested then last + 3600000000 else t end,
+         case when rested then 'quiet' when len(now) >= 256 then 'full' end, case when rested then pending else now end
+  from (select e.key, e.k, e.t, f.pending, f.last, len(f.pending) > 0 and f.last + 3600000000 <= e.t as rested,
+               case when f.last + 3600000000 <= e.t then [e.path] when list_contains(f.pending, e.path) then f.pending else list_append(f.pending, e.path) end as now
+        from fold f join e on e.key = f.key and e.k = f.k + 1)),
+found as (
+  select key, k, ended, reason, flushed from fold where reason is not null
+  union all select key, k + 1, last + 3600000000, 'quiet', pending from fold where len(pending) > 0 and (key, k) in (select (key, max(k)) from e group by key))
+select key, row_number() over (partition by key order by k) - 1 as number, ended, reason, len(flushed)::bigint as paths, sha256(array_to_string(list_sort(flushed), ',')) as digest from found""")
+def str_debounce(spark, sf_dir):
+    """Changes of each workspace in batches: an hour of quiet or 256 paths end one."""
+    done, failed = (S.Table(spark, scratch(spark, name)) for name in ("batches", "failed"))
+    batches = debounced(timed_feed(spark, sf_dir), "1 hour", "14 days")
+    finish(deliver(batches, done, failed, lambda batch: batch, "debounce"), spark, "debounce-state")
+    return done.read().withColumn("ended", F.unix_micros("ended"))
+
+
 @sql("str_watch_legacy", "select 'src/user_' || user_id as file_path, count(*)::bigint as n from events group by 1")
 def str_watch_legacy(spark, sf_dir):
     """What a stream marks stale, summed over its batches."""
