@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, normalize, prepared, query_terms, token_set, tokens
 from ..operators import retrieval as R
+from ..operators.ngrams import GramIndex
 from ..operators.positional import WORD, PositionalIndex
 from ..operators.search_index import SearchIndex
-from ..shared import new_folder
+from ..shared import cut, new_folder
 from ..sources.adapters import changelog, files, table, vectors, with_views
 from .registry import query
 
@@ -90,6 +91,18 @@ def file_index(spark, sf_dir) -> SearchIndex:
     return stored(spark, "files", sf_dir, ("documents", "labels"), _index(spark, "files", lambda: documents(spark, sf_dir), "file_id", F.col("document")))
 
 
+#: The columns of a substring search, kept apart by a character that no query holds.
+APART = "\x1f"
+SOUGHT = r"lower(concat_ws(chr(31), file_path, blurb, purpose, array_to_string(tags, ' '), array_to_string(patterns, ' '), array_to_string(hazards, ' ')))"
+
+
+def gram_index(spark, sf_dir) -> GramIndex:
+    """The stored n-gram index over the columns of files."""
+    listed = lambda c: F.array_join(c, " ")
+    text = F.lower(F.concat_ws(APART, "file_path", "blurb", "purpose", listed("tags"), listed("patterns"), listed("hazards")))
+    return stored(spark, "grams", sf_dir, ("documents", "labels"), lambda old: GramIndex.build(files(spark, sf_dir), "file_id", text))
+
+
 def change_index(spark, sf_dir) -> SearchIndex:
     return stored(spark, "changes", sf_dir, ("events",), _index(spark, "changes", lambda: changelog(spark, sf_dir), "id", F.col("summary")))
 
@@ -359,6 +372,36 @@ def act_ask_detailed(spark, sf_dir):
     return a.unionByName(b).select("kind", "id", F.round(1 / (F.lit(60.0) + F.col("rank")), 6).alias("score"))
 
 
+#: Parts of words: the full-text index knows none of them.
+PARTS = "hatio rbles ntheb"
+PART_TERMS = query_terms(PARTS)
+HELD = f"""sought as (select file_id, workspace, file_path, {SOUGHT} as t from files),
+held as (select file_id, workspace, file_path, {" || ".join(f"case when contains(t, '{w}') then '{w} ' else '' end" for w in sorted(PART_TERMS))} as words from sought)"""
+
+
+@query("flt_like_indexed", with_views(f"with {HELD} select file_id, trim(words) as words from held where words <> ''"))
+def flt_like_indexed(spark, sf_dir):
+    """Files that hold any of the words anywhere in their columns, by n-grams, and which ones."""
+    return gram_index(spark, sf_dir).any_of(PART_TERMS).select(F.col("doc").alias("file_id"), F.array_join("words", " ").alias("words"))
+
+
+@query("act_ask_fallback", with_views(f"""with {HELD}, {DOCUMENTS}, {bm25_sql("docs", "file_id", "document", PART_TERMS)},
+direct as (select f.file_path, 'fts' as source, row_number() over (order by round(s.score, 9), f.file_path) as rank from scored s join files f on f.file_id = s.doc where f.workspace = 'ws1' qualify rank <= 10),
+parts as (select file_path, 'fallback' as source, row_number() over (order by file_path) as rank from held where words <> '' and workspace = 'ws1' and not exists (select 1 from direct) qualify rank <= 10)
+select file_path, source, rank::int as rank, case source when 'fts' then null else round(1.0::double / rank, 6) end as score from (select * from direct union all select * from parts)"""))
+def act_ask_fallback(spark, sf_dir):
+    """Evidence for a question: ranked hits, or, where the full-text index has none, files that hold a part of it."""
+    f = files(spark, sf_dir).where("workspace = 'ws1'").select("file_id", "file_path")
+    scores = file_index(spark, sf_dir).search(PART_TERMS)
+    hits = f.join(scores, F.col("file_id") == F.col("doc")).orderBy(F.round("score", 9), "file_path").limit(10)
+    direct = cut(R.with_rank(hits, F.round("score", 9), "file_path").select("file_path", F.lit("fts").alias("source"), "rank", F.lit(None).cast("double").alias("score")))
+    if not direct.isEmpty():
+        return direct
+    held = gram_index(spark, sf_dir).any_of(PART_TERMS).select(F.col("doc").alias("file_id"))
+    parts = R.with_rank(f.join(held, "file_id", "left_semi").orderBy("file_path").limit(10), "file_path")
+    return parts.select("file_path", F.lit("fallback").alias("source"), "rank", F.round(F.lit(1.0) / F.col("rank"), 6).alias("score"))
+
+
 @query("jn_fts_files", with_views(f"with {FILE_SCORES} select f.file_id, f.workspace, f.file_path, round(s.score, 6) as score from scored s join files f on f.file_id = s.doc where f.workspace = 'ws0'"))
 def jn_fts_files(spark, sf_dir):
     f, scores = file_scores(spark, sf_dir)
