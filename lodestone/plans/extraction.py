@@ -29,7 +29,7 @@ def sql(key, statement):
     return query(key, f"with {CODE} {statement}")
 
 
-@sql("ext_imports", "select id, unnest(['../' || ((id + 1) % 40) || '/part_' || (id + 1) || '.js']) as specifier from code")
+@sql("ext_imports", r"""select id, unnest(regexp_extract_all(text, 'from\s+[\x22\x27](\.[^\x22\x27]+)', 1)) as specifier from code""")
 def ext_imports(spark, sf_dir):
     return code(spark, sf_dir).select("id", F.explode(X.imports(F.col("text"))).alias("specifier"))
 
@@ -98,29 +98,48 @@ def ext_symbol_edges(spark, sf_dir):
     return X.parsed(code(spark, sf_dir), edges=True)
 
 
-PY = {"python": "class A{k}(Base):\n    def run(self, x):\n        return self.step(x)\n    def _hide(self):\n        pass\n\ndef top{k}(y):\n    return A{k}(y)\n", "go": "type T{k} struct {\n  a int\n}\n\nfunc (t T{k}) Run() int {\n  return help()\n}\nfunc help() int { return 1 }\n", "rust": "pub struct S{k} {\n  a: i32,\n}\nimpl Show for S{k} {\n}\npub fn go{k}() { low() }\nfn low() {}\n", "java": "public class J{k} extends Base implements One, Two {\n  private int run() { return 1; }\n}\n"}
+#: A file per part and language, made of the part's name and size: how many fields, whether it is exported; comments and
+#: strings in it look like code.
+LANGUAGE_TEXTS = {
+    "python": """select 'f' || k as file_path, 'class ' || c || '(Base):' || nl || repeat('    a = 1' || nl, size) || '    def ' || case when odd then '_' else '' end || w || '(self):' || nl || '        "def fake(): pass"' || nl || '        return self.go()' || nl || '# def no(): pass' as text""",
+    "go": """select 'f' || k as file_path, '/* func No() {' || nl || '*/' || nl || 'type ' || c || '[T any] struct {' || nl || repeat('  a int // }' || nl, size) || '}' || nl || 'func (x *' || c || '[T]) ' || case when odd then w else upper(w) end || '() string {' || nl || '  return `}' || nl || 'func Fake() {' || nl || '`' || nl || '}' as text""",
+    "rust": """select 'f' || k as file_path, '/* a /* nested */ fn no() {} */' || nl || case when odd then '' else 'pub ' end || 'struct ' || c || '<T> {' || nl || repeat('    a: i32, // }' || nl, size) || '}' || nl || 'impl<T: Clone> ' || c || '<T> {' || nl || '    pub fn ' || w || '(&self) { let s = r#"fn fake() { "}" "#; }' || nl || '}' as text""",
+    "java": """select 'f' || k as file_path, '// class No {' || nl || case when odd then '' else 'public ' end || 'class ' || c || '<T> extends Base<T> {' || nl || repeat('    int a; /* } */' || nl, size) || '    public <R> void ' || w || '(R r) {' || nl || '        s = "class Fake {";' || nl || '    }' || nl || '}' as text""",
+}
+TEXTS = " from (select p_partkey as k, 'C' || p_partkey as c, lower(replace(p_name, ' ', '')) as w, cast(p_size % 4 as int) as size, p_size % 2 = 1 as odd, chr(10) as nl from {part})"
 
 
 def _language_query(name):
     def fn(spark, sf_dir):
-        text = F.replace(F.lit(PY[name]), F.lit("{k}"), F.col("p_partkey").cast("string"))
-        f = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_path"), F.lit(name).alias("language"), text.alias("text"))
-        return X.parsed(f)
+        table(spark, sf_dir, "part").createOrReplaceTempView("lodestone_text_part")
+        return X.parsed(spark.sql(LANGUAGE_TEXTS[name] + TEXTS.format(part="lodestone_text_part")).withColumn("language", F.lit(name)))
 
     return fn
 
 
-for _name, _rows in {
-    "python": (("A{k}", "class", True, 1, 5), ("A{k}.run", "function", True, 2, 3), ("A{k}._hide", "function", False, 4, 5), ("top{k}", "function", True, 7, 8)),
-    "go": (("T{k}", "struct", True, 1, 3), ("Run", "function", True, 5, 7), ("help", "function", False, 8, 8)),
-    "rust": (("S{k}", "struct", True, 1, 3), ("go{k}", "function", True, 6, 6), ("low", "function", False, 7, 7)),
-    "java": (("J{k}", "class", True, 1, 3), ("run", "method", False, 2, 2)),
+def _lines_sql(name, *found):
+    """SQL that looks through the lines of each text: (the first line, kind, name, exported, the last line)."""
+    rows = " union all ".join(
+        f"""select file_path, {named} as name, '{kind}' as kind, {exported} as exported, line::int as line_start,
+  (select min(e.line) from lines e where e.file_path = l.file_path and e.line >= l.line and regexp_matches(e.body, '{last}'))::int as line_end from lines l where regexp_matches(body, '{first}')"""
+        for first, kind, named, exported, last in found
+    )
+    return f"""with texts as ({LANGUAGE_TEXTS[name] + TEXTS.format(part="part")}),
+lines as (select file_path, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) as line from texts) {rows}"""
+
+
+OWNER = "'C' || substr(file_path, 2) || '.' || "
+for _name, _found in {
+    "python": (("^class ", "class", r"regexp_extract(body, '^class (\w+)', 1)", "true", "return"), ("^    def ", "function", OWNER + r"regexp_extract(body, 'def (\w+)', 1)", "not contains(body, 'def _')", "return")),
+    "go": (("^type ", "struct", r"regexp_extract(body, '^type (\w+)', 1)", "true", "^}$"), ("^func .x", "method", OWNER + r"regexp_extract(body, '[)] (\w+)[(]', 1)", "regexp_matches(body, '[)] [A-Z]')", "^}$")),
+    "rust": (("struct C", "struct", r"regexp_extract(body, 'struct (\w+)', 1)", "starts_with(body, 'pub ')", "^}$"), ("^    pub fn ", "method", OWNER + r"regexp_extract(body, 'fn (\w+)', 1)", "true", "^    pub fn ")),
+    "java": (("^(public )?class C", "class", r"regexp_extract(body, 'class (\w+)', 1)", "starts_with(body, 'public ')", "^}$"), ("^    public <R>", "method", OWNER + r"regexp_extract(body, 'void (\w+)', 1)", "true", "^    }$")),
 }.items():
-    _union = " union all ".join(f"select 'f' || p_partkey as file_path, replace('{n}', '{{k}}', p_partkey::varchar) as name, '{kind}' as kind, {str(x).lower()} as exported, {a} as line_start, {b} as line_end from part" for n, kind, x, a, b in _rows)
-    query(f"ext_symbols_{_name}", _union)(_language_query(_name))
+    query(f"ext_symbols_{_name}", _lines_sql(_name, *_found))(_language_query(_name))
 
 
-@sql("ext_symbol_range", "select id, 4 as line_start, 6 as line_end from code")
+@sql("ext_symbol_range", """, l as (select id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) as line from code)
+select id, min(line) filter (starts_with(body, 'export function '))::int as line_start, min(line) filter (body = '}')::int as line_end from l group by id""")
 def ext_symbol_range(spark, sf_dir):
     """Where each file's exported function begins and ends."""
     return X.parsed(code(spark, sf_dir)).where("name like 'fn%'").select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("id"), "line_start", "line_end")
@@ -181,12 +200,12 @@ def ext_usage_type(spark, sf_dir):
     return c.select("id", usage_type(F.regexp_replace(line, r"helper\d", "helper"), "helper").alias("usage"))
 
 
-@sql("ext_grep", "select 'helper' || (id % 7) as symbol, count(*)::bigint as files, sum(2)::bigint as hits from code group by 1")
+@sql("ext_grep", r""", w as (select id, unnest(regexp_extract_all(text, '[\w$]+')) as symbol from code) select symbol, count(distinct id)::bigint as files, count(*)::bigint as hits from w where regexp_matches(symbol, '^helper[0-6]$') group by symbol""")
 def ext_grep(spark, sf_dir):
     """Word search of all symbols at once: words of all files joined with the symbols."""
     words = code(spark, sf_dir).select("id", F.explode(F.split("text", r"[^\w$]+")).alias("symbol"))
     symbols = spark.range(7).select(F.concat(F.lit("helper"), F.col("id").cast("string")).alias("symbol"))
-    hits = words.join(F.broadcast(symbols), "symbol").groupBy("symbol", "id").agg(F.count("*").alias("n"))
+    hits = words.join(symbols, "symbol").groupBy("symbol", "id").agg(F.count("*").alias("n"))
     return hits.groupBy("symbol").agg(F.count("*").alias("files"), F.sum("n").alias("hits"))
 
 

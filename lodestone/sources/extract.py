@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import LEXIS, Blocks
 from .script import Script
 
 # Declarations that an export may have, in the order in which they are reported.
@@ -148,31 +149,6 @@ def _dotted(node: ast.AST) -> str | None:
 
 #: Languages that ``script`` reads.
 SCRIPTS = ("typescript", "tsx", "javascript", "jsx")
-# Declarations of brace languages, line by line: (kind, pattern with the name in group 1).
-BRACE = {
-    "go": (("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)")),
-    "rust": (("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)")),
-    "java": (("class", r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected)\s+)*interface\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected)\s+)*enum\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\(")),
-}
-
-
-def block_end(lines: list[str], start: int) -> int:
-    """The line on which the braces that open at ``start`` close; quotes and comments don't count."""
-    depth, opened = 0, False
-    for k in range(start, len(lines)):
-        plain = re.sub(r"//.*$|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`", "", lines[k])
-        for ch in plain:
-            if ch == "{":
-                depth, opened = depth + 1, True
-            elif ch == "}":
-                depth -= 1
-                if opened and not depth:
-                    return k
-        if not opened and plain.rstrip().endswith(";"):
-            return k
-    return start if not opened else len(lines) - 1
-
-
 def parse(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """(symbols, edges) of a file; what can't be parsed has none."""
     if language == "python":
@@ -186,33 +162,10 @@ def parse(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
     if language in SCRIPTS:
         script = Script(text)
         return script.symbols, list(dict.fromkeys(script.edges))
-    rules = BRACE.get(language, ())
-    lines = text.split("\n")
-    symbols, edges = [], []
-    for k, line in enumerate(lines):
-        for kind, pattern in rules:
-            m = re.match(pattern, line)
-            if not m:
-                continue
-            name = m.group(1)
-            exported = {"go": name[:1].isupper(), "rust": "pub" in line.split(name)[0], "java": "public" in line.split(name)[0]}.get(language, "export" in line.split(name)[0])
-            symbols.append((name, kind, exported, k + 1, block_end(lines, k) + 1))
-            heritage = re.search(r"\bextends\s+([\w.]+)", line)
-            if heritage and kind in ("class", "interface"):
-                edges.append((name, heritage.group(1), "EXTENDS"))
-            made = re.search(r"\bimplements\s+([\w., ]+)", line)
-            if made:
-                edges += [(name, x.strip(), "IMPLEMENTS") for x in made.group(1).split(",") if x.strip()]
-            break
-        impl = re.match(r"^\s*impl(?:<[^>]*>)?\s+(\w+)\s+for\s+(\w+)", line) if language == "rust" else None
-        if impl:
-            edges.append((impl.group(2), impl.group(1), "IMPLEMENTS"))
-    known = {s[0] for s in symbols}
-    for name, kind, _, first, last in symbols:
-        if kind in ("function", "method"):
-            body = "\n".join(lines[first - 1 : last])
-            edges += [(name, called, "CALLS") for called in sorted(set(re.findall(r"\b(\w+)\s*\(", body)) & known - {name})]
-    return symbols, edges
+    if language in LEXIS:
+        blocks = Blocks(language, text)
+        return sorted(blocks.symbols, key=lambda x: (x[3], -x[4])), blocks.edges
+    return [], []
 
 
 def unused_imports(files: DataFrame) -> DataFrame:
