@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions.text import clamp_text
+from ..shared import new_folder
+from ..sources import tree
 from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, with_views
 from ..operators import store as S
 from ..requests import split_limit
 from .registry import query
-from .retrieval import TEST_PATH, TEST_SQL
+from .retrieval import TEST_PATH, TEST_SQL, stored
 
 
 def sql(key, statement):
@@ -35,8 +37,48 @@ def src_scan(spark, sf_dir):
     return f.select("file_id", "file_path", lines.alias("loc"), F.sha1("text").alias("file_hash"), M.language(F.col("file_path")).alias("language"), M.path_cluster(F.col("file_path")).alias("cluster"))
 
 
-@sql("src_discover", "select file_path from files where not regexp_matches(file_path, '(^|/)(__tests__|tests|test)(/|$)') and regexp_matches(file_path, '\\.md$')")
+#: Where texts of documents and pages lie in a tree: folders by number, some of them passed over, and endings, some not read.
+TREE_FOLDERS = ("src", "src/lib", "node_modules/x", "a.ts", "a", "Z", "z/.git", "z/.hidden", "_own", "tests", "src/test", "b/coverage", "b/out/c", "b/output", "ä", ".next", "c/d/e/f", "c/__tests__", "build")
+TREE_ENDINGS = (".ts", ".md", ".txt", ".TSX", ".py", "", ".go", ".d.ts", ".json", ".sql", ".vue", ".mjs", ".rs2")
+PLACED = f"""told as (select doc_id as k, 'd' as kind, text from documents where doc_id is not null union all select page_id, 'p', html from pages where page_id is not null),
+tree as (select ({list(TREE_FOLDERS)})[k % {len(TREE_FOLDERS)} + 1] || '/' || kind || k || ({list(TREE_ENDINGS)})[k % {len(TREE_ENDINGS)} + 1] as path, coalesce(text, '') as text from told),
+kept as (select path, text, row_number() over (order by string_split(path, '/')) as place from tree
+  where not regexp_matches(path, '(^|/)(node_modules|dist|[.]git|[.]next|__tests__|tests|test|[.]turbo|[.]cache|coverage|build|out|[.]vercel|[.]svelte-kit|[.]nuxt|[.]output)/')
+    and regexp_matches(lower(path), '[.](ts|tsx|js|jsx|mjs|cjs|sql|py|go|rs|java|kt|swift|vue|svelte|md)$'))"""
+
+
+def file_tree(spark, sf_dir):
+    """The texts of documents and pages as files in a tree; written once a session for each state of the tables."""
+
+    def make(old):
+        root = new_folder(spark, "tree")
+        texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.lit("d").alias("kind"), "text").unionByName(table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.lit("p").alias("kind"), F.col("html").alias("text"))).where("k is not null")
+        pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("k") % len(names) + 1).cast("int"))
+        path = F.concat(pick(TREE_FOLDERS), F.lit("/"), "kind", F.col("k").cast("string"), pick(TREE_ENDINGS))
+        tree.write(texts.select(path.alias("path"), "text"), root)
+        return root
+
+    return stored(spark, "tree", sf_dir, ("documents", "pages"), make)
+
+
+@query("src_discover", f"with {PLACED} select place, path, strlen(text)::bigint as size from kept")
 def src_discover(spark, sf_dir):
+    """The files of a tree that are read, in the order of a walk."""
+    return tree.walk(spark, file_tree(spark, sf_dir)).select("place", "path", "size")
+
+
+@query("src_scan_tree", f"""with {PLACED} select path, sha1(text) as file_hash, len(string_split_regex(text, '\r?\n'))::bigint as loc, len(regexp_extract_all(text, 'href="[^"]+"'))::bigint as links from kept""")
+def src_scan_tree(spark, sf_dir):
+    """What a scan reads of each file: its hash, lines and links."""
+    root = file_tree(spark, sf_dir)
+    found = tree.read(tree.walk(spark, root).select("path"), root)
+    links = F.size(F.regexp_extract_all("text", F.lit('href="[^"]+"'), F.lit(0))).cast("long")
+    return found.select("path", F.sha1("text").alias("file_hash"), F.size(F.split("text", "\r?\n")).cast("long").alias("loc"), links.alias("links"))
+
+
+@sql("src_discover_paths", "select file_path from files where not regexp_matches(file_path, '(^|/)(__tests__|tests|test)(/|$)') and regexp_matches(file_path, '\\.md$')")
+def src_discover_paths(spark, sf_dir):
+    """The same rule for paths that are known already."""
     return files(spark, sf_dir).where(M.scanned(F.col("file_path"))).select("file_path")
 
 
