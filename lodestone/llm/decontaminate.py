@@ -104,6 +104,7 @@ def within(masks: dict[str, int], m: int, text: str, budget: int) -> bool:
     return False
 
 
+@lru_cache(256)
 def runs_above(n: int) -> list[list[tuple[int, int]]]:
     """For each of n pieces the runs (first, end) that hold it, smallest first, the whole left out."""
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -118,33 +119,55 @@ def runs_above(n: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+#: Masks that are kept for reuse; they are made when a hit asks for them.
+MASKS = 20_000
+
+
 class Items:
     """Searchable benchmark items: (key, text) pairs. Every item is searched together with the spaces
-    around it, so that one without an edit to spare matches whole words only."""
+    around it, so that one without an edit to spare matches whole words only.
+
+    An item takes its text, and its pieces a number each in the automaton; all else is made on a hit."""
 
     def __init__(self, items: tuple[tuple[str, str], ...], rate: float):
-        self.rows: list[tuple[str, str, int, dict[str, int]]] = []
-        pieces: dict[str, list[tuple[int, int, list]]] = {}
+        self.rows: list[tuple[str, str, int]] = []
+        self.automaton = ahocorasick.Automaton()
+        shared: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
             plain = normalise(text or "")
             if not plain:
                 continue
             k, budget = len(self.rows), math.floor(rate * len(plain))
-            plain = f" {plain} "
-            self.rows.append((item, plain, budget, masks_of(plain)))
-            bounds = [len(plain) * i // (budget + 1) for i in range(budget + 2)]
-            made: dict[tuple[int, int], tuple[int, int, int, dict[str, int]]] = {}
-            for a, b, above in zip(bounds, bounds[1:], runs_above(budget + 1), strict=False):
-                for x, y in above:
-                    if (x, y) not in made:  # begin, length, edits allowed, masks
-                        made[x, y] = bounds[x], bounds[y] - bounds[x], y - x - 1, masks_of(plain[bounds[x] : bounds[y]])
-                pieces.setdefault(plain[a:b], []).append((k, a, [made[run] for run in above]))
-        self.automaton = ahocorasick.Automaton()
-        for piece, where in pieces.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if pieces:
+            self.rows.append((item, f" {plain} ", budget))
+            for i in range(budget + 1):
+                a, b = self.bound(k, i), self.bound(k, i + 1)
+                piece = self.rows[k][1][a:b]
+                if piece in shared:
+                    shared[piece].append((k, i))
+                elif piece in self.automaton:
+                    shared[piece] = [self.automaton.get(piece), (k, i)]
+                else:
+                    self.automaton.add_word(piece, (k, i))
+        for piece, where in shared.items():  # pieces of several places
+            self.automaton.add_word(piece, where)
+        self.any = bool(self.rows)
+        if self.any:
             self.automaton.make_automaton()
-        self.any = bool(pieces)
+        self.kept: dict[tuple[int, int, int], dict[str, int]] = {}
+
+    def bound(self, k: int, i: int) -> int:
+        """Where piece i of item k begins."""
+        _, plain, budget = self.rows[k]
+        return len(plain) * i // (budget + 1)
+
+    def masks(self, k: int, a: int, b: int) -> dict[str, int]:
+        """The masks of a stretch of an item."""
+        got = self.kept.get((k, a, b))
+        if got is None:
+            if len(self.kept) >= MASKS:
+                self.kept.clear()
+            got = self.kept[k, a, b] = masks_of(self.rows[k][1][a:b])
+        return got
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """(item's key, distance, end in the normalised text), the best passage of each item found."""
@@ -154,18 +177,22 @@ class Items:
             return out
         whole, plain = len(plain), f" {plain} "
         spans: dict[int, list[tuple[int, int]]] = {}
-        for last, (size, where) in self.automaton.iter(plain):
-            begin = last + 1 - size
-            for k, a, above in where:
-                for at, length, edits, masks in above:
+        for last, where in self.automaton.iter(plain):
+            for k, i in [where] if isinstance(where, tuple) else where:
+                _, item, budget = self.rows[k]
+                a = self.bound(k, i)
+                begin = last + 1 - (self.bound(k, i + 1) - a)
+                for x, y in runs_above(budget + 1)[i]:
+                    at, edits = self.bound(k, x), y - x - 1
+                    length = self.bound(k, y) - at
                     lo = begin - a + at - edits
-                    if not within(masks, length, plain[max(lo, 0) : lo + length + 2 * edits], edits):
+                    if not within(self.masks(k, at, at + length), length, plain[max(lo, 0) : lo + length + 2 * edits], edits):
                         break
                 else:
-                    _, item, budget, _ = self.rows[k]
                     spans.setdefault(k, []).append((begin - a - budget, begin - a + len(item) + budget))
         for k, windows in spans.items():
-            item, pattern, budget, masks = self.rows[k]
+            item, pattern, budget = self.rows[k]
+            masks = self.masks(k, 0, len(pattern))
             windows.sort()
             best, end = budget + 1, -1
             lo, hi = windows[0]
