@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches
-
-#: The fit's bounds, whatever the input's size: documents and bytes per language, bytes in all, and
-#: languages (those with the most labelled documents are learned, ties by name). A suffix automaton has
-#: at most two states for a byte; its table has a column for each different byte of the sample.
-SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES, MAX_LANGUAGES = 64, 24_000, 240_000, 200
+from .common import batches, drop, store
+
+#: The fit's bounds, whatever the input's size: documents and bytes per language, bytes of the languages that
+#: are compared in one pass, and how many these are. A suffix automaton has at most two states for a byte;
+#: its table has a column for each different byte of the sample. More languages take more passes.
+SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES, PASS_LANGUAGES = 64, 24_000, 240_000, 200
+#: More different values are no languages: they are an error, and none is left out in silence.
+MAX_LANGUAGES = 20_000
 #: Bytes that are parsed one after the other; all blocks of a batch are parsed at once.
 BLOCK = 256
 UNKNOWN = "und"
@@ -158,11 +160,10 @@ class Model:
         blocks, sizes, owner = cut(texts)
         return np.stack([a.phrases(blocks, sizes, owner) for a in self.automata], axis=1)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score. Score: how much fewer normalised phrases the winner needs than the
-        next, from 0 (as many; then the first name wins) towards 1; 1 where one language is known; 0
-        for ``und``."""
-        lettered = [bool(t) and LETTER.search(t) is not None for t in texts]
+    def rates(self, texts: list[str]) -> np.ndarray:
+        """Phrases of each text in each language, over what a text of that language needs; 1 where a text has no
+        letter."""
+        lettered = _lettered(texts)
         rates = np.ones((len(texts), len(self.languages)))
         group, size = [], 0
         for k, ok in enumerate([*lettered, None]):  # about four million bytes of text at once
@@ -172,12 +173,11 @@ class Model:
             if group and (ok is None or size > 4_000_000):
                 rates[group] = self.counts([plain(texts[g]) for g in group]) / np.array(self.norms)
                 group, size = [], 0
-        best = rates.argmin(axis=1)
-        names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-        if len(self.languages) == 1:
-            return names, np.where(lettered, 1.0, 0.0)
-        two = np.partition(rates, 1, axis=1)
-        return names, np.where(lettered, 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0.0)
+        return rates
+
+
+def _lettered(texts: list[str]) -> list[bool]:
+    return [bool(t) and LETTER.search(t) is not None for t in texts]
 
 
 @lru_cache(2)
@@ -198,15 +198,18 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     can = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     hashed = can.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    picked = hashed.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min(F.struct("h", "id")).alias("least"), F.count("*").alias("n"))
-    most = picked.groupBy("lang").agg(F.sum("n").alias("n"), F.collect_list("least.id").alias("ids")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    chosen = {r.lang: r.ids for r in most.collect()}  # SAMPLE_DOCS * MAX_LANGUAGES ids at most
+    picked = hashed.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min(F.struct("h", "id")).alias("least"))
+    most = picked.groupBy("lang").agg(F.collect_list("least.id").alias("ids")).limit(MAX_LANGUAGES + 1)
+    chosen = {r.lang: r.ids for r in most.collect()}  # SAMPLE_DOCS ids a language
     if not chosen:
         return ()
-    each = min(SAMPLE_BYTES, TOTAL_BYTES // len(chosen))
+    if len(chosen) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} different values")
+    each = min(SAMPLE_BYTES, TOTAL_BYTES // min(len(chosen), PASS_LANGUAGES))
     share = max(2 * each // SAMPLE_DOCS, 512)
-    wanted = F.col(lang_col).isin(list(chosen)) & F.col(id_col).isin([x for ids in chosen.values() for x in ids])
-    rows = can.where(wanted).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, 64 * share).alias("text"))
+    wanted = docs.sparkSession.createDataFrame([(k, x) for k, ids in chosen.items() for x in ids], hashed.select("lang", "id").schema)
+    rows = can.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, 64 * share).alias("text")).join(wanted, ["lang", "id"])
+    rows = rows.groupBy("lang", "id").agg(F.min("text").alias("text"))  # of rows that repeat an id, the least text
     texts: dict[str, list[str]] = {}
     taken: dict[str, int] = {}
     found = sorted(rows.collect(), key=lambda r: (r.lang, str(r.id), r.text))
@@ -224,22 +227,46 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def identify(docs: DataFrame, learned: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; columns of those names are replaced.
 
-    Whole texts are parsed; of languages that fit equally well the first by name is told. Null texts and texts without a letter are ``und`` with score 0,
-    and so is everything where nothing was learned. Repeated rows get equal answers; an empty table
-    gives an empty result.
-    """
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(learned) if learned else None
-        for part in parts:
-            texts = part.column("__text").to_pylist()
-            names, scores = model.predict(texts) if model and texts else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+    Whole texts are parsed; of languages that fit equally well the first by name is told. The score is how
+    much fewer normalised phrases the winner needs than the next, from 0 (as many) towards 1; 1 where one
+    language is known. Null texts and texts without a letter are ``und`` with score 0, and so is everything
+    where nothing was learned. Repeated rows get equal answers; an empty table gives an empty result.
 
-    batches(docs.sparkSession)
+    PASS_LANGUAGES are compared at once. With more, each pass reads what the one before has written, and
+    carries the best two rates.
+    """
+    spark = docs.sparkSession
+    batches(spark)
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
-    return kept.select("*", docs[text_col].alias("__text")).mapInArrow(run, schema)
+    state = kept.select("*", docs[text_col].alias("__text"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("inf")).alias("__one"), F.lit(float("inf")).alias("__two"))
+    passes = [learned[k : k + PASS_LANGUAGES] for k in range(0, len(learned), PASS_LANGUAGES)]
+    for k, some in enumerate(passes):
+
+        last = k == len(passes) - 1
+        schema = state.drop("__text").schema if last else state.schema  # texts don't come back from the last pass
+
+        def run(parts: Iterator[pa.RecordBatch], some=some, last=last) -> Iterator[pa.RecordBatch]:
+            model = _model(some)
+            for part in parts:
+                texts = part.column("__text").to_pylist()
+                names, one, two = (part.column(c).to_pylist() if c == "lang_pred" else part.column(c).to_numpy().copy() for c in ("lang_pred", "__one", "__two"))
+                if texts:
+                    rates = model.rates(texts)
+                    best = rates.argmin(axis=1)
+                    least = rates[np.arange(len(texts)), best]
+                    nearer = (least < one) & np.array(_lettered(texts))
+                    names = [model.languages[b] if now else old for b, now, old in zip(best, nearer, names, strict=True)]
+                    one, two = np.partition(np.column_stack([one, two, rates]), 1, axis=1)[:, :2].T
+                own = [c for c in part.schema.names[:-3] if not last or c != "__text"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, own), pa.array(names, pa.string()), pa.array(one, pa.float64()), pa.array(two, pa.float64())], [*own, *part.schema.names[-3:]])
+
+        before, state = state, state.mapInArrow(run, schema)
+        if not last:
+            state = store(state, "rates")
+            if hasattr(before, "_stored_at"):
+                drop(before)
+    score = F.when(F.col("lang_pred") == UNKNOWN, 0.0).when(F.lit(len(learned) == 1), 1.0).otherwise(1 - F.col("__one") / F.greatest("__two", F.lit(1e-9)))
+    return state.select(*[F.col(f"`{c}`") for c in kept.columns], "lang_pred", score.alias("score"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,15 @@ def test_nulls(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() > 0
+
+
+def test_columns_that_stages_use_inside_stay(spark):
+    """Own columns that bear the names of results come out as they went in; repeated rows and long texts too."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).selectExpr("doc_id + 100000 as doc_id", "repeat(text, 300) as text", "lang", "source", "n_chars"))
+    docs = docs.selectExpr("*", "7.5D as score", "'mine' as lang_pred", "3 as kept", "9L as component_id")
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        rows = docs.select("score", "lang_pred", "kept", "component_id").distinct().collect()
+        assert [tuple(r) for r in rows] == [(7.5, "mine", 3, 9)], name

@@ -266,10 +266,24 @@ def test_language_scripts_and_long_texts(spark):
     assert [(r.doc_id, r.lang, r.lang_pred) for r in out if (r.held_out or r.doc_id == 5000) and r.lang_pred != r.lang] == []
 
 
-def test_most_frequent_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
-    docs = spark.createDataFrame([(k, "some text", "abc"[k % 3] if k < 30 else "b") for k in range(40)], "doc_id long, text string, lang string")
-    assert len(language.samples(docs)) == 2 and "b" in dict(language.samples(docs))
+def test_languages_in_passes(spark, monkeypatch):
+    """Many languages take several passes, with the answers of one; too many different values are an error."""
+    rng = random.Random(9)
+    letters = {f"l{k}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 7)) for k in range(7)}
+    rows_in = [(k, " ".join("".join(rng.choice(letters[name]) for _ in range(5)) for _ in range(30)), name) for k, name in enumerate(list(letters) * 8)]
+    docs = spark.createDataFrame([*rows_in, (100, None, "l1"), (101, "12", None)], "doc_id long, text string, lang string")
+    learned = language.samples(docs)
+    one = sorted(map(tuple, language.identify(docs, learned).collect()), key=str)
+    monkeypatch.setattr(language, "PASS_LANGUAGES", 3)
+    assert sorted(map(tuple, language.identify(docs, learned).collect()), key=str) == one and len(learned) == 7
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 6)
+    with pytest.raises(ValueError):
+        language.samples(docs)
+
+
+def test_language_samples_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text number {k}", "en") for k in range(500)] + [(3, "ein text", "de")], "doc_id long, text string, lang string")
+    assert dict(language.samples(docs)) == {"en": "text number 0", "de": "ein text"}
 
 
 def test_language_edges(spark):
