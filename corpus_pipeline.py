@@ -18,7 +18,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     learned = language.samples(docs)
     if not learned:
         return docs
-    named = language.identify(docs, learned).where(F.col("lang_pred") != language.UNKNOWN)
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    named = language.identify(docs.withColumnsRenamed(own), learned).where(F.col("lang_pred") != language.UNKNOWN)
+    named = named.drop("lang_pred", "score").withColumnsRenamed({new: old for old, new in own.items()})
     return named.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
