@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..embedding import Space, back_fill, embed
+from ..operators import commits as K
 from ..operators import diff as D
 from ..operators import graph as G
 from ..operators import store as S
@@ -134,19 +135,58 @@ def sink_snapshot(spark, sf_dir):
     return S.append_changed(v, "file_path", ["created_at", "id"], "h").select("id")
 
 
-COMMITS = "c as (select file_path, case when file_id % 3 = 0 then 'b' || file_id end as blurb, case when file_id % 4 = 0 then 'p' end as purpose, case when file_id % 7 = 0 then 'stale' when file_id % 2 = 0 then file_hash end as expected from files where file_id % 2 = 0 or file_id % 3 = 0)"
+#: Commits of two files in three: what each gives, and the version it expects: that of its record, a wrong one, or none.
+VERSION_SQL = """'sha256:' || sha256(to_json({'blurb': coalesce(blurb, ''), 'cluster': cluster, 'conventions': coalesce(conventions, []), 'dataFlows': coalesce(data_flows, []), 'fileHash': file_hash, 'filePath': file_path, 'hazards': coalesce(hazards, []), 'keyTypes': coalesce(key_types, []),
+  'patterns': coalesce(patterns, []), 'publicApi': coalesce(exports, []), 'purpose': coalesce(purpose, ''), 'rangedHazards': []::varchar[], 'sourceHighlights': coalesce(source_highlights, []), 'tags': coalesce(tags, []), 'workspace': workspace})::varchar)"""
+COMMITS = f"""known as (select *, {VERSION_SQL} as current from files),
+came as (select file_id as number, workspace, file_path, 'change ' || file_id as summary, case when file_id % 6 = 0 then ' purpose ' || file_id || ' ' end as purpose, case when file_id % 4 = 0 then 'blurb' end as blurb, case when file_id % 10 = 0 then 'new cluster' end as cluster,
+  case when file_id % 5 = 0 then ['t', 'x' || file_id] end as tags, case when file_id % 8 = 0 then ['risk'] end as hazards, case when file_id % 12 = 0 then ['verified-external'] when file_id % 9 = 0 then ['asserted'] else []::varchar[] end as evidence,
+  case when file_id % 7 = 1 then current when file_id % 7 = 2 then 'sha256:other' end as expected from known where file_id % 3 <> 1),
+merged as (select c.number, c.summary, c.expected, c.evidence, k.current, k.workspace, k.file_path, k.file_hash, coalesce(trim(c.purpose), k.purpose) as purpose, coalesce(c.blurb, k.blurb) as blurb, coalesce(c.cluster, k.cluster) as cluster, coalesce(c.tags, k.tags) as tags, coalesce(c.hazards, k.hazards) as hazards,
+  k.conventions, k.data_flows, k.key_types, k.patterns, k.exports, k.source_highlights,
+  list_filter(['changelog', case when len(c.evidence) > 0 then 'evidence' end, case when c.purpose is not null then 'purpose' end, case when c.blurb is not null then 'blurb' end, case when c.cluster is not null then 'cluster' end, case when c.tags is not null then 'tags' end, case when c.hazards is not null then 'hazards' end], lambda x: x is not null) as updated
+  from came c join known k using (file_path)),
+judged as (select *, list_filter([case when trim(coalesce(purpose, '')) = '' then 'purpose' end, case when trim(coalesce(blurb, '')) = '' then 'blurb' end, case when len(tags) = 0 then 'tags' end, case when len(source_highlights) = 0 then 'sourceHighlights' end], lambda x: x is not null) as missing,
+  {VERSION_SQL} as new from merged),
+told as (select *, case when expected is not null and expected <> current then 'conflict' when len(missing) > 0 then 'rejected' else 'committed' end as status from judged)"""
 
 
-def commits(spark, sf_dir):
-    i = F.col("file_id")
-    return files(spark, sf_dir).where("file_id % 2 = 0 or file_id % 3 = 0").select("file_path", F.when(i % 3 == 0, F.concat(F.lit("b"), i.cast("string"))).alias("blurb"), F.when(i % 4 == 0, "p").alias("purpose"), F.when(i % 7 == 0, "stale").when(i % 2 == 0, F.col("file_hash")).alias("expected"))
+def stored_files(spark, sf_dir):
+    f = files(spark, sf_dir).withColumnRenamed("exports", "public_api").withColumn("ranged_hazards", F.array().cast("array<string>"))
+    return f.select("workspace", "file_path", "file_hash", "ranged_hazards", *K.TEXTS, *K.LISTS)
 
 
-@sql("cmd_commit", f"with {COMMITS}, m as (select c.file_path, coalesce(c.blurb, f.blurb) as blurb, coalesce(c.purpose, f.purpose) as purpose, c.expected, f.file_hash from c join files f using (file_path)) select file_path, case when expected is not null and expected <> file_hash then 'conflict' when coalesce(blurb, '') = '' or coalesce(purpose, '') = '' then 'rejected' else 'applied' end as status, blurb, purpose from m")
+def commits(spark, sf_dir):
+    f, i = files(spark, sf_dir).where("file_id % 3 <> 1"), F.col("file_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    own = stored_files(spark, sf_dir).select("file_path", K.version().alias("current"))
+    given = {"purpose": F.when(i % 6 == 0, text(" purpose ", i, " ")), "blurb": F.when(i % 4 == 0, "blurb"), "cluster": F.when(i % 10 == 0, "new cluster"), "tags": F.when(i % 5 == 0, F.array(F.lit("t"), text("x", i))), "hazards": F.when(i % 8 == 0, F.array(F.lit("risk")))}
+    kinds = dict(stored_files(spark, sf_dir).dtypes)
+    rest = [F.lit(None).cast(kinds[c]).alias(c) for c in (*K.TEXTS, *K.LISTS) if c not in given]
+    evidence = F.when(i % 12 == 0, F.array(F.lit("verified-external"))).when(i % 9 == 0, F.array(F.lit("asserted"))).otherwise(F.array().cast("array<string>"))
+    expected = F.when(i % 7 == 1, F.col("current")).when(i % 7 == 2, "sha256:other")
+    return f.join(own, "file_path").select(i.alias("number"), "workspace", "file_path", text("change ", i).alias("summary"), *[c.alias(k) for k, c in given.items()], *rest, evidence.alias("evidence"), expected.alias("expected"))
+
+
+@sql("cmd_commit", f"with {COMMITS} select file_path, status, array_to_string(missing, ',') as missing, array_to_string(list_sort(updated), ',') as updated, case when status = 'committed' then new else current end as version, case when list_contains(evidence, 'verified-external') then 'verified' else 'pending' end as verification from told")
 def cmd_commit(spark, sf_dir):
-    """A batch of commits: merged field by field, checked against the version they expect."""
-    stored = files(spark, sf_dir).select("file_path", "blurb", "purpose", F.col("file_hash").alias("version"))
-    return S.apply_commits(stored, commits(spark, sf_dir), "file_path", ["blurb", "purpose"], "version")
+    """A batch of commits: merged field by field, checked against the version they expect and for what a record
+    must have."""
+    found = K.judge(stored_files(spark, sf_dir), commits(spark, sf_dir))
+    return found.select("file_path", "status", F.array_join("missing", ",").alias("missing"), F.array_join("updated", ",").alias("updated"), "version", "verification")
+
+
+@sql("cmd_commit_records", f"""with {COMMITS}
+select file_path, 'record' as kind, 0::bigint as number, case when status = 'committed' then new else k.current end as version from known k left join (select file_path, status, new from told) t using (file_path)
+union all select file_path, 'history', number, new from told where status = 'committed'""")
+def cmd_commit_records(spark, sf_dir):
+    """Records and history after a batch of commits was applied, twice: the second time changes nothing."""
+    records, log = S.Table(spark, scratch(spark, "records"), ["workspace", "file_path"]), S.Table(spark, scratch(spark, "history"))
+    records.write(stored_files(spark, sf_dir))
+    for _ in range(2):
+        K.commit(records, log, commits(spark, sf_dir), ("commits", 1))
+    rows = records.read().select("file_path", F.lit("record").alias("kind"), F.lit(0).cast("long").alias("number"), K.version().alias("version"))
+    return rows.unionByName(log.read().select("file_path", F.lit("history").alias("kind"), "number", "version"))
 
 
 @sql("cmd_commit_batch_idem", "select event_id as key, case when event_id % 3 <> 0 then 'fresh' when event_id % 6 = 0 then 'conflict' else 'replayed' end as status from events where event_id % 2 = 0 or event_id % 3 = 0")
