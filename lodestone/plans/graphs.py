@@ -588,16 +588,42 @@ def aud_hotspots_detailed(spark, sf_dir):
     return rows.select("file_path", risk.alias("risk"), F.array_join(F.transform(reasons, lambda p: p["n"]), ",").alias("reasons"))
 
 
-@sql("aud_incomplete_entry", f"select file_path, array_to_string(list_filter(['blurb', 'purpose', 'tags', 'hazards', 'patterns'], lambda f: not list_contains({FILLED}, f)), ',') as missing, extraction_model from files where len({FILLED}) < 5")
+#: Cross-references of files as they are stored, JSON of all kinds, by number.
+CROSS_REFS = """case file_id % 10 when 0 then '{}' when 1 then '{"symbols":{},"crossref_timestamp":"2024-01-01T00:00:00Z"}' when 2 then '{"symbols":{"readDoc":{"total_usages":' || (file_id % 4) || '}},"crossref_timestamp":"2024-01-01T00:00:00Z"}'
+  when 3 then null when 4 then '{"symbols":{"a":{}},"crossref_timestamp":"t","crossref_model":"scaffold"}' when 5 then '{"symbols":{},"total_exports_analyzed":0,"crossref_model":"heuristic","pass2_timestamp":"t"}'
+  when 6 then '{bad' when 7 then 'null' when 8 then '{"symbols":{"a":{}}}' else '[]' end"""
+READ_REFS = f"""refs_read as (select *, case when json_valid(c) and json_type(c) = 'OBJECT' then c::json end as j from (select *, {CROSS_REFS} as c from files)),
+refs_told as (select *, coalesce(len(json_keys(j, '$.symbols')), 0) as n, j ->> '$.crossref_timestamp' as stamped, j ->> '$.pass2_timestamp' as second, j ->> '$.crossref_model' as model, j ->> '$.total_exports_analyzed' as analysed from refs_read)"""
+
+
+def with_cross_refs(rows):
+    """``rows`` of files with what their cross-references say; nothing where they are no JSON object."""
+    read = rows.withColumn("c", F.expr(CROSS_REFS))
+    field = lambda name: F.get_json_object("c", f"$.{name}")
+    names = F.map_keys(F.from_json(F.when(F.col("c").startswith("{"), field("symbols")), "map<string,string>"))
+    told = {"stamped": "crossref_timestamp", "second": "pass2_timestamp", "model": "crossref_model", "analysed": "total_exports_analyzed"}
+    return read.select("*", F.coalesce(F.size(names), F.lit(0)).alias("n"), *[field(v).alias(k) for k, v in told.items()])
+
+
+CHECKS_SQL = """list_filter([case when trim(coalesce(blurb, '')) = '' then 'blurb' end, case when trim(coalesce(purpose, '')) = '' then 'purpose' end, case when coalesce(extraction_model, 'scaffold') = 'scaffold' then 'extraction' end,
+  case when n = 0 and coalesce(stamped, '') = '' then 'cross_refs' end, case when len(hazards) = 0 then 'hazards' end, case when len(conventions) = 0 then 'conventions' end, case when len(key_types) = 0 then 'key_types' end, case when len(data_flows) = 0 then 'data_flows' end], lambda x: x is not null)"""
+
+
+@sql("aud_incomplete_entry", f"with {READ_REFS}, m as (select *, {CHECKS_SQL} as missing from refs_told) select file_path, array_to_string(missing, ',') as missing, len(missing) || '/8' as share, extraction_model from m where len(missing) > 0")
 def aud_incomplete_entry(spark, sf_dir):
-    names = F.array(*[F.lit(x) for x in ("blurb", "purpose", "tags", "hazards", "patterns")])
-    missing = F.array_except(names, filled_fields())
-    return files(spark, sf_dir).where(F.size(missing) > 0).select("file_path", F.array_join(missing, ",").alias("missing"), "extraction_model")
+    """Which of eight checks a record fails, and who extracted it last."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    checks = {"blurb": blank("blurb"), "purpose": blank("purpose"), "extraction": F.coalesce("extraction_model", F.lit("scaffold")) == "scaffold", "cross_refs": (F.col("n") == 0) & (F.coalesce("stamped", F.lit("")) == "")}
+    checks |= {c: F.coalesce(F.size(c), F.lit(0)) <= 0 for c in ("hazards", "conventions", "key_types", "data_flows")}
+    missing = F.array_compact(F.array(*[F.when(cond, k) for k, cond in checks.items()]))
+    rows = with_cross_refs(files(spark, sf_dir)).withColumn("missing", missing).where(F.size("missing") > 0)
+    return rows.select("file_path", F.array_join("missing", ",").alias("missing"), F.concat(F.size("missing").cast("string"), F.lit("/8")).alias("share"), "extraction_model")
 
 
-@sql("aud_incomplete_tiers", f"with t as (select file_path, loc, {FILLED} as f from files) select file_path, case when loc <= 50 then 'tiny' when loc <= 200 then 'small' else 'medium' end as tier, array_to_string(list_filter(case when loc <= 50 then ['blurb', 'tags'] when loc <= 200 then ['blurb', 'purpose', 'tags'] else ['blurb', 'purpose', 'tags', 'hazards'] end, lambda x: not list_contains(f, x)), ',') as missing from t where loc <= 600")
+@sql("aud_incomplete_tiers", f"""with t as (select file_path, loc, {FILLED} as f from files) select file_path, case when loc <= 50 then 'tiny' when loc <= 200 then 'small' when loc <= 600 then 'medium' when loc <= 1500 then 'large' else 'huge' end as tier,
+  array_to_string(list_filter(case when loc <= 50 then ['blurb', 'tags'] when loc <= 200 then ['blurb', 'purpose', 'tags'] when loc <= 600 then ['blurb', 'purpose', 'tags', 'hazards'] when loc <= 1500 then ['blurb', 'purpose', 'tags', 'hazards', 'patterns', 'source_highlights'] else ['blurb', 'purpose', 'tags', 'hazards', 'patterns', 'source_highlights', 'key_types'] end, lambda x: not list_contains(f, x)), ',') as missing from t""")
 def aud_incomplete_tiers(spark, sf_dir):
-    """Files of all tiers. The SQL stops at 600 lines, beyond which the given tables have no file."""
+    """Files of all tiers, and what each lacks of what its tier requires."""
     f = files(spark, sf_dir).select("file_path", M.tier(F.col("loc")).alias("tier"), filled_fields().alias("f"))
     return f.select("file_path", "tier", F.array_join(F.array_except(M.required(F.col("tier")), "f"), ",").alias("missing"))
 
@@ -610,10 +636,18 @@ def aud_reindex_stats(spark, sf_dir):
     return f.select("file_path", "file_hash", "extraction_model").join(disk, "file_path", "left").groupBy(state.alias("state")).agg(F.count("*").alias("files"))
 
 
-@sql("aud_file_phase", "select file_path, case when file_hash is null then 'none' when extraction_model is null or len(tags) = 0 then 'structure' else 'crossref' end as phase from files")
+@sql("aud_file_phase", f"""with {READ_REFS}, now as (select *, case when file_id % 11 = 4 then null when file_id % 7 = 0 then sha1(text || '!') else sha1(text) end as current from refs_told)
+select file_path, case when current is distinct from file_hash then 'none'
+  when coalesce(model, '') <> 'scaffold' and (stamped is not null or second is not null) and (n > 0 or (analysed = '0' and model = 'heuristic')) then 'crossref' else 'structure' end as phase from now""")
 def aud_file_phase(spark, sf_dir):
-    phase = F.when(F.col("file_hash").isNull(), "none").when(F.col("extraction_model").isNull() | (F.size("tags") == 0), "structure").otherwise("crossref")
-    return files(spark, sf_dir).select("file_path", phase.alias("phase"))
+    """How far a file is: nothing where its text has changed or is gone, its structure, or its cross-references, if
+    those hold symbols, or a heuristic found no export, and are dated and no scaffold."""
+    f = with_cross_refs(files(spark, sf_dir))
+    i = F.col("file_id")
+    current = F.when(i % 11 == 4, F.lit(None)).when(i % 7 == 0, F.sha1(F.concat("text", F.lit("!")))).otherwise(F.sha1("text"))
+    done = (F.coalesce("model", F.lit("")) != "scaffold") & (F.col("stamped").isNotNull() | F.col("second").isNotNull()) & ((F.col("n") > 0) | ((F.col("analysed") == "0") & (F.col("model") == "heuristic")))
+    phase = F.when(~current.eqNullSafe(F.col("file_hash")), "none").when(done, "crossref").otherwise("structure")
+    return f.select("file_path", phase.alias("phase"))
 
 
 @sql("aud_exported_not_referenced", "with words as (select distinct unnest(string_split_regex(lower(text), '[^a-z0-9_]+')) as w from documents) select symbol_id from symbols where exported and file_path not in (select target from refs) and lower(string_split(name, ' ')[1]) not in (select w from words)")
