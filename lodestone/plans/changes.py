@@ -19,7 +19,7 @@ from ..operators import graph as G
 from ..operators import store as S
 from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, vectors, with_views
 from ..payloads import normalise_commit
-from ..planning import work_plan
+from ..planning import work_limits
 from ..operators.search_index import SearchIndex
 from ..shared import new_folder, shared_dir
 from ..streaming import changes as C
@@ -199,13 +199,15 @@ def cmd_commit_batch_idem(spark, sf_dir):
     return S.replay(commands, done).select("key", "status")
 
 
-@sql("plan_budget", """with a(action, node, edge, fan) as (values ('cycles', 3, 1, 2), ('audit:gaps', 4, 1, 2), ('audit:smells', 5, 2, 3), ('audit:hotspots', 4, 2, 3), ('search', 3, 1, 2)), u(asked) as (values (0), (100), (12345), (20000), (999999)),
-p as (select *, least(100000, greatest(1, asked)) as units from a, u)
-select action, asked::bigint as asked, (units // (node + edge * fan))::bigint as node_limit, (units // (node + edge * fan) * fan)::bigint as edge_limit, (units // (node + edge * fan) * (node + edge * fan))::bigint as planned from p""")
+@sql("plan_budget", """with a(k, action, node, edge, fan) as (values (0, 'cycles', 3, 1, 2), (1, 'audit:gaps', 4, 1, 2), (2, 'audit:smells', 5, 2, 3), (3, 'audit:hotspots', 4, 2, 3), (4, 'search', 3, 1, 2)),
+p as (select p_partkey, action, node, edge, fan, least(100000, greatest(1, p_partkey * 613 % 130000)) as units from part join a on k = p_partkey % 5)
+select p_partkey, action, units::bigint as units, (units // (node + edge * fan))::bigint as node_limit, (units // (node + edge * fan) * fan)::bigint as edge_limit, (units // (node + edge * fan) * (node + edge * fan))::bigint as planned from p""")
 def plan_budget(spark, sf_dir):
-    """Node and edge limits of requests under budgets of work units."""
-    plans = [(a, u, work_plan(a, u)) for a in ("cycles", "audit:gaps", "audit:smells", "audit:hotspots", "search") for u in (0, 100, 12345, 20000, 999999)]
-    return spark.createDataFrame([(a, u, p.node_limit, p.edge_limit, p.planned_work_units) for a, u, p in plans], "action string, asked bigint, node_limit bigint, edge_limit bigint, planned bigint")
+    """Node and edge limits of requests, one for each part, under budgets of work units."""
+    k = F.col("p_partkey")
+    action = F.element_at(F.array(*map(F.lit, ("cycles", "audit:gaps", "audit:smells", "audit:hotspots", "search"))), (k % 5 + 1).cast("int"))
+    asked = table(spark, sf_dir, "part").select("p_partkey", action.alias("action"), (k * 613 % 130000).alias("asked"))
+    return asked.select("p_partkey", "action", *work_limits(F.col("action"), F.col("asked")))
 
 
 @sql("cmd_commit_legacy", """select p_partkey as id, 'src/' || p_partkey || '.ts' as file_path, 'why ' || p_name as changelog_entry, 'why ' || p_name as summary,
@@ -507,8 +509,8 @@ def str_queue(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").where("event_type in ('view', 'click')").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"))
     where = scratch(spark, "queue-feed")
-    e.coalesce(1).sortWithinPartitions("seq").write.parquet(where)
-    stream = spark.readStream.schema(e.schema).parquet(where)
+    e.repartitionByRange(3, "seq").write.parquet(where)  # the first of a path counts, whatever order batches come in
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where)
     finish(stream.writeStream.foreachBatch(queue).trigger(availableNow=True), spark, "queue-state")
     return t.read()
 
@@ -535,9 +537,15 @@ def str_idempotent(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.sha2(F.col("event_id").cast("string"), 256).alias("payload_hash"), "event_id")
     where = scratch(spark, "command-feed")
     done, log = S.Table(spark, scratch(spark, "done"), ["key"]), S.Table(spark, scratch(spark, "applied"), ["key"])
-    e.coalesce(1).sortWithinPartitions("event_id").write.option("maxRecordsPerFile", 4000).parquet(where)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(where)
-    finish(C.exactly_once(stream, done, log, lambda fresh: fresh.select("key", "event_id"), "commands", "event_id"), spark, "command-state")
+    half = e.agg(F.max("event_id") / 2).first()[0]
+    state = scratch(spark, "command-state")
+    for some in (e.where(F.col("event_id") < half), e):  # the second run, from the same state, repeats the first one's commands
+        some.write.mode("append").parquet(where)
+        stream = spark.readStream.schema(e.schema).parquet(where)
+        q = C.exactly_once(stream, done, log, lambda fresh: fresh.select("key", "event_id"), "commands", "event_id").option("checkpointLocation", state).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
     return log.read().groupBy("key").agg(F.min("event_id").alias("event_id"), F.count("*").alias("applied"))
 
 

@@ -11,7 +11,6 @@ from ..shared import new_folder
 from ..sources import tree
 from ..sources.adapters import changelog, files, import_edges, references, snapshots, symbols, table, with_views
 from ..operators import store as S
-from ..requests import split_limit
 from .registry import query
 from .retrieval import TEST_PATH, TEST_SQL, stored
 
@@ -679,11 +678,13 @@ def win_char_budget(spark, sf_dir):
     return items.withColumn("upto", upto).where("upto <= 5000").select("file_path")
 
 
-@sql("win_split_limit", "select n::int as sources, k::int as source, (100 // n + case when k < 100 % n then 1 else 0 end)::bigint as share from range(1, 20) t(n), range(20) u(k) where k < n")
+@sql("win_split_limit", "with n as (select p_partkey, p_size as total, p_partkey % 19 + 1 as sources from part) select p_partkey, k::int as source, (total // sources + case when k < total % sources then 1 else 0 end)::bigint as share from n, range(20) u(k) where k < sources")
 def win_split_limit(spark, sf_dir):
-    """A limit of 100 split over one to nineteen sources."""
-    rows = [(n, k, share) for n in range(1, 20) for k, share in enumerate(split_limit(100, n))]
-    return spark.createDataFrame(rows, "sources int, source int, share bigint")
+    """Each part's size as a limit, split over one to nineteen sources; the first ones take the remainder."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("total"), (F.col("p_partkey") % 19 + 1).alias("sources"))
+    rows = rows.withColumn("source", F.explode(F.sequence(F.lit(0), (F.col("sources") - 1).cast("int"))))
+    share = F.floor(F.col("total") / F.col("sources")) + F.when(F.col("source") < F.col("total") % F.col("sources"), 1).otherwise(0)
+    return rows.select("p_partkey", "source", share.cast("long").alias("share"))
 
 
 @sql("win_edge_cap", "select target, string_agg(source, ',' order by source) as kept from (select * from import_edges qualify row_number() over (partition by target order by source) <= 2) group by target")

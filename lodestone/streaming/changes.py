@@ -12,8 +12,10 @@ from ..operators.store import Table, first_wins, replay
 
 
 def coalesce_changes(batch: DataFrame, path: str = "path", seq: str = "seq") -> DataFrame:
-    """The last change of each path in a batch."""
-    w = Window.partitionBy(path).orderBy(F.desc(seq))
+    """The last change of each path in a batch; of two with one number, as when a file is renamed to its own
+    name, the upsert."""
+    ties = [F.desc("op")] if "op" in batch.columns else []
+    w = Window.partitionBy(path).orderBy(F.desc(seq), *ties)
     return batch.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
@@ -55,8 +57,10 @@ def incremental(before: DataFrame, now: DataFrame, edges: DataFrame) -> DataFram
 
 
 def enqueue(pending: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """A queue with one pending entry for each key: what is pending already isn't queued again."""
-    return pending.unionByName(incoming.dropDuplicates(keys).join(pending.select(*keys), keys, "left_anti"))
+    """A queue with one pending entry for each key: what is pending already isn't queued again; of several that
+    come in, the least counts."""
+    new = first_wins(incoming, keys, *[c for c in incoming.columns if c not in keys] or keys)
+    return pending.unionByName(new.join(pending.select(*keys), keys, "left_anti"))
 
 
 def witness(events: DataFrame, weights: dict[str, int]) -> DataFrame:
