@@ -9,10 +9,10 @@ from ..functions import metadata as M
 from ..functions.text import NO_IDENTIFIERS, VERBS, loaded_identifiers
 from ..operators import community as C
 from ..operators import graph as G
-from ..sources.adapters import changelog, files, import_edges, main_edges, references, symbols, table, with_views
+from ..sources.adapters import changelog, files, import_edges, main_edges, references, symbols, table, vectors, with_views
 from ..operators.paths import resolve
 from ..operators.positional import WORD
-from ..operators.retrieval import rrf, with_rank
+from ..operators.retrieval import nearest, rrf, with_rank
 from ..shared import cut
 from .registry import query
 from .retrieval import AROUND, FILE_SCORES, NAMED, exported, file_scores, places
@@ -473,7 +473,9 @@ def act_plan_context(spark, sf_dir):
 
 
 @sql("act_plan_context_detailed", f"""with recursive {HITS},
-dense as (select 'part_' || lpad(symbol_id::varchar, 6, '0') as node, row_number() over (order by line_start desc, symbol_id) as rank from symbols qualify rank <= 50),
+asked as (select v.v from hits h join vectors v on 'part_' || lpad(v.vec_id::varchar, 6, '0') = h.node where h.rank <= 50 order by h.rank limit 1),
+dense as (select 'part_' || lpad(vec_id::varchar, 6, '0') as node, row_number() over (order by d, vec_id) as rank
+  from (select b.vec_id, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) as d from asked a, vectors b) qualify rank <= 50),
 fused as (select node, sum(1 / (60.0::double + rank)) as score from (select node, rank from hits where rank <= 50 union all select * from dense) group by node),
 seeds as (select node from fused order by round(score, 9) desc, node limit 50),
 walk(root, node, depth) as (select node, node, 0 from seeds union select w.root, case when e.source = w.node then e.target else e.source end, w.depth + 1 from walk w join all_edges e on e.source = w.node or e.target = w.node where w.depth < 2),
@@ -482,11 +484,16 @@ found as (select root, node, min(depth)::int as depth from walk group by all),
 ranked as (select *, row_number() over (partition by root order by depth, node) as place from found)
 select r.root, r.node, r.depth, coalesce(d.degree, 0)::bigint as blast_radius from ranked r left join deg d on d.node = r.node where place <= 51""")
 def act_plan_context_detailed(spark, sf_dir):
-    """Seeds by fused ranks (lexical hits, and symbols by size), up to 50 neighbours of each within two steps."""
+    """Seeds by fused ranks (lexical hits, and the nearest vectors to that of the best hit which has one), up to 50
+    neighbours of each within two steps."""
     e = all_edges(spark, sf_dir)
     lexical = hits(spark, sf_dir, 50).withColumnRenamed("node", "id")
-    large = symbols(spark, sf_dir).select(F.col("file_path").alias("id"), "line_start", "symbol_id").orderBy(F.desc("line_start"), "symbol_id").limit(50)
-    fused = rrf([lexical, with_rank(large, F.desc("line_start"), "symbol_id")])
+    number = F.substring("id", 6, 12).cast("long")
+    v = vectors(spark, sf_dir)
+    best = lexical.select("rank", number.alias("vec_id")).join(v, "vec_id").orderBy("rank").limit(1).select(F.col("v").alias("q"))
+    near = nearest(v, "vec_id", "v", best, 50)
+    dense = with_rank(near, "distance", "id").select(F.concat(F.lit("part_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), "rank")
+    fused = rrf([lexical, dense])
     seeds = cut(fused.orderBy(F.desc(F.round("score", 9)), "id").limit(50).select(F.col("id").alias("root")))
     near = G.bfs_many(G.both_ways(e), seeds, 2)
     place = F.row_number().over(Window.partitionBy("root").orderBy("depth", "node"))
