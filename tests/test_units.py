@@ -378,3 +378,35 @@ def test_embedding_checks():
     for bad in ([], [[1.0]], [[float("nan"), 1.0]], [[1.0, 1.0]]):
         with pytest.raises(M.EmbeddingError):
             M.checked(bad, 1, space)
+
+
+def test_masks_spread_as_walks(spark):
+    """Bits of several blocks along a random graph with cycles, against a walk for each bit."""
+    rng = random.Random(12)
+    edges = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(40)]
+    seeds = [(f"n{rng.randrange(25)}", rng.randrange(2), rng.randrange(graph.BITS)) for _ in range(30)]
+    want = {}
+    for node, block, bit in seeds:
+        seen, todo = set(), [node]
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += [b for a, b in edges if a == at]
+        for n in seen:
+            want[n, block] = want.get((n, block), 0) | 1 << bit
+    frame = spark.createDataFrame([(n, b, 1 << k) for n, b, k in seeds], "node string, block int, mask long")
+    assert {(r.node, r.block): r.mask for r in graph.spread(edges_frame(spark, edges), frame).collect()} == want
+
+
+def test_reachable_to_the_end(spark):
+    chain = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(70)]
+    assert graph.reachable(edges_frame(spark, chain), spark.createDataFrame([("n000",)], "node string")).count() == 71
+
+
+def test_loaded_identifiers(spark):
+    from lodestone.functions.text import loaded_identifiers
+
+    rows = ["loads userRows and derive `total` from `x`", "fetch `y1`, LOAD the Value, derived VALUES", "loading Thing; reload Thing; load lower", None, "`a` `bb` load `bb`"]
+    got = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, flow string").select("k", loaded_identifiers(F.col("flow")).alias("x")).collect()
+    assert {r.k: [tuple(x) for x in r.x] if r.x is not None else None for r in got} == {0: [("total", True), ("userRows", True)], 1: [("y1", True)], 2: [], 3: None, 4: [("bb", True)]}
