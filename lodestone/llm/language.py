@@ -207,7 +207,9 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} different values")
     each = min(SAMPLE_BYTES, TOTAL_BYTES // min(len(chosen), PASS_LANGUAGES))
     share = max(2 * each // SAMPLE_DOCS, 512)
-    wanted = docs.sparkSession.createDataFrame([(k, x) for k, ids in chosen.items() for x in ids], hashed.select("lang", "id").schema)
+    picks = [(k, x) for k, ids in chosen.items() for x in ids]
+    wanted = docs.sparkSession.createDataFrame(picks, hashed.select("lang", "id").schema)
+    wanted = F.broadcast(wanted) if len(picks) <= SAMPLE_DOCS * PASS_LANGUAGES else wanted
     rows = can.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, 64 * share).alias("text")).join(wanted, ["lang", "id"])
     rows = rows.groupBy("lang", "id").agg(F.min("text").alias("text"))  # of rows that repeat an id, the least text
     texts: dict[str, list[str]] = {}
