@@ -264,9 +264,10 @@ def cmd_memory(spark, sf_dir):
 
 @sql("cmd_symbol_identity", "select file_path, name, case when symbol_id % 4 = 0 then 'new' else 'old' end as purpose from symbols where symbol_id % 3 = 0 or symbol_id % 4 = 0")
 def cmd_symbol_identity(spark, sf_dir):
-    s = symbols(spark, sf_dir)
-    old = s.where("symbol_id % 3 = 0").select("file_path", "name", F.lit("old").alias("purpose"))
-    return S.upsert(old, s.where("symbol_id % 4 = 0").select("file_path", "name", F.lit("new").alias("purpose")), ["file_path", "name"])
+    """By the symbol's number: several may share a path and a name, since paths hold six digits of a number."""
+    s = symbols(spark, sf_dir).select("symbol_id", "file_path", "name")
+    old = s.where("symbol_id % 3 = 0").withColumn("purpose", F.lit("old"))
+    return S.upsert(old, s.where("symbol_id % 4 = 0").withColumn("purpose", F.lit("new")), ["symbol_id"]).drop("symbol_id")
 
 
 @sql("cmd_admin", "select 'ws' || k as workspace, (select count(*) from files where workspace = 'ws' || k)::bigint as files, (select count(*) from changelog where workspace = 'ws' || k)::bigint as changes from range(3) t(k)")
