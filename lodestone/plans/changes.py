@@ -495,9 +495,9 @@ def str_watch_legacy(spark, sf_dir):
 select w.node as path, case when s.symbol_id % 89 = 0 then 'deleted' when s.symbol_id % 97 = 0 then 'changed' else 'invalidated' end as state from w join symbols s on s.file_path = w.node""")
 def str_incremental(spark, sf_dir):
     s = symbols(spark, sf_dir)
-    before = s.select(F.col("file_path").alias("path"), F.lit("h").alias("hash"))
-    now = s.where("symbol_id % 89 <> 0").select(F.col("file_path").alias("path"), F.when(F.col("symbol_id") % 97 == 0, "new").otherwise("h").alias("hash"))
-    return C.incremental(before, now, import_edges(spark, sf_dir))
+    before = s.select("symbol_id", F.col("file_path").alias("path"), F.lit("h").alias("hash"))
+    now = s.where("symbol_id % 89 <> 0").select("symbol_id", F.col("file_path").alias("path"), F.when(F.col("symbol_id") % 97 == 0, "new").otherwise("h").alias("hash"))
+    return C.incremental(before, now, import_edges(spark, sf_dir), ["symbol_id"])
 
 
 @sql("str_queue", "select path, min(seq) as seq from (select 'u' || user_id as path, event_id as seq from events where event_type in ('view', 'click')) group by path")

@@ -30,3 +30,7 @@ def same(spark, shared, key):
 
 def test_symbols_are_told_by_number(spark, shared):
     same(spark, shared, "cmd_symbol_identity")
+
+
+def test_states_of_files_that_share_a_path(spark, shared):
+    same(spark, shared, "str_incremental")
