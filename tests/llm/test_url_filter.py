@@ -119,3 +119,10 @@ def test_query_as_sql(spark):
     cursor = con.execute(OP11_SQL)
     assert [d[0] for d in cursor.description] == found.columns
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, cursor.fetchall()))
+
+
+def test_query_counts_all_urls(spark, monkeypatch):
+    """Bounds of the fit don't bind the query: more URLs and grams than they say give the SQL's rows."""
+    monkeypatch.setattr(url_filter, "FIT_URLS", 20)
+    monkeypatch.setattr(url_filter, "MAX_GRAMS", 2000)
+    test_query_as_sql(spark)
