@@ -79,14 +79,15 @@ def resolve(uses: DataFrame, files: DataFrame) -> DataFrame:
     """(file_path, specifier, target): the first candidate path that is a file.
 
     A .js specifier is tried as .tsx and .ts first, then as it stands, then with .ts, .tsx and as a
-    folder's index. Candidates are one equi-join with the paths; the first in order wins."""
+    folder's index. Candidates are one equi-join with the paths; the first in order wins. Paths are often made
+    of a few narrow columns, whose size says nothing of theirs: so they are sorted and never broadcast."""
     folder = F.regexp_replace("file_path", r"/?[^/]*$", "")
     path = joined_path(folder, F.col("specifier"))
     stem = F.regexp_replace(path, r"\.js$", "")
     js = F.col("specifier").endswith(".js")
     tried = F.array_compact(F.array(F.when(js, F.concat(stem, F.lit(".tsx"))), F.when(js, F.concat(stem, F.lit(".ts"))), path, *[F.concat(path, F.lit(x)) for x in (".ts", ".tsx", "/index.ts", "/index.tsx")]))
     rows = uses.select("file_path", "specifier", F.posexplode(tried).alias("pos", "target"))
-    hits = rows.join(files.select(F.col("file_path").alias("target")).distinct(), "target")
+    hits = rows.join(files.select(F.col("file_path").alias("target")).distinct().hint("merge"), "target")
     return hits.groupBy("file_path", "specifier").agg(F.min_by("target", "pos").alias("target"))
 
 
