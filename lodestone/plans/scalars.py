@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions import quality
-from ..functions.text import jaccard, token_set
+from ..functions.text import token_set
+from ..operators.retrieval import similar
+from ..shared import cut
 from ..sources.adapters import changelog, files, import_edges, references, table, with_views
 from .graphs import aud_exported_not_referenced, aud_loaded_not_used, metrics
 from .registry import ORACLES, query
@@ -75,11 +77,17 @@ def fn_json(spark, sf_dir):
 
 @sql("fn_set_similarity", "with s as (select p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9_]+'), lambda t: len(t) > 1)) as t from part) select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) as score from s a join s b on a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey and a.p_partkey % 20 = 0 where len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.5")
 def fn_set_similarity(spark, sf_dir):
-    """A query set against all rows of its brand."""
-    s = table(spark, sf_dir, "part").select("p_partkey", "p_brand", token_set(F.col("p_name"), F.col("p_type")).alias("t"))
-    a = s.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), "p_brand", F.col("t").alias("ta"))
-    pairs = a.join(s.select(F.col("p_partkey").alias("b"), "p_brand", F.col("t").alias("tb")), "p_brand").where("a <> b")
-    return pairs.withColumn("score", jaccard(F.col("ta"), F.col("tb"))).where("score >= 0.5").select("a", "b", F.round("score", 6).alias("score"))
+    """A query set against all rows of its brand. Rows of one brand and set are a class: classes are compared, and
+    the pairs of their members told."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.array_sort(token_set(F.col("p_name"), F.col("p_type"))).alias("t"))
+    classes = cut(rows.groupBy("p_brand", "t").agg(F.max(F.col("p_partkey") % 20 == 0).alias("asks")).withColumn("class", F.monotonically_increasing_id()))
+    members = cut(rows.join(classes.select("p_brand", "t", "class"), ["p_brand", "t"]).select("p_partkey", "class"))
+    a = classes.where("asks").select("p_brand", F.col("class").alias("ca"), F.col("t").alias("ta"))
+    b = classes.select("p_brand", F.col("class").alias("cb"), F.col("t").alias("tb"))
+    alike = cut(similar(a, b, "p_brand", "ta", "tb", 0.5).select("ca", "cb", F.round("score", 6).alias("score")))
+    asking = members.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), F.col("class").alias("ca"))
+    told = asking.join(alike, "ca").join(members.select(F.col("p_partkey").alias("b"), F.col("class").alias("cb")).hint("merge"), "cb")
+    return told.where("a <> b").select("a", "b", "score")
 
 
 @sql("fn_hygiene", r"select p_partkey, trim(regexp_replace(regexp_replace('<b>' || p_name || '</b> `' || p_type || '`', '<[^>]*>|[`*#]+', ' ', 'g'), '\s+', ' ', 'g')) as pattern from part")

@@ -36,3 +36,21 @@ def test_bits_jump_along_single_edges(spark, monkeypatch):
     found = G.spread(spark.createDataFrame(list(after.items()), "source long, target long"), spark.createDataFrame(seeds, "node long, block int, mask long"))
     assert {(r["node"], r["block"]): r["mask"] for r in found.collect()} == want
     assert len(rounds) < 24
+
+
+def test_similar_sets_by_classes(spark, tmp_path):
+    """Copies are compared once: 400 rows of one set cost a comparison, and all their pairs are told."""
+    from lodestone.plans import scalars
+
+    rows = [(k, "b", "red blue tin", "X") for k in range(400)] + [(k, "b", "red blue", f"Y{k % 2} zinc") for k in range(400, 420)] + [(k, "c", "red blue tin", "X") for k in range(420, 425)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    compared = []
+    similar, scalars.similar = scalars.similar, lambda a, b, *rest: compared.append(a.join(b, "p_brand").count()) or similar(a, b, *rest)
+    try:
+        got = {(r["a"], r["b"]): r["score"] for r in scalars.fn_set_similarity(spark, str(tmp_path)).collect()}
+    finally:
+        scalars.similar = similar
+    words = {k: {w for w in f"{name} {kind}".lower().split() if len(w) > 1} for k, _, name, kind in rows}
+    score = lambda x, y: len(words[x] & words[y]) / len(words[x] | words[y])
+    want = {(x, y): round(score(x, y), 6) for x, bx, *_ in rows for y, by, *_ in rows if x % 20 == 0 and x != y and bx == by and score(x, y) >= 0.5}
+    assert got == want and compared[0] <= 10
