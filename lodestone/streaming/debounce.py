@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,7 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.store import Table
 
 OUT = "key string, number long, ended timestamp, reason string, paths long, digest string"
-STATE = "number long, last long, pending array<string>, ts array<long>, seq array<long>, path array<string>"
+#: What waits is one value, an Arrow stream of (ts, seq, path): lists of it would be turned over item by item.
+STATE = "number long, last long, pending array<string>, waiting binary"
+WAITING = pa.schema([("ts", pa.int64()), ("seq", pa.int64()), ("path", pa.string())])
 
 
 class Debounce:
@@ -26,9 +29,12 @@ class Debounce:
 
     def __init__(self, quiet: int, most: int, held: tuple | None):
         self.quiet, self.most = quiet, most
-        self.number, self.last, pending, ts, seq, path = held or (0, 0, [], [], [], [])
+        self.number, self.last, pending, waiting = held or (0, 0, [], b"")
         self.pending = dict.fromkeys(pending)
-        self.waiting = list(zip(ts, seq, path))
+        self.waiting: list[tuple] = []
+        if waiting:
+            with pa.ipc.open_stream(bytes(waiting)) as stream:
+                self.waiting = list(zip(*[c.to_pylist() for c in stream.read_all().columns]))
         self.out: list[tuple] = []
 
     def flush(self, at: int, reason: str) -> None:
@@ -59,8 +65,12 @@ class Debounce:
             self.flush(self.last + self.quiet, "quiet")
 
     def held(self) -> tuple:
-        ts, seq, path = zip(*self.waiting) if self.waiting else ((), (), ())
-        return self.number, self.last, list(self.pending), list(ts), list(seq), list(path)
+        if not self.waiting:
+            return self.number, self.last, list(self.pending), b""
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, WAITING, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write(pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*self.waiting), WAITING)], schema=WAITING))
+        return self.number, self.last, list(self.pending), out.getvalue().to_pybytes()
 
     def due(self) -> int | None:
         """When something may next happen, if nothing comes."""

@@ -72,3 +72,14 @@ def test_joint_counts_in_blocks(spark, monkeypatch):
     found = R.joint_counts(frame(sides[0], "a"), frame(sides[1], "b"), "name", "a", "b", "n", "pairs")
     assert {(r["a"], r["b"]): r["pairs"] for r in found.collect()} == want
     assert R.joint_counts(frame(sides[0], "a"), frame({}, "b"), "name", "a", "b", "n", "pairs").count() == 0
+
+
+def test_waiting_changes_are_one_value():
+    """The state of a key has a handful of values, however many changes wait."""
+    from lodestone.streaming.debounce import Debounce
+
+    d = Debounce(40, 4, None)
+    d.waiting = [(k, -k, None if k % 7 == 0 else f"ü{k}") for k in range(1000)]
+    held = d.held()
+    assert sum(len(x) for x in held if isinstance(x, list)) == 0
+    assert Debounce(40, 4, held).waiting == d.waiting
