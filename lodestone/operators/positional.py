@@ -38,13 +38,12 @@ class PositionalIndex:
 
     def grep(self, symbols: DataFrame, context: int = 2) -> DataFrame:
         """(symbol, doc, matches, first_line, context): per document the lines that match, and those within
-        ``context`` of one, each once, in order."""
-        hits = self.hits(symbols)
-        counts = hits.groupBy("symbol", "doc").agg(F.count("*").alias("matches"), F.min("line").alias("first_line"))
-        near = hits.select("symbol", "doc", F.explode(F.sequence(F.col("line") - context, F.col("line") + context)).alias("line")).distinct()
-        shown = near.join(self.lines, ["doc", "line"]).groupBy("symbol", "doc").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("shown"))
-        text = F.array_join(F.transform("shown", lambda x: x["text"]), "\n")
-        return counts.join(shown.select("symbol", "doc", text.alias("context")), ["symbol", "doc"])
+        ``context`` of one, each once, in order. A document's lines move once, to where its hits are."""
+        hits = self.hits(symbols).groupBy("symbol", "doc").agg(F.count("*").alias("matches"), F.min("line").alias("first_line"), F.collect_list("line").alias("at"))
+        texts = self.lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("texts"))
+        near = F.flatten(F.transform("at", lambda n: F.sequence(F.greatest(n - context, F.lit(1)), F.least(n + context, F.size("texts")))))
+        text = F.array_join(F.transform(F.array_sort(F.array_distinct(near)), lambda n: F.get("texts", n - 1)), "\n")
+        return hits.join(texts.hint("merge"), "doc").select("symbol", "doc", "matches", "first_line", text.alias("context"))
 
     def call_sites(self, symbols: DataFrame, most: int = 20, context: int = 2) -> DataFrame:
         """``grep`` of each symbol's ``most`` best documents, with their ``rank``: by matches, then by id. Lines

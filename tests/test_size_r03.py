@@ -83,3 +83,14 @@ def test_waiting_changes_are_one_value():
     held = d.held()
     assert sum(len(x) for x in held if isinstance(x, list)) == 0
     assert Debounce(40, 4, held).waiting == d.waiting
+
+
+def test_lines_move_once_to_hits(spark):
+    """Contexts are read off a document's lines: no shuffle carries a line for each symbol near it."""
+    from lodestone.operators.positional import PositionalIndex
+
+    docs = spark.createDataFrame([(1, "aa\nbb\ncc\ndd\nee\nff"), (2, "ff aa\n\nff"), (3, None)], "id long, t string")
+    index = PositionalIndex.build(docs, "id", docs["t"])
+    found = index.grep(spark.createDataFrame([("ff", 9), ("aa", 2)], "symbol string, defined long"), 1)
+    assert sorted(map(tuple, found.select("symbol", "doc", "matches", "first_line", "context").collect())) == [("aa", 1, 1, 1, "aa\nbb"), ("ff", 1, 1, 6, "ee\nff"), ("ff", 2, 2, 1, "ff aa\n\nff")]
+    assert "explode" not in plan(found)
