@@ -45,6 +45,14 @@ class PositionalIndex:
         text = F.array_join(F.transform(F.array_sort(F.array_distinct(near)), lambda n: F.get("texts", n - 1)), "\n")
         return hits.join(texts.hint("merge"), "doc").select("symbol", "doc", "matches", "first_line", text.alias("context"))
 
+    def near(self, symbols: DataFrame, bits: DataFrame, context: int = 2) -> DataFrame:
+        """(defined, block, mask): which words of ``bits`` (word, block, bit) occur in the contexts that ``grep`` would
+        show. A line's words meet the hits around it as bits; no text moves."""
+        told = self.postings.join(bits, "word").groupBy("doc", "line", "block").agg(F.bit_or("bit").alias("mask"))
+        hits = self.postings.join(symbols.select(F.col("symbol").alias("word"), "defined"), "word").where(~F.col("doc").eqNullSafe(F.col("defined"))).select("defined", "doc", "line").distinct()
+        around = hits.select("defined", "doc", F.explode(F.sequence(F.col("line") - context, F.col("line") + context)).alias("line")).distinct()
+        return around.join(told, ["doc", "line"]).groupBy("defined", "block").agg(F.bit_or("mask").alias("mask"))
+
     def call_sites(self, symbols: DataFrame, most: int = 20, context: int = 2) -> DataFrame:
         """``grep`` of each symbol's ``most`` best documents, with their ``rank``: by matches, then by id. Lines
         are fetched for those only."""

@@ -35,3 +35,12 @@ def test_as_search_through_texts(spark):
     assert [(r["symbol"], r["rank"], r["doc"], r["matches"], r["context"]) for r in found] == [(s, k, *x) for s in sorted(best) for k, x in enumerate(best[s][:3], 1)]
     places = index.postings.where("doc = 91").collect()
     assert [tuple(r) for r in places] == [("run", 91, 3, 1)]
+    bits = {"run": (0, 1), "Run": (0, 2), "fast": (1, 1), "x": (1, 1 << 61), "unheard": (2, 1)}
+    around: dict = {}
+    for (symbol, _), (_, _, text) in want.items():
+        for word in set(re.findall(r"[\w$]+", text)) & set(bits):
+            block, bit = bits[word]
+            key = dict(symbols)[symbol], block
+            around[key] = around.get(key, 0) | bit
+    near = index.near(frame, spark.createDataFrame([(w, *b) for w, b in bits.items()], "word string, block int, bit long"))
+    assert {(r["defined"], r["block"]): r["mask"] for r in near.collect()} == around

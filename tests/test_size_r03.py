@@ -38,6 +38,39 @@ def test_bits_jump_along_single_edges(spark, monkeypatch):
     assert len(rounds) < 24
 
 
+def test_bits_meet_components_as_one_node(spark, monkeypatch):
+    """A large strong component takes each block's bits once, not once for each of its nodes; what leads to it, what it
+    leads to, and what is apart keep bits of their own."""
+    rng = random.Random(5)
+    edges = {(k, (k + 1) % 150) for k in range(150)} | {(rng.randrange(150), rng.randrange(150)) for _ in range(500)}
+    edges |= {(200, 3), (200, 201), (7, 210), (210, 211), (210, 212), (300, 301), (301, 300), (301, 302), (9, 9)}
+    seeds = [(rng.choice([*range(150), 200, 210, 300]), block, 1 << rng.randrange(62)) for block in range(20) for _ in range(3)]
+    want: dict = {}
+    for node, block, mask in seeds:
+        met, todo = set(), [node]
+        while todo:
+            at = todo.pop()
+            if at not in met:
+                met.add(at)
+                todo += [b for a, b in edges if a == at]
+        for n in met:
+            want[n, block] = want.get((n, block), 0) | mask
+    frames, cut = [], G.cut
+
+    def counted(df, *done):
+        out = cut(df, *done)
+        frames.append(out.count() if "mask" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    edges_, seeds_ = spark.createDataFrame(list(edges), "source long, target long"), spark.createDataFrame(seeds, "node long, block int, mask long")
+    told = lambda found: {(r["node"], r["block"]): r["mask"] for r in found.collect()}
+    assert told(G.spread(edges_, seeds_)) == want
+    assert sum(frames) < 1000 < len(want)
+    wanted = {3, 7, 200, 211, 302, 999}
+    assert told(G.spread(edges_, seeds_, spark.createDataFrame([(n,) for n in [*wanted, 3]], "node long"))) == {k: v for k, v in want.items() if k[0] in wanted}
+
+
 def test_similar_sets_by_classes(spark, tmp_path):
     """Copies are compared once: 400 rows of one set cost a comparison, and all their pairs are told."""
     from lodestone.plans import scalars
