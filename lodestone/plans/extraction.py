@@ -161,11 +161,14 @@ RICH_LINES = (
 
 
 def rich(spark, sf_dir):
+    """Source files with all of these. Keys are dealt before their texts are made: they are so narrow that few tasks
+    would read them, and parse all that is made of them."""
     k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     text = F.lit("\n".join(RICH_LINES))
     for mark, value in (("{d}", F.when(k % 2 == 1, "done(b) { return save(b); }").otherwise("private done(b) { return b; }")), ("{k}", k), ("{m}", k % 5), ("{e}", F.floor(k / 4))):
         text = F.replace(text, F.lit(mark), value.cast("string"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("svc/"), k.cast("string"), F.lit(".ts")).alias("file_path"), F.lit("typescript").alias("language"), text.alias("text"))
+    return parts.select(F.concat(F.lit("svc/"), k.cast("string"), F.lit(".ts")).alias("file_path"), F.lit("typescript").alias("language"), text.alias("text"))
 
 
 RICH = "x as (select 'svc/' || p_partkey || '.ts' as file_path, p_partkey as k, p_partkey % 5 as m, p_partkey // 4 as e, p_partkey % 2 = 1 as odd, 'Svc' || p_partkey as c from part)"

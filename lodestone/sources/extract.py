@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
 from .blocks import LEXIS, Blocks
 from .script import Script
 
@@ -196,7 +197,8 @@ FLOW = "file_path string, source string, target string, edge_type string"
 
 def flows(files: DataFrame) -> DataFrame:
     """Data flow of scripts (file_path, language, text): PRODUCES, CONSUMES, DATA_FLOWS_TO and TRIGGERS, the last
-    also from who emits an event to who listens for it, in whatever files; an edge once for each file."""
+    also from who emits an event to who listens for it, in whatever files; an edge once for each file. Each file is
+    read once: what is found is written, since three readers follow."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -204,7 +206,7 @@ def flows(files: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file_path", "source", "target", "edge_type"])
 
-    raw = files.select("file_path", "language", "text").mapInArrow(run, FLOW)
+    raw = cut(files.select("file_path", "language", "text").mapInArrow(run, FLOW))
     emitted = raw.where("edge_type = 'EMITS'").select("file_path", "source", F.col("target").alias("event"))
     heard = raw.where("edge_type = 'LISTENS'").select(F.col("source").alias("event"), "target").distinct()
     met = emitted.join(heard, "event").select("file_path", "source", "target", F.lit("TRIGGERS").alias("edge_type"))
