@@ -446,12 +446,13 @@ def timed_feed(spark, sf_dir, parts=4):
     path = F.concat(F.lit("src/user_"), F.col("user_id").cast("string"), F.lit("/f"), (F.col("event_id") % 97).cast("string"))
     rows = e.select(F.concat(F.lit("ws"), (F.col("user_id") % 3).cast("string")).alias("key"), path.alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
     where = scratch(spark, "timed")
-    cuts = rows.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.01)
+    told = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / parts for k in range(1, parts)], 1000).alias("cuts"), F.max("ts").alias("last")).first()
+    cuts = sorted(set(told["cuts"] or []))
     t = F.unix_micros("ts")
     for low, high in zip([None, *cuts], [*cuts, None]):
         some = rows if low is None else rows.where(t > low)
         (some if high is None else some.where(t <= high)).write.mode("append").parquet(where)
-    late = rows.select("key").distinct().select("key", F.lit(None).cast("string").alias("path"), (F.lit(rows.agg(F.max("ts")).first()[0]) + F.expr("interval 60 days")).alias("ts"), F.lit(-1).cast("long").alias("seq"))
+    late = rows.select("key").distinct().select("key", F.lit(None).cast("string").alias("path"), (F.lit(told["last"]) + F.expr("interval 60 days")).alias("ts"), F.lit(-1).cast("long").alias("seq"))
     late.write.mode("append").parquet(where)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(where)
 

@@ -1,9 +1,12 @@
 """Work that larger tables need dealt out, or done once, on small ones."""
 
+import pyarrow as pa
+
 from lodestone.operators import graph as G
 from lodestone.plans import extraction as E
 from lodestone.sources import extract as X
 from lodestone.sources.script import Script
+from lodestone.streaming import debounce as D
 
 
 def plan(df):
@@ -40,3 +43,20 @@ def test_edges_that_no_seed_leads_to_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(G, "LOCAL_EDGES", 2)  # more edges are left than one task takes
     again = {(r["node"], r["block"]): r["mask"] for r in G.spread(spark.createDataFrame(edges, "source long, target long"), seeds).collect()}
     assert again == got
+
+
+def test_changes_are_packed_by_key():
+    """A key's state goes with every 10,000 rows of its: a batch is one row for each key, and none is lost."""
+    n = 1000
+    at = [pa.scalar(k * 10**6, pa.int64()).as_py() for k in range(n)]
+    keys = [None if k % 10 == 0 else f"k{k % 3}" for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at, pa.timestamp("us", "UTC")), pa.array(at), pa.array(range(n)), pa.array([f"p{k}" if k % 7 else None for k in range(n)])], ["key", "ts", "micros", "seq", "path"])
+    rows = [r for out in D.pack(iter([batch])) for r in out.to_pylist()]
+    assert sorted(str(r["key"]) for r in rows) == ["None", "k0", "k1", "k2"]
+    d = D.Debounce(60, 5, None)
+    d.add([r["packed"] for r in rows])
+    assert sorted(d.waiting) == [(at[k], k, f"p{k}" if k % 7 else None) for k in range(n)]
+    d.until(at[499])
+    d = D.Debounce(60, 5, d.held())
+    d.add([r["packed"] for r in rows])  # what has been taken is not taken again
+    assert min(t for t, _, _ in d.waiting) == at[500]
